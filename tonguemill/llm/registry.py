@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from tonguemill.llm import bpe, jaccard, langid, licenses, packing, quality, substrings, urls, vectors, warc
+from tonguemill.llm import bpe, langid, licenses, quality, urls
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_byte_bpe": bpe.query,
     "op3_url_filter": urls.query,
     "op4_language_id": langid.query,
-    "op5_ngram_jaccard": jaccard.query,
     "op6_quality_rules": quality.query,
-    "op7_best_fit_packing": packing.query,
-    "op8_substring_dedup": substrings.query,
-    "op9_embedding_near_dedup": vectors.query,
-    "op10_warc": warc.query,
 }
 SQL = {
     "op3_url_filter": urls.SQL,
