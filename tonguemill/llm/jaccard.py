@@ -128,7 +128,8 @@ def keys_of(s: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np.nd
         order = np.argsort(seg, kind="stable")
         present, first, size = np.unique(seg[order], return_index=True, return_counts=True)
         sums = np.add.reduceat(x[order], first)
-        salt = lambda g: (g + 1).astype("uint64") * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band + 1) * np.uint64(0xA0761D6478BD642F)
+        base = np.uint64((band + 1) * 0xA0761D6478BD642F % (1 << 64))
+        salt = lambda g: (g + 1).astype("uint64") * np.uint64(0xD6E8FEB86659FD93) + base
         keys = [_mix(sums ^ salt(present))]
         single = (size == 1) & (present < q)
         if q:

@@ -68,7 +68,7 @@ class WordTokenizer:
         new, old = self.new, self.old
         for t in texts:
             plain = t.replace("\n", " ")
-            if " ".join(plain.split()) != plain or not t or any(s in t for s in self.special):
+            if not t or "\0" in t or " ".join(plain.split()) != plain or any(s in t for s in self.special):
                 split.append(None)
                 continue
             own = (" " + t).replace(" ", "\0 ").split("\0")[1:]
@@ -80,8 +80,8 @@ class WordTokenizer:
                         new[w] = old[w]
                     else:
                         missing[w] = None
-        # a first word has no blank before it, and a NUL or a word's end may hide one: those are encoded by themselves
-        plain_words = [w for w in missing if w[0] == " " and "\0" not in w and len(w) < 64]
+        # a first word has no blank before it, so it is encoded by itself
+        plain_words = [w for w in missing if w[0] == " "]
         self._learn(plain_words)
         rest = [w for w in missing if w not in new]
         for w, ids in zip(rest, self._ids(rest) if rest else [], strict=True):
