@@ -105,3 +105,40 @@ def test_stream_sees_each_document_once(spark, tmp_path):
     assert seen == ["a.txt", "b.md"]
     plain.lines_to_paragraphs(spark.createDataFrame([(1, "a\r\nb")], "doc_id long, text string")).count()
     assert F is not None
+
+
+def test_folder_job(spark, tmp_path):
+    from tonguemill.core.config import JobConfig
+    from tonguemill.plans.job import run_job
+
+    src, out = tmp_path / "in", tmp_path / "in" / "oversatt"
+    src.mkdir()
+    (src / "a.txt").write_text("en bok\n\nto\n")
+    (src / "b.csv").write_text("navn,1\nola,2")
+    (src / "c.htm").write_text("<p>hallo der</p>")
+    (src / "d.html").write_text("ingen")
+    (src / "e.rtf").write_text("{\\rtf1{\\fonttbl{\\f0 Arial;}}\\f0 hei\nsann}")
+    (src / "f.pdf").write_bytes(b"%PDF")
+    (src / "g.docx").write_bytes(pack({"word/document.xml": "<w:p><w:r><w:t>tekst</w:t></w:r></w:p>"}))
+    (src / "h.xlsx").write_bytes(pack({"xl/worksheets/sheet1.xml": '<c r="A1" t="inlineStr"><is><t>celle</t></is></c>'}))
+    n = iter(range(100))
+
+    def save(df, label):
+        at = f"{tmp_path}/scratch/{label}{next(n)}"
+        df.write.parquet(at)
+        return spark.read.parquet(at)
+
+    config = JobConfig(str(src), str(out))
+    results = {r.name: (r.ok, r.skipped, r.error) for r in run_job(spark, config, translators.pseudo, save).collect()}
+    assert results.pop("f.pdf") == (False, False, layout.NO_TEXT)
+    assert set(results) == set("a.txt b.csv c.htm d.html e.rtf g.docx h.xlsx".split()) and set(results.values()) == {(True, False, None)}
+    assert (out / "a.txt").read_text() == "in buk\n\ntu\n" and (out / "b.csv").read_text() == "nevn,1\nule,2\n"
+    assert (out / "c.html").read_text() == "<p>hellu dir</p>" and (out / "d.html").read_text() == "ongin"
+    with zipfile.ZipFile(out / "e.docx") as z:
+        assert "<w:t xml:space=\"preserve\">hio</w:t>" in z.read("word/document.xml").decode()
+    with zipfile.ZipFile(out / "g.docx") as z:
+        assert ">tikst<" in z.read("word/document.xml").decode()
+    with zipfile.ZipFile(out / "h.xlsx") as z:
+        assert ">cilli<" in z.read("xl/worksheets/sheet1.xml").decode()
+    again = run_job(spark, config, translators.pseudo, save)
+    assert report.job_summary(again).first().asDict() == {"translated": 0, "skipped": 7, "failed": 1}

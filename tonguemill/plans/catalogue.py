@@ -337,3 +337,52 @@ def layout_check(spark, sf_dir):
     turned = translators.pseudo_text(F.col("text"))
     pairs = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"), F.when(F.col("doc_id") % 4 == 0, F.translate(turned, "\n", " ")).otherwise(turned).alias("target"))
     return translation.layout_check(pairs).select("doc_id", "d_lines")
+
+
+_BLANK_SQL = "NOT regexp_matches(value, '[^\\s\\p{Z}]')"
+_NUMBER_SQL = _BLANK_SQL + " OR (regexp_matches(value, '^[=+/*-]') AND regexp_matches(value, '[A-Za-z]+[0-9]')) OR (regexp_matches(value, '^[0-9\\s\\p{Z}.,:%€$krNOK-]+$') AND regexp_matches(value, '[0-9]'))"
+
+
+@query(f"WITH {fx.CELLS} SELECT doc_id, row, col, {_BLANK_SQL} AS blank, regexp_matches(value, '[A-Za-zÀ-ÿ]') AS letter, {_NUMBER_SQL} AS number FROM cells")
+def predicates(spark, sf_dir):
+    v = F.col("value")
+    return fx.cells(spark, sf_dir).select("doc_id", "row", "col", scalars.is_blank(v).alias("blank"), scalars.has_letter(v).alias("letter"), scalars.looks_numeric(v).alias("number"))
+
+
+@query(f"SELECT page_id, md5({fx._ESC.format(x='html')}) AS escaped, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')) AS decoded FROM pages")
+def xml_entities(spark, sf_dir):
+    pages = fx.table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.md5(scalars.escape_xml(F.col("html")).cast("binary")).alias("escaped"), F.md5(scalars.decode_xml_entities(F.col("html")).cast("binary")).alias("decoded"))
+
+
+@query(f"WITH {fx.FILES} SELECT doc_id, ext, CASE WHEN family IS NULL THEN NULL ELSE stem || out_ext END AS out_name, regexp_matches(name, '^src1/.') AS inside FROM routed")
+def file_names(spark, sf_dir):
+    up = files.translate_files(fx.files(spark, sf_dir))
+    return up.select("doc_id", scalars.upload_ext_of(F.col("name")).alias("ext"), "out_name", scalars.is_inside(F.lit("src1"), F.col("name")).alias("inside"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Times New Roman' WHEN p_size % 3 = 1 THEN 'Arial' ELSE 'Brand' END AS font, CAST(least(greatest(floor(2 * p_size / 4.0 + 0.5), 16), 192) AS INTEGER) AS half_points,
+       CAST(floor(20 * p_retailprice + 0.5) AS INTEGER) AS twips, round(sqrt(p_size * p_size + 1.0), 6) AS size FROM part""")
+def style_functions(spark, sf_dir):
+    p, n = fx.table(spark, sf_dir, "part"), F.col("p_size")
+    name = F.when(n % 3 == 0, "ABCDEF+TimesNewRoman-Bold").when(n % 3 == 1, "Helvetica-Oblique").otherwise("Brand-SemiBold")
+    return p.select("p_partkey", scalars.map_font(name).alias("font"), scalars.half_points(n / 4).alias("half_points"), scalars.pt_to_twips(F.col("p_retailprice")).alias("twips"), F.round(scalars.font_size_of(n.cast("double"), F.lit(1.0), F.lit(0.0), F.lit(0.0)), 6).alias("size"))
+
+
+@query(f"""WITH RECURSIVE {fx.TURN_SEGS}, {fx.BATCHES}, d AS (SELECT doc_id, count(*) AS total, count(*) FILTER (batch_id = 0) AS done FROM b GROUP BY doc_id)
+SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY lpad(doc_id::VARCHAR, 12, '0')) - 1 + done / total) / (SELECT count(*) FROM d) * 100 + 0.5) AS INTEGER) AS percent FROM d""")
+def overall_progress(spark, sf_dir):
+    work, _ = translation.split_blank(fx.turn_segments(spark, sf_dir))
+    first = translation.batch_progress(translation.assign_batches(work)).where("batch_id = 0")
+    return report.overall_progress(first.withColumn("name", F.lpad(F.col("doc_id").cast("string"), 12, "0"))).select("doc_id", "percent")
+
+
+@query(f"WITH {fx.GLYPHS} SELECT doc_id, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT doc_id FROM glyphs)")
+def reject_empty_layout(spark, sf_dir):
+    return layout.reject_empty_layout(_styled(spark, sf_dir)[0])
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(p) > 80000 THEN 'Tekstbiten er for stor.' WHEN p = '' THEN 'Mangler tekst å oversette.' END AS error FROM (SELECT *, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN repeat(text, 400) ELSE text END AS p FROM conversations)")
+def guard_prompt(spark, sf_dir):
+    text = F.when(F.col("turn") % 3 == 0, " ").when(F.col("turn") % 3 == 1, F.repeat("text", F.lit(400))).otherwise(F.col("text"))
+    return translation.guard_prompt(fx.table(spark, sf_dir, "conversations").withColumn("prompt", text)).select("conv_id", "turn", "error")

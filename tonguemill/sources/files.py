@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -50,12 +55,26 @@ def keep_documents(files: DataFrame, in_dir: str, out_dir: str | None = None) ->
     return rows
 
 
+def _read_underscored(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in paths:
+        out = []
+        for p in rows.path:
+            fs, at = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", p))
+            info = fs.get_file_info(at)
+            with fs.open_input_stream(at, compression=None) as f:
+                out.append((p, info.mtime, info.size, f.read()))
+        yield pd.DataFrame(out, columns=["path", "modificationTime", "length", "content"])
+
+
 def scan_documents(spark: SparkSession, in_dir: str, out_dir: str | None = None) -> DataFrame:
     """(path, length, content, name, ext) of every document below the folder; bytes are read only where content is used."""
     read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = read().load(in_dir)
-    if more := _underscored(spark, in_dir):
-        files = files.unionByName(read().load(more))
+    more = _underscored(spark, in_dir)
+    if below := [p for p in more if not p.rsplit("/", 1)[1].startswith("_")]:
+        files = files.unionByName(read().load(below))
+    if own := [(p,) for p in more if p.rsplit("/", 1)[1].startswith("_")]:  # Spark drops these even by explicit path
+        files = files.unionByName(spark.createDataFrame(own, "path string").repartition(max(1, len(own) // 100)).mapInPandas(_read_underscored, FILES))
     return keep_documents(files, in_dir, out_dir)
 
 
