@@ -36,11 +36,15 @@ def cluster_lines(glyphs: DataFrame) -> DataFrame:
 
     page = page.withColumn("starts", F.aggregate("g", zero, step, lambda acc: acc["starts"]))
     ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size("g")))
-    lines = page.select(*PAGE, "g", F.posexplode(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))).alias("line_idx", "c"))
-    own = F.slice("g", F.col("c.a") + 1, F.col("c.b") - F.col("c.a"))
-    # by x; glyphs at the same x keep the order in which they came
-    by_x = F.sort_array(F.transform(own, lambda s, i: F.struct(s["x"].alias("x"), i.alias("k"), s["str"].alias("str"), s["width"].alias("width"), s["font_size"].alias("font_size"), s["font_name"].alias("font_name"))))
-    return lines.select(*PAGE, "line_idx", (-F.get(F.col("g"), F.col("c.a"))["down"]).alias("y"), by_x.alias("items"))
+
+    def line(c: Column) -> Column:
+        own = F.slice("g", c["a"] + 1, c["b"] - c["a"])
+        # by x; glyphs at the same x keep the order in which they came
+        by_x = F.sort_array(F.transform(own, lambda s, i: F.struct(s["x"].alias("x"), i.alias("k"), s["str"].alias("str"), s["width"].alias("width"), s["font_size"].alias("font_size"), s["font_name"].alias("font_name"))))
+        return F.struct((-F.get(F.col("g"), c["a"])["down"]).alias("y"), by_x.alias("items"))
+
+    cuts = F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), line)
+    return page.select(*PAGE, F.posexplode(cuts).alias("line_idx", "l")).select(*PAGE, "line_idx", "l.y", "l.items")
 
 
 def assemble_lines(lines: DataFrame) -> DataFrame:
