@@ -53,15 +53,12 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))
     m = _let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).cast("long").alias("n_repeat_words")))
-    return (
-        docs.withColumn("__m", m)
-        .withColumn("n_words", F.col("__m.n_words"))
-        .withColumn("word_chars", F.col("__m.word_chars"))
-        .withColumn("n_symbols", n_symbols.cast("long"))
-        .withColumn("n_dup_lines", dup_lines(text).cast("long"))
-        .withColumn("n_repeat_words", F.col("__m.n_repeat_words"))
-        .drop("__m")
-    )
+    lines = F.struct(n_symbols.cast("long").alias("n_symbols"), dup_lines(text).cast("long").alias("n_dup_lines"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    # a row exploded from itself: filters on a measurement stay above, so nothing is measured twice
+    told = docs.withColumn("__m", F.explode(F.array(F.struct(m.alias("w"), lines.alias("l")))))
+    for name, at in (("n_words", "w"), ("word_chars", "w"), ("n_symbols", "l"), ("n_lines", "l"), ("n_dup_lines", "l"), ("n_repeat_words", "w")):
+        told = told.withColumn(name, F.col(f"__m.{at}.{name}"))
+    return told.drop("__m")
 
 
 #: Bit, name, failure. Bits never change their meaning; a new rule takes the next bit. Bits 0 and 1 are the contract's base rules.
@@ -69,7 +66,7 @@ RULES = (
     (0, "few_words", lambda: F.col("n_words") < 50),
     (1, "repeated_windows", lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     (2, "symbols", lambda: 100 * F.col("n_symbols") > 15 * F.col("word_chars")),
-    (3, "repeated_lines", lambda: 2 * F.col("n_dup_lines") > F.col("__lines")),
+    (3, "repeated_lines", lambda: 2 * F.col("n_dup_lines") > F.col("n_lines")),
     (4, "long_words", lambda: F.col("word_chars") > 40 * F.col("n_words")),
     (5, "short_words", lambda: F.col("word_chars") < 2 * F.col("n_words")),
 )
@@ -83,12 +80,12 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts have no words and fail few_words. Each row is judged by its own text alone, so ties, repeats and hot
     sources need no shuffle. Columns of the input with the result's names are replaced.
     """
-    m = measure(docs, text_col).withColumn("__lines", F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")))
+    m = measure(docs, text_col)
     bits = [F.when(fails(), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, _, fails in RULES]
     failures = bits[0]
     for b in bits[1:]:
         failures = failures.bitwiseOR(b)
-    return m.withColumn("failures", failures).drop("__lines")
+    return m.withColumn("failures", failures)
 
 
 def apply_policy(led: DataFrame, version: str = "v1") -> DataFrame:
