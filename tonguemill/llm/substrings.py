@@ -73,16 +73,17 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def contexts(words: list[str], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, hash of the words, first window, windows) of each stretch of windows with one minimizer.
+def contexts(words: list[str], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(minimizer, hash of the words, first window, windows, times) of each stretch of windows with one minimizer.
 
-    Stretches in which a window stands twice are cut into single windows, so that equal ones meet as contexts of their own.
+    Stretches in which a window stands twice are cut into single windows; of equal ones the first is given, with how often it stands.
     """
     h = np.fromiter(map(_hashes.__getitem__, words), "uint64", len(words))
     least = _window_min(_rolling(h, RUN), length - RUN + 1)
     win = _rolling(h, length)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     n = np.diff(np.append(starts, len(least)))
+    cut = None
     if len(np.unique(win)) < len(win):
         stretch = np.repeat(np.arange(len(starts)), n)
         order = np.lexsort((win, stretch))
@@ -92,7 +93,22 @@ def contexts(words: list[str], length: int = LENGTH) -> tuple[np.ndarray, np.nda
         starts = np.flatnonzero(np.isin(np.arange(len(least)), starts) | cut[stretch])
         n = np.diff(np.append(starts, len(least)))
     # hash of the windows of a stretch tells its words
-    return least[starts], _mix(np.add.reduceat(_mix(win + _P) * (2 * (np.arange(len(win)) - np.repeat(starts, n)).astype("uint64") + np.uint64(1)), starts) + n.astype("uint64")), starts, n
+    c = _mix(np.add.reduceat(_mix(win + _P) * (2 * (np.arange(len(win)) - np.repeat(starts, n)).astype("uint64") + np.uint64(1)), starts) + n.astype("uint64"))
+    times = np.ones(len(starts), "int64")
+    if cut is not None:
+        single = np.flatnonzero(cut[stretch[starts]])
+        _, first, count = np.unique(c[single], return_index=True, return_counts=True)
+        times[single] = 0
+        times[single[first]] = count
+    stay = times > 0
+    return least[starts][stay], c[stay], starts[stay], n[stay], times[stay]
+
+
+def _own_repeats(words: list[str], length: int) -> list[tuple[int, int]]:
+    """Windows that stand twice in the text itself."""
+    win = _rolling(np.fromiter(map(_hashes.__getitem__, words), "uint64", len(words)), length)
+    _, at, count = np.unique(win, return_inverse=True, return_counts=True)
+    return [(i, length) for i in np.flatnonzero(count[at] > 1).tolist()]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -106,8 +122,9 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                     got.append(contexts(words, length))
                     rids += [rid] * len(got[-1][0])
             if got:
-                m, c, s, n = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(m.view("int64")), pa.array(c.view("int64")), pa.array(np.array(rids, "int64")), pa.array(s.astype("int32")), pa.array(n.astype("int32"))], names=["m", "c", "rid", "a", "n"])
+                m, c, s, n, times = (np.concatenate(x) for x in zip(*got, strict=True))
+                cols = [m.view("int64"), c.view("int64"), np.array(rids, "int64"), s.astype("int32"), n.astype("int32"), times]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["m", "c", "rid", "a", "n", "times"])
 
 
 class SuffixAutomaton:
@@ -247,6 +264,7 @@ def _finish(text: str | None, spans, cleaned: bool) -> tuple:
 def _resolve(batches: Iterator[pa.RecordBatch], length: int, keep: list[str], cleaned: bool) -> Iterator[pa.RecordBatch]:
     """(keep..., rid, text, notes) to finished rows, and open ones with what the shards need of them."""
     k = len(keep)
+    met: dict[int, int] = {}  # windows of hot minimizers that this task has given, at most twice each
     for whole in batches:
         for a0 in range(0, whole.num_rows, 500):
             batch = whole.slice(a0, 500)
@@ -254,6 +272,8 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, keep: list[str], cl
             for text, notes in zip(batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True):
                 notes = notes or []
                 spans = [(x["a"], x["n"] + length - 1) for x in notes if x["kind"] in (WHOLE, WHOLE_TOLD, WHOLE_HOT)]
+                if any(x["times"] > 1 for x in notes):
+                    spans += _own_repeats(split_words(text), length)
                 if all(x["kind"] not in (PART, PART_HOT) for x in notes):
                     done = _finish(text, spans, cleaned)
                 else:
@@ -262,11 +282,20 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, keep: list[str], cl
                 told = [x for x in notes if x["kind"] != WHOLE]
                 words = split_words(text) if told else []
                 hashes = _rolling(np.fromiter(map(_hashes.__getitem__, words), "uint64", len(words)), length).view("int64").tolist() if any(x["kind"] in (PART_HOT, WHOLE_HOT) for x in told) else []
+                if len(met) > _CACHE:
+                    met.clear()
                 for x in told:
                     if x["kind"] in (PART, WHOLE_TOLD):
                         ctx.append({"m": x["m"], "a": x["a"], "kind": x["kind"], "words": " ".join(words[x["a"] : x["a"] + x["n"] + length - 1])})
                     else:
-                        win += [{"w": hashes[i], "a": i, "weight": 2 if x["kind"] == WHOLE_HOT else 1} for i in range(x["a"], x["a"] + x["n"])]
+                        weight = 2 if x["kind"] == WHOLE_HOT else 1
+                        for i in range(x["a"], x["a"] + x["n"]):
+                            w = hashes[i]
+                            if met.get(w, 0) > 1:  # known as repeated
+                                spans.append((i, length))
+                            else:
+                                met[w] = met.get(w, 0) + weight
+                                win.append({"w": w, "a": i, "weight": weight})
                 rows.append((*done, text if done[0] is None else None, [{"a": a, "n": n} for a, n in spans] if done[0] is None else None, ctx, win))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())])), pa.list_(pa.struct([("m", pa.int64()), ("a", pa.int32()), ("kind", pa.int32()), ("words", pa.string())])), pa.list_(pa.struct([("w", pa.int64()), ("a", pa.int32()), ("weight", pa.int32())]))]
             names = [*keep, "rid", "n_words", "n_removed", "kept_sha256", "cleaned", "open", "spans", "contexts", "windows"]
@@ -294,17 +323,19 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str =
     keep = keep or [id_col]
     scratch = Scratch(spark, "substrings")
     src = docs.select(*keep, row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("__text"))
-    occ = src.select("rid", "__text").mapInArrow(lambda it: _contexts(it, length), "m long, c long, rid long, a int, n int")
-    repeated = occ.groupBy("m").agg(F.count("*").alias("total"), (F.min("c") == F.max("c")).alias("single")).where("total > 1").drop("total")
+    occ = src.select("rid", "__text").mapInArrow(lambda it: _contexts(it, length), "m long, c long, rid long, a int, n int, times long")
+    occ = scratch.save(occ, "occurrences")
+    repeated = occ.groupBy("m").agg(F.sum("times").alias("total"), (F.min("c") == F.max("c")).alias("single")).where("total > 1").drop("total")
     notes = scratch.save(occ.join(repeated, "m"), "notes")
+    scratch.drop("occurrences")
     mixed = notes.where("not single")
-    classes = scratch.save(mixed.groupBy("m", "c").agg(F.count("*").alias("n_same"), F.min(F.struct("rid", "a")).alias("rep")), "classes")
+    classes = scratch.save(mixed.groupBy("m", "c").agg(F.sum("times").alias("n_same"), F.min(F.struct("rid", "a")).alias("rep")), "classes")
     hot = classes.groupBy("m").agg(F.count("*").alias("n_classes")).where(F.col("n_classes") > SHARD).select("m", F.lit(True).alias("hot"))
     classes = classes.join(hot, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     same, is_rep = F.col("n_same") > 1, F.struct("rid", "a") == F.col("rep")
     kind = F.when(~same & F.col("hot"), PART_HOT).when(~same, PART).when(~is_rep, WHOLE).when(F.col("hot"), WHOLE_HOT).otherwise(WHOLE_TOLD)
-    told = mixed.join(classes, ["m", "c"]).select("rid", "m", "a", "n", kind.alias("kind")).union(notes.where("single").select("rid", "m", "a", "n", F.lit(WHOLE)))
-    per_row = told.groupBy("rid").agg(F.collect_list(F.struct("m", "a", "n", "kind")).alias("notes"))
+    told = mixed.join(classes, ["m", "c"]).select("rid", "m", "a", "n", "times", kind.alias("kind")).union(notes.where("single").select("rid", "m", "a", "n", "times", F.lit(WHOLE)))
+    per_row = told.groupBy("rid").agg(F.collect_list(F.struct("m", "a", "n", "times", "kind")).alias("notes"))
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = src.join(per_row, "rid", "left").select(*keep, "rid", "__text", "notes")
     state = scratch.save(rows.mapInArrow(lambda it: _resolve(it, length, keep, cleaned), f"{kept_schema}, rid long, {FIELDS}, {OPEN}"), "state")
