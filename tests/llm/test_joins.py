@@ -150,7 +150,10 @@ def test_packing(spark):
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert at.get(r.sequence_id, 0) == r.offset
         at[r.sequence_id] = r.offset + r.length
-    assert max(at.values()) <= 1024 and len(at) <= 1.02 * total / 1024 + 2
+    whole = packing.BestFit(1024, 0)  # best fit, largest first, over all pieces at once
+    for n in sorted((r.length for r in got), reverse=True):
+        whole.put(n)
+    assert sum(at.values()) == total and max(at.values()) <= 1024 and whole.next <= len(at) <= 1.02 * whole.next + 7  # a bin for each partition
     assert packing.pack_documents(rows.where("doc_id < 0"), path).count() == 0
 
 
