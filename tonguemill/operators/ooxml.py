@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tonguemill.functions.scalars import BLANK, decode_xml_entities, escape_xml, is_blank, js_length
+from tonguemill.functions.scalars import BLANK, decode_xml_entities, escape_xml, is_blank, js_length, let
 
 
 @dataclass(frozen=True)
@@ -92,11 +92,14 @@ def rewrite_paragraph(xml: Column, value: Column, d: Dialect, double_breaks: boo
 
     Unchanged without runs, or where that run has no text node. With double_breaks the source's own breaks stay beside the new ones.
     """
+    ink = lambda r: js_length(F.regexp_replace(ooxml_plain_text(r, d), f"[{BLANK}]", ""))
+    best = lambda runs: -F.array_max(F.transform(runs, lambda r, i: F.struct(ink(r).alias("ink"), (-i).alias("i"))))["i"]
+    chosen = lambda runs: let(best(runs), lambda k: _rewritten(xml, value, d, double_breaks, runs, k, F.get(runs, k)))
+    return let(_all(xml, d.run), lambda runs: F.when((F.size(runs) == 0) | value.isNull(), xml).otherwise(chosen(runs)))
+
+
+def _rewritten(xml: Column, value: Column, d: Dialect, double_breaks: bool, runs: Column, best: Column, own: Column) -> Column:
     p = d.prefix
-    runs = _all(xml, d.run)
-    inks = F.transform(runs, lambda r, i: F.struct(js_length(F.regexp_replace(ooxml_plain_text(r, d), f"[{BLANK}]", "")).alias("ink"), (-i).alias("i")))
-    best = -F.array_max(inks)["i"]
-    own = F.get(runs, best)
     texts = _all(own, d.text)
     given = lambda t: F.regexp_extract(t, rf"\A<{p}:t([^>]*)>", 1)
 
@@ -117,7 +120,7 @@ def rewrite_paragraph(xml: Column, value: Column, d: Dialect, double_breaks: boo
     run = _interleave(bare, d.text, F.transform(_all(bare, d.text), lambda t, i: F.when(i == 0, filled).otherwise(emptied(t))))
     others = lambda r: _interleave(r, d.text, F.transform(_all(r, d.text), lambda t: element(attrs(t) if d is DOCX else given(t), F.lit(""))))
     out = _interleave(xml, d.run, F.transform(runs, lambda r, i: F.when(i == best, run).otherwise(others(r))))
-    return F.when((F.size(runs) == 0) | (F.size(texts) == 0) | value.isNull(), xml).otherwise(out)
+    return F.when(F.size(texts) == 0, xml).otherwise(out)
 
 
 def _joined(items: Column, between: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tonguemill.core.config import LANGUAGES, JobConfig
-from tonguemill.functions.scalars import is_blank, js_length, js_trim
+from tonguemill.functions.scalars import is_blank, js_length, js_trim, let
 
 KEY = ("doc_id", "part")
 RESPONSE = "struct<output_text:string,output:array<struct<text:string,content:array<string>>>,choices:array<struct<message:struct<content:string>>>>"
@@ -114,15 +114,17 @@ def response_text(body: Column, proxy: bool = False) -> Column:
 
     The proxy variant ignores bare strings in an output's content.
     """
-    r = F.from_json(body, RESPONSE)
+    return let(F.from_json(body, RESPONSE), lambda r: _text_of(r, proxy))
 
+
+def _text_of(r: Column, proxy: bool) -> Column:
     def content(c: Column) -> Column:
         inner = F.get_json_object(c, "$.text")
         return inner if proxy else F.when(c.rlike(r"(?s)\A\s*\{.*\}\s*\z"), inner).otherwise(c)
 
     parts = F.flatten(F.transform(F.coalesce(r["output"], F.array()), lambda o: F.concat(F.array(o["text"]), F.transform(F.coalesce(o["content"], F.array()), content))))
-    kept = F.filter(parts, lambda t: t.isNotNull())
-    return F.coalesce(F.when(~is_blank(r["output_text"]), r["output_text"]), F.when(F.size(kept) > 0, F.array_join(kept, "\n")), F.get(r["choices"], F.lit(0))["message"]["content"], F.lit(""))
+    joined = let(F.filter(parts, lambda t: t.isNotNull()), lambda kept: F.when(F.size(kept) > 0, F.array_join(kept, "\n")))
+    return F.coalesce(F.when(~is_blank(r["output_text"]), r["output_text"]), joined, F.get(r["choices"], F.lit(0))["message"]["content"], F.lit(""))
 
 
 def response_error(body: Column, status: Column, proxy: bool = False, vendor: str = "API") -> Column:
@@ -141,9 +143,17 @@ def response_error(body: Column, status: Column, proxy: bool = False, vendor: st
 def parse_translation_array(text: Column, expected: Column) -> Column:
     """struct(items, error): the list between the first `[` and the last `]`, without code fences; it must have `expected` items."""
     bare = js_trim(F.regexp_replace(F.regexp_replace(text, r"\A(?i)```(?:json)?\s*", ""), r"\s*```\z", ""))
+    return let(bare, lambda b: _list_of(b, expected))
+
+
+def _list_of(bare: Column, expected: Column) -> Column:
     first, last = F.instr(bare, "["), F.length(bare) - F.instr(F.reverse(bare), "]") + 1
     missing = (first == 0) | (F.instr(bare, "]") == 0) | (last <= first)
-    items = F.from_json(F.when(~missing, F.substring(bare, first, last - first + 1)), "array<string>")
+    found = F.from_json(F.when(~missing, F.substring(bare, first, last - first + 1)), "array<string>")
+    return let(F.struct(missing.alias("m"), found.alias("i")), lambda x: _counted(x["m"], x["i"], expected))
+
+
+def _counted(missing: Column, items: Column, expected: Column) -> Column:
     count = _filled(WRONG_COUNT.replace("{}", "{e}", 1).replace("{}", "{g}"), e=expected, g=F.size(items))
     error = F.when(missing | items.isNull(), NO_JSON).when(F.size(items) != expected, count)
     return F.struct(F.when(error.isNull(), F.transform(items, lambda x: F.coalesce(x, F.lit("")))).alias("items"), error.alias("error"))
@@ -152,8 +162,10 @@ def parse_translation_array(text: Column, expected: Column) -> Column:
 def read_responses(responses: DataFrame, proxy: bool = False, vendor: str = "API") -> DataFrame:
     """responses (..., http_status, expected, body) with translations and error."""
     failed = response_error(F.col("body"), F.col("http_status"), proxy, vendor)
-    told = responses.withColumn("__e", failed).withColumn("__p", parse_translation_array(js_trim(response_text(F.col("body"), proxy)), F.col("expected")))
-    return told.withColumn("translations", F.when(F.col("__e").isNull(), F.col("__p.items"))).withColumn("error", F.coalesce("__e", "__p.error")).drop("__e", "__p")
+    parsed = parse_translation_array(js_trim(response_text(F.col("body"), proxy)), F.col("expected"))
+    # a row exploded from itself: filters on the error stay above, so no answer is parsed twice
+    told = responses.withColumn("__r", F.explode(F.array(F.struct(failed.alias("e"), parsed.alias("p")))))
+    return told.withColumn("translations", F.when(F.col("__r.e").isNull(), F.col("__r.p.items"))).withColumn("error", F.coalesce("__r.e", "__r.p.error")).drop("__r")
 
 
 def retry_union(first: DataFrame, second: DataFrame) -> DataFrame:
