@@ -24,7 +24,12 @@ from tonguemill.llm.common import Scratch, components, row_key, table
 
 SHINGLE, PERCENT = 5, 80
 #: Growth of the size bands, and what a segment with one shingle or none costs against a key (such keys are met by chance).
-BAND, WEAK = 1.5, 20.0
+BAND, WEAK = 1.5, 4.0
+#: Rounds in which sets meet those nearest to them in other components; what these leave apart is compared in full.
+ROUNDS, PROBES, BLOCK = 3, 4, 1024
+#: Bits of a set's parity sketch: two sets' sketches differ in no more bits than the sets differ in shingles. And the 64-bit words of
+#: the shorter sketch that its parts give when laid over each other, for which the same holds.
+SKETCH, FOLDED = 4096, 8
 _CACHE = 1_000_000
 
 
@@ -179,45 +184,94 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, text) to (set, shingles)."""
+    """(set, text) to (set, shingles, parity sketch)."""
     for whole in batches:
         for a in range(0, whole.num_rows, 500):
             batch = whole.slice(a, 500)
             got = [shingles(t) for t in batch.column(1).to_pylist()]
             offsets = np.cumsum([0] + [len(s) for s in got]).astype("int32")
             values = np.concatenate(got) if got else np.empty(0, "uint64")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view("int64")))], names=["set", "s"])
+            sketches = [np.packbits(np.bincount((_mix(s) % np.uint64(SKETCH)).astype("int64"), minlength=SKETCH) & 1).tobytes() for s in got]
+            cols = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view("int64"))), pa.array(sketches, pa.binary())]
+            folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches), "int64").reshape(len(got), -1, FOLDED), axis=1)
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(folded[:, i].copy()) for i in range(FOLDED)]], names=["set", "s", "sketch", *[f"f{i}" for i in range(FOLDED)]])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, component, set, n, sketch) sorted by key: each with that of its block of the key that is nearest by sketch, among the
+    other components and unless the sketches rule a link out. Blocks hold BLOCK rows at most."""
+
+    def block(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        comp, ids, n = (np.array([r[i] for r in rows], "int64") for i in (1, 2, 3))
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), "uint64").reshape(len(rows), -1)
+        out = np.full(len(rows), -1)
+        for i in range(len(rows)):
+            bits = np.bitwise_count(sketch ^ sketch[i]).sum(1, dtype="int64")
+            ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (bits * (100 + percent) <= (n + n[i]) * (100 - percent))
+            if ok.any():
+                out[i] = np.where(ok, bits, SKETCH + 1).argmin()
+        has = out >= 0
+        return ids[has], ids[out[has]]
+
+    def give(done: list[tuple]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.empty(0, "int64"),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        done = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (row[0] != held[0][0] or len(held) == BLOCK):
+                if len(held) > 1:
+                    done.append(block(held))
+                held = []
+            held.append(row)
+        yield give(done)
+    if len(held) > 1:
+        yield give([block(held)])
 
 
 def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, component, set, n) sorted by key and component to pairs of sets of different components whose sizes allow a link."""
-
-    def pairs(comp: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # each member meets those of the components after its own; a component's own pairs are never made
-        ends = np.searchsorted(comp, comp, "right")
-        for i in np.flatnonzero(ends < len(comp)):
-            b, m = ids[ends[i] :], n[ends[i] :]
-            ok = (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (b != ids[i])
+    """Rows (key, component, set, n, folded sketch) sorted by key and component to pairs of sets of different components, of which
+    neither the sizes nor the sketches rule a link out.
+
+    Each row meets those of its key that stand after its component, so a component's own pairs are never made.
+    """
+    given: set[tuple[int, int]] = set()
+
+    def pairs(key: np.ndarray, comp: np.ndarray, ids: np.ndarray, n: np.ndarray, *sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words = np.stack(sketch, axis=1)
+        ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+        end = np.repeat(ends, np.diff(ends, prepend=0))
+        blocks = np.append(np.flatnonzero((np.diff(key) != 0) | (np.diff(comp) != 0)) + 1, len(key))
+        j = np.repeat(blocks, np.diff(blocks, prepend=0))
+        i = np.flatnonzero(j < end)
+        j = j[i]
+        while len(i):
+            ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (ids[i] != ids[j])
+            a, b = i[ok], j[ok]
+            apart = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype="int64")
+            ok = apart * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
             if ok.any():
-                b = b[ok]
-                a = np.full(len(b), ids[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                x, y = ids[a[ok]], ids[b[ok]]
+                own = [p for p in set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) if p not in given]
+                if len(given) > _CACHE:
+                    given.clear()
+                given.update(own)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in own], pa.int64()), pa.array([p[1] for p in own], pa.int64())], names=["a", "b"])
+            j = j + 1
+            i, j = i[j < end[i]], j[j < end[i]]
 
     held: list[np.ndarray] = []
     for batch in batches:
-        rows = np.stack([np.asarray(c) for c in batch.columns]) if batch.num_rows else None
-        if rows is None:
-            continue
-        if held:
-            rows = np.concatenate([*held, rows], axis=1)
-        cuts = np.flatnonzero(np.diff(rows[0])) + 1
-        bounds = [0, *cuts.tolist()]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            if rows[1][a] != rows[1][b - 1]:
-                yield from pairs(*rows[1:, a:b])
-        held = [rows[:, bounds[-1] :]]
-    if held and held[0][1][0] != held[0][1][-1]:
-        yield from pairs(*held[0][1:])
+        if batch.num_rows:
+            rows = np.concatenate([*held, np.stack([np.asarray(c) for c in batch.columns])], axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            if cut:
+                yield from pairs(*rows[:, :cut])
+            held = [rows[:, cut:]]
+    if held:
+        yield from pairs(*held[0])
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -232,9 +286,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_shingles, component_id) for each row of docs.
 
     Null texts and texts without words have an empty set and are alone in their component. Equal sets are one node from the start, so
-    a hot group of copies costs its keys once a task. Near copies first meet the leader of their keys, one pair for each set; pairs
-    inside a component that this has joined are never made, and all others that share a key are verified, so no link between
-    components is missed. A null id is no candidate for the smallest. Extra columns are not read.
+    a hot group of copies costs its keys once a task. Near copies are joined in rounds: each set meets one set of another component, that
+    which most of its keys name. Pairs inside a component are never made, and all others that share a key are verified in the end, so
+    no link between components is missed. A null id is no candidate for the smallest. Extra columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -254,20 +308,36 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = scratch.save(kept, "kept")
     scratch.drop("shared")
 
-    met = kept.select("key", "set", F.min("set").over(by_key).alias("lead"), F.max("set").over(by_key).alias("hi")).where("lead <> hi")
-    met = scratch.save(met.groupBy("set", "lead").agg(F.count("*").alias("n")), "met")
-    leaders = met.where("set <> lead").groupBy("set").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead")).select(F.col("lead").alias("a"), F.col("set").alias("b"))
-    nodes = met.select("set").distinct()
+    nodes = kept.select("set").distinct()
     first_rows = members.where("set is not null").groupBy("set").agg(F.min("rid").alias("rid")).join(nodes, "set", "left_semi")
     texts = src.select("rid", "text").join(first_rows, "rid").select("set", "text")
-    arrays = scratch.save(texts.mapInArrow(_arrays, "set long, s array<long>").dropDuplicates(["set"]), "arrays")
-    links = scratch.save(_verified(leaders, arrays, percent), "links")
-    stars = components(spark, links, scratch, "star")
-
-    placed = kept.join(nodes, "set", "left_semi").join(stars.withColumnRenamed("node", "set"), "set", "left").select("key", F.coalesce("component", "set").alias("component"), "set", "n")
-    across = placed.repartition("key").sortWithinPartitions("key", "component").mapInArrow(lambda it: _cross(it, percent), "a long, b long").distinct()
-    more = scratch.save(_verified(across, arrays, percent), "more")
-    linked = components(spark, links.union(more), scratch, "all")
+    arrays = scratch.save(texts.mapInArrow(_arrays, "set long, s array<long>, sketch binary, " + ", ".join(f"f{i} long" for i in range(FOLDED))).dropDuplicates(["set"]), "arrays")
+
+    apart, links, linked = kept.withColumn("component", F.col("set")), None, None
+    near = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    for k in range(ROUNDS):
+        # keys that join several components; first each set meets the least of a key, then the nearest in a few of its keys
+        led = apart.withColumn("lead", F.min(F.struct("component", "set", "n")).over(by_key)).withColumn("last", F.max("component").over(by_key))
+        apart = scratch.save(led.where("lead.component < last").drop("last"), f"apart{k}")
+        if k == 0:
+            votes = apart.where((F.col("component") != F.col("lead.component")) & near).groupBy("set", F.col("lead.set").alias("other")).agg(F.count("*").alias("votes"))
+            asked = votes.groupBy("set").agg(F.max_by("other", F.struct("votes", "other")).alias("other")).select(F.greatest("set", "other").alias("a"), F.least("set", "other").alias("b")).distinct()
+        else:
+            turn = F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("key", F.lit(k)), "key"))
+            few = apart.withColumn("turn", turn).where(F.col("turn") <= PROBES).join(arrays.select("set", "sketch"), "set")
+            few = few.select("key", "component", "set", "n", "sketch").repartition("key").sortWithinPartitions("key", F.xxhash64("set", F.lit(k)))
+            asked = few.mapInArrow(lambda it: _nearest(it, percent), "a long, b long").distinct()
+        more = scratch.save(_verified(asked, arrays, percent), f"links{k}")
+        if more.isEmpty():
+            break
+        links = more if links is None else links.union(more)
+        linked = components(spark, links, scratch, f"round{k}_")
+        apart = apart.select("key", "set", "n").join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    short = [f"f{i}" for i in range(FOLDED)]
+    across = apart.select("key", "component", "set", "n").join(arrays.select("set", *short), "set").select("key", "component", "set", "n", *short).repartition("key").sortWithinPartitions("key", "component").mapInArrow(lambda it: _cross(it, percent), "a long, b long").distinct()
+    rest = scratch.save(_verified(across, arrays, percent), "rest")
+    if linked is None or not rest.isEmpty():
+        linked = components(spark, rest if links is None else links.union(rest), scratch, "all")
 
     sets = members.where("set is not null").groupBy("set").agg(F.min("id").alias("least")).join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
