@@ -348,3 +348,17 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM d),
+g AS (SELECT rid, p, n, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM w),
+sh AS (SELECT DISTINCT rid, s FROM g WHERE p <= n - 4 OR p = 1),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+met AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+near AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT rid AS r, rid AS t FROM d UNION SELECT r, y FROM reach JOIN near ON t = x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN (SELECT r AS rid, min(doc_id) AS component_id FROM reach JOIN (SELECT rid AS t, doc_id FROM d) USING (t) GROUP BY r) USING (rid)
+"""

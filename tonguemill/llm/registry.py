@@ -18,5 +18,9 @@ QUERIES = {
 }
 SQL = {
     "op3_url_filter": urls.SQL,
+    "op5_ngram_jaccard": jaccard.SQL,
     "op6_quality_rules": quality.SQL,
+    "op8_substring_dedup": substrings.SQL,
+    "op9_embedding_near_dedup": vectors.SQL,
+    "op10_warc": warc.SQL,
 }

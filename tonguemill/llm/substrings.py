@@ -354,3 +354,14 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), cleaned=False).drop("cleaned")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM d),
+g AS (SELECT *, p <= n - 34 AS whole, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS win FROM w),
+c AS (SELECT rid, p, word, whole AND count(*) OVER (PARTITION BY win, whole) > 1 AS again FROM g),
+k AS (SELECT rid, p, word, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+s AS (SELECT rid, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS stay FROM k GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(stay, '')) AS kept_sha256 FROM d LEFT JOIN s USING (rid)
+"""

@@ -220,3 +220,13 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+near AS (SELECT a.rid AS x, b.rid AS y FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT rid AS r, rid AS t FROM v UNION SELECT r, y FROM reach JOIN near ON t = x),
+c AS (SELECT r AS rid, min(vec_id) AS component_id FROM reach JOIN (SELECT rid AS t, vec_id FROM v) USING (t) GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN (SELECT x AS rid, count(*) AS n_links FROM near GROUP BY x) USING (rid)
+"""

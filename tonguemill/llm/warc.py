@@ -205,3 +205,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = scratch.save(write_archives(table(spark, sf_dir, "pages"), folder), "manifest")
     spread = archives.repartition(max(1, archives.count()), "name")
     return read_archives(spread, folder, payloads=False).drop("url", "payload")
+
+
+SQL = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM h)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda k: ((instr('0123456789abcdef', substr(x, 1 + (5 * i + k) // 4, 1)) - 1) // CAST(pow(2, 3 - (5 * i + k) % 4) AS BIGINT)) % 2 * CAST(pow(2, 4 - k) AS BIGINT))) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
