@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import table
+from tonguemill.llm.common import table, worker_cache
 
 #: Entries of the word cache of a Python worker, in each of two generations.
 CACHE_WORDS = 400_000
@@ -172,10 +171,9 @@ def chunks(text: str) -> list[str]:
     return [first, *[" " + w for w in rest]]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> BytePairEncoder:
     """One for each Python worker and file."""
-    return BytePairEncoder(path)
+    return worker_cache(("bpe", path), lambda: BytePairEncoder(path))
 
 
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:

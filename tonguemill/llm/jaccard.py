@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import Scratch, components, row_key, table
+from tonguemill.llm.common import Scratch, components, row_key, table, worker_cache
 
 SHINGLE, PERCENT = 5, 80
 #: Growth of the size bands, and what a segment with one shingle or none costs against a key (such keys are met by chance).
@@ -30,7 +30,7 @@ ROUNDS, PROBES, BLOCK = 3, 4, 1024
 #: Bits of a set's parity sketch: two sets' sketches differ in no more bits than the sets differ in shingles. And the 64-bit words of
 #: the shorter sketch that its parts give when laid over each other, for which the same holds.
 SKETCH, FOLDED = 4096, 8
-_CACHE = 1_000_000
+_CACHE = 500_000
 
 
 class _WordHashes(dict):
@@ -43,9 +43,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -58,7 +55,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, "uint64")
-    h = np.fromiter(map(_hashes.__getitem__, words), "uint64", n)
+    h = np.fromiter(map(worker_cache("jaccard", _WordHashes).__getitem__, words), "uint64", n)
     k = min(size, n)
     s = h[: n - k + 1].copy()
     for i in range(1, k):

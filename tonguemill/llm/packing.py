@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from tonguemill.llm.common import Scratch, table
+from tonguemill.llm.common import Scratch, table, worker_cache
 
 LENGTH, END_ID = 1024, 2
 #: Bins with no more room than this leave the rounds.
@@ -93,9 +92,8 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=1)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return worker_cache(("packing", path), lambda: WordTokenizer(path))
 
 
 class BestFit:

@@ -19,13 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import Scratch, row_key, table
+from tonguemill.llm.common import Scratch, row_key, table, worker_cache
 
 #: Words of a window, and of the runs whose hashes select its minimizer.
 LENGTH, RUN = 35, 6
 #: Distinct contexts of a minimizer beyond which its windows are counted by Spark's aggregation, exactly, instead of in one automaton.
 SHARD = 1000
-_CACHE = 1_000_000
+_CACHE = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 WHOLE, PART, WHOLE_TOLD, PART_HOT, WHOLE_HOT = range(5)
 
@@ -40,7 +40,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
 _BLANKS = " \t\n\x0b\x0c\r"
 _TO_BLANK = {ord(c): " " for c in _BLANKS}
 
@@ -78,7 +77,7 @@ def contexts(words: list[str], length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
     Stretches in which a window stands twice are cut into single windows; of equal ones the first is given, with how often it stands.
     """
-    h = np.fromiter(map(_hashes.__getitem__, words), "uint64", len(words))
+    h = np.fromiter(map(worker_cache("substrings", _WordHashes).__getitem__, words), "uint64", len(words))
     least = _window_min(_rolling(h, RUN), length - RUN + 1)
     win = _rolling(h, length)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
@@ -106,7 +105,7 @@ def contexts(words: list[str], length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 def _own_repeats(words: list[str], length: int) -> list[tuple[int, int]]:
     """Windows that stand twice in the text itself."""
-    win = _rolling(np.fromiter(map(_hashes.__getitem__, words), "uint64", len(words)), length)
+    win = _rolling(np.fromiter(map(worker_cache("substrings", _WordHashes).__getitem__, words), "uint64", len(words)), length)
     _, at, count = np.unique(win, return_inverse=True, return_counts=True)
     return [(i, length) for i in np.flatnonzero(count[at] > 1).tolist()]
 
@@ -281,7 +280,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, keep: list[str], cl
                 ctx, win = [], []
                 told = [x for x in notes if x["kind"] != WHOLE]
                 words = split_words(text) if told else []
-                hashes = _rolling(np.fromiter(map(_hashes.__getitem__, words), "uint64", len(words)), length).view("int64").tolist() if any(x["kind"] in (PART_HOT, WHOLE_HOT) for x in told) else []
+                hashes = _rolling(np.fromiter(map(worker_cache("substrings", _WordHashes).__getitem__, words), "uint64", len(words)), length).view("int64").tolist() if any(x["kind"] in (PART_HOT, WHOLE_HOT) for x in told) else []
                 if len(met) > _CACHE:
                     met.clear()
                 for x in told:
