@@ -39,3 +39,12 @@ def test_stages(spark, data):
 
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_near_duplicates_tells_rows_of_one_id_apart(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(7, a), (7, b), (3, b), (7, c), (7, c), (None, d), (None, d), (None, a), (9, " "), (9, " "), (None, None)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, rows, data).collect()]
+    assert sorted(got, key=repr) == sorted([(7, a), (3, b), (7, c), (None, d), (9, " "), (9, " "), (None, None)], key=repr)

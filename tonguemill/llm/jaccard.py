@@ -279,8 +279,10 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs.
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, row_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs; with row_col, a long that tells rows apart, also that and `component`.
+
+    `component` is the same for rows of one component only, and null for rows without words; ids may repeat or be null.
 
     Null texts and texts without words have an empty set and are alone in their component. Equal sets are one node from the start, so
     a hot group of copies costs its keys once a task. Near copies are joined in rounds: each set meets one set of another component, that
@@ -289,7 +291,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rid", row_key("id", "text"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("rid")] if row_col else []))
+    src = src if row_col else src.withColumn("rid", row_key("id", "text"))
     ided = src.select(F.struct("id", "rid").alias("rid"), "text").mapInArrow(_sets, f"rid struct<id:{docs.schema[id_col].dataType.simpleString()},rid:long>, n long, set long")
     members = scratch.save(ided.select("rid.id", "rid.rid", "n", "set"), "members")
 
@@ -338,9 +341,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sets = members.where("set is not null").groupBy("set").agg(F.min("id").alias("least")).join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = sets.join(least, "component").select("set", "component_id")
+    named = sets.join(least, "component").select("set", "component", "component_id")
     out = members.join(named, "set", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    row = [F.col("rid").alias(row_col), "component"] if row_col else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
