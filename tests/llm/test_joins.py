@@ -80,6 +80,38 @@ def test_jaccard_keys_share_enough():
     assert met > 200
 
 
+def test_jaccard_sets_with_empty_segments(spark):
+    """A set that publishes keys of empty parts and one that doesn't, linked, with one key in common."""
+    rng = random.Random(5)
+    while True:
+        words = ["w%d" % rng.randrange(10**6) for _ in range(14)]  # 8 and 10 shingles
+        a, b = (jaccard.keys_of(jaccard.shingles(" ".join(x))) for x in (words[:12], words))
+        if a[0][0] == b[0][0] and a[0][1] > b[0][1] and len(np.intersect1d(np.concatenate([k for _, _, k in a]), np.concatenate([k for _, _, k in b]))) == 1:
+            break
+    got = jaccard.link_documents(spark.createDataFrame([(1, " ".join(words[:12])), (2, " ".join(words))], "doc_id long, text string")).collect()
+    assert [r.component_id for r in got] == [1, 1]
+
+
+def test_jaccard_kept_keys_meet():
+    """Small linked sets keep a shared key whatever the frequencies of keys are."""
+    rng = np.random.default_rng(7)
+    for _ in range(4000):
+        n, k = int(rng.integers(5, 40)), int(rng.integers(1, 9))
+        a = rng.integers(0, 2**63, n, dtype="uint64")
+        b = np.concatenate([a[int(rng.integers(0, k)) :], rng.integers(0, 2**63, int(rng.integers(0, k)), dtype="uint64")])
+        common_ = len(np.intersect1d(a, b))
+        if not len(b) or 100 * common_ < 80 * (len(a) + len(b) - common_) or not len(np.setxor1d(a, b)):
+            continue
+        kept = []
+        for s in (np.unique(a), np.unique(b)):
+            kept.append(set())
+            for band, c, keys in jaccard.keys_of(s):
+                limit = dict(zip(keys.tolist(), jaccard.budgets(c, keys).tolist()))
+                ranked = sorted(set(keys.tolist()), key=lambda x: (-(x & 1), hash((x >> 1, n, k))))
+                kept[-1] |= {(band, x) for r, x in enumerate(ranked, 1) if r > limit[x]}
+        assert kept[0] & kept[1]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.link_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = jaccard.link_documents(spark.createDataFrame([(None, "a b"), (2, "a b"), (2, "a b")], "doc_id long, text string")).collect()

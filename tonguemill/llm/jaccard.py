@@ -117,7 +117,10 @@ def schemes(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
 
 
 def keys_of(s: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np.ndarray]]:
-    """(band, c, keys) for each scheme of a set: any linked set shares more than c of the keys."""
+    """(band, c, keys) for each scheme of a set: any linked set shares more than c of the keys, if it publishes those of empty parts too.
+
+    Keys of empty parts, and only they, are odd. Only sets that have too few others publish them.
+    """
     out = []
     if not len(s):
         return out
@@ -132,23 +135,34 @@ def keys_of(s: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np.nd
         sums = np.add.reduceat(x[order], first)
         base = np.uint64((band + 1) * 0xA0761D6478BD642F % (1 << 64))
         salt = lambda g: (g + 1).astype("uint64") * np.uint64(0xD6E8FEB86659FD93) + base
-        keys = [_mix(sums ^ salt(present))]
+        full = lambda x: _mix(x) & ~np.uint64(1)
+        keys = [full(sums ^ salt(present))]
         single = (size == 1) & (present < q)
         if q:
             at = np.repeat(np.arange(len(present)), size)
             drop = (present[at] < q) & (size[at] > 1)
-            keys.append(_mix((sums[at] - x[order])[drop] ^ salt(present[at][drop])))
+            keys.append(full((sums[at] - x[order])[drop] ^ salt(present[at][drop])))
         empty = np.setdiff1d(np.arange(m), present, assume_unique=True)
         lost = len(empty) + int((empty < q).sum()) + int(single.sum())
         c = m + q - 1 - apart - lost
         if c < 0:  # too few keys are left without those of empty parts
             c += lost
             nothing = np.concatenate([empty, present[single]])
-            keys += [_mix(salt(nothing)), _mix(salt(empty[empty < q]) + np.uint64(1))]
+            keys += [_mix(salt(nothing)) | np.uint64(1), _mix(salt(empty[empty < q]) + np.uint64(1)) | np.uint64(1)]
         out.append((band, c, np.concatenate(keys)))
     return out
 
 
+def budgets(c: int, keys: np.ndarray) -> np.ndarray:
+    """For each key of a set up to which rank it may be left out, when the set's keys are ranked empty parts first, then by frequency.
+
+    A set that publishes keys of empty parts may leave out these only: a linked set that doesn't publish them is met by the others, and
+    one that does shares one of the others or more than c of these.
+    """
+    empty = (keys & np.uint64(1)).astype(bool)
+    return np.where(empty, c, 0) if empty.any() else np.full(len(keys), c)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, text) to (rid, n, set)."""
     for batch in batches:
@@ -165,7 +179,7 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     seen: set[int] = set()
     for whole in batches:
         for a in range(0, whole.num_rows, 500):
-            got: list[tuple[np.ndarray, int, int]] = []
+            got: list[tuple[np.ndarray, int, np.ndarray]] = []
             for text in whole.column(0).slice(a, 500).to_pylist():
                 s = shingles(text)
                 own = set_id(s)
@@ -173,10 +187,10 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
                     if len(seen) >= _CACHE:
                         seen.clear()
                     seen.add(own)
-                    got += [(k, own, band << 55 | min(c, (1 << 24) - 1) << 31 | len(s)) for band, c, k in keys_of(s, percent)]
+                    got += [(k, own, band << 55 | budgets(min(c, (1 << 24) - 1), k) << 31 | len(s)) for band, c, k in keys_of(s, percent)]
             if got:
                 counts = [len(k) for k, _, _ in got]
-                cols = [np.concatenate([k for k, _, _ in got]).view("int64"), np.repeat(np.array([o for _, o, _ in got]), counts), np.repeat(np.array([m for _, _, m in got]), counts)]
+                cols = [np.concatenate([k for k, _, _ in got]).view("int64"), np.repeat(np.array([o for _, o, _ in got]), counts), np.concatenate([m for _, _, m in got])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "set", "meta"])
 
 
@@ -300,8 +314,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_key = Window.partitionBy("key")
     shared = keyed.select("*", F.count("*").over(by_key).alias("g"), F.min("set").over(by_key).alias("lo"), F.max("set").over(by_key).alias("hi")).where("lo <> hi")
     shared = scratch.save(shared.select("key", "set", "meta", "g"), "shared")
-    # of each set's shared keys in a band the c most frequent need not be met: the cheapest that two sets share is kept by both
-    costly = Window.partitionBy("set", F.shiftright("meta", 55)).orderBy(F.desc("g"), F.desc("key"))
+    # of each set's shared keys in a band the c most frequent need not be met: the cheapest that two sets share is kept by both; of
+    # sets that publish keys of empty parts (odd) only those are left out
+    costly = Window.partitionBy("set", F.shiftright("meta", 55)).orderBy(F.desc(F.col("key").bitwiseAND(F.lit(1))), F.desc("g"), F.desc("key"))
     budget = F.shiftright("meta", 31).bitwiseAND(F.lit((1 << 24) - 1))
     size = F.col("meta").bitwiseAND(F.lit((1 << 31) - 1))
     kept = shared.withColumn("r", F.row_number().over(costly)).where(F.col("r") > budget).select("key", "set", size.alias("n"))
