@@ -112,6 +112,40 @@ def test_jaccard_kept_keys_meet():
         assert kept[0] & kept[1]
 
 
+@pytest.mark.parametrize("wide", [3, 40])
+def test_jaccard_hot_passage(spark, monkeypatch, wide):
+    """Distinct documents that share a passage: keys are dealt over tasks, no task has many rows of one, and no link is missed."""
+    rng = random.Random(11)
+    new = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    passage, texts = new(60), []
+    for _ in range(90):
+        own = passage + new(rng.randint(10, 50))
+        texts += [own, own[:-1] + new(2)] if rng.random() < 0.2 else [own]
+    texts = [" ".join(t) for t in texts]
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "SAMPLED", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    seen = []
+    cells = jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda *a: seen.append(cells(*a)) or seen[-1])
+    got = jaccard.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert [r.component_id for r in got] == roots(len(sets), links)
+    if wide == 3:
+        assert max(r["count"] for r in seen[0].groupBy("cell").count().collect()) < 40 < len(texts)
+
+
+def test_jaccard_prefixes_meet():
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 2**40, int(rng.integers(1, 60))))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, 5)) :], rng.integers(0, 2**40, int(rng.integers(0, 6)))]))
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            hot = rng.choice(a, len(a) // 2)
+            assert len(np.intersect1d(jaccard.prefix(a, 80, hot), jaccard.prefix(b, 80, hot)))
+
+
 def test_jaccard_empty(spark):
     assert jaccard.link_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = jaccard.link_documents(spark.createDataFrame([(None, "a b"), (2, "a b"), (2, "a b")], "doc_id long, text string")).collect()

@@ -30,6 +30,9 @@ ROUNDS, PROBES, BLOCK = 3, 4, 1024
 #: Bits of a set's parity sketch: two sets' sketches differ in no more bits than the sets differ in shingles. And the 64-bit words of
 #: the shorter sketch that its parts give when laid over each other, for which the same holds.
 SKETCH, FOLDED = 4096, 8
+#: Rows of a key beyond which it is dealt over several tasks, and the share of texts (one in so many) and the number of keys or shingles
+#: from which such keys are told before they are met. What is told decides only where rows go, never which pairs are compared.
+WIDE, SAMPLED, TOLD = 2048, 64, 20_000
 _CACHE = 500_000
 
 
@@ -174,8 +177,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["rid", "n", "set"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(text) to (key, set, meta): meta holds band, c and size. Equal sets of a task give their keys once, while it remembers them."""
+def _keys(batches: Iterator[pa.RecordBatch], percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(text) to (key, set, meta, salt): meta holds band, c and size; salt parts the rows of hot keys, and is -1 for others. Equal sets of
+    a task give their keys once, while it remembers them."""
     seen: set[int] = set()
     for whole in batches:
         for a in range(0, whole.num_rows, 500):
@@ -191,7 +195,8 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             if got:
                 counts = [len(k) for k, _, _ in got]
                 cols = [np.concatenate([k for k, _, _ in got]).view("int64"), np.repeat(np.array([o for _, o, _ in got]), counts), np.concatenate([m for _, _, m in got])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "set", "meta"])
+                salt = np.where(np.isin(cols[0], hot), (cols[1] >> 20) & 63, -1) if len(hot) else np.full(len(cols[0]), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols, salt)], names=["key", "set", "meta", "salt"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +290,117 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield from pairs(*held[0])
 
 
+def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, right, component, set, n, folded sketch) sorted by cell to the pairs that _cross gives, of those on its left with those
+    on its right. A cell has two blocks of about WIDE rows."""
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = (rows[2:, rows[1] == k] for k in (0, 1))
+        comp, ids, n, words = right[0], right[1], right[2], np.ascontiguousarray(right[3:].T)
+        a, b, held = [], [], 0
+        for i in range(left.shape[1]):
+            at = np.flatnonzero((comp != left[0, i]) & (100 * np.minimum(n, left[2, i]) >= percent * np.maximum(n, left[2, i])))
+            apart = np.bitwise_count(words[at] ^ left[3:, i]).sum(1, dtype="int64")
+            at = at[apart * (100 + percent) <= (n[at] + left[2, i]) * (100 - percent)]
+            if len(at):
+                a.append(np.maximum(ids[at], left[1, i]))
+                b.append(np.minimum(ids[at], left[1, i]))
+                held += len(at)
+            if held > 20_000 or (held and i + 1 == left.shape[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+                a, b, held = [], [], 0
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([np.asarray(c) for c in batch.columns])
+        for part in np.split(rows, np.flatnonzero(np.diff(rows[0])) + 1, axis=1) if batch.num_rows else []:
+            if held and held[0][0, 0] != part[0, 0]:
+                yield from pairs(np.concatenate(held, axis=1))
+                held = []
+            held.append(part)
+    if held:
+        yield from pairs(np.concatenate(held, axis=1))
+
+
+def prefix(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order of all shingles that has the hot ones last: two linked sets share one of these."""
+    order = np.lexsort((s, np.isin(s, hot)))
+    return s[order[: len(s) - -(-len(s) * percent // 100) + 1]]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(set, component, shingles) to (key, component, set, n)."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, 500):
+            ids, comp, sets = (c.to_pylist() for c in whole.slice(a, 500).columns)
+            got = [prefix(np.array(s, "int64"), percent, hot) for s in sets]
+            counts = [len(k) for k in got]
+            cols = [np.concatenate(got), *[np.repeat(np.array(c, "int64"), counts) for c in (comp, ids, [len(s) for s in sets])]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "component", "set", "n"])
+
+
+def _spanning(rows: DataFrame) -> DataFrame:
+    """The rows of keys that several components have; counted in parts, then joined, so no task holds all of a key."""
+    ends = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return rows.join(ends, "key", "left_semi")
+
+
+def _dealt(rows: DataFrame, main: DataFrame) -> DataFrame:
+    """Rows of wide keys to (cell, right, component, set, n, ...). main (key, lead, n_lead, total) names each key's largest component.
+
+    The others' rows meet all, the largest component's meet only theirs. Both are dealt in blocks, and a cell is a pair of blocks.
+    """
+    blocks = lambda n: F.ceil(n / F.lit(WIDE)).cast("int")
+    rows = rows.join(main, "key").withColumn("other", F.col("component") != F.col("lead")).withColumn("nr", blocks(F.col("total") - F.col("n_lead"))).withColumn("nm", blocks(F.col("n_lead")))
+    dealt = lambda n: F.pmod(F.xxhash64("set"), n).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("other"), dealt(F.col("nr"))).otherwise(F.col("nr") + dealt(F.col("nm"))))
+    to = F.transform(F.sequence(F.when(F.col("other"), F.col("block")).otherwise(F.lit(0)), F.col("nr") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).cast("long").alias("right")))
+    over = F.concat(F.sequence(F.lit(0), F.col("block")), F.sequence(F.col("nr"), F.col("nr") + F.col("nm") - 1))
+    back = F.transform(over, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).cast("long").alias("right")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("other"), F.concat(to, back)).otherwise(to)))
+    return rows.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "at.right", "component", "set", "n")
+
+
+def _told(counts: DataFrame, name: str, least: int) -> np.ndarray:
+    """The most frequent values of a sample, at most TOLD; the driver gets no more."""
+    got = counts.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n")).limit(TOLD).select(name).toPandas()
+    return np.sort(got[name].to_numpy("int64"))
+
+
+def _across(apart: DataFrame, arrays: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a key of apart, unless the sizes or sketches rule a link out.
+
+    Where a wide key has more pairs than a cell, its sets meet by the prefixes of their shingles instead, rare ones first, which linked
+    sets share too. Keys that are wide after that are dealt over cells.
+    """
+
+    def widths(rows: DataFrame) -> DataFrame:
+        per = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+        per = per.groupBy("key").agg(F.sum("c").alias("total"), F.max(F.struct("c", "component")).alias("most"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        wide = per.where(F.col("total") > WIDE)
+        return wide.select("key", F.col("most.component").alias("lead"), F.col("most.c").alias("n_lead"), "total", ((F.col("total") * F.col("total") - F.col("own")) / 2 > WIDE * WIDE).alias("many"))
+
+    apart = scratch.save(_spanning(apart.select("key", "component", "set", "n")), "across")
+    main = scratch.save(widths(apart), "widths")
+    many = main.where("many").select("key")
+    if not many.isEmpty():
+        heavy = apart.join(many, "key", "left_semi").select("set", "component").distinct()
+        heavy = scratch.save(heavy.join(arrays.select("set", "s"), "set").select("set", "component", "s"), "heavy")
+        hot = _told(heavy.where(F.pmod(F.xxhash64("set"), F.lit(16)) == 0).select(F.explode("s").alias("shingle")), "shingle", WIDE // 64)
+        rows = scratch.save(heavy.mapInArrow(lambda it: _prefixes(it, percent, hot), "key long, component long, set long, n long"), "prefixes")
+        apart = scratch.save(apart.join(many, "key", "left_anti").union(_spanning(rows).select("key", "component", "set", "n")), "across_rare")
+        main = scratch.save(widths(apart), "widths_rare")
+    short = [f"f{i}" for i in range(FOLDED)]
+    names = ["component", "set", "n", *short]
+    sketches = arrays.select("set", *short)
+    narrow = apart if main.isEmpty() else apart.join(main, "key", "left_anti")
+    out = narrow.join(sketches, "set").select("key", *names).repartition("key").sortWithinPartitions("key", "component").mapInArrow(lambda it: _cross(it, percent), "a long, b long")
+    if not main.isEmpty():
+        cells = _dealt(apart.join(main, "key", "left_semi"), main).join(sketches, "set").select("cell", "right", *names)
+        out = out.union(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cells(it, percent), "a long, b long"))
+    return out.distinct()
+
+
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     left, right = arrays.select(F.col("set").alias("a"), F.col("s").alias("sa")), arrays.select(F.col("set").alias("b"), F.col("s").alias("sb"))
@@ -310,10 +426,17 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ided = src.select(F.struct("id", "rid").alias("rid"), "text").mapInArrow(_sets, f"rid struct<id:{docs.schema[id_col].dataType.simpleString()},rid:long>, n long, set long")
     members = scratch.save(ided.select("rid.id", "rid.rid", "n", "set"), "members")
 
-    keyed = src.select("text").mapInArrow(lambda it: _keys(it, percent), "key long, set long, meta long")
-    by_key = Window.partitionBy("key")
-    shared = keyed.select("*", F.count("*").over(by_key).alias("g"), F.min("set").over(by_key).alias("lo"), F.max("set").over(by_key).alias("hi")).where("lo <> hi")
-    shared = scratch.save(shared.select("key", "set", "meta", "g"), "shared")
+    keys = "key long, set long, meta long, salt long"
+    none = np.empty(0, "int64")
+    some = src.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(lambda it: _keys(it, percent, none), keys)
+    hot = _told(some, "key", max(2, WIDE // SAMPLED))
+    keyed = src.select("text").mapInArrow(lambda it: _keys(it, percent, hot), keys)
+    by_key = Window.partitionBy("key", "salt")  # a hot key's rows are dealt by salt, and its parts are summed up after
+    shared = keyed.select("*", F.count("*").over(by_key).alias("g"), F.min("set").over(by_key).alias("lo"), F.max("set").over(by_key).alias("hi")).where("lo <> hi or salt >= 0")
+    shared = scratch.save(shared.select("key", "set", "meta", "g", "salt"), "shared")
+    if len(hot):
+        whole = shared.where("salt >= 0").groupBy("key").agg(F.count("*").alias("all"), (F.min("set") != F.max("set")).alias("several"))
+        shared = shared.join(whole, "key", "left").where("salt < 0 or several").withColumn("g", F.coalesce("all", "g"))
     # of each set's shared keys in a band the c most frequent need not be met: the cheapest that two sets share is kept by both; of
     # sets that publish keys of empty parts (odd) only those are left out
     costly = Window.partitionBy("set", F.shiftright("meta", 55)).orderBy(F.desc(F.col("key").bitwiseAND(F.lit(1))), F.desc("g"), F.desc("key"))
@@ -332,15 +455,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
     for k in range(ROUNDS):
         # keys that join several components; first each set meets the least of a key, then the nearest in a few of its keys
-        led = apart.withColumn("lead", F.min(F.struct("component", "set", "n")).over(by_key)).withColumn("last", F.max("component").over(by_key))
-        apart = scratch.save(led.where("lead.component < last").drop("last"), f"apart{k}")
+        if k == 0:
+            led = apart.groupBy("key").agg(F.min(F.struct("component", "set", "n")).alias("lead"), F.max("component").alias("last")).where("lead.component < last").drop("last")
+            apart = scratch.save(apart.join(led, "key"), f"apart{k}")
+        else:
+            apart = scratch.save(_spanning(apart), f"apart{k}")
         if k == 0:
             votes = apart.where((F.col("component") != F.col("lead.component")) & near).groupBy("set", F.col("lead.set").alias("other")).agg(F.count("*").alias("votes"))
             asked = votes.groupBy("set").agg(F.max_by("other", F.struct("votes", "other")).alias("other")).select(F.greatest("set", "other").alias("a"), F.least("set", "other").alias("b")).distinct()
         else:
             turn = F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("key", F.lit(k)), "key"))
-            few = apart.withColumn("turn", turn).where(F.col("turn") <= PROBES).join(arrays.select("set", "sketch"), "set")
-            few = few.select("key", "component", "set", "n", "sketch").repartition("key").sortWithinPartitions("key", F.xxhash64("set", F.lit(k)))
+            few = scratch.save(apart.withColumn("turn", turn).where(F.col("turn") <= PROBES).select("key", "component", "set", "n"), f"few{k}")
+            wide = few.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
+            block = F.pmod(F.xxhash64("set", F.lit(k)), F.ceil(F.col("rows") / BLOCK))
+            few = few.join(wide, "key", "left").withColumn("key", F.when(F.col("rows").isNotNull(), F.xxhash64("key", block)).otherwise(F.col("key")))
+            few = few.join(arrays.select("set", "sketch"), "set").select("key", "component", "set", "n", "sketch").repartition("key").sortWithinPartitions("key", F.xxhash64("set", F.lit(k)))
             asked = few.mapInArrow(lambda it: _nearest(it, percent), "a long, b long").distinct()
         more = scratch.save(_verified(asked, arrays, percent), f"links{k}")
         if more.isEmpty():
@@ -348,8 +477,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         links = more if links is None else links.union(more)
         linked = components(spark, links, scratch, f"round{k}_")
         apart = apart.select("key", "set", "n").join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    short = [f"f{i}" for i in range(FOLDED)]
-    across = apart.select("key", "component", "set", "n").join(arrays.select("set", *short), "set").select("key", "component", "set", "n", *short).repartition("key").sortWithinPartitions("key", "component").mapInArrow(lambda it: _cross(it, percent), "a long, b long").distinct()
+    across = _across(apart, arrays, scratch, percent)
     rest = scratch.save(_verified(across, arrays, percent), "rest")
     if linked is None or not rest.isEmpty():
         linked = components(spark, rest if links is None else links.union(rest), scratch, "all")
