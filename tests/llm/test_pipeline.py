@@ -48,3 +48,14 @@ def test_near_duplicates_tells_rows_of_one_id_apart(spark, data):
     rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, rows, data).collect()]
     assert sorted(got, key=repr) == sorted([(7, a), (3, b), (7, c), (None, d), (9, " "), (9, " "), (None, None)], key=repr)
+
+
+def test_language_keeps_all_with_letters(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    texts = ["a", "ab", "the cat und der Hund", "q q q", "1 2", None, "", "é"]
+    odd = spark.createDataFrame([(20_000 + i, t, None, "s", 1) for i, t in enumerate(texts)], docs.schema)
+    want = {20_000, 20_001, 20_002, 20_003, 20_007}
+    told = corpus_pipeline.languages(docs.union(odd)).where("doc_id >= 20000").collect()
+    assert any(r.ambiguous and r.kept for r in told)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs.union(odd), data).where("doc_id >= 20000").collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.language(spark, odd, data).collect()} == want  # no label to learn from
