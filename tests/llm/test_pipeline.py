@@ -1,9 +1,15 @@
 """The pipeline against a brute-force version of its stages."""
 
+import itertools
 import re
 
+import duckdb
+import numpy as np
+import public_tokenizers
+
 import corpus_pipeline
 from tests.llm.test_joins import roots
+from tonguemill.llm import packing, registry, substrings
 
 
 def test_stages(spark, data):
@@ -59,3 +65,54 @@ def test_language_keeps_all_with_letters(spark, data):
     assert any(r.ambiguous and r.kept for r in told)
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs.union(odd), data).where("doc_id >= 20000").collect()} == want
     assert {r.doc_id for r in corpus_pipeline.language(spark, odd, data).collect()} == want  # no label to learn from
+
+
+def test_run_matches_brute_force(spark, data, tmp_path, monkeypatch):
+    """Rows of run(), and what each of its stages kept and rejected, against a version without Spark's operators."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    long = " ".join(f"p{i}" for i in range(80))
+    odd = [(20_000, "12 34 ... 56"), (20_001, None), (20_002, "too short"), (20_003, "a b c " * 40), (20_004, long), (20_005, long), (20_006, "## $$ " * 60 + "x")]
+    odd.append((20_007, " ".join(f"q{i}" for i in range(90)) + " " + " ".join(f"p{i}" for i in range(40))))
+    odd.append((20_008, " ".join(f"r{i} " for i in range(1500))))
+    docs.union(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in odd], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    kept, save = {}, corpus_pipeline.Scratch.save
+
+    def noted(self, df, label):
+        out = save(self, df, label)
+        if "/pipeline-" in self.root:
+            kept[label] = {(r.doc_id, r.text) for r in out.collect()} if "text" in out.columns else None
+        return out
+
+    monkeypatch.setattr(corpus_pipeline.Scratch, "save", noted)
+    got = sorted((r.doc_id, r.piece, r.start, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert list(kept) == [name for name, _ in corpus_pipeline.STAGES]
+
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    lang = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t)}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    good = {i for i, ok in con.sql(f"select doc_id, kept from ({registry.SQL['op6_quality_rules']})").fetchall() if ok}
+    quality = {i: t for i, t in lang.items() if i in good}
+    ids = sorted(quality)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (split(quality[i].lower()) for i in ids)]
+    links = [(i, j) for i in range(len(ids)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    near = {ids[i]: quality[ids[i]] for i, r in enumerate(roots(len(ids), links)) if r == i}
+    at = {}
+    for i, t in near.items():
+        w = split(t)
+        for k in range(len(w) - 34):
+            at.setdefault(tuple(w[k : k + 35]), []).append((i, k))
+    gone = {i: np.zeros(len(split(t)), bool) for i, t in near.items()}
+    for i, k in itertools.chain.from_iterable(x for x in at.values() if len(x) > 1):
+        gone[i][k : k + 35] = True
+    cut = {i: substrings.cut_text(t, gone[i]) for i, t in near.items()}
+    for name, want, before in zip(list(kept), (lang, quality, near, cut), (texts, lang, quality, near), strict=False):
+        assert kept[name] == set(want.items())
+        assert before.keys() - {i for i, _ in kept[name]} == before.keys() - want.keys()
+    assert texts.keys() - lang.keys() == {20_000, 20_001} and {20_002, 20_003, 20_006} <= lang.keys() - quality.keys() and 20_005 in quality.keys() - near.keys() and gone[20_007].any()
+    tok, want = packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json")), []
+    for i, t in cut.items():
+        lengths = packing.cut_lengths(len(tok.encode([t])[0]) // 4 + 1)
+        want += [(i, k, sum(lengths[:k]), n) for k, n in enumerate(lengths)]
+    assert got == sorted(want)
