@@ -122,3 +122,16 @@ def test_http_without_network():
     call = translators.http_calls("http://127.0.0.1:9/none", "m", "NO_SUCH_KEY", timeout=1)
     (out,) = list(call(iter([pd.DataFrame({"doc_id": [1], "part": [""], "batch_id": [0], "expected": [1], "prompt": ["x"]})])))
     assert out.http_status[0] == 0 and "error" in out.body[0]
+
+
+def test_overall_progress_in_ranges(spark):
+    from tonguemill.operators import report
+
+    names = [None, "", "é", "Z", *[f"n{i * 7919 % 1000}" for i in range(1000)]]
+    files = spark.createDataFrame([(x, 1, 2) for x in names], "name string, done int, total int").repartition(5)
+    df = report.overall_progress(files)
+    assert "SinglePartition" not in df._jdf.queryExecution().toString()
+    got = {r.name: (r.i, r.percent) for r in df.collect()}
+    want = sorted(names, key=lambda x: (x is not None, (x or "").encode()))
+    assert got == {x: (i, int((i + 0.5) / len(names) * 100 + 0.5)) for i, x in enumerate(want)}
+    assert report.overall_progress(files.where("total = 0")).count() == 0

@@ -8,6 +8,8 @@ from pyspark.sql import Window
 
 from tonguemill.functions.scalars import js_round
 
+#: Ranges of names that overall_progress numbers apart.
+RANGES = 256
 RESULT = ("name", "dest", "ok", "skipped", "error")
 
 
@@ -26,11 +28,24 @@ def job_summary(results: DataFrame) -> DataFrame:
 
 
 def overall_progress(files: DataFrame) -> DataFrame:
-    """files (name, done, total) with percent of the job after each, in order of name. The order is over file rows of one job, a manifest."""
-    w = Window.orderBy("name")
-    n = files.count()
+    """files (name, done, total) with percent of the job after each, in order of name.
+
+    Rows are numbered within ranges of names and the ranges' running counts added; the driver gets a row for each range. The bounds are
+    literals, so a row's range is the same on every recomputation.
+    """
+    few = files.where("name is not null").select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(RANGES - 1)
+    bounds = F.array(*[F.lit(r.name) for r in few.collect()]).cast("array<string>")
+    dealt = files.withColumn("__range", F.size(F.filter(bounds, lambda x: x <= F.col("name"))))
+    n, before = 0, []
+    for r in sorted(dealt.groupBy("__range").count().collect()):
+        before += [F.lit(r[0]), F.lit(n)]
+        n += r[1]
+    if not n:
+        before = [F.lit(0), F.lit(0)]
+    w = Window.partitionBy("__range").orderBy("name")
     part = F.when(F.col("total") > 0, F.col("done") / F.col("total")).otherwise(F.lit(0.0))
-    return files.withColumn("i", F.row_number().over(w) - 1).withColumn("percent", js_round((F.col("i") + part) / max(n, 1) * 100).cast("int"))
+    i = (F.row_number().over(w) - 1 + F.create_map(*before)[F.col("__range")]).cast("int")
+    return dealt.withColumn("i", i).withColumn("percent", js_round((F.col("i") + part) / max(n, 1) * 100).cast("int")).drop("__range")
 
 
 def inbox_stats(manifest: DataFrame) -> DataFrame:
