@@ -135,3 +135,16 @@ def test_overall_progress_in_ranges(spark):
     want = sorted(names, key=lambda x: (x is not None, (x or "").encode()))
     assert got == {x: (i, int((i + 0.5) / len(names) * 100 + 0.5)) for i, x in enumerate(want)}
     assert report.overall_progress(files.where("total = 0")).count() == 0
+
+
+def test_translate_documents_keeps_blank_ones(spark, data, tmp_path):
+    from tonguemill.plans import catalogue
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    blank = [(10_001, None), (10_002, ""), (10_003, " \n\n ")]
+    odd = spark.createDataFrame(blank, "doc_id long, text string")
+    docs.limit(3).unionByName(odd, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_segments, r.n_batches, r.translated) for r in catalogue.QUERIES["translate_documents"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6
+    assert all(got[i][:2] == (0, 0) for i, _ in blank)
+    assert [got[i][2] or "" for i, _ in blank] == ["", "", " \n\n\n\n "]  # the query's fixture doubles line ends

@@ -34,7 +34,9 @@ def translate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = translation.gather_batches(work, assigned)
     done = plain.assemble_text(translation.scatter(segments, batches, translators.pseudo(batches, None)))
     counts = assigned.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.countDistinct("batch_id").alias("n_batches"))
-    return docs.select("doc_id", "lang").join(counts, "doc_id").join(done.withColumnRenamed("text", "translated"), "doc_id")
+    told = docs.select("doc_id", "lang").join(counts, "doc_id", "left").join(done.withColumnRenamed("text", "translated"), "doc_id", "left")
+    # null, empty and blank texts have nothing to send and come back as they are
+    return told.fillna(0, ["n_segments", "n_batches"]).select("doc_id", "lang", "n_segments", "n_batches", "translated")
 
 
 @query(f"WITH {fx.TEXT_DOCS} SELECT doc_id, CAST(seg_idx AS INTEGER) AS seg_idx, text, sep_after FROM segs")
