@@ -187,6 +187,26 @@ def test_substrings_repeated_rows_and_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substrings_many_repeated_rows(spark, monkeypatch):
+    """A row's notes are its own, however often the row is repeated."""
+    text = " ".join("u%d" % i for i in range(80))
+    near = " ".join("u%d" % i for i in range(60)) + " " + " ".join("v%d" % i for i in range(40))
+    seen, resolve = spark.sparkContext.accumulator(0), substrings._resolve
+
+    def counted(batches, length, keep, cleaned):
+        def tap():
+            for b in batches:
+                seen.add(sum(len(x or []) for x in b.column(len(keep) + 2).to_pylist()))
+                yield b
+        return resolve(tap(), length, keep, cleaned)
+
+    monkeypatch.setattr(substrings, "_resolve", counted)
+    rows = spark.createDataFrame([(1, text)] * 50 + [(None, near)], "doc_id long, text string").repartition(4)
+    got = substrings.remove_repeats(rows).collect()
+    assert sorted(r.n_removed for r in got) == [60] + [80] * 50
+    assert seen.value < 50 * 46 + 66  # at most a note for each window of a row
+
+
 def test_automaton_counts_sequences():
     rng = random.Random(9)
     for _ in range(200):

@@ -264,11 +264,12 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, keep: list[str], cl
     """(keep..., rid, text, notes) to finished rows, and open ones with what the shards need of them."""
     k = len(keep)
     met: dict[int, int] = {}  # windows of hot minimizers that this task has given, at most twice each
+    sent: set[tuple[int, int]] = set()  # contexts known as repeated that this task has given for a rid
     for whole in batches:
         for a0 in range(0, whole.num_rows, 500):
             batch = whole.slice(a0, 500)
             rows = []
-            for text, notes in zip(batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True):
+            for rid, text, notes in zip(*(batch.column(k + i).to_pylist() for i in range(3)), strict=True):
                 notes = notes or []
                 spans = [(x["a"], x["n"] + length - 1) for x in notes if x["kind"] in (WHOLE, WHOLE_TOLD, WHOLE_HOT)]
                 if any(x["times"] > 1 for x in notes):
@@ -284,6 +285,12 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, keep: list[str], cl
                 if len(met) > _CACHE:
                     met.clear()
                 for x in told:
+                    if x["kind"] == WHOLE_TOLD:
+                        if (rid, x["a"]) in sent:
+                            continue
+                        if len(sent) > _CACHE:
+                            sent.clear()
+                        sent.add((rid, x["a"]))
                     if x["kind"] in (PART, WHOLE_TOLD):
                         ctx.append({"m": x["m"], "a": x["a"], "kind": x["kind"], "words": " ".join(words[x["a"] : x["a"] + x["n"] + length - 1])})
                     else:
@@ -334,6 +341,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str =
     same, is_rep = F.col("n_same") > 1, F.struct("rid", "a") == F.col("rep")
     kind = F.when(~same & F.col("hot"), PART_HOT).when(~same, PART).when(~is_rep, WHOLE).when(F.col("hot"), WHOLE_HOT).otherwise(WHOLE_TOLD)
     told = mixed.join(classes, ["m", "c"]).select("rid", "m", "a", "n", "times", kind.alias("kind")).union(notes.where("single").select("rid", "m", "a", "n", "times", F.lit(WHOLE)))
+    told = told.distinct()  # fully repeated rows share a rid and their notes; classes have counted them
     per_row = told.groupBy("rid").agg(F.collect_list(F.struct("m", "a", "n", "times", "kind")).alias("notes"))
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = src.join(per_row, "rid", "left").select(*keep, "rid", "__text", "notes")
