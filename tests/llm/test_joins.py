@@ -61,55 +61,78 @@ def test_jaccard_misses_no_link(spark):
     assert [r.n_shingles for r in got] == [len(s) for s in sets]
 
 
-def test_jaccard_keys_share_enough():
-    """The pigeonhole bound on random pairs of all sizes."""
-    rng = np.random.default_rng(4)
-    met = 0
-    for _ in range(1500):
-        n = int(rng.integers(1, 400))
+def flat(sets):
+    return np.concatenate([np.empty(0, "uint64"), *sets]), np.append(0, np.cumsum([len(x) for x in sets])).astype("int64")
+
+
+def random_pairs(rng, rounds, most):
+    """Pairs of sets, linked or nearly so."""
+    for _ in range(rounds):
+        n = int(rng.integers(1, most))
         a = rng.integers(0, 2**63, n, dtype="uint64")
         k = int(rng.integers(0, n // 5 + 2))
         b = np.concatenate([a[int(rng.integers(0, k + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, k + 1)), dtype="uint64")])
-        a, b = np.unique(a), np.unique(b)
-        common_ = len(np.intersect1d(a, b))
-        if len(b) and 100 * common_ >= 80 * (len(a) + len(b) - common_) and len(np.setxor1d(a, b)):
-            ka, kb = ({band: (c, set(k.tolist())) for band, c, k in jaccard.keys_of(s)} for s in (a, b))
-            shared = [(band, ka[band], kb[band]) for band in ka.keys() & kb.keys()]
-            assert any(len(x[1] & y[1]) > max(x[0], y[0]) for _, x, y in shared)
-            met += 1
-    assert met > 200
-
-
-def test_jaccard_sets_with_empty_segments(spark):
-    """A set that publishes keys of empty parts and one that doesn't, linked, with one key in common."""
-    rng = random.Random(5)
-    while True:
-        words = ["w%d" % rng.randrange(10**6) for _ in range(14)]  # 8 and 10 shingles
-        a, b = (jaccard.keys_of(jaccard.shingles(" ".join(x))) for x in (words[:12], words))
-        if a[0][0] == b[0][0] and a[0][1] > b[0][1] and len(np.intersect1d(np.concatenate([k for _, _, k in a]), np.concatenate([k for _, _, k in b]))) == 1:
-            break
-    got = jaccard.link_documents(spark.createDataFrame([(1, " ".join(words[:12])), (2, " ".join(words))], "doc_id long, text string")).collect()
-    assert [r.component_id for r in got] == [1, 1]
-
-
-def test_jaccard_kept_keys_meet():
-    """Small linked sets keep a shared key whatever the frequencies of keys are."""
-    rng = np.random.default_rng(7)
-    for _ in range(4000):
-        n, k = int(rng.integers(5, 40)), int(rng.integers(1, 9))
-        a = rng.integers(0, 2**63, n, dtype="uint64")
-        b = np.concatenate([a[int(rng.integers(0, k)) :], rng.integers(0, 2**63, int(rng.integers(0, k)), dtype="uint64")])
-        common_ = len(np.intersect1d(a, b))
-        if not len(b) or 100 * common_ < 80 * (len(a) + len(b) - common_) or not len(np.setxor1d(a, b)):
-            continue
+        yield np.unique(a), np.unique(b)
+
+
+def linked(a, b):
+    both = len(np.intersect1d(a, b))
+    return len(b) and 100 * both >= 80 * (len(a) + len(b) - both) and len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("levels", [8, 1])
+def test_jaccard_kept_keys_meet(monkeypatch, levels):
+    """Linked sets of all sizes share more keys than either may leave out, so they keep one whatever the frequencies of keys are. With a
+    single partition of the universe, too, where sets with too few parts publish keys of empty ones."""
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    if levels == 1:  # so few parts that they often are too few
+        monkeypatch.setattr(jaccard, "allocation", lambda band, percent=80: (0, 0) if band < 2 else (jaccard.most_apart(jaccard.bands()[band + 1] - 1) + 1, 0))
+        jaccard.schemes.cache_clear()
+    pairs = [p for most, n in ((40, 3000), (400, 1000), (3000, 30)) for p in random_pairs(np.random.default_rng(most), n, most) if linked(*p)]
+    of, band, budget, keys = jaccard.keys_of(*flat([s for p in pairs for s in p]))
+    bounds = np.searchsorted(of, np.arange(2 * len(pairs) + 1))
+    odd = 0
+    for i in range(len(pairs)):
         kept = []
-        for s in (np.unique(a), np.unique(b)):
-            kept.append(set())
-            for band, c, keys in jaccard.keys_of(s):
-                limit = dict(zip(keys.tolist(), jaccard.budgets(c, keys).tolist()))
-                ranked = sorted(set(keys.tolist()), key=lambda x: (-(x & 1), hash((x >> 1, n, k))))
-                kept[-1] |= {(band, x) for r, x in enumerate(ranked, 1) if r > limit[x]}
+        for j in (2 * i, 2 * i + 1):
+            own = list(zip(*(z[bounds[j] : bounds[j + 1]].tolist() for z in (band, keys, budget)), strict=True))
+            odd += any(k & 1 for _, k, _ in own)
+            ranked = sorted(own, key=lambda x: (x[0], hash((x[1] >> 1, i))))
+            kept.append({(b, k) for b, group in itertools.groupby(ranked, key=lambda x: x[0]) for r, (_, k, c) in enumerate(group) if r >= c})
         assert kept[0] & kept[1]
+    assert len(pairs) > 1500 and (odd > 20 if levels == 1 else not odd), odd
+    jaccard.schemes.cache_clear()
+
+
+def test_jaccard_unrelated_sets_share_no_key():
+    rng = np.random.default_rng(6)
+    for n in (4, 5, 7, 8, 12, 16, 20, 31, 60, 200):
+        sets = 20_000 if n < 100 else 2_000
+        values = np.sort(rng.integers(0, 2**63, (sets, n), dtype="uint64"), axis=1).reshape(-1)
+        keys = jaccard.keys_of(values, np.arange(sets + 1) * n)[3]
+        assert np.unique(keys, return_counts=True)[1].max() <= 2
+
+
+def test_shingles_are_those_of_words():
+    rng = random.Random(8)
+    texts = [None, "", " ", "a", "A b", "a b c d", *["".join(rng.choice("aB \n\t\x1c\u00a0é") for _ in range(rng.randint(0, 60))) for _ in range(300)]]
+    values, offsets = jaccard.shingle_lists(texts)
+    seen = {}
+    for t, a, b in zip(texts, offsets, offsets[1:]):
+        w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        grams = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert b - a == len(grams) and (np.diff(values[a:b].astype("float64")) >= 0).all()
+        assert seen.setdefault(frozenset(grams), values[a:b].tolist()) == values[a:b].tolist()
+    assert len({tuple(x) for x in seen.values()}) == len(seen)
+    assert (jaccard.shingles("a b c d e f g") == jaccard.shingles("A b\tc  d e f g")).all()
+
+
+def test_word_hashes_by_stretches(monkeypatch):
+    raw = [b"abc def " * 100 + b"z" * 50, b"", b" \n", b"abc"]
+    want, n = common.word_hashes(raw)
+    assert n.tolist() == [201, 0, 0, 1] and want[0] == want[-1] == want[2] != want[1]
+    monkeypatch.setattr(common, "_STRETCH", 7)
+    assert (common.word_hashes(raw)[0] == want).all()
 
 
 @pytest.mark.parametrize("wide", [3, 40])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,55 @@ def worker_cache(name, make):
     return _kept[name]
 
 
+BLANKS = b" \t\n\x0b\x0c\r"
+_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS, "uint8"))
+_LETTER = np.random.default_rng(20).integers(0, 2**64, 256, dtype="uint64")
+_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: Bytes that are hashed at once, unless a single word is longer.
+_STRETCH = 1 << 20
+_powers = [np.ones(1, "uint64"), np.ones(1, "uint64")]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts, in order; how many words each text has). Words are what bytes.split() gives.
+
+    A word's hash is a polynomial over a random number for each byte, from running sums, so there is no loop over words.
+    """
+    data = np.frombuffer(b" ".join([*raw, b""]), "uint8")
+    blank = _BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edges = np.append(0, edges) if len(data) and not blank[0] else edges
+    start, end = edges[::2], edges[1::2]
+    out, i = np.empty(len(start), "uint64"), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _STRETCH, "right")))
+        a, b = int(start[i]), int(end[j - 1])
+        while len(_powers[0]) < b - a:
+            for k, base in enumerate((_STEP, _BACK)):
+                _powers[k] = np.append(_powers[k], _powers[k] * np.uint64(pow(base, len(_powers[k]), 1 << 64)))
+        sums = np.append(np.uint64(0), np.cumsum(_LETTER[data[a:b]] * _powers[0][: b - a]))
+        out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * _powers[1][start[i:j] - a]
+        i = j
+    bounds = np.append(0, np.cumsum(np.fromiter(map(len, raw), "int64", len(raw)) + 1))
+    return mix(out), np.diff(np.searchsorted(start, bounds))
+
+
+def utf8(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., as many as counts[0], then those from first[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + counts, counts)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

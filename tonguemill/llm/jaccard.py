@@ -5,7 +5,8 @@ from their sizes. For a band of sizes the universe of shingles is hashed into m
 under its hash and, in q of the segments, also under the hashes of its one-deletion neighbours. Each segment that is met whole, and
 each of the q that is met but for one shingle, uses up less than its share of D, so by the pigeonhole principle two linked sets share
 more than V - D - 1 keys, V = m + q. Costs decide twice: m and q are those of least estimated cost for the band, and of its keys each
-set probes only the cheapest, leaving out as many of the most frequent as the principle allows. Candidates are verified on the sets.
+set probes only the cheapest, leaving out as many of the shortest and most frequent as the principle allows. Candidates are verified
+on the sets.
 """
 
 from __future__ import annotations
@@ -16,59 +17,61 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import Scratch, components, row_key, table, worker_cache
+from tonguemill.llm.common import Scratch, components, mix, row_key, spread, table, utf8, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Growth of the size bands, and what a segment with one shingle or none costs against a key (such keys are met by chance).
-BAND, WEAK = 1.5, 4.0
+#: Growth of the size bands, and what a key of one shingle or none costs against a longer one (such keys are met by chance).
+BAND, WEAK = 2.0, 12.0
+#: Partitions of the universe, one after the other, that a set tries which has too few parts with a shingle in those before.
+LEVELS = 8
 #: Rounds in which sets meet those nearest to them in other components; what these leave apart is compared in full.
 ROUNDS, PROBES, BLOCK = 3, 4, 1024
 #: Bits of a set's parity sketch: two sets' sketches differ in no more bits than the sets differ in shingles. And the 64-bit words of
 #: the shorter sketch that its parts give when laid over each other, for which the same holds.
 SKETCH, FOLDED = 4096, 8
-#: Rows of a key beyond which it is dealt over several tasks, and the share of texts (one in so many) and the number of keys or shingles
+#: Rows of a key beyond which it is dealt over several tasks, and the share of sets (one in so many) and the number of keys or shingles
 #: from which such keys are told before they are met. What is told decides only where rows go, never which pairs are compared.
 WIDE, SAMPLED, TOLD = 2048, 64, 20_000
-_CACHE = 500_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) < 64:
-            if len(self) >= _CACHE:
-                self.clear()
-            self[word] = h
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+#: Texts that are hashed at once.
+ROWS = 500
+_U = np.uint64
+
+
+def shingle_lists(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets): for each text the sorted distinct 64-bit hashes of its runs of `size` words; of a shorter text the whole
+    sequence as one; none without words."""
+    h, n = word_hashes([t.lower() for t in utf8(texts)])
+    first = np.cumsum(n) - n
+    s, short = h.copy(), np.zeros(len(texts), "uint64")
+    for k in range(1, size):  # s holds runs of k words here
+        short[n == k] = s[first[n == k]]
+        s[: max(0, len(s) - k)] = s[: max(0, len(s) - k)] * _U(0x9E3779B97F4A7C15) + h[k:]
+    runs = np.where(n < size, (n > 0).astype("int64"), n - size + 1)
+    out = s[spread(first, runs)]
+    at = np.cumsum(runs)
+    whole = (n > 0) & (n < size)
+    out[at[whole] - 1] = short[whole]
+    out = mix(out + np.repeat(np.minimum(n, size).astype("uint64"), runs))
+    for a, b in zip((at - runs).tolist(), at.tolist(), strict=True):
+        out[a:b].sort()
+    keep = np.append(True, out[1:] != out[:-1])[: len(out)]
+    keep[(at - runs)[runs > 0]] = True
+    kept = np.append(0, np.cumsum(keep))
+    return out[keep], np.append(0, kept[at])
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `size` words; of a shorter text the whole sequence as one; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, "uint64")
-    h = np.fromiter(map(worker_cache("jaccard", _WordHashes).__getitem__, words), "uint64", n)
-    k = min(size, n)
-    s = h[: n - k + 1].copy()
-    for i in range(1, k):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + h[i : n - k + 1 + i]
-    return np.unique(_mix(s + np.uint64(k)))
+    return shingle_lists([text], size)[0]
 
 
-def set_id(s: np.ndarray) -> int:
-    """64-bit hash of a set, as a signed integer."""
-    return int(_mix(_mix(s).sum(dtype="uint64", keepdims=True) + np.uint64(len(s))).view("int64")[0])
+def set_ids(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, of different functions; sets are taken as equal where both are."""
+    n = np.diff(offsets).astype("uint64")
+    sums = [np.diff(np.append(_U(0), np.cumsum(mix(values + _U(c))))[offsets]) for c in (0, 0xD1B54A32D192ED03)]
+    return tuple(mix(x + n).view("int64") for x in sums)
 
 
 def most_apart(smaller: int, percent: int = PERCENT) -> int:
@@ -77,7 +80,7 @@ def most_apart(smaller: int, percent: int = PERCENT) -> int:
 
 
 @lru_cache(maxsize=None)
-def bands(percent: int = PERCENT) -> tuple[int, ...]:
+def bands() -> tuple[int, ...]:
     """First sizes of the bands."""
     out = [1]
     while out[-1] < 1 << 30:
@@ -85,29 +88,55 @@ def bands(percent: int = PERCENT) -> tuple[int, ...]:
     return tuple(out)
 
 
+def spare(band: int, percent: int = PERCENT) -> int:
+    """Keys that each set publishes beyond those needed, so that as many of its most frequent ones can be left out."""
+    return 2 + most_apart(bands()[band + 1] - 1, percent) // 16
+
+
+def _share(n: float, m: int, k: int) -> float:
+    """Share of the m parts that hold k of n shingles."""
+    if m == 1:
+        return float(k == n)
+    return math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - k * math.log(m) + (n - k) * math.log1p(-1 / m)) if n >= k else 0.0
+
+
 @lru_cache(maxsize=None)
 def allocation(band: int, percent: int = PERCENT) -> tuple[int, int]:
     """(m, q): segments, and how many of them have one-deletion neighbourhoods; (0, 0) where linked sets are equal.
 
-    m + q is one more than the most that sets of the band may differ by, and some slack for frequent keys and empty segments.
+    The least cost, in keys and weak keys that a set publishes, of those with enough parts that hold a shingle, as a rule.
     """
     low, high = bands()[band], bands()[band + 1] - 1
-    apart = most_apart(high, percent)
-    if not apart:
+    if not most_apart(high, percent):
         return 0, 0
-    total = apart + 1 + 2 + apart // 16
-    n = (low + high) / 2
-
-    def cost(q: int) -> float:
-        m, t = total - q, n / (total - q)
-        return m + q * t + WEAK * m * math.exp(-t) * (1 + t)
-
-    q = min(range(0, total // 2 + 1, max(1, total // 64)), key=cost)
-    return total - q, q
 
-
-def schemes(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(band, most that a set of n may differ by in it): its own, and those of smaller sets that it may be linked with."""
+    def units(n: int, m: int, q: int) -> float:
+        none, one = _share(n, m, 0), _share(n, m, 1)
+        return m * (1 - none) + q * (1 - none - one)
+
+    def cost(m: int, q: int) -> float:
+        total = 0.0
+        for n in (low, (low + high) // 2, high):
+            one, two = _share(n, m, 1), _share(n, m, 2)
+            keys, weak = m * (1 - _share(n, m, 0)) + q * (n / m - one), m * one + 2 * q * two
+            drop = max(0.0, units(n, m, q) - most_apart(n, percent) - 1 - spare(band, percent))
+            total += keys - drop + WEAK * max(0.0, weak - drop)
+        return total
+
+    least, options = high / 4, []
+    for tenths in (0, 2, 5, 10):
+        for k in range(60):
+            m = max(1, round(least * 1.07**k / (1 + tenths / 10)))
+            q = m * tenths // 10
+            if all(units(n, m, q) - 2 * math.sqrt(m * _share(n, m, 0)) >= most_apart(n, percent) + 1 for n in (low, high) if most_apart(n, percent)):
+                options.append((cost(m, q), m, q))
+    return min(options)[1:]
+
+
+@lru_cache(maxsize=1 << 17)
+def schemes(n: int, percent: int = PERCENT) -> tuple[tuple[int, int], ...]:
+    """(band, most that a set of n may differ by in it): its own, and those of smaller sets that it may be linked with; none where
+    linked sets are equal."""
     edges = bands()
     own = int(np.searchsorted(edges, n, "right")) - 1
     out = [(own, most_apart(n, percent))]
@@ -116,101 +145,100 @@ def schemes(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
         high = edges[band + 1] - 1
         out.append((band, min(most_apart(high, percent), (high + n) * (100 - percent) // (100 + percent))))
         band -= 1
-    return out
+    return tuple(x for x in out if allocation(x[0], percent)[0])
 
 
-def keys_of(s: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np.ndarray]]:
-    """(band, c, keys) for each scheme of a set: any linked set shares more than c of the keys, if it publishes those of empty parts too.
+def keys_of(values: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+    """(set, band, budget, key) of the keys that sets publish, by set. Any two linked sets share more keys of a band than the larger
+    budget of both.
 
-    Keys of empty parts, and only they, are odd. Only sets that have too few others publish them.
+    A set of which m + q - lost keys remain (lost are those of parts without a shingle, and of neighbourhoods of a single one) shares
+    more than c = m + q - lost - D - 1 with each linked set, so the c weakest need not be met. Keys beyond `spare` of these are left out
+    here, those of the fewest shingles first, which both of a pair do in one order; the others are left out by their frequency.
+    Where too many are lost (c < 0) all are published, and those of another partition of the universe too: of two linked sets one has
+    enough in the first partition that either of them stops at, and there they meet. Sets that don't stop at any, about one in 10^10,
+    publish keys of their empty parts; these, and only these, are odd.
     """
+    told = [(i, band, apart, *allocation(band, percent)) for i, n in enumerate(np.diff(offsets).tolist()) if n for band, apart in schemes(n, percent)]
+    which, band, apart, m, q = np.array(told, "int64").reshape(-1, 5).T
+    room = np.array([spare(int(b), percent) for b in band], "int64")
+    x = mix(values + _U(0x5851F42D4C957F2D))
     out = []
-    if not len(s):
-        return out
-    x, place = _mix(s + np.uint64(0x5851F42D4C957F2D)), _mix(s) >> np.uint64(20)
-    for band, apart in schemes(len(s), percent):
-        m, q = allocation(band, percent)
-        if not m:
-            continue
-        seg = (place % np.uint64(m)).astype("int64")
-        order = np.argsort(seg, kind="stable")
-        present, first, size = np.unique(seg[order], return_index=True, return_counts=True)
-        sums = np.add.reduceat(x[order], first)
-        base = np.uint64((band + 1) * 0xA0761D6478BD642F % (1 << 64))
-        salt = lambda g: (g + 1).astype("uint64") * np.uint64(0xD6E8FEB86659FD93) + base
-        full = lambda x: _mix(x) & ~np.uint64(1)
-        keys = [full(sums ^ salt(present))]
-        single = (size == 1) & (present < q)
-        if q:
-            at = np.repeat(np.arange(len(present)), size)
-            drop = (present[at] < q) & (size[at] > 1)
-            keys.append(full((sums[at] - x[order])[drop] ^ salt(present[at][drop])))
-        empty = np.setdiff1d(np.arange(m), present, assume_unique=True)
-        lost = len(empty) + int((empty < q).sum()) + int(single.sum())
-        c = m + q - 1 - apart - lost
-        if c < 0:  # too few keys are left without those of empty parts
-            c += lost
-            nothing = np.concatenate([empty, present[single]])
-            keys += [_mix(salt(nothing)) | np.uint64(1), _mix(salt(empty[empty < q]) + np.uint64(1)) | np.uint64(1)]
-        out.append((band, c, np.concatenate(keys)))
-    return out
-
-
-def budgets(c: int, keys: np.ndarray) -> np.ndarray:
-    """For each key of a set up to which rank it may be left out, when the set's keys are ranked empty parts first, then by frequency.
-
-    A set that publishes keys of empty parts may leave out these only: a linked set that doesn't publish them is met by the others, and
-    one that does shares one of the others or more than c of these.
-    """
-    empty = (keys & np.uint64(1)).astype(bool)
-    return np.where(empty, c, 0) if empty.any() else np.full(len(keys), c)
+    for level in range(LEVELS):
+        size = (offsets[1:] - offsets[:-1])[which]
+        at, item = spread(offsets[:-1][which], size), np.repeat(np.arange(len(which)), size)
+        place = mix(values + _U(level)) >> _U(20)
+        part = (place[at] % m.astype("uint64")[item]).astype("int64") | item << 32
+        order = np.argsort(part)
+        part, at, item = part[order], at[order], item[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+        held = np.diff(np.append(first, len(part)))
+        own, seg = item[first], part[first] & 0xFFFFFFFF
+        sums = np.add.reduceat(x[at], first) if len(first) else np.empty(0, "uint64")
+        base = mix((band * LEVELS + level + 1).astype("uint64"))
+        salt = lambda i, g: (g + 1).astype("uint64") * _U(0xD6E8FEB86659FD93) + base[i]
+        full = lambda k: mix(k) & ~_U(1)
+        near = seg < q[own]
+        more = near & (held > 1)
+        each = np.repeat(np.arange(len(first)), held)
+        drop = more[each]
+        to = each[drop]
+        units = np.bincount(own, minlength=len(which)) + np.bincount(own[more], minlength=len(which))
+        c = units - apart - 1
+        keys = np.concatenate([full(sums ^ salt(own, seg)), full((sums[to] - x[at[drop]]) ^ salt(own[to], seg[to]))])
+        of, content = np.concatenate([own, own[to]]), np.concatenate([held, held[to] - 1])
+        rank = np.lexsort((keys, content, of))
+        keys, of = keys[rank], of[rank]
+        starts = np.cumsum(np.bincount(of, minlength=len(which)))
+        nth = np.arange(len(of)) - np.append(0, starts)[of]
+        stay = nth >= np.maximum(0, c - room)[of]
+        out.append((which[of[stay]], band[of[stay]], np.clip(c, 0, room)[of[stay]], keys[stay]))
+        failed = np.flatnonzero(c < 0)
+        if not len(failed):
+            break
+        which, band, apart, m, q, room = (z[failed] for z in (which, band, apart, m, q, room))
+        if level + 1 == LEVELS:
+            for i, f in enumerate(failed):
+                empty = np.setdiff1d(np.arange(m[i]), seg[own == f])
+                ghost = mix((empty + 1).astype("uint64") * _U(0xD6E8FEB86659FD93) + base[f]) | _U(1)
+                out.append((np.full(len(empty), which[i]), np.full(len(empty), band[i]), np.zeros(len(empty), "int64"), ghost))
+    cols = [np.concatenate(z) for z in zip(*out, strict=True)]
+    order = np.argsort(cols[0], kind="stable")
+    return tuple(z[order] for z in cols)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text) to (rid, n, set)."""
-    for batch in batches:
-        n, ids = [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text)
-            n.append(len(s))
-            ids.append(set_id(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["rid", "n", "set"])
-
-
-def _keys(batches: Iterator[pa.RecordBatch], percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(text) to (key, set, meta, salt): meta holds band, c and size; salt parts the rows of hot keys, and is -1 for others. Equal sets of
-    a task give their keys once, while it remembers them."""
-    seen: set[int] = set()
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype("int32")), pa.array(values))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(rid, text) to (rid, n, h1, h2, keys, metas): a meta holds a key's band, its budget there and the set's size."""
     for whole in batches:
-        for a in range(0, whole.num_rows, 500):
-            got: list[tuple[np.ndarray, int, np.ndarray]] = []
-            for text in whole.column(0).slice(a, 500).to_pylist():
-                s = shingles(text)
-                own = set_id(s)
-                if len(s) and own not in seen:
-                    if len(seen) >= _CACHE:
-                        seen.clear()
-                    seen.add(own)
-                    got += [(k, own, band << 55 | budgets(min(c, (1 << 24) - 1), k) << 31 | len(s)) for band, c, k in keys_of(s, percent)]
-            if got:
-                counts = [len(k) for k, _, _ in got]
-                cols = [np.concatenate([k for k, _, _ in got]).view("int64"), np.repeat(np.array([o for _, o, _ in got]), counts), np.concatenate([m for _, _, m in got])]
-                salt = np.where(np.isin(cols[0], hot), (cols[1] >> 20) & 63, -1) if len(hot) else np.full(len(cols[0]), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols, salt)], names=["key", "set", "meta", "salt"])
+        for a in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(a, ROWS)
+            values, offsets = shingle_lists(batch.column(1).to_pylist())
+            n = np.diff(offsets)
+            of, band, budget, keys = keys_of(values, offsets, percent)
+            metas = band << 55 | np.minimum(budget, (1 << 24) - 1) << 31 | n[of]
+            counts = np.bincount(of, minlength=len(n))
+            cols = [batch.column(0), *map(pa.array, (n, *set_ids(values, offsets))), _lists(keys.view("int64"), counts), _lists(metas, counts)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "n", "h1", "h2", "keys", "metas"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, text) to (set, shingles, parity sketch)."""
+    """(set, h1, h2, text) to (set, shingles, parity sketch, folded sketch) of the texts that have the set's hashes."""
     for whole in batches:
-        for a in range(0, whole.num_rows, 500):
-            batch = whole.slice(a, 500)
-            got = [shingles(t) for t in batch.column(1).to_pylist()]
-            offsets = np.cumsum([0] + [len(s) for s in got]).astype("int32")
-            values = np.concatenate(got) if got else np.empty(0, "uint64")
-            sketches = [np.packbits(np.bincount((_mix(s) % np.uint64(SKETCH)).astype("int64"), minlength=SKETCH) & 1).tobytes() for s in got]
-            cols = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view("int64"))), pa.array(sketches, pa.binary())]
-            folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches), "int64").reshape(len(got), -1, FOLDED), axis=1)
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(folded[:, i].copy()) for i in range(FOLDED)]], names=["set", "s", "sketch", *[f"f{i}" for i in range(FOLDED)]])
+        for a in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(a, ROWS)
+            values, offsets = shingle_lists(batch.column(3).to_pylist())
+            n, rows = np.diff(offsets), batch.num_rows
+            h1, h2 = set_ids(values, offsets)
+            right = pa.array((h1 == np.asarray(batch.column(1))) & (h2 == np.asarray(batch.column(2))))
+            bits = np.repeat(np.arange(rows), n) * SKETCH + (mix(values) % _U(SKETCH)).astype("int64")
+            sketches = np.packbits((np.bincount(bits, minlength=rows * SKETCH) & 1).astype("uint8").reshape(rows, SKETCH), axis=1)
+            folded = np.bitwise_xor.reduce(sketches.view("int64").reshape(rows, -1, FOLDED), axis=1)
+            cols = [batch.column(0), _lists(values.view("int64"), n), pa.array([x.tobytes() for x in sketches], pa.binary()), *[pa.array(folded[:, i].copy()) for i in range(FOLDED)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["set", "s", "sketch", *[f"f{i}" for i in range(FOLDED)]]).filter(right)
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -414,41 +442,51 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     `component` is the same for rows of one component only, and null for rows without words; ids may repeat or be null.
 
-    Null texts and texts without words have an empty set and are alone in their component. Equal sets are one node from the start, so
-    a hot group of copies costs its keys once a task. Near copies are joined in rounds: each set meets one set of another component, that
-    which most of its keys name. Pairs inside a component are never made, and all others that share a key are verified in the end, so
-    no link between components is missed. A null id is no candidate for the smallest. Extra columns are not read.
+    Null texts and texts without words have an empty set and are alone in their component; an empty table gives none. Equal sets are
+    one node from the start and publish their keys once, however many copies there are. Near copies are joined in rounds: each set meets
+    one set of another component, that which most of its keys name. Pairs inside a component are never made, and all others that share
+    a key are verified in the end, so no link between components is missed. A null id is no candidate for the smallest. Texts are read
+    whole; a task hashes ROWS of them at once. Extra columns are not read, whatever their names.
+
+    Shingles are told apart by 64-bit hashes, which matters within a pair only, and equal sets by 128 bits.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("rid")] if row_col else []))
     src = src if row_col else src.withColumn("rid", row_key("id", "text"))
-    ided = src.select(F.struct("id", "rid").alias("rid"), "text").mapInArrow(_sets, f"rid struct<id:{docs.schema[id_col].dataType.simpleString()},rid:long>, n long, set long")
-    members = scratch.save(ided.select("rid.id", "rid.rid", "n", "set"), "members")
-
-    keys = "key long, set long, meta long, salt long"
-    none = np.empty(0, "int64")
-    some = src.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(lambda it: _keys(it, percent, none), keys)
+    told = src.select(F.struct("id", "rid").alias("rid"), "text").mapInArrow(
+        lambda it: _sets(it, percent), f"rid struct<id:{docs.schema[id_col].dataType.simpleString()},rid:long>, n long, h1 long, h2 long, keys array<long>, metas array<long>"
+    )
+    # a row's number holds for the table that is written here; a set is named by the least number of its rows
+    members = scratch.save(told.select("rid.id", "rid.rid", "n", "h1", "h2", "keys", "metas", F.monotonically_increasing_id().alias("nid")), "members")
+    nodes = scratch.save(members.where("n > 0").groupBy("h1", "h2").agg(F.min("nid").alias("set"), F.min("id").alias("least")), "nodes")
+
+    firsts = members.where(F.size("keys") > 0).select(F.col("nid").alias("set"), "keys", "metas").join(nodes.select("set"), "set", "left_semi")
+    keyed = firsts.select("set", F.explode(F.arrays_zip("keys", "metas")).alias("x")).select(F.col("x.keys").alias("key"), "set", F.col("x.metas").alias("meta"))
+    some = members.where(F.pmod(F.xxhash64("h1", "h2"), F.lit(SAMPLED)) == 0).select("h1", "h2", F.explode("keys").alias("key")).distinct()
     hot = _told(some, "key", max(2, WIDE // SAMPLED))
-    keyed = src.select("text").mapInArrow(lambda it: _keys(it, percent, hot), keys)
-    by_key = Window.partitionBy("key", "salt")  # a hot key's rows are dealt by salt, and its parts are summed up after
-    shared = keyed.select("*", F.count("*").over(by_key).alias("g"), F.min("set").over(by_key).alias("lo"), F.max("set").over(by_key).alias("hi")).where("lo <> hi or salt >= 0")
-    shared = scratch.save(shared.select("key", "set", "meta", "g", "salt"), "shared")
+    by_key = ["key"]
+    if len(hot):  # at most TOLD keys; a hot key's rows are dealt by salt, and its parts are summed up after
+        known = F.broadcast(spark.createDataFrame([(int(k), True) for k in hot], "key long, hot boolean"))
+        keyed = keyed.join(known, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("set"), F.lit(64)))).drop("hot")
+        by_key.append("salt")
+    parts = Window.partitionBy(*by_key)
+    several = F.min("set").over(parts) != F.max("set").over(parts)
+    shared = keyed.select("*", F.count("*").over(parts).alias("g"), several.alias("several")).where(F.col("several") | F.col("salt").isNotNull() if len(hot) else F.col("several"))
+    shared = scratch.save(shared.drop("several"), "shared")
     if len(hot):
-        whole = shared.where("salt >= 0").groupBy("key").agg(F.count("*").alias("all"), (F.min("set") != F.max("set")).alias("several"))
-        shared = shared.join(whole, "key", "left").where("salt < 0 or several").withColumn("g", F.coalesce("all", "g"))
-    # of each set's shared keys in a band the c most frequent need not be met: the cheapest that two sets share is kept by both; of
-    # sets that publish keys of empty parts (odd) only those are left out
-    costly = Window.partitionBy("set", F.shiftright("meta", 55)).orderBy(F.desc(F.col("key").bitwiseAND(F.lit(1))), F.desc("g"), F.desc("key"))
+        whole = shared.where("salt is not null").groupBy("key").agg(F.count("*").alias("all"), (F.min("set") != F.max("set")).alias("several"))
+        shared = shared.join(whole, "key", "left").where("salt is null or several").withColumn("g", F.coalesce("all", "g"))
+    # of each set's shared keys in a band as many of the most frequent as it has to spare need not be met: both keep the cheapest
+    costly = Window.partitionBy("set", F.shiftright("meta", 55)).orderBy(F.desc("g"), F.desc("key"))
     budget = F.shiftright("meta", 31).bitwiseAND(F.lit((1 << 24) - 1))
     size = F.col("meta").bitwiseAND(F.lit((1 << 31) - 1))
     kept = shared.withColumn("r", F.row_number().over(costly)).where(F.col("r") > budget).select("key", "set", size.alias("n"))
     kept = scratch.save(kept, "kept")
     scratch.drop("shared")
 
-    nodes = kept.select("set").distinct()
-    first_rows = members.where("set is not null").groupBy("set").agg(F.min("rid").alias("rid")).join(nodes, "set", "left_semi")
-    texts = src.select("rid", "text").join(first_rows, "rid").select("set", "text")
+    met = members.select(F.col("nid").alias("set"), "rid", "h1", "h2").join(kept.select("set").distinct(), "set", "left_semi")
+    texts = src.select("rid", "text").join(met, "rid").select("set", "h1", "h2", "text")
     arrays = scratch.save(texts.mapInArrow(_arrays, "set long, s array<long>, sketch binary, " + ", ".join(f"f{i} long" for i in range(FOLDED))).dropDuplicates(["set"]), "arrays")
 
     apart, links, linked = kept.withColumn("component", F.col("set")), None, None
@@ -482,10 +520,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if linked is None or not rest.isEmpty():
         linked = components(spark, rest if links is None else links.union(rest), scratch, "all")
 
-    sets = members.where("set is not null").groupBy("set").agg(F.min("id").alias("least")).join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = sets.join(least, "component").select("set", "component", "component_id")
-    out = members.join(named, "set", "left")
+    named = nodes.join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("h1", "h2", F.lit(True).alias("words"), "component", "component_id")
+    out = members.select("id", "rid", "n", "h1", "h2", (F.col("n") > 0).alias("words")).join(named, ["h1", "h2", "words"], "left")
     row = [F.col("rid").alias(row_col), "component"] if row_col else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *row)
 
