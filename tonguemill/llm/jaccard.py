@@ -35,8 +35,8 @@ SKETCH, FOLDED = 4096, 8
 #: Rows of a key beyond which it is dealt over several tasks, and the share of sets (one in so many) and the number of keys or shingles
 #: from which such keys are told before they are met. What is told decides only where rows go, never which pairs are compared.
 WIDE, SAMPLED, TOLD = 2048, 64, 20_000
-#: Texts that are hashed at once.
-ROWS = 500
+#: Texts that are hashed at once, and pairs that a task remembers so as not to give them again.
+ROWS, GIVEN = 500, 500_000
 _U = np.uint64
 
 
@@ -299,7 +299,7 @@ def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             if ok.any():
                 x, y = ids[a[ok]], ids[b[ok]]
                 own = [p for p in set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) if p not in given]
-                if len(given) > _CACHE:
+                if len(given) > GIVEN:
                     given.clear()
                 given.update(own)
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in own], pa.int64()), pa.array([p[1] for p in own], pa.int64())], names=["a", "b"])
