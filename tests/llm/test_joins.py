@@ -7,10 +7,12 @@ import io
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 from tonguemill.llm import common, jaccard, packing, substrings, vectors, warc
 
@@ -250,12 +252,14 @@ def test_packing(spark):
     rows = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, piece int").repartition(7)
     path = P.path("byte_bpe_50k.json")
     got = packing.pack_documents(rows, path).collect()
-    tok, total, at = packing.WordTokenizer(path), 0, {}
+    tok, whole_tok, total, at = packing.WordTokenizer(path), Tokenizer.from_file(path), 0, {}
     for i, t in enumerate(texts):
         n = len(tok.encode([t or ""])[0]) // 4 + 1
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
         assert [r.length for r in own] == packing.cut_lengths(n) and [r.start for r in own] == list(itertools.accumulate([0] + [r.length for r in own]))[:-1]
         total += n
+        ids = whole_tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert [r.ids_crc32 for r in own] == [zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own]
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert at.get(r.sequence_id, 0) == r.offset
         at[r.sequence_id] = r.offset + r.length
@@ -266,6 +270,21 @@ def test_packing(spark):
     assert packing.pack_documents(rows.where("doc_id < 0"), path).count() == 0
 
 
+def test_packing_in_many_rounds_and_turns(spark, monkeypatch):
+    """Small turns, many underfull bins and repeated rows: every piece has a place of its own, and sequences are full but for few."""
+    monkeypatch.setattr(packing, "ITEMS", 40)
+    monkeypatch.setattr(packing, "FANOUT", 2)
+    rng = random.Random(5)
+    texts = ["the " * rng.choice([60, 200, 340, 350, 520, 700, 1100]) for _ in range(600)]
+    rows = spark.createDataFrame([(i % 500 if i % 7 else None, t.strip()) for i, t in enumerate(texts)], "doc_id int, text string").repartition(24)
+    got = packing.pack_documents(rows, P.path("byte_bpe_50k.json")).collect()
+    at, total = {}, sum(t.count("the") + 1 for t in texts)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert at.get(r.sequence_id, 0) == r.offset
+        at[r.sequence_id] = r.offset + r.length
+    assert sum(at.values()) == total and max(at.values()) <= 1024 and len(at) <= 1.1 * total / 1024 + 4
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(150, 16))

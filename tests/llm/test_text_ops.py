@@ -42,16 +42,26 @@ def test_bpe_empty_table(spark):
     assert bpe.decode_ids(bpe.encode_texts(docs(spark, []), path), path).count() == 0
 
 
+def test_bpe_ids_of_odd_rows(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [0, 1]), (3, [0, 1])], "doc_id long, ids array<int>")
+    assert [bytes(r.decoded) for r in bpe.decode_ids(rows, path).orderBy("doc_id").collect()] == [b"", b"", b'!"', b'!"']
+
+
 def test_bpe_query_digests(spark, data):
-    row = registry.QUERIES["op2_byte_bpe"](spark, data).orderBy("doc_id").first()
-    text = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").first().text
-    ids = bpe.encoder(P.path("byte_bpe_50k.tiktoken")).encode(text)
-    assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = registry.QUERIES["op2_byte_bpe"](spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        ids = want.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
 def test_word_tokenizer_is_exact(odd_texts):
     path = P.path("byte_bpe_50k.json")
-    whole, texts = Tokenizer.from_file(path), [t or "" for t in odd_texts] + ["a <|endoftext|> b", "the cat sat\non the mat"] * 2
+    whole, texts = Tokenizer.from_file(path), [t or "" for t in odd_texts] + ["a <|endoftext|> b", "the cat sat\non the mat", "it's\n'tis 's\nx 42\n42", "\nx", "x\n", "a\n\nb"] * 2
     got = packing.WordTokenizer(path).encode(texts)
     assert [list(memoryview(g).cast("i")) for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 

@@ -14,15 +14,12 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import table, worker_cache
-
-#: Entries of the word cache of a Python worker, in each of two generations.
-CACHE_WORDS = 400_000
-
+from tonguemill.llm.common import WordCoder, spread, table, worker_cache
 
 class BytePairEncoder:
     """Ranks of a vocabulary file with the tables for backtracking: how each token was merged, and its next shorter prefix token."""
@@ -35,7 +32,9 @@ class BytePairEncoder:
         self.text: list[str] = [""] * n
         for t, i in self.ids.items():
             self.text[i] = t
-        self.bytes = [t.encode("latin-1") for t in self.text]
+        self.flat = np.frombuffer("".join(self.text).encode("latin-1"), "uint8")  # the bytes of all tokens
+        self.sizes = np.fromiter(map(len, self.text), "int64", n)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
@@ -55,8 +54,7 @@ class BytePairEncoder:
                         break
                     a = self.shorter[a]
         self.fits.clear()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.encode_packed = WordCoder(lambda texts: [self._whole(t) for t in texts]).encode
 
     def _prefix(self, t: str) -> int:
         for k in range(len(t) - 1, 0, -1):
@@ -128,47 +126,21 @@ class BytePairEncoder:
             fits.clear()
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
+        for piece in self.pattern.findall(text):
             ids += self.encode_bytes(piece.encode("utf-8", "surrogatepass").decode("latin-1"))
         return np.array(ids, "<i4").tobytes()
 
-    def encode_packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers. Equal chunks are encoded once while the cache holds them."""
-        out = []
-        for chunk in chunks(text):
-            packed = self.new.get(chunk)
-            if packed is None:
-                packed = self.old.get(chunk)
-                if packed is None:
-                    packed = self._chunk(chunk)
-                if len(chunk) < 64:
-                    if len(self.new) >= CACHE_WORDS:
-                        self.old, self.new = self.new, {}
-                    self.new[chunk] = packed
-            out.append(packed)
-        return b"".join(out)
-
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return np.frombuffer(self.encode_packed([text])[0], "<i4").tolist()
 
-
-def chunks(text: str) -> list[str]:
-    """Pieces of a text, each a whole number of pattern matches: cut before blanks where all white space is single.
-
-    A match never crosses such a blank, and a match that ends there doesn't depend on what follows. Other texts are one chunk.
-    """
-    if not text:
-        return []
-    plain = text.replace("\n", " ")
-    if " ".join(plain.split()) != plain:
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, where each text ends) of several texts' ids."""
+        sizes = self.sizes[ids]
+        ends = np.append(0, np.cumsum(sizes))
+        return self.flat[spread(self.starts[ids], sizes)], ends[np.cumsum(counts)]
 
 
 def encoder(path: str) -> BytePairEncoder:
@@ -184,7 +156,8 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of the whole text in place of the text; null is the empty text. Row by row: no key, no shuffle.
 
-    Columns of the input stay, but for the text and any named like the ids.
+    Repeated rows are encoded each, very long texts whole; an empty table gives none. Columns of the input stay, but for the text and
+    any named like the ids.
     """
     keep = [c for c in docs.columns if c not in (text_col, ids_col)]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{ids_col}` array<int>"])
@@ -192,8 +165,8 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for whole in batches:
-            for batch in _slices(whole, 500):
-                packed = [bpe.encode_packed(t or "") for t in batch.column(len(keep)).to_pylist()]
+            for batch in _slices(whole, 200):
+                packed = bpe.encode_packed([t or "" for t in batch.column(len(keep)).to_pylist()])
                 offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype("int32")
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=[*keep, ids_col])
@@ -202,16 +175,20 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
 
 
 def decode_ids(docs: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """docs with the bytes of the ids added; null ids give no bytes."""
+    """docs with the bytes of the ids added; null and empty ids give no bytes. Row by row: repeated rows are decoded each, an empty
+    table gives none. A column of the input named like the bytes is replaced."""
     keep = [c for c in docs.columns if c != bytes_col]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{bytes_col}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for whole in batches:
-            for batch in _slices(whole, 500):
-                got = [bpe.decode(ids or []) for ids in batch.column(keep.index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*keep, bytes_col])
+            for batch in _slices(whole, 200):
+                lists = batch.column(keep.index(ids_col))
+                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), "int64")
+                data, ends = bpe.decode(np.asarray(lists.flatten()), counts)
+                got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, got.cast(pa.binary())], names=[*keep, bytes_col])
 
     return docs.select(*keep).mapInArrow(run, schema)
 

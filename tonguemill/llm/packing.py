@@ -19,76 +19,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from tonguemill.llm.common import Scratch, table, worker_cache
+from tonguemill.llm.common import Scratch, WordCoder, table, worker_cache
 
 LENGTH, END_ID = 1024, 2
 #: Bins with no more room than this leave the rounds.
 NEARLY_FULL = 4
 #: Items that one task packs at once; more are packed in turns, and more open bins than this are dealt over more tasks.
 ITEMS = 100_000
-CACHE_WORDS = 400_000
+#: Partitions whose underfull bins meet in one of the next round.
+FANOUT = 8
 
 
 class WordTokenizer:
-    """Ids of the tokenizers library, packed as little-endian 32-bit integers, with a cache of blank-separated chunks.
-
-    Where all white space is single, the library's pre-tokenizer never joins what stands on both sides of a blank, so chunks are
-    encoded by themselves, all new ones of a batch in one call. Other texts are encoded whole.
-    """
+    """Ids of the tokenizers library, packed as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        marks = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content for t in marks]
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = np.zeros(self.tokenizer.get_vocab_size(), "int64")
-        for t, i in vocab.items():
+        for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.width[i] = len(t)  # one character of the vocabulary is one byte
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.encode = WordCoder(self._texts, self._words, lambda t: any(s in t for s in special)).encode
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
         """Encodes the words joined, in stretches, and cuts the ids where the bytes of a word end."""
+        out: list[bytes] = []
         for a in range(0, len(words), 2000):
             own = words[a : a + 2000]
-            (ids,) = self._ids(["".join(own)])
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) for w in own])) + 1
-            packed, last = ids.tobytes(), 0
-            for w, end in zip(own, ends.tolist(), strict=True):
-                self.new[w] = packed[4 * last : 4 * end]
+            (packed,) = self._texts(["".join([" " + w for w in own])])
+            ends = np.searchsorted(np.cumsum(self.width[np.frombuffer(packed, "<i4")]), np.cumsum([len(w.encode()) + 1 for w in own])) + 1
+            last = 0
+            for end in ends.tolist():
+                out.append(packed[4 * last : 4 * end])
                 last = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        new, old = self.new, self.old
-        for t in texts:
-            plain = t.replace("\n", " ")
-            if not t or "\0" in t or " ".join(plain.split()) != plain or any(s in t for s in self.special):
-                split.append(None)
-                continue
-            own = (" " + t).replace(" ", "\0 ").split("\0")[1:]
-            own[0] = own[0][1:]
-            split.append(own)
-            for w in own:
-                if w not in new:
-                    if w in old:
-                        new[w] = old[w]
-                    else:
-                        missing[w] = None
-        # a first word has no blank before it, so it is encoded by itself
-        plain_words = [w for w in missing if w[0] == " "]
-        self._learn(plain_words)
-        rest = [w for w in missing if w not in new]
-        for w, ids in zip(rest, self._ids(rest) if rest else [], strict=True):
-            new[w] = ids.tobytes()
-        whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
-        out = [b"".join(map(new.__getitem__, s)) if s is not None else next(whole).tobytes() for s in split]
-        if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
         return out
 
 
@@ -125,9 +91,13 @@ class BestFit:
         self.open, self.room = {}, 0
         return out
 
+    def roomy(self, most: int) -> set[int]:
+        return {b for left, bins in self.open.items() if left > most for b in bins}
 
-def _first_bin() -> int:
-    return TaskContext.get().partitionId() << 36
+
+def _first_bin(round_: int) -> int:
+    """Bins of all tasks of all rounds have numbers of their own."""
+    return round_ << 57 | TaskContext.get().partitionId() << 36
 
 
 def cut_lengths(n: int, length: int = LENGTH) -> list[int]:
@@ -136,27 +106,34 @@ def cut_lengths(n: int, length: int = LENGTH) -> list[int]:
     return [first] * (first > 0) + [length] * full
 
 
-PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, bin long, at long"
+PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, bin long, at long, open boolean"
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, length: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows of pieces with their bin and place, and rows of underfull bins (piece -1, length: their fill)."""
-    tok, fit = word_tokenizer(path), BestFit(length, _first_bin())
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at"]
-    kinds = [id_type, pa.int32(), *[pa.int64()] * 5]
+    """Rows of pieces with their bin and place and whether the bin may have room, and rows of underfull bins (piece -1, length: their
+    fill)."""
+    tok, fit = word_tokenizer(path), BestFit(length, _first_bin(0))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "open"]
+    kinds = [id_type, pa.int32(), *[pa.int64()] * 5, pa.bool_()]
     rows: list[tuple] = []
     small: list[int] = []  # rows to pack
 
     def give(done: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [[]] * 7, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [[]] * 8, kinds, strict=True)], names=names)
 
     def pack() -> Iterator[pa.RecordBatch]:
         small.sort(key=lambda i: -rows[i][3])
         for i in small:
             rows[i] += fit.put(rows[i][3])
-        yield give(rows)
+        roomy = fit.roomy(NEARLY_FULL)
+        yield give([(*r, r[5] in roomy) for r in rows])
         rows.clear()
         small.clear()
+        if len(roomy) > ITEMS:
+            yield left()
+
+    def left() -> pa.RecordBatch:
+        return give([(None, -1, None, n, None, b, None, None) for b, n in fit.close(NEARLY_FULL)])
 
     for whole in batches:
         for a in range(0, whole.num_rows, 500):
@@ -178,13 +155,12 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, length: int, i
                 yield from pack()
     if rows:
         yield from pack()
-    left = fit.close(NEARLY_FULL)
-    yield give([(None, -1, None, n, None, b, None) for b, n in left])
+    yield left()
 
 
-def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], length: int, round_: int) -> Iterator[pa.RecordBatch]:
     """Items (bin, fill) to rows (bin, parent, at), and rows of the underfull parents (bin null, at: their fill)."""
-    fit = BestFit(length, _first_bin())
+    fit = BestFit(length, _first_bin(round_))
 
     def give(own: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*own, strict=True) if own else [[]] * 3)], names=["bin", "parent", "at"])
@@ -192,22 +168,33 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     def pack(items: list[tuple[int, int]]) -> pa.RecordBatch:
         return give([(b, *fit.put(n)) for n, b in sorted(((n, b) for b, n in items), reverse=True)])
 
+    def left() -> pa.RecordBatch:
+        return give([(None, b, n) for b, n in fit.close(NEARLY_FULL)])
+
     items: list[tuple[int, int]] = []
     for batch in batches:
         items += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
         if len(items) >= ITEMS:
             yield pack(items)
             items = []
+            if len(fit.roomy(NEARLY_FULL)) > ITEMS:
+                yield left()
     yield pack(items)
-    yield give([(None, b, n) for b, n in fit.close(NEARLY_FULL)])
+    yield left()
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is the ids of its whole text and END_ID; null and empty texts are END_ID alone. Documents of over `length` ids are
-    cut, the rest stay whole. Repeated rows are packed each. Tasks hold at most ITEMS rows and their open bins; no key is involved,
-    so none can be hot. The driver gets counts only.
+    cut, the rest stay whole. Repeated rows are packed each, also those without id; an empty table gives no rows. Extra columns are not
+    read, whatever their names. No key is involved, so none can be hot. The driver gets counts only.
+
+    A task packs ITEMS pieces at once and keeps its open bins for the next ones, so its rows are in the best order by such turns only.
+    A bin leaves the rounds when it is nearly full or has no room for the emptiest of all others. Rounds go up to a single task; only
+    where more than ITEMS bins are left do they stay dealt over several, and end with one that saves less than 1 % of these bins.
+    Each round is written to the shared folder; the chain of bins is resolved before the pieces are joined with it, once, and
+    only the pieces in bins that had room.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -216,22 +203,31 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     packed = scratch.save(rows.mapInArrow(lambda it: _pack_partition(it, path, length, kind), PIECES.format(id=id_type.simpleString())), "pieces")
     items = packed.where("piece = -1").select("bin", F.col("length").alias("fill"))
-    n, parts = items.agg(F.count("*"), F.countDistinct(F.shiftright("bin", 36))).first()
-    # bin of a round -> the bin of the next that took it
-    place = packed.where("piece >= 0").select("doc_id", "piece", "start", "length", "ids_crc32", F.struct(F.lit(0).alias("round"), "bin").alias("sequence"), F.col("at").alias("offset"))
-    k = 0
+    n, least, parts = items.agg(F.count("*"), F.min("fill"), F.countDistinct(F.shiftright("bin", 36))).first()
+    up, k = None, 0  # bin of the first round -> the bin that it is in at last, and its place there
     while n > 1:
-        k += 1
-        parts = max(1, parts // 8, -(-n // ITEMS))
-        merged = scratch.save(items.repartition(parts).mapInArrow(lambda it: _merge(it, length), "bin long, parent long, at long"), f"round{k}")
-        up = merged.where("bin is not null").select(F.struct(F.lit(k - 1).alias("round"), "bin").alias("sequence"), F.struct(F.lit(k).alias("round"), F.col("parent").alias("bin")).alias("up"), "at")
-        place = place.join(up, "sequence", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("up", "sequence").alias("sequence"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"))
+        k, before = k + 1, parts
+        parts = max(1, parts // FANOUT, -(-n // ITEMS))
+        items = items.where(F.col("fill") + least <= length).repartition(parts, F.xxhash64("bin", F.lit(k)))
+        merged = scratch.save(items.mapInArrow(lambda it, r=k: _merge(it, length, r), "bin long, parent long, at long"), f"round{k}")
+        links = merged.where("bin is not null")
+        if up is None:
+            up = links
+        else:
+            links = links.select(F.col("bin").alias("parent"), F.col("parent").alias("next"), F.col("at").alias("more"))
+            up = up.join(links, "parent", "left").select("bin", F.coalesce("next", "parent").alias("parent"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"))
         items = merged.where("bin is null").select(F.col("parent").alias("bin"), F.col("at").alias("fill"))
-        before, n = n, items.count()
-        if parts == 1 or n > 0.99 * before:
+        had = n
+        n, least = items.agg(F.count("*"), F.min("fill")).first()
+        if before == 1 or parts == 1 or (parts >= before and n > 0.99 * had):
             break
-    # rounds number their bins alike: the round is the last digit
-    return place.select(F.col("doc_id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("sequence.bin") * 16 + F.col("sequence.round")).alias("sequence_id"), "offset")
+    pieces = packed.where("piece >= 0").select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "open")
+    placed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+    if up is not None:
+        moved = pieces.where("open").join(up.select("bin", "parent", F.col("at").alias("more")), "bin", "left")
+        moved = moved.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("parent", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("offset"))
+        placed = pieces.where("not open").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset")).union(moved)
+    return placed.withColumnRenamed("doc_id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
