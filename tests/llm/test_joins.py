@@ -252,7 +252,7 @@ def test_packing(spark):
     rows = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, piece int").repartition(7)
     path = P.path("byte_bpe_50k.json")
     got = packing.pack_documents(rows, path).collect()
-    tok, whole_tok, total, at = packing.WordTokenizer(path), Tokenizer.from_file(path), 0, {}
+    tok, whole_tok, total, at = packing.TextIds(path), Tokenizer.from_file(path), 0, {}
     for i, t in enumerate(texts):
         n = len(tok.encode([t or ""])[0]) // 4 + 1
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)

@@ -111,7 +111,7 @@ def test_run_matches_brute_force(spark, data, tmp_path, monkeypatch):
         assert kept[name] == set(want.items())
         assert before.keys() - {i for i, _ in kept[name]} == before.keys() - want.keys()
     assert texts.keys() - lang.keys() == {20_000, 20_001} and {20_002, 20_003, 20_006} <= lang.keys() - quality.keys() and 20_005 in quality.keys() - near.keys() and gone[20_007].any()
-    tok, want = packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json")), []
+    tok, want = packing.TextIds(public_tokenizers.path("byte_bpe_50k.json")), []
     for i, t in cut.items():
         lengths = packing.cut_lengths(len(tok.encode([t])[0]) // 4 + 1)
         want += [(i, k, sum(lengths[:k]), n) for k, n in enumerate(lengths)]

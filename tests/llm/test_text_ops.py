@@ -59,10 +59,11 @@ def test_bpe_query_digests(spark, data):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
-def test_word_tokenizer_is_exact(odd_texts):
+def test_text_ids_are_exact(odd_texts):
     path = P.path("byte_bpe_50k.json")
     whole, texts = Tokenizer.from_file(path), [t or "" for t in odd_texts] + ["a <|endoftext|> b", "the cat sat\non the mat", "it's\n'tis 's\nx 42\n42", "\nx", "x\n", "a\n\nb"] * 2
-    got = packing.WordTokenizer(path).encode(texts)
+    got = packing.TextIds(path).encode(texts)
+    assert packing.TextIds(path).fast and not packing.TextIds(P.path("word_bpe_49k.json")).fast
     assert [list(memoryview(g).cast("i")) for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 

@@ -8,6 +8,7 @@ are memoised and places that led nowhere are marked, so the work is linear in th
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,7 +20,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import WordCoder, spread, table, worker_cache
+from tonguemill.llm.common import spread, table, worker_cache
+
+#: Entries of a Python worker's caches of words (in each of two generations) and pieces.
+CACHE_WORDS = 300_000
+
 
 class BytePairEncoder:
     """Ranks of a vocabulary file with the tables for backtracking: how each token was merged, and its next shorter prefix token."""
@@ -54,7 +59,10 @@ class BytePairEncoder:
                         break
                     a = self.shorter[a]
         self.fits.clear()
-        self.encode_packed = WordCoder(lambda texts: [self._whole(t) for t in texts]).encode
+        self.pieces: dict[str, list[int]] = {}
+        self.inner: dict[str, bytes] = {}  # words with a blank before them
+        self.old: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # words at the start of a line
 
     def _prefix(self, t: str) -> int:
         for k in range(len(t) - 1, 0, -1):
@@ -129,9 +137,57 @@ class BytePairEncoder:
     def _whole(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         ids: list[int] = []
+        pieces = self.pieces
         for piece in self.pattern.findall(text):
-            ids += self.encode_bytes(piece.encode("utf-8", "surrogatepass").decode("latin-1"))
-        return np.array(ids, "<i4").tobytes()
+            own = pieces.get(piece)
+            if own is None:
+                own = self.encode_bytes(piece.encode("utf-8", "surrogatepass").decode("latin-1"))
+                if len(piece) < 64:
+                    if len(pieces) >= CACHE_WORDS:
+                        pieces.clear()
+                    pieces[piece] = own
+            ids += own
+        return array("i", ids).tobytes()
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, put together from those of their words, which are kept.
+
+        Where all white space is single blanks and line ends, a match of the pattern never holds what stands on both sides of a blank or
+        a line end, and a blank goes with the word that follows it. Other texts are encoded whole.
+        """
+        split: list[list[list[str]] | None] = []
+        heads: set[str] = set()
+        rest: set[str] = set()
+        for t in texts:
+            plain = t.replace("\n", " ")
+            if not t or " ".join(plain.split()) != plain:
+                split.append(None)
+                continue
+            own = [x.split(" ") for x in t.split("\n")]
+            split.append(own)
+            for ws in own:
+                heads.add(ws[0])
+                rest.update(ws)
+        inner, first, old = self.inner, self.first, self.old
+        for w in rest.difference(inner):
+            inner[w] = old.get(w) or self._whole(" " + w)
+        for w in heads.difference(first):
+            first[w] = self._whole(w)
+        line_end, known, out = self._whole("\n"), inner.__getitem__, []
+        for t, own in zip(texts, split, strict=True):
+            if own is None:
+                out.append(self._whole(t))
+                continue
+            parts = []
+            for ws in own:
+                parts += (line_end, first[ws[0]])
+                parts += map(known, ws[1:])
+            out.append(b"".join(parts[1:]))
+        if len(inner) > CACHE_WORDS:
+            self.old, self.inner = inner, {}
+        if len(first) > CACHE_WORDS // 4:
+            self.first = {}
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], "<i4").tolist()

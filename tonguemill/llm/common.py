@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,58 +66,6 @@ def utf8(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-class WordCoder:
-    """Packed ids of texts put together from those of their words, kept in two generations of `most` words each.
-
-    Where all white space is single blanks and line ends, byte-level pre-tokenizers never join what stands on both sides of a blank or
-    a line end, and a blank goes with the word that follows it. Other texts, and those that `odd` names, are encoded whole.
-    `texts` gives the ids of texts, and `words` those of words with a blank before each.
-    """
-
-    def __init__(self, texts: Callable[[list[str]], list[bytes]], words: Callable[[list[str]], list[bytes]] | None = None, odd: Callable[[str], bool] = lambda t: False, most: int = 400_000):
-        self.texts, self.words, self.odd, self.most = texts, words or (lambda ws: texts([" " + w for w in ws])), odd, most
-        self.inner: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        (self.line_end,) = texts(["\n"])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lines: list[list[list[str]] | None] = []
-        heads, rest = set(), set()
-        for t in texts:
-            plain = t.replace("\n", " ")
-            if not t or " ".join(plain.split()) != plain or self.odd(t):
-                lines.append(None)
-                continue
-            own = [x.split(" ") for x in t.split("\n")]
-            lines.append(own)
-            for ws in own:
-                heads.add(ws[0])
-                rest.update(ws)
-        for store, old, seen, learn in ((self.first, {}, heads, self.texts), (self.inner, self.old, rest, self.words)):
-            missing = seen.difference(store)
-            store.update((w, old[w]) for w in missing & old.keys())
-            new = [w for w in missing if w not in store]
-            store.update(zip(new, learn(new) if new else [], strict=True))
-        whole = iter(self.texts([t for t, own in zip(texts, lines, strict=True) if own is None]))
-        inner, first = self.inner.__getitem__, self.first
-        out = []
-        for own in lines:
-            if own is None:
-                out.append(next(whole))
-                continue
-            parts = []
-            for ws in own:
-                parts += (self.line_end, first[ws[0]])
-                parts += map(inner, ws[1:])
-            out.append(b"".join(parts[1:]))
-        if len(self.inner) > self.most:
-            self.old, self.inner = self.inner, {}
-        if len(self.first) > self.most // 4:
-            self.first = {}
-        return out
-
-
 def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ..., as many as counts[0], then those from first[1], and so on."""
     ends = np.cumsum(counts)

@@ -7,19 +7,21 @@ offsets on its way up.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from tonguemill.llm.common import Scratch, WordCoder, table, worker_cache
+from tonguemill.llm.common import Scratch, table, worker_cache
 
 LENGTH, END_ID = 1024, 2
 #: Bins with no more room than this leave the rounds.
@@ -30,36 +32,44 @@ ITEMS = 100_000
 FANOUT = 8
 
 
-class WordTokenizer:
-    """Ids of the tokenizers library, packed as little-endian 32-bit integers."""
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next from U+0100 on."""
+    seen = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in seen} | {chr(0x100 + i): b for i, b in enumerate(sorted(set(range(256)) - set(seen)))}
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.width = np.zeros(self.tokenizer.get_vocab_size(), "int64")
-        for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.width[i] = len(t)  # one character of the vocabulary is one byte
-        self.encode = WordCoder(self._texts, self._words, lambda t: any(s in t for s in special)).encode
-
-    def _texts(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Encodes the words joined, in stretches, and cuts the ids where the bytes of a word end."""
-        out: list[bytes] = []
-        for a in range(0, len(words), 2000):
-            own = words[a : a + 2000]
-            (packed,) = self._texts(["".join([" " + w for w in own])])
-            ends = np.searchsorted(np.cumsum(self.width[np.frombuffer(packed, "<i4")]), np.cumsum([len(w.encode()) + 1 for w in own])) + 1
-            last = 0
-            for end in ends.tolist():
-                out.append(packed[4 * last : 4 * end])
-                last = end
-        return out
 
+class TextIds:
+    """Ids of the tokenizers library for whole texts, as little-endian 32-bit integers.
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    return worker_cache(("packing", path), lambda: WordTokenizer(path))
+    A byte-level BPE without further settings, whose merges stand in the order of their ids, is what the tiktoken library computes too,
+    in a quarter of the time, from the same vocabulary; it is then used for texts that hold no special token. All else goes to tokenizers.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model, cut = told["model"], told["pre_tokenizer"] or {}
+        vocab = model["vocab"]
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain &= cut.get("type") == "ByteLevel" and cut.get("use_regex", False) and not cut.get("add_prefix_space", True) and not told["normalizer"] and not told["truncation"] and not told["padding"]
+        merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]] if plain else []
+        self.fast = None
+        if plain and -1 not in merged and merged == sorted(set(merged)):
+            byte = byte_characters()
+            ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if t not in self.special}
+            self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        slow = [t for t in texts if not self.fast or any(s in t for s in self.special)]
+        whole = iter([e.ids for e in self.tokenizer.encode_batch_fast(slow, add_special_tokens=False)])
+        left = set(slow)
+        return [array("i", next(whole) if t in left else self.fast.encode_ordinary(t)).tobytes() for t in texts]
+
+
+def text_ids(path: str) -> TextIds:
+    return worker_cache(("packing", path), lambda: TextIds(path))
 
 
 class BestFit:
@@ -112,7 +122,7 @@ PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, bin l
 def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, length: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Rows of pieces with their bin and place and whether the bin may have room, and rows of underfull bins (piece -1, length: their
     fill)."""
-    tok, fit = word_tokenizer(path), BestFit(length, _first_bin(0))
+    tok, fit = text_ids(path), BestFit(length, _first_bin(0))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "open"]
     kinds = [id_type, pa.int32(), *[pa.int64()] * 5, pa.bool_()]
     rows: list[tuple] = []
