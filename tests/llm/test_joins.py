@@ -221,7 +221,7 @@ def test_substrings_many_repeated_rows(spark, monkeypatch):
     def counted(batches, length, keep, cleaned):
         def tap():
             for b in batches:
-                seen.add(sum(len(x or []) for x in b.column(len(keep) + 2).to_pylist()))
+                seen.add(sum(len(x or []) for x in b.column(len(keep) + 3).to_pylist()))
                 yield b
         return resolve(tap(), length, keep, cleaned)
 
@@ -232,6 +232,14 @@ def test_substrings_many_repeated_rows(spark, monkeypatch):
     assert seen.value < 50 * 46 + 66  # at most a note for each window of a row
 
 
+def test_substrings_keep_of_result_names_and_long_text(spark):
+    long = [f"l{i}" for i in range(120_000)]
+    texts = [" ".join(long), " ".join(["x", *long[50_000:50_040], "y"]), None]
+    rows = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
+    got = substrings.remove_repeats(rows, keep=["n_words", "doc_id"]).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(120_000, 40), (42, 40), (0, 0)] and got[1].cleaned == "x y"
+
+
 def test_automaton_counts_sequences():
     rng = random.Random(9)
     for _ in range(200):
@@ -309,6 +317,34 @@ def test_vectors(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_recall_with_production_settings(spark, data):
+    """The index is in play on the smallest table, and finds at least 0.9 of what brute force finds near the threshold."""
+    own, rng, seen, fit = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect(), np.random.default_rng(3), [], vectors.fit
+    x = np.array([r.embedding for r in own], "float64")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9802, 0.999, (len(x), 1))
+    u = np.concatenate([x, c * x + (1 - c**2) ** 0.5 * side])
+    labels = np.array([r.label for r in own] * 2)
+    rows = spark.createDataFrame([(i, v.tolist(), int(b), "x") for i, (v, b) in enumerate(zip(u, labels))], "vec_id long, embedding array<double>, label int, component_id string")
+
+    def noted(*a):
+        seen.append(fit(*a))
+        return seen[-1]
+
+    vectors.fit = noted
+    got = vectors.link_vectors(rows).collect()
+    vectors.fit = fit
+    near = (u @ u.T >= 0.98) & (labels[:, None] == labels)
+    own = rows.collect()
+    recall = sum(r.n_links for r in got) / (near.sum() - len(own))
+    cells = len(seen[0].left) * len(seen[0].right)
+    print(f"recall {recall:.4f}, {cells} cells, {seen[0].visits} visits")
+    assert recall >= 0.9 and cells >= 16 > seen[0].visits
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(2)
     a, b = rng.random(7), rng.random(5)

@@ -38,6 +38,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    while len(_powers[0]) < n:
+        for k, base in enumerate((_STEP, _BACK)):
+            _powers[k] = np.append(_powers[k], _powers[k] * np.uint64(pow(base, len(_powers[k]), 1 << 64)))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k words, from the words' hashes."""
+    if len(h) < k:
+        return np.empty(0, "uint64")
+    up, down = powers(len(h))
+    sums = np.append(np.uint64(0), np.cumsum(h * up))
+    return mix((sums[k:] - sums[:-k]) * down[: len(h) - k + 1])
+
+
 def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the words of all texts, in order; how many words each text has). Words are what bytes.split() gives.
 
@@ -52,11 +69,9 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _STRETCH, "right")))
         a, b = int(start[i]), int(end[j - 1])
-        while len(_powers[0]) < b - a:
-            for k, base in enumerate((_STEP, _BACK)):
-                _powers[k] = np.append(_powers[k], _powers[k] * np.uint64(pow(base, len(_powers[k]), 1 << 64)))
-        sums = np.append(np.uint64(0), np.cumsum(_LETTER[data[a:b]] * _powers[0][: b - a]))
-        out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * _powers[1][start[i:j] - a]
+        up, down = powers(b - a)
+        sums = np.append(np.uint64(0), np.cumsum(_LETTER[data[a:b]] * up))
+        out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * down[start[i:j] - a]
         i = j
     bounds = np.append(0, np.cumsum(np.fromiter(map(len, raw), "int64", len(raw)) + 1))
     return mix(out), np.diff(np.searchsorted(start, bounds))

@@ -15,51 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import Scratch, row_key, table, worker_cache
+from tonguemill.llm.common import BLANKS, Scratch, mix, row_key, run_hashes, spread, table, utf8, word_hashes
 
 #: Words of a window, and of the runs whose hashes select its minimizer.
 LENGTH, RUN = 35, 6
 #: Distinct contexts of a minimizer beyond which its windows are counted by Spark's aggregation, exactly, instead of in one automaton.
 SHARD = 1000
-_CACHE = 500_000
-_P = np.uint64(0x9E3779B97F4A7C15)
+#: Texts that are hashed at once, and what a task remembers so as not to give it again.
+ROWS, GIVEN = 500, 500_000
 WHOLE, PART, WHOLE_TOLD, PART_HOT, WHOLE_HOT = range(5)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) < 64:
-            if len(self) >= _CACHE:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_BLANKS = " \t\n\x0b\x0c\r"
-_TO_BLANK = {ord(c): " " for c in _BLANKS}
-
-
-def split_words(text: str | None) -> list[str]:
-    """Runs of characters that are none of the six ASCII blanks."""
-    return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
-
-
-def _rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of k words."""
-    s = h[: len(h) - k + 1].copy()
-    for i in range(1, k):
-        s = s * _P + h[i : len(h) - k + 1 + i]
-    return _mix(s)
+_TO_BLANK = {c: " " for c in BLANKS}
+_U = np.uint64
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -72,58 +41,59 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def contexts(words: list[str], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(minimizer, hash of the words, first window, windows, times) of each stretch of windows with one minimizer.
+def contexts(raw: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, minimizer, hash of the words, first window, windows, times) of each stretch of a text's windows with one minimizer.
 
     Stretches in which a window stands twice are cut into single windows; of equal ones the first is given, with how often it stands.
     """
-    h = np.fromiter(map(worker_cache("substrings", _WordHashes).__getitem__, words), "uint64", len(words))
-    least = _window_min(_rolling(h, RUN), length - RUN + 1)
-    win = _rolling(h, length)
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    n = np.diff(np.append(starts, len(least)))
-    cut = None
-    if len(np.unique(win)) < len(win):
-        stretch = np.repeat(np.arange(len(starts)), n)
-        order = np.lexsort((win, stretch))
-        same = (win[order][1:] == win[order][:-1]) & (stretch[order][1:] == stretch[order][:-1])
-        cut = np.zeros(len(starts), bool)
-        cut[stretch[order][1:][same]] = True
-        starts = np.flatnonzero(np.isin(np.arange(len(least)), starts) | cut[stretch])
-        n = np.diff(np.append(starts, len(least)))
+    h, n_words = word_hashes(raw)
+    windows = np.maximum(n_words - length + 1, 0)
+    if not windows.sum():
+        return tuple(np.empty(0, "int64") for _ in range(6))
+    at = spread(np.cumsum(n_words) - n_words, windows)
+    text, nth = np.repeat(np.arange(len(raw)), windows), at - np.repeat(np.cumsum(n_words) - n_words, windows)
+    least, win = _window_min(run_hashes(h, RUN), length - RUN + 1)[at], run_hashes(h, length)[at]
+    begins = np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]))
+    stretch = np.cumsum(begins) - 1
+    own = mix(win + mix(text.astype("uint64")))  # equal for equal windows of a text
+    order = np.argsort(own)
+    same = (own[order][1:] == own[order][:-1]) & (stretch[order][1:] == stretch[order][:-1])
+    cut = np.zeros(stretch[-1] + 1, bool)
+    cut[stretch[order][1:][same]] = True
+    starts = np.flatnonzero(begins | cut[stretch])
+    n = np.diff(np.append(starts, len(at)))
     # hash of the windows of a stretch tells its words
-    c = _mix(np.add.reduceat(_mix(win + _P) * (2 * (np.arange(len(win)) - np.repeat(starts, n)).astype("uint64") + np.uint64(1)), starts) + n.astype("uint64"))
+    place = (2 * (np.arange(len(win)) - np.repeat(starts, n)) + 1).astype("uint64")
+    c = mix(np.add.reduceat(mix(win + _U(1)) * place, starts) + n.astype("uint64"))
     times = np.ones(len(starts), "int64")
-    if cut is not None:
-        single = np.flatnonzero(cut[stretch[starts]])
-        _, first, count = np.unique(c[single], return_index=True, return_counts=True)
+    single = np.flatnonzero(cut[stretch[starts]])
+    if len(single):
+        _, first, count = np.unique(own[starts[single]], return_index=True, return_counts=True)
         times[single] = 0
         times[single[first]] = count
     stay = times > 0
-    return least[starts][stay], c[stay], starts[stay], n[stay], times[stay]
+    starts = starts[stay]
+    return text[starts], least[starts].view("int64"), c[stay].view("int64"), nth[starts], n[stay], times[stay]
+
+
+def _windows(raw: bytes, length: int) -> np.ndarray:
+    return run_hashes(word_hashes([raw])[0], length)
 
 
-def _own_repeats(words: list[str], length: int) -> list[tuple[int, int]]:
+def _own_repeats(raw: bytes, length: int) -> list[tuple[int, int]]:
     """Windows that stand twice in the text itself."""
-    win = _rolling(np.fromiter(map(worker_cache("substrings", _WordHashes).__getitem__, words), "uint64", len(words)), length)
-    _, at, count = np.unique(win, return_inverse=True, return_counts=True)
+    _, at, count = np.unique(_windows(raw, length), return_inverse=True, return_counts=True)
     return [(i, length) for i in np.flatnonzero(count[at] > 1).tolist()]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(r1, r2, text) to the contexts of the texts, with their minimizers."""
     for whole in batches:
-        for a in range(0, whole.num_rows, 500):
-            batch = whole.slice(a, 500)
-            got, rids = [], []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = split_words(text)
-                if len(words) >= length:
-                    got.append(contexts(words, length))
-                    rids += [rid] * len(got[-1][0])
-            if got:
-                m, c, s, n, times = (np.concatenate(x) for x in zip(*got, strict=True))
-                cols = [m.view("int64"), c.view("int64"), np.array(rids, "int64"), s.astype("int32"), n.astype("int32"), times]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["m", "c", "rid", "a", "n", "times"])
+        for a in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(a, ROWS)
+            text, m, c, first, n, times = contexts(utf8(batch.column(2).to_pylist()), length)
+            cols = [m, c, *[np.asarray(batch.column(k))[text] for k in (0, 1)], first.astype("int32"), n.astype("int32"), times]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["m", "c", "__r1", "__r2", "a", "n", "times"])
 
 
 class SuffixAutomaton:
@@ -203,15 +173,16 @@ class SuffixAutomaton:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts (m, rid, a, kind, words) sorted by m to spans (rid, a, n) of those that aren't known as repeated whole."""
+    """Contexts (m, r1, r2, a, kind, words) sorted by m to spans (r1, r2, a, n) of those that aren't known as repeated whole."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def give(held: list[tuple]) -> pa.RecordBatch:
         automaton = SuffixAutomaton()
-        own = [(rid, a, kind, text.split(" ")) for rid, a, kind, text in held]
-        for k, (_, _, kind, words) in enumerate(own):
+        own = [(*row, text.split(" ")) for *row, text in held]
+        for k, (*_, kind, words) in enumerate(own):
             automaton.add(words, k, 2 if kind == WHOLE_TOLD else 1)
-        rows = [(rid, a + s, n) for rid, a, kind, words in own if kind == PART for s, n in automaton.spans(words, length)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["rid", "a", "n"])
+        rows = [(r1, r2, a + s, n) for r1, r2, a, kind, words in own if kind == PART for s, n in automaton.spans(words, length)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["__r1", "__r2", "a", "n"])
 
     held, key = [], None
     for batch in batches:
@@ -237,126 +208,126 @@ def cut_text(text: str, gone: np.ndarray) -> str:
     """The text without the words marked, each taken with the blanks before it; what stays keeps its own blanks."""
     if not gone.any():
         return text
-    out, at, raw = [], 0, text.translate(_TO_BLANK)
-    for w, g in zip(split_words(text), gone.tolist(), strict=True):
+    blanks, out, at, raw = BLANKS.decode(), [], 0, text.translate(_TO_BLANK)
+    for w, g in zip([w for w in raw.split(" ") if w], gone.tolist(), strict=True):
         start = raw.index(w, at)
         if not g:
-            out.append(text[at : start + len(w)] if out or not at else text[at : start + len(w)].lstrip(_BLANKS))
+            out.append(text[at : start + len(w)] if out or not at else text[at : start + len(w)].lstrip(blanks))
         at = start + len(w)
     return "".join(out) + text[at:]
 
 
-def _sha(words: list[str], gone: np.ndarray) -> str:
-    return hashlib.sha256(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).encode("utf-8", "surrogatepass")).hexdigest()
-
-
+RESULT = ("n_words", "n_removed", "kept_sha256", "cleaned")
 FIELDS = "n_words long, n_removed long, kept_sha256 string, cleaned string"
-OPEN = "open string, spans array<struct<a:int,n:int>>, contexts array<struct<m:long,a:int,kind:int,words:string>>, windows array<struct<w:long,a:int,weight:int>>"
+OPEN = "open string, spans array<struct<a:int,n:int>>, contexts array<struct<m:long,a:int,kind:int,words:string>>, windows array<struct<m:long,w:long,a:int,weight:int>>"
 
 
-def _finish(text: str | None, spans, cleaned: bool) -> tuple:
-    words = split_words(text)
-    gone = _cover(len(words), spans)
-    return len(words), int(gone.sum()), _sha(words, gone), (cut_text(text, gone) if text is not None else None) if cleaned else None
+def _finish(text: str | None, words: list[bytes], spans, cleaned: bool) -> tuple:
+    gone = _cover(len(words), spans) if spans else np.zeros(len(words), bool)
+    stay = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words
+    return len(words), len(words) - len(stay), hashlib.sha256(b" ".join(stay)).hexdigest(), (cut_text(text, gone) if text is not None else None) if cleaned else None
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], length: int, keep: list[str], cleaned: bool) -> Iterator[pa.RecordBatch]:
-    """(keep..., rid, text, notes) to finished rows, and open ones with what the shards need of them."""
+    """(keep..., r1, r2, text, notes) to finished rows, and open ones with what the shards need of them."""
     k = len(keep)
-    met: dict[int, int] = {}  # windows of hot minimizers that this task has given, at most twice each
-    sent: set[tuple[int, int]] = set()  # contexts known as repeated that this task has given for a rid
+    met: dict[tuple[int, int], int] = {}  # windows of hot minimizers that this task has given, at most twice each
+    sent: set[tuple[int, int, int]] = set()  # contexts known as repeated that this task has given for a row
+    spans_of, context, window = pa.struct([("a", pa.int32()), ("n", pa.int32())]), pa.struct([("m", pa.int64()), ("a", pa.int32()), ("kind", pa.int32()), ("words", pa.string())]), pa.struct([("m", pa.int64()), ("w", pa.int64()), ("a", pa.int32()), ("weight", pa.int32())])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(spans_of), pa.list_(context), pa.list_(window)]
+    names = [*keep, "__r1", "__r2", *RESULT, "open", "spans", "contexts", "windows"]
     for whole in batches:
-        for a0 in range(0, whole.num_rows, 500):
-            batch = whole.slice(a0, 500)
+        for a0 in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(a0, ROWS)
             rows = []
-            for rid, text, notes in zip(*(batch.column(k + i).to_pylist() for i in range(3)), strict=True):
-                notes = notes or []
+            for r1, r2, text, notes in zip(*(batch.column(k + i).to_pylist() for i in range(4)), strict=True):
+                raw = utf8([text])[0]
+                words, notes = raw.split(), notes or []
                 spans = [(x["a"], x["n"] + length - 1) for x in notes if x["kind"] in (WHOLE, WHOLE_TOLD, WHOLE_HOT)]
                 if any(x["times"] > 1 for x in notes):
-                    spans += _own_repeats(split_words(text), length)
-                if all(x["kind"] not in (PART, PART_HOT) for x in notes):
-                    done = _finish(text, spans, cleaned)
-                else:
-                    done = (None, None, None, None)
+                    spans += _own_repeats(raw, length)
+                done = _finish(text, words, spans, cleaned) if all(x["kind"] not in (PART, PART_HOT) for x in notes) else (None,) * 4
                 ctx, win = [], []
                 told = [x for x in notes if x["kind"] != WHOLE]
-                words = split_words(text) if told else []
-                hashes = _rolling(np.fromiter(map(worker_cache("substrings", _WordHashes).__getitem__, words), "uint64", len(words)), length).view("int64").tolist() if any(x["kind"] in (PART_HOT, WHOLE_HOT) for x in told) else []
-                if len(met) > _CACHE:
+                hashes = _windows(raw, length).view("int64").tolist() if any(x["kind"] in (PART_HOT, WHOLE_HOT) for x in told) else []
+                if len(met) > GIVEN:
                     met.clear()
+                if len(sent) > GIVEN:
+                    sent.clear()
                 for x in told:
                     if x["kind"] == WHOLE_TOLD:
-                        if (rid, x["a"]) in sent:
+                        if (r1, r2, x["a"]) in sent:
                             continue
-                        if len(sent) > _CACHE:
-                            sent.clear()
-                        sent.add((rid, x["a"]))
+                        sent.add((r1, r2, x["a"]))
                     if x["kind"] in (PART, WHOLE_TOLD):
-                        ctx.append({"m": x["m"], "a": x["a"], "kind": x["kind"], "words": " ".join(words[x["a"] : x["a"] + x["n"] + length - 1])})
+                        ctx.append({"m": x["m"], "a": x["a"], "kind": x["kind"], "words": b" ".join(words[x["a"] : x["a"] + x["n"] + length - 1]).decode("utf-8", "surrogatepass")})
                     else:
                         weight = 2 if x["kind"] == WHOLE_HOT else 1
                         for i in range(x["a"], x["a"] + x["n"]):
-                            w = hashes[i]
+                            w = (x["m"], hashes[i])
                             if met.get(w, 0) > 1:  # known as repeated
                                 spans.append((i, length))
                             else:
                                 met[w] = met.get(w, 0) + weight
-                                win.append({"w": w, "a": i, "weight": weight})
+                                win.append({"m": w[0], "w": w[1], "a": i, "weight": weight})
                 rows.append((*done, text if done[0] is None else None, [{"a": a, "n": n} for a, n in spans] if done[0] is None else None, ctx, win))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())])), pa.list_(pa.struct([("m", pa.int64()), ("a", pa.int32()), ("kind", pa.int32()), ("words", pa.string())])), pa.list_(pa.struct([("w", pa.int64()), ("a", pa.int32()), ("weight", pa.int32())]))]
-            names = [*keep, "rid", "n_words", "n_removed", "kept_sha256", "cleaned", "open", "spans", "contexts", "windows"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 2], *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
 
 
 def _close(batches: Iterator[pa.RecordBatch], keep: list[str], cleaned: bool) -> Iterator[pa.RecordBatch]:
     """(keep..., text, spans, found) to finished rows."""
     k = len(keep)
     for batch in batches:
-        rows = [_finish(text, [(x["a"], x["n"]) for x in (spans or []) + (found or [])], cleaned) for text, spans, found in zip(*(batch.column(k + i).to_pylist() for i in range(3)), strict=True)]
+        rows = [_finish(text, utf8([text])[0].split(), [(x["a"], x["n"]) for x in (spans or []) + (found or [])], cleaned) for text, spans, found in zip(*(batch.column(k + i).to_pylist() for i in range(3)), strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], names=[*keep, "n_words", "n_removed", "kept_sha256", "cleaned"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], names=[*keep, *RESULT])
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, cleaned: bool = True) -> DataFrame:
     """The kept columns with n_words, n_removed, kept_sha256 and, if asked for, the cleaned text.
 
     A word goes if a window of `length` words over it also starts anywhere else in the input, the same document included. Null and
-    empty texts have no words and stay as they are; texts of fewer words lose nothing; repeated rows repeat each other. Counts of
-    minimizers and contexts are summed before they are shuffled. A minimizer with over SHARD distinct contexts is resolved by counting
-    windows instead, exactly, so no shard grows with the corpus.
+    empty texts have no words and stay as they are; texts of fewer words lose nothing; repeated rows repeat each other; an empty table
+    gives none. Kept columns with the result's names are replaced by it, other columns aren't read. Very long texts are read whole, one
+    after the other. Counts of minimizers and contexts are summed before they are shuffled. A minimizer with over SHARD distinct
+    contexts is resolved by counting windows instead, so no shard grows with the corpus.
+
+    Contexts and windows are told apart by 128 bits of hashes, rows by 96.
     """
     spark = docs.sparkSession
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c not in RESULT]
     scratch = Scratch(spark, "substrings")
-    src = docs.select(*keep, row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("__text"))
-    occ = src.select("rid", "__text").mapInArrow(lambda it: _contexts(it, length), "m long, c long, rid long, a int, n int, times long")
+    row = ["__r1", "__r2"]
+    src = docs.select(*keep, row_key(id_col, text_col).alias("__r1"), F.hash(id_col, text_col).alias("__r2"), F.col(text_col).alias("__text"))
+    occ = src.select(*row, "__text").mapInArrow(lambda it: _contexts(it, length), "m long, c long, __r1 long, __r2 int, a int, n int, times long")
     occ = scratch.save(occ, "occurrences")
     repeated = occ.groupBy("m").agg(F.sum("times").alias("total"), (F.min("c") == F.max("c")).alias("single")).where("total > 1").drop("total")
     notes = scratch.save(occ.join(repeated, "m"), "notes")
     scratch.drop("occurrences")
     mixed = notes.where("not single")
-    classes = scratch.save(mixed.groupBy("m", "c").agg(F.sum("times").alias("n_same"), F.min(F.struct("rid", "a")).alias("rep")), "classes")
+    classes = scratch.save(mixed.groupBy("m", "c").agg(F.sum("times").alias("n_same"), F.min(F.struct(*row, "a")).alias("rep")), "classes")
     hot = classes.groupBy("m").agg(F.count("*").alias("n_classes")).where(F.col("n_classes") > SHARD).select("m", F.lit(True).alias("hot"))
     classes = classes.join(hot, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    same, is_rep = F.col("n_same") > 1, F.struct("rid", "a") == F.col("rep")
+    same, is_rep = F.col("n_same") > 1, F.struct(*row, "a") == F.col("rep")
     kind = F.when(~same & F.col("hot"), PART_HOT).when(~same, PART).when(~is_rep, WHOLE).when(F.col("hot"), WHOLE_HOT).otherwise(WHOLE_TOLD)
-    told = mixed.join(classes, ["m", "c"]).select("rid", "m", "a", "n", "times", kind.alias("kind")).union(notes.where("single").select("rid", "m", "a", "n", "times", F.lit(WHOLE)))
-    told = told.distinct()  # fully repeated rows share a rid and their notes; classes have counted them
-    per_row = told.groupBy("rid").agg(F.collect_list(F.struct("m", "a", "n", "times", "kind")).alias("notes"))
+    told = mixed.join(classes, ["m", "c"]).select(*row, "m", "a", "n", "times", kind.alias("kind")).union(notes.where("single").select(*row, "m", "a", "n", "times", F.lit(WHOLE)))
+    told = told.distinct()  # fully repeated rows share a key and their notes; classes have counted them
+    per_row = told.groupBy(*row).agg(F.collect_list(F.struct("m", "a", "n", "times", "kind")).alias("notes"))
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = src.join(per_row, "rid", "left").select(*keep, "rid", "__text", "notes")
-    state = scratch.save(rows.mapInArrow(lambda it: _resolve(it, length, keep, cleaned), f"{kept_schema}, rid long, {FIELDS}, {OPEN}"), "state")
+    rows = src.join(per_row, row, "left").select(*keep, *row, "__text", "notes")
+    state = scratch.save(rows.mapInArrow(lambda it: _resolve(it, length, keep, cleaned), f"{kept_schema}{', ' if keep else ''}__r1 long, __r2 int, {FIELDS}, {OPEN}"), "state")
     scratch.drop("notes", "classes")
 
-    ctx = state.where(F.size("contexts") > 0).select("rid", F.explode("contexts").alias("x")).select("x.m", "rid", "x.a", "x.kind", "x.words")
-    found = ctx.repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: _shards(it, length), "rid long, a int, n int")
-    win = state.where(F.size("windows") > 0).select("rid", F.explode("windows").alias("x")).select("rid", "x.w", "x.a", "x.weight")
-    twice = win.groupBy("w").agg(F.sum("weight").alias("n")).where("n > 1").select("w")
-    found = found.union(win.where("weight = 1").join(twice, "w", "left_semi").select("rid", "a", F.lit(length)))
-    spans = found.groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("found"))
-    late = state.where("open is not null").select(*keep, "rid", "open", "spans").join(spans, "rid", "left").select(*keep, "open", "spans", "found")
-    closed = late.mapInArrow(lambda it: _close(it, keep, cleaned), f"{kept_schema}, {FIELDS}")
-    return state.where("open is null").select(*keep, "n_words", "n_removed", "kept_sha256", "cleaned").union(closed)
+    ctx = state.where(F.size("contexts") > 0).select(*row, F.explode("contexts").alias("x")).select("x.m", *row, "x.a", "x.kind", "x.words")
+    found = ctx.repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: _shards(it, length), "__r1 long, __r2 int, a int, n int")
+    win = state.where(F.size("windows") > 0).select(*row, F.explode("windows").alias("x")).select(*row, "x.m", "x.w", "x.a", "x.weight")
+    twice = win.groupBy("m", "w").agg(F.sum("weight").alias("n")).where("n > 1").select("m", "w")
+    found = found.union(win.where("weight = 1").join(twice, ["m", "w"], "left_semi").select(*row, "a", F.lit(length)))
+    # a row that is repeated whole has its spans once for each of its copies
+    spans = found.distinct().groupBy(*row).agg(F.collect_list(F.struct("a", "n")).alias("found"))
+    late = state.where("open is not null").select(*keep, *row, "open", "spans").join(spans, row, "left").select(*keep, "open", "spans", "found")
+    closed = late.mapInArrow(lambda it: _close(it, keep, cleaned), f"{kept_schema}{', ' if keep else ''}{FIELDS}")
+    return state.where("open is null").select(*keep, *RESULT).union(closed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from tonguemill.llm.common import Scratch, components, table
 
-COSINE, RECALL = 0.98, 0.98
+COSINE, RECALL = 0.98, 0.999
 #: Distinct vectors that codebooks and the number of visits are fitted on, at most; drawn by a hash. The README documents it.
 SAMPLE = 10_000
 #: Vectors of a label that a cell should hold, about, and rows of a cell that one task compares at once.
 CELL, BLOCK = 400, 4096
-MAX_CODES = 256
+#: Codes of a half for labels of a few dozen vectors or more, at least, and sample vectors for each code, at least.
+FEW, LEAST_CODES, PER_CODE = 48, 4, 4
 
 
 def unit(rows: list, dim: int) -> np.ndarray:
@@ -89,8 +90,10 @@ class MultiIndex:
 
 def fit(x: np.ndarray, hottest: int, cosine: float = COSINE, recall: float = RECALL) -> MultiIndex:
     """Codebooks for a label of `hottest` distinct vectors, and the visits that find `recall` of the sample's vectors when each is
-    turned to the threshold's angle in a random direction. Either of a pair may visit the other's cell."""
-    k = int(np.clip(round((hottest / CELL) ** 0.5), 1, MAX_CODES))
+    turned to the threshold's angle in a random direction. Either of a pair may visit the other's cell. The grid grows with the label up
+    to (len(x) / PER_CODE)**2 cells, 6 million for a full sample; larger cells are split in blocks, all of which are met."""
+    least = LEAST_CODES if hottest >= FEW else 1
+    k = int(np.clip(round((hottest / CELL) ** 0.5), least, max(least, len(x) // PER_CODE)))
     h = x.shape[1] // 2
     index = MultiIndex(x.shape[1], codebook(x[:, :h].copy(), k), codebook(x[:, h:].copy(), k), 1)
     most = len(index.left) * len(index.right)
@@ -123,8 +126,9 @@ def _forest(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray) -> t
     return ids[rest], ids[label[rest]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], dim: int, cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gkey, probe): first those a cell's block holds, then those that visit it. Gives (cid, links, other)."""
+def _compare(batches: Iterator[pa.RecordBatch], dim: int, cosine: float, n_visits: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (gkey, probe): first those a cell's block holds, with their visits, then those that visit it, without. Gives
+    (cid, links, other)."""
 
     def give(cid, links, other) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], names=["cid", "links", "other"])
@@ -145,7 +149,9 @@ def _compare(batches: Iterator[pa.RecordBatch], dim: int, cosine: float) -> Iter
 
     def columns(batch: pa.RecordBatch):
         own = [np.asarray(batch.column(i)) for i in range(5)]
-        visits = np.asarray(batch.column(5).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else None
+        held = own[1] == 0
+        visits = np.full((batch.num_rows, n_visits), -1)
+        visits[held] = np.asarray(batch.column(5).flatten()).reshape(int(held.sum()), n_visits)
         return own, visits, unit(batch.column(6).to_pylist(), dim)
 
     held, key = None, None
@@ -175,22 +181,26 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """(id, n_links, component_id, kept) for each row.
 
     Only rows of equal, non-null label and equal dimension are compared. Vectors that are null, empty, zero or hold null or
-    non-finite components, and those without label, link with nothing. Equal vectors of a label are one class, found by partial
-    aggregation, and count as linked with each other. A cell with more than BLOCK classes is split and its visitors are dealt to each part;
-    links are counted where they are met and each block gives a spanning forest, so no list of all pairs is ever made. The driver
-    gets the bounded sample and counts.
+    non-finite components, and those without label, link with nothing; an empty table gives none. Equal vectors of a label are one
+    class, told by 128 bits of hashes and found by partial aggregation, and count as linked with each other. A cell with more than BLOCK
+    classes is split and its visitors are dealt to each part; links are counted where they are met and each block gives a spanning
+    forest, so no list of all pairs is ever made. The driver gets the bounded sample and counts. Extra columns are not read, whatever
+    their names.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "vectors")
     clean = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))
     ok = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    src = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), clean.alias("v")).withColumn("cid", F.when(ok, F.xxhash64("label", "v")))
-    classes = scratch.save(src.where("cid is not null").groupBy("cid").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.any_value("label").alias("label"), F.any_value("v").alias("v")), "classes")
+    src = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), clean.alias("v")).withColumn("h1", F.when(ok, F.xxhash64("label", "v")))
+    src = src.withColumn("h2", F.when(F.col("h1").isNotNull(), F.xxhash64(F.lit(1), "v", "label")))
+    classes = src.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
+    classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     dim = classes.agg(F.max(F.size("v"))).first()[0] or 0
     hottest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    sample = [r.v for r in classes.select("v", F.xxhash64("cid").alias("h")).orderBy("h").limit(SAMPLE).select("v").toLocalIterator()] if dim else []
+    sample = [r.v for r in classes.select("v", "h1").orderBy("h1").limit(SAMPLE).select("v").toLocalIterator()] if dim else []
     index = fit(unit(sample, dim), hottest, cosine, recall) if sample else MultiIndex(dim, np.zeros((1, 0)), np.zeros((1, 0)), 1)
     shared = spark.sparkContext.broadcast(index)
+    n_visits = min(index.visits, len(index.left) * len(index.right))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,19 +212,19 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     placed = classes.join(visits, "cid").select("cid", "w", F.struct("label", F.size("v").alias("d")).alias("l"), F.col("visits")[0].alias("cell"), "visits", "v")
     parts = placed.groupBy("l", "cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("l", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     some = lambda df: df.join(parts, ["l", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    held = some(placed).select(F.xxhash64("l", "cell", F.pmod("cid", "parts").cast("int")).alias("gkey"), F.lit(0).alias("probe"), "cid", "w", "cell", "visits", "v")
-    asks = some(placed.select("cid", "w", "l", F.col("cell").alias("own"), "visits", "v", F.explode("visits").alias("cell")))
+    held = some(placed).select(F.xxhash64("l", "cell", F.pmod(F.xxhash64("cid"), "parts").cast("int")).alias("gkey"), F.lit(0).alias("probe"), "cid", "w", "cell", "visits", "v")
+    asks = some(placed.select("cid", "w", "l", F.col("cell").alias("own"), "v", F.explode("visits").alias("cell")))
     asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asks = asks.select(F.xxhash64("l", "cell", "part").alias("gkey"), F.lit(1).alias("probe"), "cid", "w", F.col("own").alias("cell"), "visits", "v")
+    asks = asks.select(F.xxhash64("l", "cell", "part").alias("gkey"), F.lit(1).alias("probe"), "cid", "w", F.col("own").alias("cell"), F.lit(None).cast("array<long>").alias("visits"), "v")
     met = held.unionByName(asks).repartition("gkey").sortWithinPartitions("gkey", "probe")
-    found = scratch.save(met.mapInArrow(lambda it: _compare(it, dim, cosine), "cid long, links long, other long"), "found")
+    found = scratch.save(met.mapInArrow(lambda it: _compare(it, dim, cosine, n_visits), "cid long, links long, other long"), "found")
 
     counts = found.where("other is null").groupBy("cid").agg(F.sum("links").alias("links"))
     linked = components(spark, found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")), scratch)
-    own = classes.select("cid", "id", "w").join(counts, "cid", "left").join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    own = classes.select("h1", "h2", "cid", "id", "w").join(counts, "cid", "left").join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = own.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = own.join(least, "component").select("cid", "component_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = src.select("id", "cid").join(named, "cid", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    named = own.join(least, "component").select("h1", "h2", "component_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = src.select("id", "h1", "h2").join(named, ["h1", "h2"], "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
