@@ -22,6 +22,7 @@ def test_scan_and_manifest(spark, tmp_path):
     assert error is None
     assert sorted(r.name for r in manifest.collect()) == ["_dir/e.csv", "_under.txt", "a.txt", "b.TXT", "sub/c.md", "sub/å.html"]
     (tmp_path / "ut" / "a.txt").write_text("x")
+    assert sorted((r.name, bytes(r.content)) for r in files.scan_documents(spark, at).where("name like '%\\_%'").collect()) == [("_dir/e.csv", b"hei"), ("_under.txt", b"hei")]
     manifest, _ = files.scan_folder(spark, at, f"{at}/ut")
     assert [r.name for r in manifest.where("already_translated").collect()] == ["a.txt"]
     assert files.scan_folder(spark, f"{at}/none", at) == (None, "Inn-mappen finnes ikke.")
@@ -55,8 +56,9 @@ def test_docx_whole(spark):
     parts = containers.read_ooxml_parts(src, "docx")
     assert [(r.doc_id, r.part) for r in parts.collect()] == [(1, "word/document.xml")]
     done, _ = translation.translate_segments(ooxml.ooxml_segments(parts, ooxml.DOCX), translators.pseudo)
-    new = containers.repack_ooxml(src.where("doc_id = 1"), ooxml.rewrite_parts(parts, done, ooxml.DOCX))
-    with zipfile.ZipFile(io.BytesIO(new.first().content)) as z:
+    new = {r.doc_id: r for r in containers.repack_ooxml(src, ooxml.rewrite_parts(parts, done, ooxml.DOCX)).collect()}
+    assert new[2].content is None and new[2].error.startswith("Filen kan ikke leses") and new[1].error is None
+    with zipfile.ZipFile(io.BytesIO(new[1].content)) as z:
         assert z.read("word/media/i.png") == b"raw"
         xml = z.read("word/document.xml").decode()
     s = ' xml:space="preserve"'
@@ -120,6 +122,14 @@ def test_folder_job(spark, tmp_path):
     (src / "e.rtf").write_text("{\\rtf1{\\fonttbl{\\f0 Arial;}}\\f0 hei\nsann}")
     (src / "f.pdf").write_bytes(b"%PDF")
     (src / "g.docx").write_bytes(pack({"word/document.xml": "<w:p><w:r><w:t>tekst</w:t></w:r></w:p>"}))
+    (src / "empty.txt").write_text("")
+    (src / "bad.docx").write_bytes(b"not a container")
+    (src / "cut.pptx").write_bytes(pack({"ppt/slides/slide1.xml": "<a:p>" + "x" * 500 + "</a:p>"})[:-60])
+    (src / "none.xlsx").write_bytes(b"")
+    twisted = bytearray(pack({"word/document.xml": "<w:p><w:r><w:t>tekst</w:t></w:r></w:p>"}))
+    twisted[50:60] = b"0123456789"  # its checksum tells
+    (src / "sum.docx").write_bytes(twisted)
+    (src / "s.pptx").write_bytes(pack({"ppt/slides/slide1.xml": "<a:p><a:r><a:t>lysark</a:t></a:r></a:p>", "ppt/media/x.png": "raw"}))
     (src / "h.xlsx").write_bytes(pack({"xl/worksheets/sheet1.xml": '<c r="A1" t="inlineStr"><is><t>celle</t></is></c>'}))
     n = iter(range(100))
 
@@ -131,8 +141,13 @@ def test_folder_job(spark, tmp_path):
     config = JobConfig(str(src), str(out))
     results = {r.name: (r.ok, r.skipped, r.error) for r in run_job(spark, config, translators.pseudo, save).collect()}
     assert results.pop("f.pdf") == (False, False, layout.NO_TEXT)
-    assert set(results) == set("a.txt b.csv c.htm d.html e.rtf g.docx h.xlsx".split()) and set(results.values()) == {(True, False, None)}
+    for name in ("bad.docx", "cut.pptx", "none.xlsx", "sum.docx"):
+        ok, skipped, error = results.pop(name)
+        assert not ok and not skipped and error.startswith("Filen kan ikke leses"), name
+        assert not (out / name).exists()
+    assert set(results) == set("a.txt b.csv c.htm d.html e.rtf empty.txt g.docx h.xlsx s.pptx".split()) and set(results.values()) == {(True, False, None)}
     assert (out / "a.txt").read_text() == "in buk\n\ntu\n" and (out / "b.csv").read_text() == "nevn,1\nule,2\n"
+    assert (out / "empty.txt").read_bytes() == b""
     assert (out / "c.html").read_text() == "<p>hellu dir</p>" and (out / "d.html").read_text() == "ongin"
     with zipfile.ZipFile(out / "e.docx") as z:
         assert "<w:t xml:space=\"preserve\">hio</w:t>" in z.read("word/document.xml").decode()
@@ -140,5 +155,7 @@ def test_folder_job(spark, tmp_path):
         assert ">tikst<" in z.read("word/document.xml").decode()
     with zipfile.ZipFile(out / "h.xlsx") as z:
         assert ">cilli<" in z.read("xl/worksheets/sheet1.xml").decode()
+    with zipfile.ZipFile(out / "s.pptx") as z:
+        assert "<a:t>lyserk</a:t>" in z.read("ppt/slides/slide1.xml").decode() and z.read("ppt/media/x.png") == b"raw"
     again = run_job(spark, config, translators.pseudo, save)
-    assert report.job_summary(again).first().asDict() == {"translated": 0, "skipped": 7, "failed": 1}
+    assert report.job_summary(again).first().asDict() == {"translated": 0, "skipped": 9, "failed": 5}

@@ -76,6 +76,33 @@ def test_answers(spark):
     assert [(r.translations, r.error) for r in got] == [r[2:] for r in rows]
 
 
+def test_proxy_gives_no_part_of_a_bad_answer(spark):
+    df = spark.createDataFrame([("<html>x", 502), ('{"error":"e"}', 500), ("{}", 401)], "body string, status int")
+    got = df.select(translation.response_error(F.col("body"), F.col("status"), proxy=True, vendor="V").alias("e")).collect()
+    assert [r.e for r in got] == ["Ugyldig svar fra V (502)", "e", "Logg inn på nytt."]
+
+
+def test_rows_are_translated_as_segments_are(spark, tmp_path):
+    """In place and through rows of batches: retried, failed, blank, null and long texts."""
+    n = iter(range(99))
+
+    def save(df, label):
+        at = f"{tmp_path}/{label}{next(n)}"
+        df.write.parquet(at)
+        return spark.read.parquet(at)
+
+    texts = {1: ["a", None, " ", "b"], 2: ["c"], 3: [], 4: ["d"] * 70 + ["e" * 8000], 9: ["d", "f"]}
+    rows = spark.createDataFrame([(d, "", ts, "x") for d, ts in texts.items()], "doc_id long, part string, texts array<string>, n_batch string")
+    told = {r.doc_id: r for r in translation.translate_rows(rows, translators.model(fake({2}), save), JobConfig("", "")).collect()}
+    assert {d: r.texts for d, r in told.items()} == {1: ["A", "", " ", "B"], 2: ["C"], 3: [], 4: ["D"] * 70 + ["E" * 8000], 9: ["d", "f"]}
+    assert [(told[d].n_batches, told[d].n_texts) for d in texts] == [(1, 2), (1, 1), (0, 0), (4, 71), (1, 2)]
+    status = {r.doc_id: (r.n_batches, r.ok) for r in translation.row_status(translation.translate_rows(rows, translators.model(fake({2}), save))).collect()}
+    assert status == {1: (1, True), 2: (1, True), 4: (4, True), 9: (1, False)}
+    here = translation.translate_rows(rows, translators.pseudo)
+    assert {r.doc_id: r.texts for r in here.collect()}[1] == ["e", "", " ", "b"]
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+
+
 def fake(bad_first):
     """Answers in the model's form; batches of the documents in bad_first fail when asked first."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Extension, extension of the output, family, MIME type of the output.
@@ -27,6 +28,20 @@ LANGUAGES = {"bokmal": "norsk bokmål", "nynorsk": "norsk nynorsk"}
 OUTPUT_FOLDER = "oversatt"
 
 
+# Schemes that Spark names otherwise than pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def open_folder(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """pyarrow's file system and path of a folder or file that Spark names by a URI or a local path."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return pyarrow.fs.FileSystem.from_uri(uri)
+    if scheme == "file":  # Hadoop writes one slash
+        rest = "//" + rest if not rest.startswith("//") else rest
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 @dataclass(frozen=True)
 class JobConfig:
     """A translation job. The key of a model endpoint is never part of it: executors take it from their environment."""

@@ -20,6 +20,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def overlay(texts: Column, new: Column) -> Column:
+    """A list of texts with those of `new`, structs of (i, t), at their places. By sorting, so long lists cost no more than that."""
+    mine = F.transform(new, lambda x: F.struct(x["i"].alias("i"), F.lit(0).alias("k"), x["t"].alias("t")))
+    both = F.sort_array(F.concat(mine, F.transform(texts, lambda t, i: F.struct(i.alias("i"), F.lit(1).alias("k"), t.alias("t")))))
+    first = let(both, lambda own: F.filter(own, lambda x, k: (k == 0) | (F.get(own, F.greatest(k - 1, F.lit(0)))["i"] != x["i"])))
+    return F.transform(first, lambda x: x["t"])
+
+
 def js_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
@@ -33,6 +41,7 @@ def js_round(c: Column) -> Column:
     return F.floor(c + F.lit(0.5))
 
 
+# The patterns of blanks, letters, numbers and cell references below.
 def is_blank(c: Column) -> Column:
     """Null counts as the empty string."""
     return ~F.coalesce(c, F.lit("")).rlike(f"[^{BLANK}]")

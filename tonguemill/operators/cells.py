@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tonguemill.functions.scalars import is_blank, looks_numeric
 
@@ -16,8 +17,9 @@ def workbook_text_cells(cells: DataFrame) -> DataFrame:
 
 def cell_segments(cells: DataFrame) -> DataFrame:
     """segments of the text cells, sheets in order of name and cells row by row; seg_idx is dense in the document."""
-    packed = workbook_text_cells(cells).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sheet", "row", "col", F.col("value").alias("text")))).alias("c"))
-    return packed.select("doc_id", F.posexplode("c").alias("seg_idx", "x")).select("doc_id", F.lit("").alias("part"), "seg_idx", F.lit("cell").alias("kind"), "x.text", "x.sheet", "x.row", "x.col")
+    order = Window.partitionBy("doc_id").orderBy("sheet", "row", "col")
+    rows = workbook_text_cells(cells).withColumn("seg_idx", F.row_number().over(order) - 1)
+    return rows.select("doc_id", F.lit("").alias("part"), "seg_idx", F.lit("cell").alias("kind"), F.col("value").alias("text"), "sheet", "row", "col")
 
 
 def assemble_cells(cells: DataFrame, translated: DataFrame) -> DataFrame:

@@ -5,30 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonguemill.functions.scalars import escape_xml, has_letter, is_blank, js_length
+from tonguemill.functions.scalars import escape_xml, has_letter, is_blank, js_length, let, overlay
 from tonguemill.operators.plain import paragraph_segments
 
 
-def _chunks(df: DataFrame, html_col: str, id_col: str) -> DataFrame:
-    """(doc_id, chunk_idx, chunk, prefix, raw, slot): what stands between `<` and the next; raw follows its first `>`."""
-    parts = df.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(html_col), F.lit("")), "<", -1).alias("p"))
-    rows = parts.select("doc_id", F.size("p").alias("n"), F.posexplode("p").alias("chunk_idx", "chunk"))
-    at = F.instr("chunk", ">")
-    rows = rows.withColumn("prefix", F.expr("left(chunk, instr(chunk, '>'))")).withColumn("raw", F.when(at > 0, F.expr("substring(chunk, instr(chunk, '>') + 1)")))
-    slot = F.col("raw").isNotNull() & (F.col("chunk_idx") < F.col("n") - 1) & (js_length(F.col("raw")) >= 3) & ~is_blank(F.col("raw")) & has_letter(F.col("raw"))
-    return rows.withColumn("slot", F.coalesce(slot, F.lit(False)))
+def _pieces(html: Column) -> Column:
+    """What stands between `<` and the next: chunk, prefix up to its first `>`, raw after that, and slot (raw is text to translate)."""
+
+    def piece(own: Column, x: Column, i: Column) -> Column:
+        at = F.instr(x, ">")
+        raw = F.when(at > 0, F.substr(x, at + 1))
+        slot = raw.isNotNull() & (i < F.size(own) - 1) & (js_length(raw) >= 3) & ~is_blank(raw) & has_letter(raw)
+        return F.struct(x.alias("chunk"), F.left(x, at).alias("prefix"), raw.alias("raw"), F.coalesce(slot, F.lit(False)).alias("slot"))
+
+    return let(F.split(F.coalesce(html, F.lit("")), "<", -1), lambda own: F.transform(own, lambda x, i: piece(own, x, i)))
+
+
+def html_rows(df: DataFrame, html_col: str = "html", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, part, pieces, texts): the texts of slots at their chunks' places, null at others. No shuffle."""
+    rows = df.select(F.col(id_col).alias("doc_id"), F.lit("").alias("part"), _pieces(F.col(html_col)).alias("pieces"))
+    return rows.withColumn("texts", F.transform("pieces", lambda p: F.when(p["slot"], p["raw"])))
+
+
+def join_slots(escape: bool = False) -> Column:
+    """The document of html_rows with their texts in the slots, unescaped unless asked for; a null text leaves its slot as it was."""
+    out = lambda p, t: F.when(p["slot"] & t.isNotNull(), F.concat(p["prefix"], escape_xml(t) if escape else t)).otherwise(p["chunk"])
+    return F.array_join(F.zip_with("pieces", "texts", out), "<")
 
 
 def html_text_segments(df: DataFrame, html_col: str = "html", id_col: str = "doc_id") -> DataFrame:
     """segments of the slots; seg_idx is the chunk's number. No shuffle."""
-    return _chunks(df, html_col, id_col).where("slot").select("doc_id", F.lit("").alias("part"), F.col("chunk_idx").alias("seg_idx"), F.lit("slot").alias("kind"), F.col("raw").alias("text"))
+    rows = html_rows(df, html_col, id_col).select("doc_id", "part", F.posexplode("pieces").alias("seg_idx", "p")).where("p.slot")
+    return rows.select("doc_id", "part", "seg_idx", F.lit("slot").alias("kind"), F.col("p.raw").alias("text"))
 
 
 def has_slots(html: Column) -> Column:
     """The document has a slot, told without exploding it."""
-    parts = F.split(F.coalesce(html, F.lit("")), "<", -1)
-    raws = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.when(F.instr(x, ">") > 0, F.regexp_replace(x, r"(?s)\A[^>]*>", "")))
-    return F.exists(raws, lambda r: F.coalesce((js_length(r) >= 3) & ~is_blank(r) & has_letter(r), F.lit(False)))
+    return F.exists(_pieces(html), lambda p: p["slot"])
 
 
 def html_segments(df: DataFrame, html_col: str = "html", id_col: str = "doc_id") -> DataFrame:
@@ -40,8 +53,6 @@ def html_segments(df: DataFrame, html_col: str = "html", id_col: str = "doc_id")
 
 def assemble_html(df: DataFrame, translated: DataFrame, html_col: str = "html", id_col: str = "doc_id", escape: bool = False) -> DataFrame:
     """(doc_id, html) with each slot's translation (doc_id, seg_idx, text) in its place, unescaped unless asked for."""
-    rows = _chunks(df, html_col, id_col).join(translated.select("doc_id", F.col("seg_idx").alias("chunk_idx"), F.col("text").alias("value")), ["doc_id", "chunk_idx"], "left")
-    value = escape_xml(F.col("value")) if escape else F.col("value")
-    out = F.when(F.col("slot") & F.col("value").isNotNull(), F.concat("prefix", value)).otherwise(F.col("chunk"))
-    pieces = F.sort_array(F.collect_list(F.struct("chunk_idx", out.alias("o"))))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda p: p["o"]), "<").alias("html"))
+    new = translated.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("seg_idx").alias("i"), F.col("text").alias("t"))).alias("new"))
+    rows = html_rows(df, html_col, id_col).join(new, "doc_id", "left").withColumn("texts", F.transform("pieces", lambda p: F.lit(None).cast("string")))
+    return rows.withColumn("texts", overlay(F.col("texts"), F.coalesce("new", F.array()))).select("doc_id", join_slots(escape).alias("html"))

@@ -64,6 +64,18 @@ def ooxml_paragraphs(parts: DataFrame, d: Dialect) -> DataFrame:
     return rows.withColumn("text", ooxml_plain_text(F.col("xml"), d))
 
 
+def ooxml_rows(parts: DataFrame, d: Dialect) -> DataFrame:
+    """parts with paras and texts: the markup and the text of each paragraph, null for blank ones. No shuffle."""
+    rows = parts.withColumn("paras", _all(F.col("xml"), d.paragraph))
+    return rows.withColumn("texts", F.transform("paras", lambda p: let(ooxml_plain_text(p, d), lambda t: F.when(~is_blank(t), t))))
+
+
+def join_paragraphs(d: Dialect) -> Column:
+    """The part of ooxml_rows with their texts in its paragraphs; those with a null or blank text stay as they were."""
+    new = lambda p, t: rewrite_paragraph(p, F.when(~is_blank(t), t), d)
+    return _interleave(F.col("xml"), d.paragraph, F.zip_with("paras", "texts", new))
+
+
 def ooxml_segments(parts: DataFrame, d: Dialect) -> DataFrame:
     """segments of the paragraphs that aren't blank; each part is a scope of its own."""
     rows = ooxml_paragraphs(parts, d).where(~is_blank(F.col("text")))

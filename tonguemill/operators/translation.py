@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tonguemill.core.config import LANGUAGES, JobConfig
-from tonguemill.functions.scalars import is_blank, js_length, js_trim, let
+from tonguemill.functions.scalars import is_blank, js_length, js_trim, let, overlay
 
 KEY = ("doc_id", "part")
 RESPONSE = "struct<output_text:string,output:array<struct<text:string,content:array<string>>>,choices:array<struct<message:struct<content:string>>>>"
@@ -24,28 +24,35 @@ def split_blank(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~blank), rows.where(blank)
 
 
-def assign_batches(segments: DataFrame, max_chars: int = 7000, max_items: int = 28, overhead: int = 8) -> DataFrame:
-    """(doc_id, part, batch_id, seg_idx) by the greedy rule: a batch closes when the next text would pass max_chars or it has max_items.
-
-    One shuffle of lengths; the fold keeps only where batches begin, and each batch is cut out of the list by position.
-    """
-    lens = segments.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seg_idx", (js_length(F.col("text")) + overhead).alias("len")))).alias("s"))
+def batch_starts(lens: Column, max_chars: int = 7000, max_items: int = 28) -> Column:
+    """Where batches begin in a list of lengths, by the greedy rule: one closes when the next text would pass max_chars or it has max_items."""
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["n"] == 0) | (acc["chars"] + x["len"] > max_chars) | (acc["n"] >= max_items)
+        new = (acc["n"] == 0) | (acc["chars"] + x > max_chars) | (acc["n"] >= max_items)
         return F.struct(
             (acc["i"] + 1).alias("i"),
             F.when(new, 1).otherwise(acc["n"] + 1).alias("n"),
-            F.when(new, x["len"]).otherwise(acc["chars"] + x["len"]).cast("long").alias("chars"),
+            F.when(new, x).otherwise(acc["chars"] + x).cast("long").alias("chars"),
             F.when(new, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
         )
 
-    starts = lens.withColumn("starts", F.aggregate("s", zero, step, lambda acc: acc["starts"]))
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size("s")))
-    cuts = F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))
-    own = F.transform(F.slice("s", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), lambda x: x["seg_idx"])
-    return starts.select(*KEY, "s", F.posexplode(cuts).alias("batch_id", "c")).select(*KEY, "batch_id", F.explode(own).alias("seg_idx"))
+    return F.aggregate(lens, zero, step, lambda acc: acc["starts"])
+
+
+def cut_at(items: Column, starts: Column) -> Column:
+    """The stretches of a list that begin at `starts`."""
+    return let(items, lambda own: let(starts, lambda s: F.transform(s, lambda a, k: F.slice(own, a + 1, F.coalesce(F.get(s, k + 1), F.size(own)) - a))))
+
+
+def assign_batches(segments: DataFrame, max_chars: int = 7000, max_items: int = 28, overhead: int = 8) -> DataFrame:
+    """(doc_id, part, batch_id, seg_idx) by the greedy rule.
+
+    One shuffle of lengths; the fold keeps only where batches begin, and each batch is cut out of the list by position.
+    """
+    lens = segments.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seg_idx", (js_length(F.col("text")) + overhead).alias("len")))).alias("s"))
+    cut = cut_at(F.col("s")["seg_idx"], batch_starts(F.col("s")["len"], max_chars, max_items))
+    return lens.select(*KEY, F.posexplode(cut).alias("batch_id", "own")).select(*KEY, "batch_id", F.explode("own").alias("seg_idx"))
 
 
 def gather_batches(segments: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -81,6 +88,7 @@ RETRY = "\n\nSvar kun med gyldig JSON-array. Ingen annen tekst."
 # Messages of the job's errors.
 NO_JSON, NO_LIST, WRONG_COUNT = "Kunne ikke lese oversettelsen som JSON.", "Oversettelsen var ikke en liste.", "Forventet {} oversettelser, fikk {}."
 EMPTY_ANSWER, NO_PROMPT, LONG_PROMPT, STATUS = "Tomt svar.", "Mangler tekst å oversette.", "Tekstbiten er for stor.", "{v}-feil {s}"
+BAD_ANSWER = "Ugyldig svar fra {v} ({s})"
 
 
 def _filled(template: str, **values: Column) -> Column:
@@ -128,7 +136,10 @@ def _text_of(r: Column, proxy: bool) -> Column:
 
 
 def response_error(body: Column, status: Column, proxy: bool = False, vendor: str = "API") -> Column:
-    """Null for a good answer with text; else its error, message, first 240 characters (no JSON), or the status with the vendor's name."""
+    """Null for a good answer with text; else its error, message, first 240 characters (no JSON), or the status with the vendor's name.
+
+    The proxy variant gives no part of an answer that isn't JSON, only its status.
+    """
     bad_json = F.from_json(body, "map<string,string>").isNull()
     fallback = _filled(STATUS, v=F.lit(vendor), s=status)
     flat, inner, message = F.get_json_object(body, "$.error"), F.get_json_object(body, "$.error.message"), F.get_json_object(body, "$.message")
@@ -136,7 +147,7 @@ def response_error(body: Column, status: Column, proxy: bool = False, vendor: st
     said = F.coalesce(plain, inner, F.when(~is_blank(message), message), fallback)
     failed = F.when(bad_json, F.when(is_blank(body), fallback).otherwise(F.substring(body, 1, 240))).otherwise(said)
     if proxy:
-        failed = F.when(status == 401, F.lit("Logg inn på nytt.")).otherwise(failed)
+        failed = F.when(bad_json, _filled(BAD_ANSWER, v=F.lit(vendor), s=status)).when(status == 401, F.lit("Logg inn på nytt.")).otherwise(failed)
     return F.when(~status.between(200, 299) | bad_json, failed).when(is_blank(response_text(body, proxy)), EMPTY_ANSWER)
 
 
@@ -206,6 +217,36 @@ def layout_check(pairs: DataFrame, source: str = "source", target: str = "target
     return out.withColumn("kept", (F.col("d_lines") == 0) & (F.col("d_gaps") == 0) & (F.col("d_tabs") == 0) & (F.size("lost") == 0))
 
 
+def translate_rows(rows: DataFrame, translator, config: JobConfig | None = None) -> DataFrame:
+    """rows (doc_id, part, texts, ...), a document's part each with its texts in order, with the texts translated and n_batches, n_texts
+    and answers (batch_id, error) added. Null becomes the empty text; blank ones are never sent; those without an answer stay.
+
+    Batches are cut within the row, so nothing is shuffled before the translator. One that has a `column` works in the row itself; for
+    others the batches become rows, and their answers are gathered by part and meet the rows again: two shuffles.
+    """
+    c = config or JobConfig("", "")
+    texts = F.transform("texts", lambda t: F.coalesce(t, F.lit("")))
+    items = lambda own: F.filter(F.transform(own, lambda t, i: F.struct(i.alias("seg_idx"), t.alias("text"))), lambda x: ~is_blank(x["text"]))
+    starts = lambda own: batch_starts(F.transform(own, lambda x: js_length(x["text"]) + c.overhead), c.max_chars, c.max_items)
+    cut = rows.withColumn("texts", texts).withColumn("batches", let(items(F.col("texts")), lambda own: cut_at(own, starts(own))))
+    state = lambda k, items, error: F.struct(k.alias("batch_id"), items.alias("translations"), error.alias("error"))
+    if hasattr(translator, "column"):
+        told = cut.withColumn("answers", F.transform("batches", lambda b, k: state(k, translator.column(b, c), F.lit(None).cast("string"))))
+    else:
+        answers = translator(cut.select(*KEY, F.posexplode("batches").alias("batch_id", "items")), c)
+        gathered = answers.groupBy(*KEY).agg(F.sort_array(F.collect_list(state(F.col("batch_id"), F.col("translations"), F.col("error")))).alias("answers"))
+        told = cut.join(gathered, [*KEY], "left").withColumn("answers", F.coalesce("answers", F.array()))
+    new = F.flatten(F.transform("answers", lambda a: F.coalesce(F.zip_with(F.get("batches", a["batch_id"]), a["translations"], lambda x, t: F.struct(x["seg_idx"].alias("i"), t.alias("t"))), F.array())))
+    told = told.withColumn("texts", overlay(F.col("texts"), new)).withColumn("n_batches", F.size("batches")).withColumn("n_texts", F.size(F.flatten("batches")))
+    return told.withColumn("answers", F.transform("answers", lambda a: F.struct(a["batch_id"].alias("batch_id"), a["error"].alias("error")))).drop("batches")
+
+
+def row_status(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_batches, ok, error) of translated rows; those without a text to send have no state."""
+    some = rows.where(F.size("answers") > 0)
+    return document_status(some.select("doc_id", "part", F.explode("answers").alias("a")).select("doc_id", "part", "a.batch_id", "a.error"))
+
+
 def translate_segments(segments: DataFrame, translator, config: JobConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments with translations, batches with their state) by a translator (see translators.py)."""
     c = config or JobConfig("", "")

@@ -27,6 +27,10 @@ def pseudo(batches: DataFrame, config: JobConfig) -> DataFrame:
     return batches.select(*KEY, "batch_id", F.transform("items", lambda i: pseudo_text(i["text"])).alias("translations"), F.lit(None).cast("string").alias("error"))
 
 
+# a translator that is an expression over a batch's items can work where they stand
+pseudo.column = lambda items, config: F.transform(items, lambda i: pseudo_text(i["text"]))
+
+
 def glossary(terms: DataFrame) -> Callable[[DataFrame, JobConfig], DataFrame]:
     """Replaces words by a table (term, translation); layout and unknown words stay. Words meet the table in a join that Spark plans."""
 

@@ -117,6 +117,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.concat(F.lit("/in/"), "name").alias("path"), "name", "length", F.get(exts, (F.col("doc_id") % 12).cast("int")).alias("ext"))
 
 
+#: Names and their places in Norwegian order.
+NAMES = {"zoo": 3, "ære": 4, "Alt": 1, "b": 2, "øre": 5, "aa": 6, "åre": 7}
+
+
+def norwegian_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document, seven in a folder."""
+    name = F.get(F.array(*[F.lit(x) for x in NAMES]), (F.col("doc_id") % len(NAMES)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/in/"), F.floor(F.col("doc_id") / len(NAMES)).cast("string"), F.lit("/"), name).alias("path"))
+
+
 _VALUES = ", ".join(f"('{e}', '{o}', '{f}')" for e, o, f, _ in FORMATS)
 FILES = f"""formats(ext, out_ext, family) AS (VALUES {_VALUES}),
 files AS (
@@ -141,6 +151,21 @@ paras AS (SELECT *, string_split(line, ', ') AS rs FROM lines),
 told AS (SELECT *, array_to_string(rs, chr(9)) AS text, list_position(list_transform(rs, lambda r: length(regexp_replace(r, '\\s', '', 'g'))), list_max(list_transform(rs, lambda r: length(regexp_replace(r, '\\s', '', 'g'))))) AS best FROM paras)"""
 
 
+def workbook_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as workbooks of fifty rows: names are shared strings, types inline ones, sizes numbers."""
+    k = F.col("p_partkey")
+    row = (k % 50).cast("int")
+    at = lambda letter: F.concat(F.lit(f'<c r="{letter}'), (row + 1).cast("string"), F.lit('"'))
+    cells_ = F.concat(at("A"), F.lit(' t="s"><v>'), row.cast("string"), F.lit("</v></c>"), at("B"), F.lit(' t="inlineStr"><is><t>'), escape_xml(F.col("p_type")), F.lit("</t></is></c>"), at("C"), F.lit("><v>"), F.col("p_size").cast("string"), F.lit("</v></c>"))
+    books = table(spark, sf_dir, "part").select(F.floor(k / 50).cast("long").alias("doc_id"), row.alias("row"), cells_.alias("cells"), F.concat(F.lit("<si><t>"), escape_xml(F.col("p_name")), F.lit("</t></si>")).alias("si"))
+    # shared strings are numbered from 0 by row, so missing rows have empty ones
+    own = books.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row", "cells", "si"))).alias("x"))
+    strings = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.coalesce(F.get(F.filter("x", lambda r: r["row"] == i), F.lit(0))["si"], F.lit("<si/>"))), "")
+    sheet = F.concat(F.lit("<worksheet><sheetData>"), F.array_join(F.transform("x", lambda r: F.concat(F.lit("<row>"), r["cells"], F.lit("</row>"))), ""), F.lit("</sheetData></worksheet>"))
+    parts = F.array(F.struct(F.lit("xl/worksheets/sheet1.xml").alias("part"), sheet.alias("xml")), F.struct(F.lit("xl/sharedStrings.xml").alias("part"), F.concat(F.lit("<sst>"), strings, F.lit("</sst>")).alias("xml")))
+    return own.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.part", "p.xml")
+
+
 def glyph_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw glyphs of documents: a line for each line, a glyph for each word, fifty lines on a page."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("l", "line"))

@@ -21,7 +21,7 @@ def _docx_of_text(text: DataFrame) -> DataFrame:
 
 
 def translate_table(docs: DataFrame, translator, config: JobConfig, save: Callable[[DataFrame, str], DataFrame], glyphs: DataFrame | None = None, page_sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, family, content) to (outputs (doc_id, content), status (doc_id, ok, error)).
+    """docs (doc_id, family, content) to (outputs (doc_id, content), status (doc_id, ok, error)). What can't be read is an error of its own.
 
     The segments of all families are batched and translated together. Page-layout documents are taken from a table of glyphs; those
     without one, and those without text, are errors. A document with a failed batch has no output.
@@ -50,13 +50,14 @@ def translate_table(docs: DataFrame, translator, config: JobConfig, save: Callab
     done, answers = translation.translate_segments(every, translator, config)
     done, answers = save(done.select(*SEGMENT), "translated"), save(answers, "answers")
     new = lambda f, *more: segs[f].drop("text").join(done, ["doc_id", "part", "seg_idx"])
-    utf8 = lambda df: df.select("doc_id", F.col("text").cast("binary").alias("content"))
+    good = lambda df: df.select("doc_id", "content", F.lit(None).cast("string").alias("error"))
+    utf8 = lambda df: good(df.select("doc_id", F.col("text").cast("binary").alias("content")))
     texts = plain.assemble_text(new("plain"))
     slots = new("html")
     plain_html = plain.assemble_text(slots.where("kind = 'paragraph'"))
     outputs = [
         utf8(texts.join(text["plain"].select("doc_id"), "doc_id", "left_semi")),
-        _docx_of_text(texts.join(text["rtf"].select("doc_id"), "doc_id", "left_semi")),
+        good(_docx_of_text(texts.join(text["rtf"].select("doc_id"), "doc_id", "left_semi"))),
         utf8(delimited.assemble_csv(text["csv"], new("csv"))),
         utf8(html.assemble_html(paged, slots.where("kind = 'slot'")).join(plain_html.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("html", "text")),
         utf8(plain_html),
@@ -67,11 +68,14 @@ def translate_table(docs: DataFrame, translator, config: JobConfig, save: Callab
     status = translation.document_status(answers).select("doc_id", "ok", "error")
     if paras is not None:
         retold = paras.drop("text").join(done.select("doc_id", F.col("seg_idx").alias("para_idx"), "text"), ["doc_id", "para_idx"])
-        outputs.append(containers.build_docx(layout.document_xml(retold, pages)))
+        outputs.append(good(containers.build_docx(layout.document_xml(retold, pages))))
     empty = of("layout").select("doc_id").join(paras.where("text <> ''").select("doc_id"), "doc_id", "left_anti") if paras is not None else of("layout").select("doc_id")
+    outputs = save(reduce(DataFrame.unionByName, outputs), "made")
+    broken = outputs.where("error is not null").select("doc_id", F.lit(False).alias("ok"), "error")
+    status = status.join(broken, "doc_id", "left_anti").unionByName(broken)
     status = status.unionByName(empty.join(status, "doc_id", "left_anti").select("doc_id", F.lit(False).alias("ok"), F.lit(layout.NO_TEXT).alias("error")))
     bad = status.where("not ok").select("doc_id")
-    return reduce(DataFrame.unionByName, outputs).join(bad, "doc_id", "left_anti"), status
+    return outputs.drop("error").join(bad, "doc_id", "left_anti"), status
 
 
 def run_job(spark: SparkSession, config: JobConfig, translator, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

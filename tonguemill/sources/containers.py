@@ -6,18 +6,25 @@ Python touches only container bytes; what happens to the parts is DataFrame work
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonguemill.functions.scalars import decode_xml_entities, escape_xml, is_text_part
+from tonguemill.core.config import open_folder
 from tonguemill.operators.ooxml import _all, _interleave
 
 
+#: What a damaged, encrypted or otherwise unreadable container raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, struct.error, TypeError, ValueError, KeyError, NotImplementedError, RuntimeError, EOFError, OSError)
+UNREADABLE = "Filen kan ikke leses: {}"
+
+
 def read_parts(files: DataFrame, pattern: str = r"\.(?:xml|rels)$") -> DataFrame:
     """(doc_id, part, part_idx, xml) of the parts of files (doc_id, content) whose name matches; a broken container gives none."""
     import re
@@ -30,7 +37,7 @@ def read_parts(files: DataFrame, pattern: str = r"\.(?:xml|rels)$") -> DataFrame
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         got = [(doc, n, i, z.read(n).decode("utf-8", "replace")) for i, n in enumerate(z.namelist()) if wanted.search(n)]
-                except (zipfile.BadZipFile, TypeError):
+                except BROKEN:  # repack_ooxml says why
                     continue
                 yield pd.DataFrame(got, columns=["doc_id", "part", "part_idx", "xml"])
 
@@ -43,7 +50,10 @@ def read_ooxml_parts(files: DataFrame, dialect: str) -> DataFrame:
 
 
 def repack_ooxml(files: DataFrame, new_parts: DataFrame) -> DataFrame:
-    """(doc_id, content): each container with its new parts (doc_id, part, xml) in place, all other entries as they were."""
+    """(doc_id, content, error): each container with its new parts (doc_id, part, xml) in place, all other entries as they were.
+
+    A container that can't be read has no content but an error, and leaves the others alone.
+    """
     kind = files.schema["doc_id"].dataType.simpleString()
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -51,14 +61,17 @@ def repack_ooxml(files: DataFrame, new_parts: DataFrame) -> DataFrame:
         out = []
         for doc, content in zip(left.doc_id, left.content, strict=True):
             to = io.BytesIO()
-            with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as w:
-                for info in z.infolist():
-                    w.writestr(info, new[info.filename].encode() if info.filename in new else z.read(info), zipfile.ZIP_DEFLATED)
-            out.append((doc, to.getvalue()))
-        return pd.DataFrame(out, columns=["doc_id", "content"])
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as w:
+                    for info in z.infolist():
+                        w.writestr(info, new[info.filename].encode() if info.filename in new else z.read(info), zipfile.ZIP_DEFLATED)
+                out.append((doc, to.getvalue(), None))
+            except BROKEN as e:
+                out.append((doc, None, UNREADABLE.format(e)))
+        return pd.DataFrame(out, columns=["doc_id", "content", "error"])
 
     parts = new_parts.select("doc_id", "part", "xml")
-    return files.select("doc_id", "content").groupBy("doc_id").cogroup(parts.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, content binary")
+    return files.select("doc_id", "content").groupBy("doc_id").cogroup(parts.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, content binary, error string")
 
 
 CELL = r"(?s)<c\b[^>]*?(?:/>|>.*?</c>)"
@@ -90,7 +103,7 @@ def read_workbook_cells(files: DataFrame) -> DataFrame:
 
 
 def repack_workbook(files: DataFrame, cells: DataFrame) -> DataFrame:
-    """(doc_id, content): the workbook with changed cells (doc_id, sheet, cell_idx, value, changed) as inline strings."""
+    """(doc_id, content, error): the workbook with changed cells (doc_id, sheet, cell_idx, value, changed) as inline strings."""
     parts = read_parts(files, r"^xl/worksheets/[^/]+\.xml$")
     new = cells.where("changed").select("doc_id", F.col("sheet").alias("part"), "cell_idx", "value")
     rows = parts.select("doc_id", "part", F.posexplode(_all(F.col("xml"), CELL)).alias("cell_idx", "c")).join(new, ["doc_id", "part", "cell_idx"], "left")
@@ -101,16 +114,29 @@ def repack_workbook(files: DataFrame, cells: DataFrame) -> DataFrame:
     return repack_ooxml(files, rebuilt)
 
 
-# The other three parts of a minimal word-processing document.
-_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
-_PKG, _OFF = "http://schemas.openxmlformats.org/package/2006", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-_WORD = "application/vnd.openxmlformats-officedocument.wordprocessingml"
-NEW_DOCX = {
-    "[Content_Types].xml": f'{_XML}<Types xmlns="{_PKG}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{_WORD}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{_WORD}.styles+xml"/></Types>',
-    "_rels/.rels": f'{_XML}<Relationships xmlns="{_PKG}/relationships"><Relationship Id="rId1" Type="{_OFF}/officeDocument" Target="word/document.xml"/></Relationships>',
-    "word/_rels/document.xml.rels": f'{_XML}<Relationships xmlns="{_PKG}/relationships"><Relationship Id="rId1" Type="{_OFF}/styles" Target="styles.xml"/></Relationships>',
-    "word/styles.xml": f'{_XML}<w:styles xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Calibri" w:hAnsi="Calibri" w:cs="Calibri"/><w:sz w:val="22"/><w:szCs w:val="22"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:after="0" w:line="240" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults></w:styles>',
-}
+# The other parts of a minimal word-processing document.
+CONTENT_TYPES = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>"""
+RELATIONSHIPS = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>"""
+DOCUMENT_RELATIONSHIPS = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>"""
+STYLES = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
+<w:styles xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Calibri" w:hAnsi="Calibri" w:cs="Calibri"/><w:sz w:val="22"/><w:szCs w:val="22"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:after="0" w:line="240" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults></w:styles>"""
+NEW_DOCX = {"[Content_Types].xml": CONTENT_TYPES, "_rels/.rels": RELATIONSHIPS, "word/_rels/document.xml.rels": DOCUMENT_RELATIONSHIPS, "word/styles.xml": STYLES}
+
+
+def pack_parts(parts: DataFrame) -> DataFrame:
+    """(doc_id, content): a container for each document, with its parts (doc_id, part, xml)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        to = io.BytesIO()
+        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, xml in sorted(zip(rows.part, rows.xml, strict=True)):
+                z.writestr(zipfile.ZipInfo(name), xml.encode(), zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"doc_id": rows.doc_id[:1], "content": [to.getvalue()]})
+
+    return parts.select("doc_id", "part", "xml").groupBy("doc_id").applyInPandas(run, f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
 def build_docx(documents: DataFrame) -> DataFrame:
@@ -143,7 +169,7 @@ def write_documents(df: DataFrame) -> DataFrame:
 
         for rows in batches:
             for dest, content in zip(rows.dest, rows.content, strict=True):
-                fs, path = pyarrow.fs.FileSystem.from_uri(dest)
+                fs, path = open_folder(dest)
                 fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with fs.open_output_stream(part, compression=None) as out:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,8 +9,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import BinaryType
 
-from tonguemill.core.config import FORMATS, OUTPUT_FOLDER, formats
+from tonguemill.core.config import FORMATS, OUTPUT_FOLDER, formats, open_folder
 from tonguemill.functions.scalars import ext_of, output_name
 
 NO_FOLDER = "Inn-mappen finnes ikke."
@@ -24,16 +24,38 @@ def _path(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def _underscored(spark: SparkSession, in_dir: str) -> list[str]:
-    """Files below a name that begins with `_`, which Spark's own listing leaves out. Only their names come to the driver."""
+def _listed(folders: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, below) of folders and files to the files in them that are empty or below a name that begins with `_`."""
+    for rows in folders:
+        for at, below in zip(rows.path, rows.below, strict=True):
+            fs, path = open_folder(at)
+            told = fs.get_file_info(path)
+            inner = fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True)) if told.type == pyarrow.fs.FileType.Directory else [told]
+            base = path.rstrip("/").rsplit("/", 1)[0]
+            got = [(f"{below}{i.path[len(base) :]}", i.mtime, i.size) for i in inner if i.type == pyarrow.fs.FileType.File and (not i.size or "/_" in i.path[len(base) :])]
+            yield pd.DataFrame(got, columns=["path", "modificationTime", "length"])
+
+
+@F.pandas_udf(BinaryType())
+def _content(paths: pd.Series) -> pd.Series:
+    def read(at: str) -> bytes:
+        fs, path = open_folder(at)
+        with fs.open_input_stream(path, compression=None) as f:
+            return f.read()
+
+    return paths.map(read)
+
+
+def _left_out(spark: SparkSession, in_dir: str) -> DataFrame:
+    """What Spark's own reader leaves out: files below a name that begins with `_`, and empty ones.
+
+    The driver lists the folder's own entries only; tasks list what is below them, and read a file only where its content is used.
+    """
     fs, path = _path(spark, in_dir)
-    out, it = [], fs.listFiles(path, True)
-    root = len(fs.makeQualified(path).toUri().getPath().rstrip("/"))
-    while it.hasNext():
-        at = it.next().getPath()
-        if "/_" in at.toUri().getPath()[root:]:
-            out.append(at.toString())
-    return out
+    at = fs.makeQualified(path).toString().rstrip("/")
+    tops = [(e.getPath().toString(), at) for e in fs.listStatus(path) if not e.getPath().getName().startswith(".")]
+    below = spark.createDataFrame(tops, "path string, below string").repartition(max(1, len(tops) // 8))
+    return below.mapInPandas(_listed, "path string, modificationTime timestamp, length long").select("*", _content("path").alias("content"))
 
 
 def relative_to(in_dir: str, column: str = "path"):
@@ -55,26 +77,10 @@ def keep_documents(files: DataFrame, in_dir: str, out_dir: str | None = None) ->
     return rows
 
 
-def _read_underscored(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in paths:
-        out = []
-        for p in rows.path:
-            fs, at = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", p))
-            info = fs.get_file_info(at)
-            with fs.open_input_stream(at, compression=None) as f:
-                out.append((p, info.mtime, info.size, f.read()))
-        yield pd.DataFrame(out, columns=["path", "modificationTime", "length", "content"])
-
-
 def scan_documents(spark: SparkSession, in_dir: str, out_dir: str | None = None) -> DataFrame:
     """(path, length, content, name, ext) of every document below the folder; bytes are read only where content is used."""
-    read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = read().load(in_dir)
-    more = _underscored(spark, in_dir)
-    if below := [p for p in more if not p.rsplit("/", 1)[1].startswith("_")]:
-        files = files.unionByName(read().load(below))
-    if own := [(p,) for p in more if p.rsplit("/", 1)[1].startswith("_")]:  # Spark drops these even by explicit path
-        files = files.unionByName(spark.createDataFrame(own, "path string").repartition(max(1, len(own) // 100)).mapInPandas(_read_underscored, FILES))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(in_dir)
+    files = files.unionByName(_left_out(spark, in_dir))
     return keep_documents(files, in_dir, out_dir)
 
 
@@ -104,7 +110,7 @@ def list_outputs(spark: SparkSession, out_dir: str) -> DataFrame:
     if not fs.exists(path):
         return spark.createDataFrame([], "dest string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out_dir)
-    return files.select(F.concat(F.lit(out_dir.rstrip("/") + "/"), relative_to(out_dir)).alias("dest"))
+    return files.select("path").union(_left_out(spark, out_dir).select("path")).select(F.concat(F.lit(out_dir.rstrip("/") + "/"), relative_to(out_dir)).alias("dest"))
 
 
 def scan_folder(spark: SparkSession, in_dir: str, out_dir: str) -> tuple[DataFrame | None, str | None]:
@@ -131,8 +137,10 @@ def resolve_dest_collisions(results: DataFrame, skip: bool = True) -> DataFrame:
 
 
 def order_manifest(manifest: DataFrame) -> DataFrame:
-    """In Norwegian order of path."""
-    return manifest.orderBy(F.collate("path", "nb"), "path")
+    """In Norwegian order of path, with rank: a file's place in its folder."""
+    by = (F.collate("path", "nb"), F.col("path"))
+    rank = F.row_number().over(Window.partitionBy(F.regexp_extract("path", r"\A(.*/)", 1)).orderBy(*by))
+    return manifest.withColumn("rank", rank).orderBy(*by)
 
 
 def decode_text(files: DataFrame, csv: bool = False) -> DataFrame:
