@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import io
 import itertools
@@ -360,18 +361,43 @@ def test_warc_round_trip(spark, tmp_path):
     names = spark.createDataFrame(listed.collect(), listed.schema)
     got = sorted(warc.read_archives(names, folder).collect(), key=lambda r: (r.page_id is None, r.page_id, r.record_type))
     assert sum(r.records for r in names.collect()) == 7
-    assert [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got] == [(1, "response", None, 4), (1, "response", None, 4), (2, "response", None, 0), (3, "revisit", 1, 4), (4, "revisit", 2, 0), (5, "response", None, 200_000), (None, "revisit", 1, 4)]
+    assert [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got] == [("1", "response", None, 4), ("1", "response", None, 4), ("2", "response", None, 0), ("3", "revisit", "1", 4), ("4", "revisit", "2", 0), ("5", "response", None, 200_000), (None, "revisit", "1", 4)]
     assert got[3].payload_digest == base64.b32encode(hashlib.sha1(b"same").digest()).decode() and got[5].payload == b"x" * 200_000
+    listed = warc.write_archives(spark.createDataFrame([("a/b >.é", "u", "x"), ("", "u", "y")], "page_id string, url string, html string"), f"file:{tmp_path}/s").collect()
+    ids = warc.read_archives(spark.createDataFrame(listed, "name string, records long, bytes long"), f"file:{tmp_path}/s").collect()
+    assert sorted(r.page_id for r in ids) == ["", "a/b >.é"]
+    none = warc.write_archives(df.where("page_id = 99"), folder)
+    assert none.count() == 0 and warc.read_archives(none, folder).count() == 0
 
 
 def test_warc_tells_damage():
-    member = warc.record(1, "u", b"payload" * 1000, None, False)
+    member = warc.record("1", "u", b"payload" * 1000, None, False)
     assert next(warc.read_archive(io.BytesIO(member)))["payload"] == b"payload" * 1000
-    for bad in (member[:-20], member + member[:50]):
-        with pytest.raises((warc.WarcError, Exception)):
+    for bad in (member[:-20], member + member[:50], member + b"junk", member[:100] + b"????" + member[104:]):
+        with pytest.raises(warc.WarcError):
             list(warc.read_archive(io.BytesIO(bad)))
-    forged = warc.record(1, "u", b"aaaa", None, False).replace(b"", b"")
-    assert len(list(warc.read_archive(io.BytesIO(forged + forged)))) == 2
+
+
+def test_warc_verifies_digests_and_framing():
+    """Members that inflate well, but whose record was changed."""
+    plain = gzip.decompress(warc.record("1", "u", b"payload", None, False))
+    again = lambda x: io.BytesIO(gzip.compress(x))
+    assert len(list(warc.read_archive(again(plain)))) == 1
+    http = len("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 7\r\n\r\n")
+    block = plain.split(b"\r\n\r\n", 1)[1][: http + 7]
+    other = block.replace(b"payload", b"PAYLOAD")
+    sha = lambda x: warc.sha1_base32(x).encode()
+    for forged, said in (
+        (plain.replace(b"payload", b"PAYLOAD"), "block digest"),  # the block differs from both digests
+        (plain.replace(block, other).replace(sha(block), sha(other)), "payload digest"),  # the block's digest was forged too
+        (plain.replace(b"Content-Length: %d" % (http + 7), b"Content-Length: %d" % (http + 6)), "block digest"),
+        (plain.replace(b"Content-Length: %d" % (http + 7), b"Content-Length: %d" % (http + 70)), "shorter"),
+        (plain + b"more", "bytes after"),
+        (b"HTTP" + plain, "no record"),
+    ):
+        assert forged != plain
+        with pytest.raises(warc.WarcError, match=said):
+            list(warc.read_archive(again(forged)))
 
 
 def test_components(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -101,33 +102,51 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, a temporary one on one machine (tests), and
+    an error on a cluster."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and (known := context.getCheckpointDir()):
+        at = known.rsplit("/", 1)[0]
     if not at:
-        known = spark.sparkContext.getCheckpointDir()
-        at = known.rsplit("/", 1)[0] if known else tempfile.mkdtemp(prefix="spark-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(at)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = _own_dir.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _own_dir[context.applicationId] = at
     return at.rstrip("/")
 
 
 class Scratch:
-    """Tables that cut the lineage: written as Parquet to the shared folder, so they survive a lost executor and are read column by column."""
+    """Tables that cut the lineage: written as Parquet to the shared folder, so they survive a lost executor and are read column by column.
+
+    What is left of them goes when the driver ends, as results may read them until then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.known = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", False
+
+    def _path(self, label: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}" if label else self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
+        if not self.known:
+            fs, path = self._path()
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+            self.known = True
         df.write.mode("overwrite").parquet(f"{self.root}/{label}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{label}")
 
     def drop(self, *labels: str) -> None:
         """Removes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for label in labels:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._path(label)
+            fs.delete(path, True)
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
@@ -154,4 +173,5 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, label: s
             break
         scratch.drop(f"{label}{round_ - 1}")
         cur, before = nxt, after
+    scratch.drop(f"{label}{round_ - 1}")
     return nxt.select(F.col("a").alias("node"), F.col("b").alias("component"))

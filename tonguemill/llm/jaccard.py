@@ -514,6 +514,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         links = more if links is None else links.union(more)
         linked = components(spark, links, scratch, f"round{k}_")
+        scratch.drop(f"few{k}")
         apart = apart.select("key", "set", "n").join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     across = _across(apart, arrays, scratch, percent)
     rest = scratch.save(_verified(across, arrays, percent), "rest")

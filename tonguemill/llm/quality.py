@@ -77,7 +77,7 @@ POLICIES = {"base": 0b000011, "v1": 0b111111}
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the measurements and `failures`, one bit for each rule.
 
-    Null and empty texts have no words and fail few_words. Each row is judged by its own text alone, so ties, repeats and hot
+    Null and empty texts have no words and fail few_words; an empty table gives none. Each row is judged by its own text alone, so ties, repeats and hot
     sources need no shuffle. Columns of the input with the result's names are replaced.
     """
     m = measure(docs, text_col)
@@ -110,9 +110,14 @@ def ablations(led: DataFrame, version: str = "v1") -> DataFrame:
     )
 
 
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules, what each of them removes: one pass over documents, then bits of the distinct masks."""
+    return ablations(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = apply_policy(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
 SQL = r"""
@@ -128,6 +133,14 @@ m AS (SELECT w.doc_id, w.rid, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(re
       FROM w JOIN l USING (rid) LEFT JOIN c USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 15 * word_chars)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
+            + 16 * (word_chars > 40 * n_words)::INT + 32 * (word_chars < 2 * n_words)::INT AS INTEGER) AS failures,
        NOT (base_failed OR 100 * n_symbols > 15 * word_chars OR 2 * n_dup_lines > n_lines OR word_chars > 40 * n_words OR word_chars < 2 * n_words) AS kept
 FROM f
 """
+ABLATION_SQL = f"""
+WITH led AS ({SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{name}', {1 << bit})" for bit, name, _ in RULES)})
+SELECT rule, CAST(count(*) FILTER (failures & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failures = bit) AS BIGINT) AS n_only,
+       CAST(count(*) FILTER (failures & ~bit = 0) AS BIGINT) AS n_kept_without
+FROM led, r GROUP BY rule
+"""

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": langid.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_quality_rules": quality.query,
+    "quality_ablations": quality.ablation_query,
     "op7_best_fit_packing": packing.query,
     "op8_substring_dedup": substrings.query,
     "op9_embedding_near_dedup": vectors.query,
@@ -20,6 +21,7 @@ SQL = {
     "op3_url_filter": urls.SQL,
     "op5_ngram_jaccard": jaccard.SQL,
     "op6_quality_rules": quality.SQL,
+    "quality_ablations": quality.ABLATION_SQL,
     "op8_substring_dedup": substrings.SQL,
     "op9_embedding_near_dedup": vectors.SQL,
     "op10_warc": warc.SQL,

@@ -12,13 +12,13 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonguemill.core.config import open_folder
 from tonguemill.llm.common import Scratch, table
 
 #: An archive is closed once it is larger.
@@ -35,15 +35,24 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def _urn(page_id: str | None) -> str:
+    return "<urn:page:>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}.>"
+
+
+def _id_of(urn: str | None) -> str | None:
+    got = re.fullmatch(r"<urn:page:(.*)\.>", urn or "")
+    return unquote(got[1]) if got else None
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
     """A record as one gzip member. A revisit holds the HTTP header alone, whose Content-Length is that of the full payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += [f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n") + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
@@ -64,7 +73,10 @@ class _Members:
                 self.raw = self.stream.read(CHUNK)
                 if not self.raw:
                     raise WarcError("the archive ends inside a record")
-            got = self.z.decompress(self.raw, CHUNK)
+            try:
+                got = self.z.decompress(self.raw, CHUNK)
+            except zlib.error as e:
+                raise WarcError(f"a damaged member: {e}") from e
             self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
             self.plain += got
             if got:
@@ -120,20 +132,16 @@ def read_archive(stream) -> Iterator[dict]:
         yield head | {"http-length": length, "payload": payload if head["warc-type"] == "response" else None}
 
 
-def _open(folder: str):
-    """File system and path of a folder given as URI or local path."""
-    return pyarrow.fs.FileSystem.from_uri(folder)
-
-
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes pages to archives in `folder` (shared by the executors) and returns (path, records, bytes) of the archives, not yet run.
 
     Of pages with equal payloads of at least `least_bytes`, that with the smallest id is the response; pages that share that id and
     payload are responses too, and a null id is the smallest only where all are null. Null html is an empty payload. Equal payloads
-    are found by SHA-1 with partial aggregation; a hot payload's group is never gathered. Each attempt of a task writes files of its
-    own name, and only those of the attempt that ended well are listed.
+    are found by SHA-1 with partial aggregation; a hot payload's group is never gathered. Ids may be numbers or texts, and an empty
+    table gives no archive. Extra columns are not read, whatever their names. Each attempt of a task writes files of its own name, and
+    only those of the attempt that ended well are listed; others stay in the folder unread.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     linked = rows.join(first, "digest", "left").drop("digest")
@@ -141,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     linked = linked.withColumn("revisit", large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).drop("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(folder)
+        fs, path = open_folder(folder)
         fs.create_dir(path, recursive=True)
         out, name, n, size = None, "", 0, 0
         done: list[tuple] = []
@@ -163,23 +171,21 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             done.append((name.rsplit("/", 1)[1], n, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["name", "records", "bytes"])
 
-    return linked.select("page_id", "url", "html", "first", "revisit").mapInArrow(run, "name string, records long, bytes long")
+    as_text = lambda c: F.col(c).cast("string").alias(c)
+    return linked.select(as_text("page_id"), "url", "html", as_text("first"), "revisit").mapInArrow(run, "name string, records long, bytes long")
 
 
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Records of the archives named by (name), each read from begin to end by one task. Revisits carry no payload of their own."""
-
-    def number(urn: str | None) -> int | None:
-        got = re.fullmatch(r"<urn:page:(\d+|-\d+)>", urn or "")
-        return int(got[1]) if got else None
+    """Records of the archives named by (name), each read from begin to end by one task; ids are texts. Revisits carry no payload of
+    their own. A damaged archive, or a record that doesn't match its digests, is a WarcError."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(folder)
+        fs, path = open_folder(folder)
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
         def give(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -189,7 +195,7 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
                 rows: list[tuple] = []
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for r in read_archive(stream):
-                        rows.append((number(r["warc-record-id"]), r.get("warc-target-uri"), r["http-length"], r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"], number(r.get("warc-refers-to")), r["payload"] if payloads else None))
+                        rows.append((_id_of(r["warc-record-id"]), r.get("warc-target-uri"), r["http-length"], r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"], _id_of(r.get("warc-refers-to")), r["payload"] if payloads else None))
                         if len(rows) == 500:
                             yield give(rows)
                             rows = []
@@ -204,7 +210,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch.root}/archives"
     archives = scratch.save(write_archives(table(spark, sf_dir, "pages"), folder), "manifest")
     spread = archives.repartition(max(1, archives.count()), "name")
-    return read_archives(spread, folder, payloads=False).drop("url", "payload")
+    got = read_archives(spread, folder, payloads=False)
+    return got.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
 
 
 SQL = """
