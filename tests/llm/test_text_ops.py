@@ -79,16 +79,27 @@ def test_license_base_places_and_edits(spark):
     assert out[5].n_base == 0 and 0 < out[5].score < 1 and out[5].spans[0].edits == 3
 
 
-def test_license_seeds_miss_nothing():
-    """Every place with few enough edits holds a seed: compared with fuzzy matching of the whole text."""
-    rng, notice = random.Random(5), licenses.METHOD_NOTICES[0]
-    for _ in range(300):
+@pytest.mark.parametrize("notice", licenses.METHOD_NOTICES, ids=lambda n: n.text[:24])
+def test_license_seeds_miss_nothing(notice):
+    """Every place with few enough edits holds a seed: compared with fuzzy matching of the whole text, up to the bound and beyond."""
+    rng = random.Random(len(notice.text))
+    for k in range(60):
         s = list(notice.text)
-        for _ in range(rng.randint(0, notice.edits)):
-            k = rng.randrange(len(s))
-            s[k : k + 1] = rng.choice([[], ["q"], [s[k], "z"]])
+        for _ in range(k % (notice.edits + 3)):
+            at = rng.randrange(len(s))
+            s[at : at + 1] = rng.choice([[], ["q"], [s[at], "z"]])
         norm = licenses.normal_form("foo " + "".join(s) + " bar")
-        assert bool(licenses.find_notices(norm, (notice,))) == bool(notice.pattern.search(norm))
+        found = licenses.find_notices(norm, (notice,))
+        assert bool(found) == bool(notice.pattern.search(norm))
+        assert all(f[3] <= notice.edits for f in found)
+
+
+def test_license_columns_and_rows(spark):
+    rows = docs(spark, ["mit license", "mit license", ""], "labels")
+    assert [r.labels for r in licenses.scan_licenses(rows).orderBy("doc_id").collect()] == ["mit", "mit", ""]
+    assert licenses.scan_licenses(rows.where("doc_id < 0")).count() == 0
+    with pytest.raises(ValueError, match="labels"):
+        licenses.scan_licenses(rows, keep=("doc_id", "labels"))
 
 
 def test_urls(spark):
@@ -111,6 +122,39 @@ def test_urls(spark):
     assert urls.judge_urls(df.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("most", [urls.INDEX_BYTES, 0])
+def test_urls_with_many_rules(spark, most):
+    """20,000 rules, as a constant and as a table, against trying each; with long, repeated and null URLs, and rules of one length."""
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    hosts = sorted({f"{word(3)}.{word(5)}.com" for _ in range(10_000)})
+    rules = [urls.host_rule(rng.choice(["allow", "block"]), h, rng.choice(["/", "/a/", "/b"])) for h in hosts]
+    words = sorted({word(6) for _ in range(10_000)})
+    rules += [urls.word_rule(w) for w in words]
+    own = [f"http://{rng.choice(['', 'www.', 'x'])}{rng.choice(hosts)}{rng.choice(['/', '/a/1', '/b2', ''])}" for _ in range(150)] + [f"http://{rng.choice(words)}-{rng.choice(words)}.net/{word(4)}" for _ in range(50)]
+    own += [own[0]] * 3 + [None, "http://" + "a." * 20_000 + hosts[0] + "/" + "a/" * 20_000]
+    df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(own)], "page_id long, url string, key string")
+    got = {r.page_id: r for r in urls.judge_urls(df, rules=tuple(rules), index_bytes=most).collect()}
+    base = {r.name: r for r in rules if r.base}
+    blocked = set(words)
+    for i, u in enumerate(own):
+        host, _, rest = (u or "").partition("://")[2].partition("/")
+        path = "/" + rest if rest or (u or "").endswith("/") else ""
+        labels = host.split(".")
+        fits = [n for k in range(max(0, len(labels) - 3), len(labels)) for h in [".".join(labels[k:])] for p in ("/", "/a/", "/b", "/x") if (n := h + p) in base and path.startswith(p)]
+        rule = max(fits, key=lambda n: (len(n), n), default=None)
+        words_fit = sorted({w for w in re.findall("[a-z0-9]+", host) if w in blocked})
+        assert (got[i].rule, got[i].key) == (rule, "k") and got[i].method_rules == words_fit
+        assert got[i].verdict == (base[rule].action if rule else "block" if words_fit else "allow")
+
+
+def test_urls_ties(spark):
+    """Two base rules of one length that fit: the last by name decides."""
+    rules = (urls.UrlRule("b-rule", "block", r"\Aa\.com/.*", ("com",), True), urls.UrlRule("a-rule", "allow", r"\Aa\.com/.*", ("a",), True))
+    got = urls.judge_urls(spark.createDataFrame([("http://a.com/",)], "url string"), rules=rules).first()
+    assert (got.rule, got.verdict) == ("b-rule", "block")
+
+
 def test_quality_against_brute_force(spark):
     rng = random.Random(2)
     texts = [None, "", " \n ", "a", "a b c a b c", "x\nx\n\ny\nx", "# $$ a<b>", *[" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 90))) for _ in range(60)], "w " * 20_000]

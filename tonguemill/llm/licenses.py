@@ -59,6 +59,14 @@ METHOD_NOTICES = (
     Notice("creative commons attribution", "cc-by", 3),
     Notice("licensed under cc by", "cc-by", 2),
     Notice("redistribution and use in source and binary forms", "bsd", 6),
+    Notice("neither the name of the copyright holder nor the names of its contributors may be used", "bsd", 8),
+    Notice("this program is free software you can redistribute it and or modify it", "gpl", 7),
+    Notice("gnu lesser general public license", "lgpl", 2),
+    Notice("gnu affero general public license", "agpl", 2),
+    Notice("permission to use copy modify and or distribute this software for any purpose with or without fee", "isc", 8),
+    Notice("this is free and unencumbered software released into the public domain", "unlicense", 7),
+    Notice("spdx license identifier mit", "mit", 2),
+    Notice("spdx license identifier apache 2 0", "apache", 2),
     Notice("mozilla public license", "mpl", 2),
     Notice("all rights reserved", "all-rights-reserved", 1),
 )
@@ -107,9 +115,12 @@ FIELDS = f"n_words long, n_base long, first_word long, last_word long, base_labe
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), notices: tuple[Notice, ...] = BASE_NOTICES + METHOD_NOTICES) -> DataFrame:
     """The kept columns with counts, labels, score and spans (label, first word, words, edits) of the notices found.
 
-    Null and empty texts have no words, no labels and score 0. Every row is scanned by itself, repeated rows each, so no key
-    can be hot; long texts are searched whole. Only `keep` and the text are read; `keep` must not hold a name of the result.
+    Null and empty texts have no words, no labels and score 0; an empty table gives none. Every row is scanned by itself, repeated rows
+    each, so no key can be hot; long texts are searched whole. Places of several notices at one word are all reported. Only `keep` and the
+    text are read; a name of the result in `keep` is refused.
     """
+    if clash := set(keep) & {f.split(" ")[0] for f in FIELDS.split(f", spans {SPANS}")[0].split(", ")} | set(keep) & {"spans"}:
+        raise ValueError(f"keep holds names of the result: {sorted(clash)}")
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

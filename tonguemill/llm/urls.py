@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass
@@ -42,14 +43,13 @@ BASE_RULES = (
     host_rule("allow", "com", "/fr/"),
     host_rule("block", "com", "/de/"),
 )
-#: The method's own block list: unwanted kinds of site, by words of the host.
-PATTERN_RULES = (
-    UrlRule("casino", "block", r"\A[^/]*\bcasino\b[^/]*", ("casino",)),
-    UrlRule("free-bets", "block", r"\A[^/]*\bfree-bets\b[^/]*", ("free", "bets")),
-    UrlRule("cheap-pills", "block", r"\A[^/]*\bcheap-pills\b[^/]*", ("cheap", "pills")),
-    UrlRule("spam-farm", "block", r"\A[^/]*\bspam-farm\b[^/]*", ("spam", "farm")),
-    UrlRule("ads-track", "block", r"\A[^/]*\bads-track\b[^/]*", ("ads", "track")),
-)
+def word_rule(words: str) -> UrlRule:
+    """Blocks hosts in which the words, joined by hyphens, stand whole."""
+    return UrlRule(words, "block", rf"\A[^/]*\b{words}\b[^/]*", tuple(words.split("-")))
+
+
+#: The method's own block list: unwanted kinds of site, by words of the host. A real list is given to judge_urls as `rules`.
+PATTERN_RULES = tuple(map(word_rule, ("casino", "free-bets", "cheap-pills", "spam-farm", "ads-track")))
 
 
 def url_host(url: Column) -> Column:
@@ -65,44 +65,69 @@ def url_tokens(key: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(key, UPPER, LOWER), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
+#: Bytes of a rule list up to which its index is a constant of the plan; longer lists are joined as a table.
+INDEX_BYTES = 8 << 20
+RULE = "struct<length:int,name:string,action:string,base:boolean,pattern:string>"
+
+
 def token_counts(urls: DataFrame, rules: tuple[UrlRule, ...]) -> dict[str, int]:
     """URLs that hold each token of the rules. As many rows as the rules have tokens reach the driver."""
     words = sorted({t for r in rules for t in r.tokens})
-    held = F.explode(F.array_intersect(url_tokens(F.col("key")), F.array(*[F.lit(w) for w in words]))).alias("token")
-    return {w: 0 for w in words} | {r.token: r.n for r in urls.select(held).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    listed = urls.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(words)), "array<string>")).alias("token"))
+    held = urls.select(F.explode(url_tokens(F.col("key"))).alias("token")).join(listed, "token", "left_semi")
+    return {w: 0 for w in words} | {r.token: r.n for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
-def rule_index(rules: tuple[UrlRule, ...], counts: dict[str, int]) -> tuple[Column, int]:
-    """Buckets of (token, rules) by crc32 of each rule's rarest token, as one constant; its size is that of the rule list."""
-    by_token: dict[str, list[UrlRule]] = {}
+def by_rarest(rules: tuple[UrlRule, ...], counts: dict[str, int]) -> dict[str, list[dict]]:
+    """Rules by their rarest token."""
+    out: dict[str, list[dict]] = {}
     for r in rules:
-        by_token.setdefault(min(r.tokens, key=lambda t: (counts[t], t)), []).append(r)
-    n = 1 << max(2, len(by_token)).bit_length()
-    buckets: list[list[Column]] = [[] for _ in range(n)]
-    for token, own in sorted(by_token.items()):
-        each = [F.struct(F.lit(len(r.name)).alias("length"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.base).alias("base"), F.lit(r.pattern).alias("pattern")) for r in own]
-        buckets[zlib.crc32(token.encode()) % n].append(F.struct(F.lit(token).alias("token"), F.array(*each).alias("rules")))
-    kind = "array<struct<token:string,rules:array<struct<length:int,name:string,action:string,base:boolean,pattern:string>>>>"
-    return F.array(*[F.array(*b).cast(kind) if b else F.from_json(F.lit("[]"), kind) for b in buckets]), n
-
-
-def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[UrlRule, ...] = BASE_RULES + PATTERN_RULES) -> DataFrame:
+        told = {"length": len(r.name), "name": r.name, "action": r.action, "base": r.base, "pattern": r.pattern}
+        out.setdefault(min(r.tokens, key=lambda t: (counts[t], t)), []).append(told)
+    return out
+
+
+def rule_index(listed: dict[str, list[dict]]) -> tuple[str, int]:
+    """JSON of buckets of (token, rules) by crc32 of the token, and how many buckets."""
+    n = 1 << max(2, len(listed)).bit_length()
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for token, own in sorted(listed.items()):
+        buckets[zlib.crc32(token.encode()) % n].append({"token": token, "rules": own})
+    return json.dumps(buckets), n
+
+
+def _fetched(keyed: DataFrame, listed: dict[str, list[dict]], most: int) -> DataFrame:
+    """keyed (key, ...) with __fits, the rules whose pattern fits among those that its tokens fetch."""
+    index, n = rule_index(listed)
+    fitting = lambda rules, key: F.filter(rules, lambda r: F.rlike(key, r["pattern"]))
+    if len(index) <= most:
+        table_ = F.from_json(F.lit(index), f"array<array<struct<token:string,rules:array<{RULE}>>>>")  # folded to a constant
+
+        def fetch(token: Column) -> Column:
+            bucket = F.element_at(table_, (F.crc32(token) % n + 1).cast("int"))
+            return F.flatten(F.transform(F.filter(bucket, lambda e: e["token"] == token), lambda e: e["rules"]))
+
+        return keyed.withColumn("__fits", fitting(F.flatten(F.transform(url_tokens(F.col("key")), fetch)), F.col("key")))
+    spark, names = keyed.sparkSession, list(listed)
+    rows = [(t, [(r["length"], r["name"], r["action"], r["base"], r["pattern"]) for r in listed[t]]) for t in names]
+    rules = spark.createDataFrame(rows, f"token string, rules array<{RULE}>")
+    tokens = keyed.select("key").distinct().select("key", F.explode(url_tokens(F.col("key"))).alias("token"))
+    met = tokens.join(rules, "token").select("key", F.explode(fitting(F.col("rules"), F.col("key"))).alias("r"))
+    fits = met.groupBy("key").agg(F.collect_list("r").alias("__fits"))
+    return keyed.join(fits, "key", "left").withColumn("__fits", F.coalesce("__fits", F.array().cast(f"array<{RULE}>")))
+
+
+def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[UrlRule, ...] = BASE_RULES + PATTERN_RULES, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """pages with host, path, rule (the base rule that decided, else null), verdict and method_rules (names of the patterns that fit).
 
-    No shuffle over pages: the index is a constant of the rule list's size and each URL looks up its tokens. Null URLs and URLs
-    without `://` have an empty host and path, fit no rule and are allowed. Repeated rows are judged each. Columns of the input
-    with the result's names are replaced.
+    Up to index_bytes the index is a constant and each URL looks up its tokens: no shuffle over pages. A longer list is a table that the
+    tokens of distinct URLs are joined with. Null URLs and URLs without `://` have an empty host and path, fit no rule and are
+    allowed. Of base rules of one length that fit, the last by name decides. Repeated rows are judged each, very long URLs whole; an
+    empty table gives none. Columns of the input with the result's names are replaced.
     """
     keyed = pages.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
-    key = F.concat("host", "path")
-    index, n = rule_index(rules, token_counts(keyed.select(key.alias("key")), rules))
-
-    def fetch(token: Column) -> Column:
-        bucket = F.element_at(index, (F.crc32(token) % n + 1).cast("int"))
-        return F.flatten(F.transform(F.filter(bucket, lambda e: e["token"] == token), lambda e: e["rules"]))
-
-    fits = F.filter(F.flatten(F.transform(url_tokens(key), fetch)), lambda r: F.rlike(key, r["pattern"]))
-    out = keyed.withColumn("__fits", fits)
+    keyed = keyed.withColumnRenamed("key", "__key").withColumn("key", F.concat("host", "path"))
+    out = _fetched(keyed, by_rarest(rules, token_counts(keyed.select("key"), rules)), index_bytes).drop("key").withColumnRenamed("__key", "key")
     best = F.array_max(F.filter("__fits", lambda r: r["base"]))
     own = F.filter("__fits", lambda r: ~r["base"])
     blocked = F.exists(own, lambda r: r["action"] == "block")
