@@ -116,3 +116,14 @@ def test_run_matches_brute_force(spark, data, tmp_path, monkeypatch):
         lengths = packing.cut_lengths(len(tok.encode([t])[0]) // 4 + 1)
         want += [(i, k, sum(lengths[:k]), n) for k, n in enumerate(lengths)]
     assert got == sorted(want)
+
+
+def test_stages_on_empty_and_repeated_rows(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    empty = docs.where("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, data).count() == 0
+    text = " ".join(f"w{i} the" for i in range(60))
+    rows = spark.createDataFrame([(5, text, "en", "s", 1)] * 3 + [(None, text, "en", "s", 1), (6, None, None, None, None)], docs.schema)
+    counts = [stage(spark, rows, data).count() for _, stage in corpus_pipeline.STAGES]
+    assert counts == [4, 4, 2, 5, 5]  # of equal texts one stays beside the null
