@@ -120,6 +120,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Whether Spark removes the shuffle files of a query when it has ended, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that cut the lineage: written as Parquet to the shared folder, so they survive a lost executor and are read column by column.
 
@@ -139,7 +143,12 @@ class Scratch:
             fs.mkdirs(path)
             fs.deleteOnExit(path)
             self.known = True
-        df.write.mode("overwrite").parquet(f"{self.root}/{label}")
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")  # what the table was made from isn't needed any more
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{label}")
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{label}")
 
     def drop(self, *labels: str) -> None:

@@ -484,6 +484,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = shared.withColumn("r", F.row_number().over(costly)).where(F.col("r") > budget).select("key", "set", size.alias("n"))
     kept = scratch.save(kept, "kept")
     scratch.drop("shared")
+    members = scratch.save(members.drop("keys", "metas"), "rows")
+    scratch.drop("members")
 
     met = members.select(F.col("nid").alias("set"), "rid", "h1", "h2").join(kept.select("set").distinct(), "set", "left_semi")
     texts = src.select("rid", "text").join(met, "rid").select("set", "h1", "h2", "text")
