@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -241,6 +242,18 @@ def test_substrings_keep_of_result_names_and_long_text(spark):
     assert [(r.n_words, r.n_removed) for r in got] == [(120_000, 40), (42, 40), (0, 0)] and got[1].cleaned == "x y"
 
 
+def test_substrings_shard_takes_a_repeated_context_once():
+    words = " ".join("u%d" % i for i in range(40))
+    kinds = (substrings.WHOLE_TOLD, substrings.PART)
+    rows = [(7, 1, 1, 0, kinds[0], words)] * 500 + [(7, 2, 2, 3, kinds[1], words + " v")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=list("mrsakw")) for part in (rows[:250], rows[250:])]
+    seen, add = [], substrings.SuffixAutomaton.add
+    substrings.SuffixAutomaton.add = lambda self, *x: seen.append(x) or add(self, *x)
+    got = [r for b in substrings._shards(iter(batches), 35) for r in zip(*(c.to_pylist() for c in b.columns))]
+    substrings.SuffixAutomaton.add = add
+    assert got == [(2, 2, 3, 40)] and len(seen) == 2
+
+
 def test_automaton_counts_sequences():
     rng = random.Random(9)
     for _ in range(200):

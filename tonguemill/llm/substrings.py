@@ -173,7 +173,10 @@ class SuffixAutomaton:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts (m, r1, r2, a, kind, words) sorted by m to spans (r1, r2, a, n) of those that aren't known as repeated whole."""
+    """Contexts (m, r1, r2, a, kind, words) sorted by their first four to spans (r1, r2, a, n) of those that aren't known as repeated whole.
+
+    A row that is repeated whole gives a context once in each task that has it; one of these is taken.
+    """
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def give(held: list[tuple]) -> pa.RecordBatch:
@@ -191,7 +194,8 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 if len(held) > 1:
                     yield give(held)
                 held, key = [], m
-            held.append(tuple(row))
+            if not held or tuple(row[:3]) != held[-1][:3]:
+                held.append(tuple(row))
     if len(held) > 1:
         yield give(held)
 
@@ -319,7 +323,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_col: str =
     scratch.drop("notes", "classes")
 
     ctx = state.where(F.size("contexts") > 0).select(*row, F.explode("contexts").alias("x")).select("x.m", *row, "x.a", "x.kind", "x.words")
-    found = ctx.repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: _shards(it, length), "__r1 long, __r2 int, a int, n int")
+    found = ctx.repartition("m").sortWithinPartitions("m", *row, "a").mapInArrow(lambda it: _shards(it, length), "__r1 long, __r2 int, a int, n int")
     win = state.where(F.size("windows") > 0).select(*row, F.explode("windows").alias("x")).select(*row, "x.m", "x.w", "x.a", "x.weight")
     twice = win.groupBy("m", "w").agg(F.sum("weight").alias("n")).where("n > 1").select("m", "w")
     found = found.union(win.where("weight = 1").join(twice, ["m", "w"], "left_semi").select(*row, "a", F.lit(length)))
