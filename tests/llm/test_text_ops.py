@@ -191,3 +191,14 @@ def test_codewords_are_apart():
     for n in (2, 3, 4, 9, 20):
         c = langid.codewords(n)
         assert min(int((c[i] != c[j]).sum()) for i in range(n) for j in range(i)) >= 2
+
+
+def test_bpe_keeps_no_long_words():
+    """A worker's cache is bounded in bytes too: words without end are encoded, but not kept."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, texts = bpe.encoder(path), ["x" * 3000 + " short " + "ab" * 4000, "q" * 64 + "\nshort"]
+    first, again = own.encode_packed(texts), own.encode_packed(texts)
+    assert first == again and [list(memoryview(x).cast("i")) for x in first] == [want.encode_ordinary(t) for t in texts]
+    assert max(map(len, [*own.inner, *own.first, *own.old, *own.pieces])) < bpe.LONG and "short" in own.inner

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tonguemill.llm.common import spread, table, worker_cache
 
-#: Entries of a Python worker's caches of words (in each of two generations) and pieces.
-CACHE_WORDS = 300_000
+#: Entries of a Python worker's caches of words (in each of two generations) and pieces, and the characters from which none is kept.
+CACHE_WORDS, LONG = 300_000, 64
 
 
 class BytePairEncoder:
@@ -142,7 +142,7 @@ class BytePairEncoder:
             own = pieces.get(piece)
             if own is None:
                 own = self.encode_bytes(piece.encode("utf-8", "surrogatepass").decode("latin-1"))
-                if len(piece) < 64:
+                if len(piece) < LONG:
                     if len(pieces) >= CACHE_WORDS:
                         pieces.clear()
                     pieces[piece] = own
@@ -183,6 +183,9 @@ class BytePairEncoder:
                 parts += (line_end, first[ws[0]])
                 parts += map(known, ws[1:])
             out.append(b"".join(parts[1:]))
+        for cache, used in ((inner, rest), (first, heads)):
+            for w in [w for w in used if len(w) >= LONG]:
+                del cache[w]
         if len(inner) > CACHE_WORDS:
             self.old, self.inner = inner, {}
         if len(first) > CACHE_WORDS // 4:
