@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tonguemill.llm import bpe, jaccard, langid, licenses, packing, quality, substrings, urls, vectors, warc
+from tonguemill.llm import bpe, divergence, jaccard, langid, licenses, packing, quality, substrings, urls, vectors, warc
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": substrings.query,
     "op9_embedding_near_dedup": vectors.query,
     "op10_warc": warc.query,
+    "op12_source_divergence": divergence.query,
 }
 SQL = {
     "op3_url_filter": urls.SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op8_substring_dedup": substrings.SQL,
     "op9_embedding_near_dedup": vectors.SQL,
     "op10_warc": warc.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
