@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tonguemill.llm import bpe, divergence, jaccard, langid, licenses, packing, quality, substrings, urls, vectors, warc
+from tonguemill.llm import bpe, divergence, jaccard, langid, licenses, packing, quality, substrings, urls, vectors, warc, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_embedding_near_dedup": vectors.query,
     "op10_warc": warc.query,
     "op12_source_divergence": divergence.query,
+    "op13_embedding_whitening": whitening.query,
 }
 SQL = {
     "op3_url_filter": urls.SQL,
