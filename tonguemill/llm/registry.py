@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tonguemill.llm import bpe, divergence, jaccard, langid, licenses, packing, quality, substrings, urls, vectors, warc, whitening
+from tonguemill.llm import bpe, divergence, jaccard, langid, licenses, packing, personal, quality, substrings, urls, vectors, warc, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": substrings.query,
     "op9_embedding_near_dedup": vectors.query,
     "op10_warc": warc.query,
+    "op11_personal_data": personal.query,
     "op12_source_divergence": divergence.query,
     "op13_embedding_whitening": whitening.query,
 }
@@ -27,5 +28,6 @@ SQL = {
     "op8_substring_dedup": substrings.SQL,
     "op9_embedding_near_dedup": vectors.SQL,
     "op10_warc": warc.SQL,
+    "op11_personal_data": personal.query,
     "op12_source_divergence": divergence.SQL,
 }
