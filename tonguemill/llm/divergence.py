@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ TOP, LEAST_DOCS = 10, 10
 SCALE = 1_000_000_000
 #: Sources of a block of the matrix of pairs, terms that one task meets with a block pair, and rows of them weighed at once, about.
 BLOCK, CHUNK, SLICE = 128, 20_000, 512
-#: Terms that a task counts before it hands the counts on, bytes of a text that are split at once, and skybands that merge first.
-FLUSH, STRETCH, FAN = 200_000, 1 << 22, 16
+#: Terms that a task counts before it hands the counts on, bytes of a text that are split at once, rows that a task takes the skybands of
+#: at once, and parts in which the skybands of tasks merge first.
+FLUSH, STRETCH, HELD, FAN = 200_000, 1 << 22, 500_000, 16
 #: A-Z to a-z; other ASCII that is no letter to a blank; bytes of non-ASCII characters stay.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -75,48 +77,49 @@ def skyband(n: np.ndarray, total: np.ndarray, rank: np.ndarray, k: int) -> np.nd
     themselves, so each row is held against the skyband so far.
     """
     order = np.lexsort((rank, total, -n))
-    kept: list[int] = []
+    kept, t, r, m = np.empty(len(n), "int64"), np.empty(len(n), "int64"), np.empty(len(n), "int64"), 0
     for a in range(0, len(order), SLICE):
-        own = order[a : a + SLICE]
-        before = len(kept)
-        t, r = total[kept], rank[kept]
-        over = ((t[:, None] <= total[own]) & (r[:, None] <= rank[own])).sum(0)
-        for i, n_over in zip(own[over < k], over[over < k], strict=True):
-            new = kept[before:]
-            if n_over + ((total[new] <= total[i]) & (rank[new] <= rank[i])).sum() < k:
-                kept.append(int(i))
-    return np.array(kept, "int64")
+        own, before = order[a : a + SLICE], m
+        over = ((t[:m, None] <= total[own]) & (r[:m, None] <= rank[own])).sum(0)
+        some = over < k
+        for i, x, y, n_over in zip(own[some].tolist(), total[own[some]].tolist(), rank[own[some]].tolist(), over[some].tolist(), strict=True):
+            if n_over + np.count_nonzero((t[before:m] <= x) & (r[before:m] <= y)) < k:
+                kept[m], t[m], r[m] = i, x, y
+                m += 1
+    return kept[:m]
 
 
-def _band(n: list, total: list, term: list, k: int) -> list[tuple]:
-    rank = np.empty(len(term), "int64")
-    rank[sorted(range(len(term)), key=term.__getitem__)] = np.arange(len(term))
-    return [(n[i], total[i], term[i]) for i in skyband(np.array(n, "int64"), np.array(total, "int64"), rank, k)]
+BANDS = "lang string, source string, salt int, n long, total long, term binary"
 
 
-_BANDS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("salt", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("term", pa.binary())])
-BANDS = "lang string, source string, salt int, n long, total long, term binary"
+def _band(rows: pa.Table, k: int) -> pa.Table:
+    """The skyband of each group (lang, source) of rows (..., n, total, term)."""
+    rank = np.empty(rows.num_rows, "int64")
+    rank[pc.sort_indices(rows["term"]).to_numpy()] = np.arange(len(rank))
+    n, total = rows["n"].to_numpy(), rows["total"].to_numpy()
+    own = [pc.dictionary_encode(rows[c].combine_chunks()).indices.to_numpy(zero_copy_only=False).astype("int64") for c in ("lang", "source")]
+    code = own[0] * (own[1].max(initial=0) + 1) + own[1]
+    order = np.argsort(code, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
+    return rows.take(pa.array(np.concatenate([g[skyband(n[g], total[g], rank[g], k)] for g in groups])))
 
 
 def _local(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The skyband of each group's rows (lang, source, n, total, term) in this task."""
-    bands: dict[tuple[str, str], list[tuple]] = {}
-    for batch in batches:
-        groups: dict[tuple[str, str], list[tuple]] = {}
-        for lang, source, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            groups.setdefault((lang, source), []).append(tuple(row))
-        for g, rows in groups.items():
-            bands[g] = _band(*map(list, zip(*(bands.get(g, []) + rows), strict=True)), k)
+    """The skyband of each group's rows (lang, source, n, total, term) in this task, HELD rows at a time."""
     salt = TaskContext.get().partitionId() % FAN
-    for (lang, source), rows in bands.items():
-        yield pa.RecordBatch.from_pylist([{"lang": lang, "source": source, "salt": salt, "n": n, "total": t, "term": w} for n, t, w in rows], schema=_BANDS)
 
+    def give(rows: pa.Table) -> list[pa.RecordBatch]:
+        return rows.append_column("salt", pa.array(np.full(rows.num_rows, salt, "int32"))).select(["lang", "source", "salt", "n", "total", "term"]).to_batches()
 
-def _merged(rows: pa.Table, k: int) -> pa.Table:
-    """The skyband of a group's skybands."""
-    kept = _band(rows["n"].to_pylist(), rows["total"].to_pylist(), rows["term"].to_pylist(), k)
-    head = {"lang": rows["lang"][0].as_py(), "source": rows["source"][0].as_py(), "salt": rows["salt"][0].as_py()}
-    return pa.Table.from_pylist([head | {"n": n, "total": t, "term": w} for n, t, w in kept], schema=_BANDS)
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) > HELD:
+            held = [_band(pa.concat_tables(held), k)]
+            if held[0].num_rows > HELD // 2:  # so many groups that they fill it
+                yield from give(held.pop())
+    if sum(t.num_rows for t in held):
+        yield from give(_band(pa.concat_tables(held), k))
 
 
 def weight(count: str, size: str) -> Column:
@@ -142,7 +145,7 @@ _PAIRS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.
 
 
 def _pairs(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums of f over the terms `left` (at, n: a list for each term) for the sources of two blocks; those that stand nowhere in `right`'s
+    """Sums of f over the terms of `left` (cells: a list for each term) for the sources of two blocks; those that stand nowhere in `right`'s
     blocks are alike and come as V times the f of two zero counts, with the first part."""
     lang, a_block, b_block, salt = (k.as_py() for k in key)
     names = right["source"].to_pylist()
@@ -200,8 +203,8 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     loose = vectors.select("lang", "term", "total", F.explode("cells").alias("c")).select("lang", "c.source", "c.n", "total", "term")
     bands = loose.mapInArrow(lambda it: _local(it, top), BANDS)
-    bands = bands.groupBy("lang", "source", "salt").applyInArrow(lambda t: _merged(t, top), BANDS)
-    bands = bands.groupBy("lang", "source").applyInArrow(lambda t: _merged(t, top), BANDS)
+    bands = bands.groupBy("lang", "source", "salt").applyInArrow(lambda t: _band(t, top), BANDS)
+    bands = bands.groupBy("lang", "source").applyInArrow(lambda t: _band(t, top), BANDS)
     told = bands.join(groups, ["lang", "source"]).withColumn("p", weight("n", "size")).withColumn("q", weight("total", "lang_size")).where("p > q")
     told = told.select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
 
