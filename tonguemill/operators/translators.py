@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import urllib.error
@@ -48,22 +49,30 @@ def glossary(terms: DataFrame) -> Callable[[DataFrame, JobConfig], DataFrame]:
 ANSWERS = "doc_id {id}, part string, batch_id int, expected int, http_status int, body string"
 
 
+def http_call(url: str, model: str, key_variable: str, timeout: float = 120.0) -> Callable[[str], tuple[int, str]]:
+    """A prompt to (status, body); status 0 if nobody answers. The key is read on the executor from its environment and never becomes data."""
+
+    def ask(prompt: str) -> tuple[int, str]:
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[key_variable]}"} if os.environ.get(key_variable) else {})
+        data = json.dumps({"model": model, "input": prompt, "temperature": 0.15, "store": False}).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, data, head), timeout=timeout) as r:
+                return r.status, r.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode("utf-8", "replace")
+        except (OSError, http.client.HTTPException) as e:
+            return 0, json.dumps({"error": str(e)})
+
+    return ask
+
+
 def http_calls(url: str, model: str, key_variable: str, timeout: float = 120.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For mapInPandas: prompts to bodies. The key is read on the executor from its environment and never becomes data."""
+    """For mapInPandas: prompts to bodies, one call at a time."""
+    ask = http_call(url, model, key_variable, timeout)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[key_variable]}"} if os.environ.get(key_variable) else {})
         for rows in parts:
-            got = []
-            for prompt in rows.prompt:
-                data = json.dumps({"model": model, "input": prompt, "temperature": 0.15, "store": False}).encode()
-                try:
-                    with urllib.request.urlopen(urllib.request.Request(url, data, head), timeout=timeout) as r:
-                        got.append((r.status, r.read().decode("utf-8", "replace")))
-                except urllib.error.HTTPError as e:
-                    got.append((e.code, e.read().decode("utf-8", "replace")))
-                except OSError as e:
-                    got.append((0, json.dumps({"error": str(e)})))
+            got = [ask(prompt) for prompt in rows.prompt]
             yield rows.drop(columns="prompt").assign(http_status=[g[0] for g in got], body=[g[1] for g in got])
 
     return run
