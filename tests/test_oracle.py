@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tonguemill.plans import catalogue
+from tonguemill.plans import catalogue, durable  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tonguemill.core.config import JobConfig
 from tonguemill.operators import cells, delimited, html, layout, ooxml, plain, report, translation
-from tonguemill.sources import containers, files
+from tonguemill.sources import containers, files, sink
 
 SEGMENT = ("doc_id", "part", "seg_idx", "text")
 
@@ -90,7 +90,7 @@ def run_job(spark: SparkSession, config: JobConfig, translator, save: Callable[[
     named = todo.select(F.col("path").alias("doc_id"), "name", "dest").join(status, "doc_id", "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
     # of documents with one destination, the one that comes first or last in order keeps it
     winners = files.resolve_dest_collisions(named.select("doc_id", "name", "dest", "ok"), config.skip_existing)
-    written = save(containers.write_documents(outputs.join(winners.select("doc_id", "dest"), "doc_id")), "written")
+    written = sink.write_documents(outputs.join(winners.select("doc_id", "dest"), "doc_id"), config.out_dir)
     losers = named.where("ok").join(winners.select("doc_id"), "doc_id", "left_anti")
     done = named.where("ok").join(winners.select("doc_id"), "doc_id", "left_semi").join(written.select("dest"), "dest", "left_semi")
     if not config.skip_existing:

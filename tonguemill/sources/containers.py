@@ -1,4 +1,4 @@
-"""Office containers: parts out of ZIP files and back, workbook cells, new documents, and files as a sink.
+"""Office containers: parts out of ZIP files and back, workbook cells, new documents.
 
 Python touches only container bytes; what happens to the parts is DataFrame work.
 """
@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonguemill.functions.scalars import decode_xml_entities, escape_xml, is_text_part
-from tonguemill.core.config import open_folder
 from tonguemill.operators.ooxml import _all, _interleave
 
 
@@ -157,29 +156,6 @@ def build_docx(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "xml").mapInPandas(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
-def write_documents(df: DataFrame) -> DataFrame:
-    """Writes content to dest for each row of (dest, content) and returns (dest, bytes); run it by an action.
-
-    Each file is written under a name of its own and then moved, so an attempt that is lost leaves no half file at dest. Folders must
-    be ones that the executors share: local paths on one machine, else a URI that pyarrow opens.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        for rows in batches:
-            for dest, content in zip(rows.dest, rows.content, strict=True):
-                fs, path = open_folder(dest)
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                part = f"{path}.{uuid.uuid4().hex}.part"
-                with fs.open_output_stream(part, compression=None) as out:
-                    out.write(content)
-                fs.move(part, path)
-            yield pd.DataFrame({"dest": rows.dest, "bytes": [len(c) for c in rows.content]})
-
-    return df.select("dest", "content").mapInPandas(run, "dest string, bytes long")
-
-
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     """The table sink: Parquet by output extension."""
     df.write.mode(mode).partitionBy("out_ext").parquet(path)
