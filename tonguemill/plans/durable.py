@@ -6,11 +6,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from tonguemill.core.shared import own_folder
-from tonguemill.operators import ledger, translation, translators
+from tonguemill.core.shared import hadoop_path, own_folder
+from tonguemill.operators import ledger, plain, translation, translators
 from tonguemill.plans import fixtures as fx
 from tonguemill.plans.catalogue import SQL, TURN, query
 from tonguemill.sources import files, sink
+from tonguemill.streaming import ingest
 
 
 def _model(prompt: str) -> tuple[int, str]:
@@ -51,3 +52,24 @@ def document_sink(spark, sf_dir):
     written = sink.write_documents(docs, out)
     found = files.decode_text(files.scan_documents(spark, out)).select(F.concat(F.lit(out + "/"), "name").alias("dest"), "name", "text")
     return found.join(written, "dest").select("name", "bytes", "text")
+
+
+@query(f"SELECT {_NAME} AS name, CAST(doc_id % 3 + 1 AS INTEGER) AS entry, {_TEXT.replace(TURN.format('text'), TURN.format(TURN.format('text')))} AS text FROM documents")
+def stream_ingest(spark, sf_dir):
+    """Every document as a file of a growing folder, in three waves, translated into a table; then the last batch is replayed."""
+    folder = own_folder(spark, "ingest")
+    table, checkpoint = f"{folder}/table", f"{folder}/checkpoint"
+
+    def translate(batch):
+        rows = files.decode_text(batch).select("name", "entry", "text")
+        told = translation.translate_rows(plain.paragraph_rows(rows, id_col="name", keep=("entry",)), translators.pseudo)
+        return told.select(F.col("doc_id").alias("name"), "entry", plain.join_paragraphs().alias("text"))
+
+    for wave in range(3):
+        docs = fx.table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == wave)
+        sink.write_documents(docs.selectExpr(f"concat('{folder}/in/', {_NAME}) AS dest", f"cast({_TEXT} AS binary) AS content"), f"{folder}/in")
+        ingest.ingest_table(spark, f"{folder}/in", table, checkpoint, translate).awaitTermination()
+    fs, last = hadoop_path(spark, f"{checkpoint}/commits/2")
+    fs.delete(last, True)  # as if the driver had been lost before it wrote this down
+    ingest.ingest_table(spark, f"{folder}/in", table, checkpoint, translate).awaitTermination()
+    return spark.read.parquet(table).select("name", "entry", "text")
