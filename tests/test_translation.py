@@ -1,4 +1,5 @@
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -30,6 +31,30 @@ def test_batches(spark):
         assert [r.batch_id for r in got if r.doc_id == d] == greedy(ts)
 
 
+def test_batches_across_stretches(spark):
+    rng = random.Random(4)
+    docs = {d: ["x" * rng.choice([1, 1, 5, 200, 900, 3000, 6993, 9000]) for _ in range(n)] for d, n in enumerate([1, 9, 10, 11, 37, 100, 333, 640, 0])}
+    docs[50] = ["x"] * 500
+    rows = segments(spark, docs)
+    # gaps in the indexes, as blank segments leave them: whole stretches may be missing, or hold a single one
+    gone = rows.where("NOT (doc_id >= 6 AND seg_idx BETWEEN 95 AND 148) AND NOT (doc_id = 7 AND seg_idx BETWEEN 151 AND 177)")
+    left = {d: [(i, t) for i, t in enumerate(ts) if not (d >= 6 and 95 <= i <= 148 or d == 7 and 151 <= i <= 177)] for d, ts in docs.items()}
+    for stretch in (10, 29, 4096):
+        got = translation.assign_batches(gone, stretch=stretch).collect()
+        own = {d: [] for d in docs}
+        for r in sorted(got, key=lambda r: r.seg_idx):
+            own[r.doc_id].append((r.seg_idx, r.batch_id))
+        for d, ts in left.items():
+            assert own[d] == list(zip([i for i, _ in ts], greedy([t for _, t in ts]))), (stretch, d)
+
+
+def test_many_batches_of_one_list(spark):
+    lens = [7000] * 1500 + [8] * 60
+    df = spark.createDataFrame([(lens,), ([],)], "lens array<int>")
+    got = [r.starts for r in df.select(translation.batch_starts(F.col("lens")).alias("starts")).collect()]
+    assert got == [[*range(1500), 1500, 1528, 1556], []]
+
+
 def test_round_trip_plain(spark):
     texts = ["a\n\nb", "\n\na\n\n\n\nb\n", "", "\n", "a", "x\n\n   \n\ny\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -14,6 +14,8 @@ from tonguemill.core.config import LANGUAGES, JobConfig
 from tonguemill.functions.scalars import is_blank, js_length, js_trim, let, overlay
 
 KEY = ("doc_id", "part")
+#: Indexes of segments of a document that one row holds the lengths of, and starts of batches that are copied when one is added.
+STRETCH, NEAR = 4096, 256
 RESPONSE = "struct<output_text:string,output:array<struct<text:string,content:array<string>>>,choices:array<struct<message:struct<content:string>>>>"
 
 
@@ -24,20 +26,33 @@ def split_blank(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~blank), rows.where(blank)
 
 
-def batch_starts(lens: Column, max_chars: int = 7000, max_items: int = 28) -> Column:
-    """Where batches begin in a list of lengths, by the greedy rule: one closes when the next text would pass max_chars or it has max_items."""
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("starts"))
+def _batch_fold(lens: Column, max_chars: int, max_items: int, keep: bool) -> Column:
+    """The greedy rule over a list of lengths: struct(i, n, chars, batches, near, far), where n texts of chars in all are in the last batch.
+
+    With keep, batches' starts are in far, a list of lists, and near, the last of them, so none is copied often.
+    """
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(0).alias("batches"), none.alias("near"), F.array().cast("array<array<int>>").alias("far"))
 
     def step(acc: Column, x: Column) -> Column:
         new = (acc["n"] == 0) | (acc["chars"] + x > max_chars) | (acc["n"] >= max_items)
+        full = F.size(acc["near"]) >= NEAR
+        near = F.when(~new, acc["near"]).when(full, F.array(acc["i"])).otherwise(F.array_append(acc["near"], acc["i"])) if keep else acc["near"]
         return F.struct(
             (acc["i"] + 1).alias("i"),
             F.when(new, 1).otherwise(acc["n"] + 1).alias("n"),
             F.when(new, x).otherwise(acc["chars"] + x).cast("long").alias("chars"),
-            F.when(new, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
+            (acc["batches"] + new.cast("int")).alias("batches"),
+            near.alias("near"),
+            (F.when(new & full, F.array_append(acc["far"], acc["near"])).otherwise(acc["far"]) if keep else acc["far"]).alias("far"),
         )
 
-    return F.aggregate(lens, zero, step, lambda acc: acc["starts"])
+    return F.aggregate(lens, zero, step)
+
+
+def batch_starts(lens: Column, max_chars: int = 7000, max_items: int = 28) -> Column:
+    """Where batches begin in a list of lengths, by the greedy rule: one closes when the next text would pass max_chars or it has max_items."""
+    return let(_batch_fold(lens, max_chars, max_items, keep=True), lambda r: F.flatten(F.array_append(r["far"], r["near"])))
 
 
 def cut_at(items: Column, starts: Column) -> Column:
@@ -45,14 +60,70 @@ def cut_at(items: Column, starts: Column) -> Column:
     return let(items, lambda own: let(starts, lambda s: F.transform(s, lambda a, k: F.slice(own, a + 1, F.coalesce(F.get(s, k + 1), F.size(own)) - a))))
 
 
-def assign_batches(segments: DataFrame, max_chars: int = 7000, max_items: int = 28, overhead: int = 8) -> DataFrame:
-    """(doc_id, part, batch_id, seg_idx) by the greedy rule.
+def _stretch_entries(stretches: DataFrame, max_chars: int, max_items: int) -> DataFrame:
+    """(doc_id, part, stretch, skip, before) for documents of several stretches: how many of a stretch's first texts still go to the batch
+    that is open when it begins, and that batch's number.
+
+    Whatever stands before, a stretch's first own batch begins at one of its first max_items texts. So every stretch tells, for each of
+    those, how many batches it would have and what would be in the last one; a document's stretches are then gone through in order, a
+    step for each, from the texts at its head and what it has told.
+    """
+    lens = F.col("s")["len"]
+    skips = F.when(F.col("stretch") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.least(F.lit(max_items), F.size("s")) - 1))
+
+    def told(skip: Column) -> Column:
+        end = _batch_fold(F.slice(lens, skip + 1, F.size(lens)), max_chars, max_items, keep=False)
+        return let(end, lambda e: F.struct(e["batches"].alias("batches"), e["n"].alias("n"), e["chars"].alias("chars")))
+
+    total = F.aggregate(lens, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    summary = F.struct("stretch", F.size("s").alias("m"), total.alias("total"), F.slice(lens, 1, max_items).alias("head"), F.transform(skips, told).alias("told"))
+    # the filter is above the aggregation, so both uses of the stretches share one shuffle
+    docs = stretches.select(*KEY, summary.alias("x")).groupBy(*KEY).agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
+    entry = "array<struct<stretch:int,skip:int,before:int>>"
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(-1).alias("batch"), F.array().cast(entry).alias("out"))
+
+    def fits(acc: Column, x: Column) -> Column:
+        """How many texts of the head the open batch still takes."""
+        first = F.struct(F.lit(0).alias("i"), acc["chars"].alias("chars"), F.lit(True).alias("open"))
+
+        def one(a: Column, length: Column) -> Column:
+            more = a["open"] & (acc["n"] + a["i"] < max_items) & (a["chars"] + length <= max_chars)
+            return F.struct((a["i"] + more.cast("int")).alias("i"), (a["chars"] + F.when(more, length).otherwise(0)).alias("chars"), more.alias("open"))
+
+        return F.when(acc["n"] == 0, F.lit(0)).otherwise(F.aggregate(x["head"], first, one, lambda a: a["i"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        def placed(skip: Column) -> Column:
+            inside = skip < x["m"]
+            after = F.get(x["told"], skip)
+            return F.struct(
+                F.when(inside, after["n"]).otherwise(acc["n"] + x["m"]).alias("n"),
+                F.when(inside, after["chars"]).otherwise(acc["chars"] + x["total"]).alias("chars"),
+                (acc["batch"] + F.when(inside, after["batches"]).otherwise(0)).alias("batch"),
+                F.array_append(acc["out"], F.struct(x["stretch"].alias("stretch"), skip.alias("skip"), acc["batch"].alias("before"))).alias("out"),
+            )
+
+        return let(fits(acc, x), placed)
+
+    return docs.select(*KEY, F.explode(F.aggregate("xs", zero, step, lambda acc: acc["out"])).alias("e")).select(*KEY, "e.*")
+
+
+def assign_batches(segments: DataFrame, max_chars: int = 7000, max_items: int = 28, overhead: int = 8, stretch: int = STRETCH) -> DataFrame:
+    """(doc_id, part, batch_id, seg_idx) by the greedy rule, for documents of any length.
 
-    One shuffle of lengths; the fold keeps only where batches begin, and each batch is cut out of the list by position.
+    One shuffle of lengths, by stretches of `stretch` indexes of a document, so no task gets a document whole; a document of several has
+    a small row for each of them met in one place. Folds keep only where batches begin, and each batch is cut out of its stretch by position.
     """
-    lens = segments.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seg_idx", (js_length(F.col("text")) + overhead).alias("len")))).alias("s"))
-    cut = cut_at(F.col("s")["seg_idx"], batch_starts(F.col("s")["len"], max_chars, max_items))
-    return lens.select(*KEY, F.posexplode(cut).alias("batch_id", "own")).select(*KEY, "batch_id", F.explode("own").alias("seg_idx"))
+    by = (*KEY, "stretch")
+    length = F.struct("seg_idx", (js_length(F.col("text")) + overhead).alias("len"))
+    rows = segments.withColumn("stretch", F.expr(f"seg_idx div {stretch}").cast("int"))
+    stretches = rows.groupBy(*by).agg(F.sort_array(F.collect_list(length)).alias("s"))
+    known = stretches.join(_stretch_entries(stretches, max_chars, max_items), list(by), "left")
+    skip, before = F.coalesce("skip", F.lit(0)), F.coalesce("before", F.lit(-1))
+    own = let(F.slice(F.col("s"), skip + 1, F.size("s")), lambda s: cut_at(s["seg_idx"], batch_starts(s["len"], max_chars, max_items)))
+    # the first list is what goes to the batch that was open
+    cut = F.concat(F.array(F.slice(F.col("s")["seg_idx"], F.lit(1), skip)), own)
+    return known.select(*KEY, before.alias("before"), F.posexplode(cut).alias("k", "own")).select(*KEY, (F.col("before") + F.col("k")).alias("batch_id"), F.explode("own").alias("seg_idx"))
 
 
 def gather_batches(segments: DataFrame, assigned: DataFrame) -> DataFrame:
