@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tonguemill.core.config import JobConfig
 from tonguemill.operators import cells, delimited, html, layout, ooxml, plain, report, translation
-from tonguemill.sources import containers, files, sink
+from tonguemill.sources import containers, files, parts, sink
 
 SEGMENT = ("doc_id", "part", "seg_idx", "text")
 
@@ -21,23 +21,25 @@ def _docx_of_text(text: DataFrame) -> DataFrame:
 
 
 def translate_table(docs: DataFrame, translator, config: JobConfig, save: Callable[[DataFrame, str], DataFrame], glyphs: DataFrame | None = None, page_sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, family, content) to (outputs (doc_id, content), status (doc_id, ok, error)). What can't be read is an error of its own.
+    """docs (doc_id, family, content, and path if there is one) to (outputs (doc_id, content), status (doc_id, ok, error)). What can't be read is an error of its own.
 
     The segments of all families are batched and translated together. Page-layout documents are taken from a table of glyphs; those
     without one, and those without text, are errors. A document with a failed batch has no output.
     """
     of = lambda *f: docs.where(F.col("family").isin(*f)).select("doc_id", "content")
+    # containers are read by ranges where there is a path
+    packed = lambda f: docs.where(F.col("family") == f).select("doc_id", parts.source_column(docs))
     text = {f: files.decode_text(of(f), csv=False).select("doc_id", "text") for f in ("plain", "csv", "html", "rtf")}
     text["rtf"] = text["rtf"].select("doc_id", plain.strip_rtf(F.col("text")).alias("text"))
-    parts = {d.name: containers.read_ooxml_parts(of(d.name), d.name) for d in (ooxml.DOCX, ooxml.PPTX)}
-    book = containers.read_workbook_cells(of("workbook"))
+    xml = {d.name: containers.read_ooxml_parts(packed(d.name), d.name) for d in (ooxml.DOCX, ooxml.PPTX)}
+    book = containers.read_workbook_cells(packed("workbook"))
     paged = text["html"].withColumnRenamed("text", "html")
     segs = {
         "plain": plain.paragraph_segments(text["plain"].union(text["rtf"])),
         "csv": delimited.csv_cell_segments(text["csv"]),
         "html": html.html_segments(paged),
-        "docx": ooxml.ooxml_segments(parts["docx"], ooxml.DOCX),
-        "pptx": ooxml.ooxml_segments(parts["pptx"], ooxml.PPTX),
+        "docx": ooxml.ooxml_segments(xml["docx"], ooxml.DOCX),
+        "pptx": ooxml.ooxml_segments(xml["pptx"], ooxml.PPTX),
         "workbook": cells.cell_segments(book),
     }
     paras = pages = None
@@ -61,9 +63,9 @@ def translate_table(docs: DataFrame, translator, config: JobConfig, save: Callab
         utf8(delimited.assemble_csv(text["csv"], new("csv"))),
         utf8(html.assemble_html(paged, slots.where("kind = 'slot'")).join(plain_html.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("html", "text")),
         utf8(plain_html),
-        containers.repack_ooxml(of("docx"), ooxml.rewrite_parts(parts["docx"], new("docx"), ooxml.DOCX)),
-        containers.repack_ooxml(of("pptx"), ooxml.rewrite_parts(parts["pptx"], new("pptx"), ooxml.PPTX)),
-        containers.repack_workbook(of("workbook"), cells.assemble_cells(book, new("workbook"))),
+        containers.repack_ooxml(packed("docx"), ooxml.rewrite_parts(xml["docx"], new("docx"), ooxml.DOCX)),
+        containers.repack_ooxml(packed("pptx"), ooxml.rewrite_parts(xml["pptx"], new("pptx"), ooxml.PPTX)),
+        containers.repack_workbook(packed("workbook"), cells.assemble_cells(book, new("workbook"))),
     ]
     status = translation.document_status(answers).select("doc_id", "ok", "error")
     if paras is not None:
@@ -84,7 +86,7 @@ def run_job(spark: SparkSession, config: JobConfig, translator, save: Callable[[
     existing = files.list_outputs(spark, config.out_dir)
     manifest = save(files.build_manifest(found, existing, config.out_dir), "manifest")
     todo, skipped = files.skip_existing(manifest, existing, config.skip_existing)
-    docs = found.select(F.col("path").alias("doc_id"), "content").join(todo.select(F.col("path").alias("doc_id"), "family"), "doc_id")
+    docs = found.select(F.col("path").alias("doc_id"), "path", "content").join(todo.select(F.col("path").alias("doc_id"), "family"), "doc_id")
     outputs, status = translate_table(docs, translator, config, save)
     outputs = save(outputs, "outputs")
     named = todo.select(F.col("path").alias("doc_id"), "name", "dest").join(status, "doc_id", "left").withColumn("ok", F.coalesce("ok", F.lit(True)))

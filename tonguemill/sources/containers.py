@@ -6,46 +6,25 @@ Python touches only container bytes; what happens to the parts is DataFrame work
 from __future__ import annotations
 
 import io
-import struct
+import re
 import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonguemill.functions.scalars import decode_xml_entities, escape_xml, is_text_part
-from tonguemill.operators.ooxml import _all, _interleave
+from tonguemill.functions.scalars import TEXT_PARTS, decode_xml_entities, escape_xml
+from tonguemill.operators.ooxml import _all
+from tonguemill.sources.parts import BROKEN, open_container, pieces, read_parts, read_pieces, source_column
 
 
-#: What a damaged, encrypted or otherwise unreadable container raises.
-BROKEN = (zipfile.BadZipFile, zlib.error, struct.error, TypeError, ValueError, KeyError, NotImplementedError, RuntimeError, EOFError, OSError)
 UNREADABLE = "Filen kan ikke leses: {}"
 
 
-def read_parts(files: DataFrame, pattern: str = r"\.(?:xml|rels)$") -> DataFrame:
-    """(doc_id, part, part_idx, xml) of the parts of files (doc_id, content) whose name matches; a broken container gives none."""
-    import re
-
-    wanted = re.compile(pattern)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for doc, content in zip(rows.doc_id, rows.content, strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        got = [(doc, n, i, z.read(n).decode("utf-8", "replace")) for i, n in enumerate(z.namelist()) if wanted.search(n)]
-                except BROKEN:  # repack_ooxml says why
-                    continue
-                yield pd.DataFrame(got, columns=["doc_id", "part", "part_idx", "xml"])
-
-    return files.select("doc_id", "content").mapInPandas(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, part string, part_idx int, xml string")
-
-
 def read_ooxml_parts(files: DataFrame, dialect: str) -> DataFrame:
-    """The parts that hold text."""
-    return read_parts(files).where(is_text_part(F.col("part"), dialect))
+    """The parts that hold text of files (doc_id, and path or content); no others are inflated."""
+    return read_parts(files, TEXT_PARTS[dialect].replace(r"\z", r"\Z"))
 
 
 def repack_ooxml(files: DataFrame, new_parts: DataFrame) -> DataFrame:
@@ -58,10 +37,10 @@ def repack_ooxml(files: DataFrame, new_parts: DataFrame) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         new = dict(zip(right.part, right.xml, strict=True))
         out = []
-        for doc, content in zip(left.doc_id, left.content, strict=True):
+        for doc, source in zip(left.doc_id, left[left.columns[1]], strict=True):
             to = io.BytesIO()
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as w:
+                with open_container(source) as z, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as w:
                     for info in z.infolist():
                         w.writestr(info, new[info.filename].encode() if info.filename in new else z.read(info), zipfile.ZIP_DEFLATED)
                 out.append((doc, to.getvalue(), None))
@@ -70,15 +49,16 @@ def repack_ooxml(files: DataFrame, new_parts: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "content", "error"])
 
     parts = new_parts.select("doc_id", "part", "xml")
-    return files.select("doc_id", "content").groupBy("doc_id").cogroup(parts.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, content binary, error string")
+    return files.select("doc_id", source_column(files)).groupBy("doc_id").cogroup(parts.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, content binary, error string")
 
 
-CELL = r"(?s)<c\b[^>]*?(?:/>|>.*?</c>)"
+CELL, CELL_OPENS = re.compile(r"(?s)<c\b[^>]*?(?:/>|>.*?</c>)"), re.compile(r"<c\b|<\Z")
+SHARED, SHARED_OPENS = re.compile(r"(?s)<si\b(?:[^>]*/>|.*?</si>)"), re.compile(r"<si\b|<s?\Z")
+SHEETS = r"\Axl/worksheets/[^/]+\.xml\Z"
 
 
-def _cells(parts: DataFrame) -> DataFrame:
-    sheets = parts.where(F.col("part").rlike(r"\Axl/worksheets/[^/]+\.xml\z"))
-    rows = sheets.select("doc_id", F.col("part").alias("sheet"), F.posexplode(_all(F.col("xml"), CELL)).alias("cell_idx", "c"))
+def _cells(pieces: DataFrame) -> DataFrame:
+    rows = pieces.select("doc_id", F.col("part").alias("sheet"), F.col("idx").alias("cell_idx"), F.col("text").alias("c"))
     head = F.regexp_extract("c", r"\A(<c\b[^>]*>)", 1)
     attr = lambda k: F.regexp_extract(head, rf'\s{k}="([^"]*)"', 1)
     letters = F.regexp_extract(attr("r"), r"\A([A-Z]+)", 1)
@@ -90,27 +70,56 @@ def _cells(parts: DataFrame) -> DataFrame:
 def read_workbook_cells(files: DataFrame) -> DataFrame:
     """cells (doc_id, sheet, cell_idx, row, col, type, formula, value) of every sheet; shared strings are looked up by an equi-join.
 
-    Types: s for shared and inline strings, str for formula strings, others as they stand.
+    Types: s for shared and inline strings, str for formula strings, others as they stand. Sheets and shared strings are read cell by cell.
     """
-    parts = read_parts(files)
-    cells = _cells(parts)
-    shared = parts.where("part = 'xl/sharedStrings.xml'").select("doc_id", F.posexplode(_all(F.col("xml"), r"(?s)<si\b(?:[^>]*/>|.*?</si>)")).alias("v", "si"))
-    text = F.array_join(F.transform(_all(F.col("si"), r"(?s)<t(?:\s[^>]*)?>.*?</t>"), lambda t: F.regexp_extract(t, r"(?s)>(.*)</t>", 1)), "")
-    looked = cells.join(shared.select("doc_id", F.col("v").cast("string").alias("v"), F.lit("s").alias("type"), text.alias("shared")), ["doc_id", "v", "type"], "left")
+    cells = _cells(read_pieces(files, SHEETS, CELL, CELL_OPENS))
+    shared = read_pieces(files, r"\Axl/sharedStrings\.xml\Z", SHARED, SHARED_OPENS)
+    text = F.array_join(F.transform(_all(F.col("text"), r"(?s)<t(?:\s[^>]*)?>.*?</t>"), lambda t: F.regexp_extract(t, r"(?s)>(.*)</t>", 1)), "")
+    looked = cells.join(shared.select("doc_id", F.col("idx").cast("string").alias("v"), F.lit("s").alias("type"), text.alias("shared")), ["doc_id", "v", "type"], "left")
     value = F.when(F.col("type") == "s", F.col("shared")).when(F.col("type") == "inlineStr", F.col("t")).otherwise(F.col("v"))
     return looked.select("doc_id", "sheet", "cell_idx", "row", "col", F.when(F.col("type") == "inlineStr", "s").otherwise(F.col("type")).alias("type"), "formula", decode_xml_entities(value).alias("value")).where("row is not null and value <> ''")
 
 
+def _told(cell: str, value: str) -> str:
+    """A cell with an inline string, its other attributes kept."""
+    head = re.sub(r'\st="[^"]*"', "", re.match(r"(<c\b[^>]*?)/?>", cell)[1]).rstrip()
+    return f'{head} t="inlineStr"><is><t xml:space="preserve">{value}</t></is></c>'
+
+
 def repack_workbook(files: DataFrame, cells: DataFrame) -> DataFrame:
-    """(doc_id, content, error): the workbook with changed cells (doc_id, sheet, cell_idx, value, changed) as inline strings."""
-    parts = read_parts(files, r"^xl/worksheets/[^/]+\.xml$")
-    new = cells.where("changed").select("doc_id", F.col("sheet").alias("part"), "cell_idx", "value")
-    rows = parts.select("doc_id", "part", F.posexplode(_all(F.col("xml"), CELL)).alias("cell_idx", "c")).join(new, ["doc_id", "part", "cell_idx"], "left")
-    head = F.regexp_replace(F.regexp_replace(F.regexp_extract("c", r"\A(<c\b[^>]*?)/?>", 1), r'\st="[^"]*"', ""), r"\s+\z", "")
-    told = F.concat(head, F.lit(' t="inlineStr"><is><t xml:space="preserve">'), escape_xml(F.col("value")), F.lit("</t></is></c>"))
-    done = rows.groupBy("doc_id", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell_idx", F.coalesce(told, "c").alias("x")))), lambda p: p["x"]).alias("new"), F.count("value").alias("n"))
-    rebuilt = parts.join(done.where("n > 0"), ["doc_id", "part"]).select("doc_id", "part", _interleave(F.col("xml"), CELL, F.col("new")).alias("xml"))
-    return repack_ooxml(files, rebuilt)
+    """(doc_id, content, error): the workbook with changed cells (doc_id, sheet, cell_idx, value, changed) as inline strings.
+
+    A workbook meets its changed cells alone; sheets are rewritten cell by cell, from the old container into the new one.
+    """
+    kind = files.schema["doc_id"].dataType.simpleString()
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        new: dict[str, dict[int, str]] = {}
+        for part, at, value in zip(right.part, right.cell_idx, right.value, strict=True):
+            new.setdefault(part, {})[at] = value
+        out = []
+        for doc, source in zip(left.doc_id, left[left.columns[1]], strict=True):
+            to = io.BytesIO()
+            try:
+                with open_container(source) as z, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as w:
+                    for info in z.infolist():
+                        if info.filename not in new:
+                            w.writestr(info, z.read(info), zipfile.ZIP_DEFLATED)
+                            continue
+                        own, k = new[info.filename], 0
+                        entry = zipfile.ZipInfo(info.filename, info.date_time)
+                        entry.compress_type = zipfile.ZIP_DEFLATED
+                        with w.open(entry, "w", force_zip64=True) as sheet:
+                            for before, cell in pieces(z, info.filename, CELL, CELL_OPENS):
+                                sheet.write((before + (_told(cell, own[k]) if cell and k in own else cell)).encode())
+                                k += bool(cell)
+                out.append((doc, to.getvalue(), None))
+            except BROKEN as e:
+                out.append((doc, None, UNREADABLE.format(e)))
+        return pd.DataFrame(out, columns=["doc_id", "content", "error"])
+
+    changed = cells.where("changed").select("doc_id", F.col("sheet").alias("part"), "cell_idx", escape_xml(F.col("value")).alias("value"))
+    return files.select("doc_id", source_column(files)).groupBy("doc_id").cogroup(changed.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, content binary, error string")
 
 
 # The other parts of a minimal word-processing document.
