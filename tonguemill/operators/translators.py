@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonguemill.core.config import JobConfig
+from tonguemill.operators.glossary import glossary  # noqa: F401  one of the translators
 from tonguemill.operators.translation import KEY, RETRY, build_prompt, guard_prompt, read_responses, retry_union
 
 VOWELS, TURNED = "aeiou", "eioua"
@@ -32,20 +33,6 @@ def pseudo(batches: DataFrame, config: JobConfig) -> DataFrame:
 pseudo.column = lambda items, config: F.transform(items, lambda i: pseudo_text(i["text"]))
 
 
-def glossary(terms: DataFrame) -> Callable[[DataFrame, JobConfig], DataFrame]:
-    """Replaces words by a table (term, translation); layout and unknown words stay. Words meet the table in a join that Spark plans."""
-
-    def run(batches: DataFrame, config: JobConfig) -> DataFrame:
-        texts = batches.select(*KEY, "batch_id", F.explode("items").alias("i"))
-        pieces = texts.select(*KEY, "batch_id", "i.seg_idx", F.posexplode(F.regexp_extract_all("i.text", F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))).alias("k", "term"))
-        turned = pieces.join(terms.dropDuplicates(["term"]), "term", "left")
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("translation", "term").alias("w")))), lambda p: p["w"]), "")
-        lines = turned.groupBy(*KEY, "batch_id", "seg_idx").agg(joined.alias("t"))
-        return lines.groupBy(*KEY, "batch_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "t"))), lambda p: p["t"]).alias("translations")).withColumn("error", F.lit(None).cast("string"))
-
-    return run
-
-
 ANSWERS = "doc_id {id}, part string, batch_id int, expected int, http_status int, body string"
 
 

@@ -73,3 +73,32 @@ def stream_ingest(spark, sf_dir):
     fs.delete(last, True)  # as if the driver had been lost before it wrote this down
     ingest.ingest_table(spark, f"{folder}/in", table, checkpoint, translate).awaitTermination()
     return spark.read.parquet(table).select("name", "entry", "text")
+
+
+_TERMS = """t AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS ws FROM benchmark),
+terms AS (SELECT term, min(translation) AS translation FROM (
+  SELECT ws[1] AS term, 'en' || item_id AS translation FROM t UNION ALL SELECT ws[2] || ' ' || ws[3], 'to ' || item_id FROM t UNION ALL SELECT ws[4] || ' ' || ws[5] || ' ' || ws[6], 'tre ' || item_id FROM t
+  UNION ALL SELECT ws[4] || ' ' || ws[5], 'to ' || item_id FROM t) WHERE term IS NOT NULL GROUP BY term)"""
+
+
+@query(f"""WITH RECURSIVE {_TERMS}, segs AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS seg_idx, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS ps FROM conversations),
+f AS (SELECT *, CASE WHEN len(ps) = 0 THEN NULL WHEN regexp_matches(ps[1], '^[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 2 END AS k0 FROM segs),
+k AS (SELECT doc_id, seg_idx, ps, unnest(range(k0, len(ps) + 1, 2)) AS k FROM f),
+runs AS (SELECT doc_id, seg_idx, k, 1 AS w, ps[k] AS term FROM k
+  UNION ALL SELECT doc_id, seg_idx, k, 2, ps[k] || ' ' || ps[k + 2] FROM k WHERE regexp_full_match(ps[k + 1], '[ \\t]+')
+  UNION ALL SELECT doc_id, seg_idx, k, 3, ps[k] || ' ' || ps[k + 2] || ' ' || ps[k + 4] FROM k WHERE regexp_full_match(ps[k + 1], '[ \\t]+') AND regexp_full_match(ps[k + 3], '[ \\t]+')),
+best AS (SELECT doc_id, seg_idx, k, max(w) AS w, arg_max(translation, w) AS translation FROM runs JOIN terms USING (term) GROUP BY ALL),
+go AS (SELECT doc_id, seg_idx, k0 AS k FROM f WHERE k0 <= len(ps)
+  UNION ALL SELECT go.doc_id, go.seg_idx, go.k + 2 * coalesce(w, 1) FROM go JOIN f USING (doc_id, seg_idx) LEFT JOIN best ON best.doc_id = go.doc_id AND best.seg_idx = go.seg_idx AND best.k = go.k WHERE go.k + 2 * coalesce(w, 1) <= len(ps)),
+told AS (SELECT doc_id, seg_idx, string_agg(coalesce(translation, ps[k]) || coalesce(ps[k + 2 * coalesce(w, 1) - 1], ''), '' ORDER BY k) AS rest FROM go JOIN f USING (doc_id, seg_idx) LEFT JOIN best USING (doc_id, seg_idx, k) GROUP BY ALL)
+SELECT doc_id, seg_idx, CASE WHEN k0 = 2 THEN ps[1] ELSE '' END || coalesce(rest, '') AS text FROM f LEFT JOIN told USING (doc_id, seg_idx)""")
+def glossary_translation(spark, sf_dir):
+    """Every turn by a glossary of words that the benchmark's items begin with, one, two and three at a time; some terms have several
+    translations, some begin alike."""
+    ws = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    t = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item"), ws.alias("ws"))
+    some = [(0, 1, "en"), (1, 2, "to "), (3, 3, "tre "), (3, 2, "to ")]
+    pairs = F.array(*[F.struct(F.when(F.size("ws") >= a + n, F.array_join(F.slice("ws", a + 1, n), " ")).alias("term"), F.concat(F.lit(head), "item").alias("translation")) for a, n, head in some])
+    terms = t.select(F.explode(pairs).alias("p")).select("p.term", "p.translation")
+    done, _ = translation.translate_segments(fx.turn_segments(spark, sf_dir), translators.glossary(terms))
+    return done.select("doc_id", "seg_idx", "text")
