@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -170,6 +171,17 @@ def test_layout_check(spark):
     assert [r.kept for r in got] == [True, False] and got[1].d_tabs == -1 and got[1].lost == ["1,5"]
 
 
+def test_layout_losses(spark):
+    rng = random.Random(6)
+    words = ["1", "22", "a@b.cd", "http://x.y/z", "ord", "1,5"]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 12))), " ".join(rng.choices(words, k=rng.randint(0, 12)))) for _ in range(80)] + [(None, None), ("7 7 7", "7"), ("1 2", "2 1"), ("1 2", "1 x 2")]
+    got = translation.layout_losses(spark.createDataFrame(rows, "source string, target string").coalesce(1)).collect()
+    for (a, b), r in zip(rows, got, strict=True):
+        a, b = ([w for w in (x or "").split() if w not in ("ord", "x")] for x in (a, b))
+        assert [tuple(x) for x in r.lost] == sorted((Counter(a) - Counter(b)).items()) and [tuple(x) for x in r.added] == sorted((Counter(b) - Counter(a)).items())
+        assert r.in_order == (a == b)
+
+
 def test_http_without_network():
     call = translators.http_calls("http://127.0.0.1:9/none", "m", "NO_SUCH_KEY", timeout=1)
     (out,) = list(call(iter([pd.DataFrame({"doc_id": [1], "part": [""], "batch_id": [0], "expected": [1], "prompt": ["x"]})])))

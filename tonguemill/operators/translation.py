@@ -288,6 +288,27 @@ def layout_check(pairs: DataFrame, source: str = "source", target: str = "target
     return out.withColumn("kept", (F.col("d_lines") == 0) & (F.col("d_gaps") == 0) & (F.col("d_tabs") == 0) & (F.size("lost") == 0))
 
 
+def layout_losses(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """pairs with lost and added, arrays of (token, n), and in_order: whether the same tokens stand in the same order.
+
+    Tokens are counted as often as they stand: a number that stood three times and stands once is lost twice. The source's and the target's
+    are sorted together, and each run of equal ones is summed, so long texts cost a sort.
+    """
+    tokens = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"({KEPT})"), F.lit(1))
+    signed = lambda of, d: F.transform(of, lambda t: F.struct(t.alias("token"), F.lit(d).alias("n")))
+
+    def runs(all_: Column) -> Column:
+        begins = F.filter(F.transform(all_, lambda x, i: F.when((i == 0) | (F.get(all_, F.greatest(i - 1, F.lit(0)))["token"] != x["token"]), i)), lambda i: i.isNotNull())
+        total = lambda a, b: F.aggregate(F.slice(all_, a + 1, b - a), F.lit(0), lambda acc, x: acc + x["n"])
+        return let(begins, lambda own: F.transform(own, lambda a, k: F.struct(F.get(all_, a)["token"].alias("token"), total(a, F.coalesce(F.get(own, k + 1), F.size(all_))).alias("n"))))
+
+    told = pairs.withColumn("__t", F.struct(tokens(source).alias("s"), tokens(target).alias("t")))
+    told = told.withColumn("__r", let(F.sort_array(F.concat(signed(F.col("__t.s"), 1), signed(F.col("__t.t"), -1))), runs))
+    turned = lambda x: F.struct(x["token"].alias("token"), (-x["n"]).alias("n"))
+    out = told.withColumn("lost", F.filter("__r", lambda x: x["n"] > 0)).withColumn("added", F.transform(F.filter("__r", lambda x: x["n"] < 0), turned))
+    return out.withColumn("in_order", F.col("__t.s") == F.col("__t.t")).drop("__t", "__r")
+
+
 def translate_rows(rows: DataFrame, translator, config: JobConfig | None = None) -> DataFrame:
     """rows (doc_id, part, texts, ...), a document's part each with its texts in order, with the texts translated and n_batches, n_texts
     and answers (batch_id, error) added. Null becomes the empty text; blank ones are never sent; those without an answer stay.

@@ -1,4 +1,4 @@
-"""Queries of what outlives a task or a job: the request ledger, the document sink, exactly-once ingest."""
+"""Queries of what outlives a task or a job (the request ledger, the document sink, exactly-once ingest), of glossaries and of losses."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tonguemill.core.shared import hadoop_path, own_folder
 from tonguemill.operators import ledger, plain, translation, translators
 from tonguemill.plans import fixtures as fx
-from tonguemill.plans.catalogue import SQL, TURN, query
+from tonguemill.plans.catalogue import _TOKENS, SQL, TURN, query
 from tonguemill.sources import files, sink
 from tonguemill.streaming import ingest
 
@@ -102,3 +102,17 @@ def glossary_translation(spark, sf_dir):
     terms = t.select(F.explode(pairs).alias("p")).select("p.term", "p.translation")
     done, _ = translation.translate_segments(fx.turn_segments(spark, sf_dir), translators.glossary(terms))
     return done.select("doc_id", "seg_idx", "text")
+
+
+@query(f"""WITH p AS (SELECT doc_id, text || ' 7 7 7 1,5 a@b.cd' AS source, CASE doc_id % 4 WHEN 0 THEN text || ' 7 1,5 a@b.cd' WHEN 1 THEN 'a@b.cd 1,5 7 ' || text || ' 7 7' WHEN 2 THEN replace(text, '1', '2') || ' 7 7 7 7 1,5' ELSE text || ' 7 7 7 1,5 a@b.cd' END AS target FROM documents),
+l AS (SELECT doc_id, {_TOKENS.format(x="source")} AS s, {_TOKENS.format(x="target")} AS t FROM p),
+n AS (SELECT doc_id, token, sum(d) AS n FROM (SELECT doc_id, unnest(s) AS token, 1 AS d FROM l UNION ALL SELECT doc_id, unnest(t), -1 FROM l) GROUP BY ALL HAVING sum(d) <> 0)
+SELECT doc_id, coalesce(list(n || ' ' || token ORDER BY token) FILTER (n > 0), []) AS lost, coalesce(list(-n || ' ' || token ORDER BY token) FILTER (n < 0), []) AS added, any_value(s = t) AS in_order FROM l LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
+def layout_losses(spark, sf_dir):
+    """Numbers, addresses and links lost and added, each as often as it is, in translations that lose, move, change or keep some."""
+    text, by = F.col("text"), F.col("doc_id") % 4
+    moved, changed = F.concat(F.lit("a@b.cd 1,5 7 "), text, F.lit(" 7 7")), F.concat(F.replace(text, F.lit("1"), F.lit("2")), F.lit(" 7 7 7 7 1,5"))
+    target = F.when(by == 0, F.concat(text, F.lit(" 7 1,5 a@b.cd"))).when(by == 1, moved).when(by == 2, changed).otherwise(F.concat(text, F.lit(" 7 7 7 1,5 a@b.cd")))
+    pairs = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat(text, F.lit(" 7 7 7 1,5 a@b.cd")).alias("source"), target.alias("target"))
+    told = lambda c: F.transform(c, lambda x: F.concat_ws(" ", x["n"].cast("string"), x["token"]))
+    return translation.layout_losses(pairs).select("doc_id", told("lost").alias("lost"), told("added").alias("added"), "in_order")
