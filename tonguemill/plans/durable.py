@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tonguemill.core.shared import hadoop_path, own_folder
-from tonguemill.operators import ledger, plain, translation, translators
+from tonguemill.operators import ledger, plain, progress, translation, translators
 from tonguemill.plans import fixtures as fx
 from tonguemill.plans.catalogue import _TOKENS, SQL, TURN, query
 from tonguemill.sources import files, sink
@@ -116,3 +116,22 @@ def layout_losses(spark, sf_dir):
     pairs = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat(text, F.lit(" 7 7 7 1,5 a@b.cd")).alias("source"), target.alias("target"))
     told = lambda c: F.transform(c, lambda x: F.concat_ws(" ", x["n"].cast("string"), x["token"]))
     return translation.layout_losses(pairs).select("doc_id", told("lost").alias("lost"), told("added").alias("added"), "in_order")
+
+
+@query(f"""WITH RECURSIVE {fx.LINE_SEGS}, {fx.BATCHES}, s AS (SELECT count(*) AS texts, count(DISTINCT (doc_id, batch_id)) AS batches FROM b)
+SELECT 'segments' AS step, texts AS rows, NULL::BIGINT AS texts, NULL::BIGINT AS errors FROM s UNION ALL SELECT 'assigned', texts, NULL, NULL FROM s
+UNION ALL SELECT 'batches', batches, texts, NULL FROM s UNION ALL SELECT 'answers', batches, texts, 0 FROM s""")
+def live_progress(spark, sf_dir):
+    """What each step of a translation told when it ended, counted as it ran."""
+    folder, watched = own_folder(spark, "progress"), progress.Progress(spark)
+
+    def save(df, label):
+        df.write.parquet(f"{folder}/{label}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{label}")
+
+    keep = watched.saver(save)
+    work = keep(translation.split_blank(fx.line_segments(spark, sf_dir))[0], "segments")
+    assigned = keep(translation.assign_batches(work), "assigned")
+    keep(translators.pseudo(keep(translation.gather_batches(work, assigned), "batches"), translation.JobConfig("", "")), "answers")
+    watched.stop()
+    return watched.table()
