@@ -33,13 +33,16 @@ SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
 
 def open_folder(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """pyarrow's file system and path of a folder or file that Spark names by a URI or a local path."""
+    """pyarrow's file system and path of a folder or file that Spark names by a URI or a local path. Names are taken as they are, with
+    blanks and marks that a URI would have to escape."""
     scheme, colon, rest = uri.partition(":")
     if not colon or "/" in scheme:
-        return pyarrow.fs.FileSystem.from_uri(uri)
+        return pyarrow.fs.LocalFileSystem(), uri
     if scheme == "file":  # Hadoop writes one slash
-        rest = "//" + rest if not rest.startswith("//") else rest
-    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    authority, slash, name = rest.removeprefix("//").partition("/")
+    fs, root = pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{authority}/")
+    return fs, f"{root.rstrip('/')}{slash}{name}"
 
 
 @dataclass(frozen=True)

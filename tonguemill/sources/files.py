@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from pyspark.sql import Window
 from pyspark.sql.types import BinaryType
 
 from tonguemill.core.config import FORMATS, OUTPUT_FOLDER, formats, open_folder
+from tonguemill.core.shared import hadoop_path, own_folder
 from tonguemill.functions.scalars import ext_of, output_name
 
 NO_FOLDER = "Inn-mappen finnes ikke."
@@ -19,43 +24,62 @@ UNSUPPORTED = "Filtypen {} støttes ikke."
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _path(spark: SparkSession, at: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+#: Bytes of contents that are held at once, folders that one task lists, and rows of a block of a listing.
+HELD, FOLDERS, BLOCK = 32 << 20, 32, 10_000
+_LISTED = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64())])
+LISTED = "path string, folder boolean, modificationTime timestamp, length long"
 
 
-def _listed(folders: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, below) of folders and files to the files in them that are empty or below a name that begins with `_`."""
-    for rows in folders:
-        for at, below in zip(rows.path, rows.below, strict=True):
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folders (path) to what is right in them. Names that begin with a dot and links are left out, and folders that can't be read."""
+    for batch in batches:
+        for at in batch.column(0).to_pylist():
             fs, path = open_folder(at)
-            told = fs.get_file_info(path)
-            inner = fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True)) if told.type == pyarrow.fs.FileType.Directory else [told]
-            base = path.rstrip("/").rsplit("/", 1)[0]
-            got = [(f"{below}{i.path[len(base) :]}", i.mtime, i.size) for i in inner if i.type == pyarrow.fs.FileType.File and (not i.size or "/_" in i.path[len(base) :])]
-            yield pd.DataFrame(got, columns=["path", "modificationTime", "length"])
+            try:
+                found = fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
+            except OSError:
+                continue
+            local = isinstance(fs, pyarrow.fs.LocalFileSystem)
+            rows = ((f"{at.rstrip('/')}/{i.base_name}", i.type == pyarrow.fs.FileType.Directory, i.mtime, i.size) for i in found if i.type != pyarrow.fs.FileType.NotFound and not i.base_name.startswith(".") and not (local and os.path.islink(i.path)))
+            while part := list(itertools.islice(rows, BLOCK)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _LISTED.types, strict=True)], schema=_LISTED)
+
+
+def list_files(spark: SparkSession, in_dir: str, leave_out: str = "") -> DataFrame:
+    """(path, modificationTime, length) of all files below a folder but those below a name that begins with a dot; `leave_out` is a pattern of
+    folders (paths) that aren't entered.
+
+    Level by level: tasks list the folders that were found last and write down what is in them. The driver gets the number of folders of
+    each level, never a name, so a folder may have any number of files.
+    """
+    fs, path = hadoop_path(spark, in_dir)
+    at, level = own_folder(spark, "listing"), 0
+    frontier = spark.createDataFrame([(fs.makeQualified(path).toString().rstrip("/"),)], "path string")
+    n = 1
+    while n:
+        frontier.repartition(max(1, -(-n // FOLDERS))).mapInArrow(_entries, LISTED).write.parquet(f"{at}/level={level}")
+        found = spark.read.schema(LISTED).parquet(f"{at}/level={level}")
+        frontier = found.where("folder").select("path")
+        frontier = frontier.where(~F.col("path").rlike(leave_out)) if leave_out else frontier
+        n, level = frontier.count(), level + 1
+    return spark.read.schema(f"{LISTED}, level int").parquet(at).where("not folder").select("path", "modificationTime", "length")
 
 
 @F.pandas_udf(BinaryType())
-def _content(paths: pd.Series) -> pd.Series:
-    def read(at: str) -> bytes:
-        fs, path = open_folder(at)
-        with fs.open_input_stream(path, compression=None) as f:
-            return f.read()
-
-    return paths.map(read)
-
-
-def _left_out(spark: SparkSession, in_dir: str) -> DataFrame:
-    """What Spark's own reader leaves out: files below a name that begins with `_`, and empty ones.
-
-    The driver lists the folder's own entries only; tasks list what is below them, and read a file only where its content is used.
-    """
-    fs, path = _path(spark, in_dir)
-    at = fs.makeQualified(path).toString().rstrip("/")
-    tops = [(e.getPath().toString(), at) for e in fs.listStatus(path) if not e.getPath().getName().startswith(".")]
-    below = spark.createDataFrame(tops, "path string, below string").repartition(max(1, len(tops) // 8))
-    return below.mapInPandas(_listed, "path string, modificationTime timestamp, length long").select("*", _content("path").alias("content"))
+def _content(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Contents, some files at a time, however many paths come at once."""
+    for series in paths:
+        held, size = [], 0
+        for at in series:
+            fs, path = open_folder(at)
+            with fs.open_input_stream(path, compression=None) as f:
+                held.append(f.read())
+            size += len(held[-1])
+            if size > HELD:
+                yield pd.Series(held, dtype=object)
+                held, size = [], 0
+        if held or not len(series):
+            yield pd.Series(held, dtype=object)
 
 
 def relative_to(in_dir: str, column: str = "path"):
@@ -79,11 +103,16 @@ def keep_documents(files: DataFrame, in_dir: str, out_dir: str | None = None) ->
 
 def scan_documents(spark: SparkSession, in_dir: str, out_dir: str | None = None) -> DataFrame:
     """(path, length, content, name, ext) of every document below the folder; bytes are read only where content is used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(in_dir)
-    files = files.unionByName(_left_out(spark, in_dir))
+    out = f"|\\A{re.escape(_qualified(spark, out_dir))}\\z" if out_dir else ""
+    files = list_files(spark, in_dir, rf"(?i)/{OUTPUT_FOLDER}\z{out}").select("*", _content("path").alias("content"))
     return keep_documents(files, in_dir, out_dir)
 
 
+def _qualified(spark: SparkSession, at: str) -> str:
+    fs, path = hadoop_path(spark, at)
+    return fs.makeQualified(path).toString().rstrip("/")
+
+
 def route_formats(manifest: DataFrame) -> DataFrame:
     """manifest with family, out_ext, mime, status and error; unknown types are errors. The ten formats are broadcast."""
     routed = manifest.drop("out_ext", "family", "mime").join(F.broadcast(formats(manifest.sparkSession)), "ext", "left")
@@ -106,16 +135,15 @@ def build_manifest(files: DataFrame, existing: DataFrame, out_dir: str) -> DataF
 
 def list_outputs(spark: SparkSession, out_dir: str) -> DataFrame:
     """(dest) of what the output folder holds; empty if there is none."""
-    fs, path = _path(spark, out_dir)
+    fs, path = hadoop_path(spark, out_dir)
     if not fs.exists(path):
         return spark.createDataFrame([], "dest string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out_dir)
-    return files.select("path").union(_left_out(spark, out_dir).select("path")).select(F.concat(F.lit(out_dir.rstrip("/") + "/"), relative_to(out_dir)).alias("dest"))
+    return list_files(spark, out_dir).select(F.concat(F.lit(out_dir.rstrip("/") + "/"), relative_to(out_dir)).alias("dest"))
 
 
 def scan_folder(spark: SparkSession, in_dir: str, out_dir: str) -> tuple[DataFrame | None, str | None]:
     """(manifest, None), or (None, error) for a missing folder."""
-    fs, path = _path(spark, in_dir)
+    fs, path = hadoop_path(spark, in_dir)
     if not fs.exists(path):
         return None, NO_FOLDER
     return build_manifest(scan_documents(spark, in_dir, out_dir), list_outputs(spark, out_dir), out_dir), None
