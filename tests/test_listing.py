@@ -33,5 +33,5 @@ def test_contents_are_held_in_parts(spark, tmp_path):
         (tmp_path / f"{i}.txt").write_bytes(bytes([i]) * (2 << 20))
         rows.append((f"{tmp_path}/{i}.txt", i))
     df = spark.createDataFrame(rows, "path string, i int").coalesce(1)
-    got = df.select("i", files._content("path").alias("content")).selectExpr("i", "length(content) AS n", "substring(content, 1, 1) AS b").collect()
+    got = df.select("i", files.contents("path").alias("content")).selectExpr("i", "length(content) AS n", "substring(content, 1, 1) AS b").collect()
     assert all(r.n == 2 << 20 and r.b[0] == r.i for r in got) and len(got) == 40

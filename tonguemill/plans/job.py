@@ -20,64 +20,98 @@ def _docx_of_text(text: DataFrame) -> DataFrame:
     return containers.build_docx(layout.document_xml(plain.lines_to_paragraphs(text)))
 
 
+def _rows(docs: DataFrame, present: set[str]) -> list[DataFrame]:
+    """Documents, or their parts, with their texts in order (see translate_rows), by family. Nothing is shuffled."""
+    content = F.col("content") if "content" in docs.columns else files.contents("path")
+    of = lambda f: docs.where(F.col("family") == f)
+    text = lambda f: files.decode_text(of(f).select("doc_id", content.alias("content"))).select("doc_id", "text")
+    out = {}
+    if "plain" in present:
+        out["plain"] = plain.paragraph_rows(text("plain"))
+    if "rtf" in present:
+        out["rtf"] = plain.paragraph_rows(text("rtf").select("doc_id", plain.strip_rtf(F.col("text")).alias("text")))
+    if "csv" in present:
+        out["csv"] = delimited.csv_rows(text("csv"))
+    if "html" in present:
+        pages, slots = text("html"), html.has_slots(F.col("text"))
+        out["html"] = html.html_rows(pages.where(slots), html_col="text")
+        out["html_plain"] = plain.paragraph_rows(pages.where(~slots))
+    for d in (ooxml.DOCX, ooxml.PPTX):
+        if d.name in present:
+            out[d.name] = ooxml.ooxml_rows(containers.read_ooxml_parts(_packed(docs, d.name), d.name), d)
+    return [df.withColumn("family", F.lit(f)) for f, df in out.items()]
+
+
+def _packed(docs: DataFrame, family: str) -> DataFrame:
+    """Containers of a family; they are read by ranges where there is a path."""
+    return docs.where(F.col("family") == family).select("doc_id", parts.source_column(docs))
+
+
+def _documents(docs: DataFrame, rows: DataFrame, present: set[str]) -> list[DataFrame]:
+    """(doc_id, content, error) of translated rows, by family."""
+    of = lambda f: rows.where(F.col("family") == f)
+    good = lambda df: df.select("doc_id", "content", F.lit(None).cast("string").alias("error"))
+    utf8 = lambda f, c: good(of(f).select("doc_id", c.cast("binary").alias("content")))
+    out = []
+    if "plain" in present:
+        out.append(utf8("plain", plain.join_paragraphs()))
+    if "rtf" in present:
+        out.append(good(_docx_of_text(of("rtf").select("doc_id", plain.join_paragraphs().alias("text")))))
+    if "csv" in present:
+        out.append(utf8("csv", delimited.join_cells()))
+    if "html" in present:
+        out += [utf8("html", html.join_slots()), utf8("html_plain", plain.join_paragraphs())]
+    for d in (ooxml.DOCX, ooxml.PPTX):
+        if d.name in present:
+            out.append(containers.repack_ooxml(_packed(docs, d.name), of(d.name).select("doc_id", "part", ooxml.join_paragraphs(d).alias("xml"))))
+    return out
+
+
 def translate_table(docs: DataFrame, translator, config: JobConfig, save: Callable[[DataFrame, str], DataFrame], glyphs: DataFrame | None = None, page_sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, family, content, and path if there is one) to (outputs (doc_id, content), status (doc_id, ok, error)). What can't be read is an error of its own.
+    """docs (doc_id, family, and content or path) to (outputs (doc_id, content), status (doc_id, ok, error)). What can't be read is an error of
+    its own.
 
-    The segments of all families are batched and translated together. Page-layout documents are taken from a table of glyphs; those
-    without one, and those without text, are errors. A document with a failed batch has no output.
+    Texts, pages and Office parts are translated in their rows, all families together; workbook cells and page layout as segments. Page-layout
+    documents are taken from a table of glyphs; those without one, and those without text, are errors. A document with a failed batch
+    has no output. Families that no document has cost nothing.
     """
-    of = lambda *f: docs.where(F.col("family").isin(*f)).select("doc_id", "content")
-    # containers are read by ranges where there is a path
-    packed = lambda f: docs.where(F.col("family") == f).select("doc_id", parts.source_column(docs))
-    text = {f: files.decode_text(of(f), csv=False).select("doc_id", "text") for f in ("plain", "csv", "html", "rtf")}
-    text["rtf"] = text["rtf"].select("doc_id", plain.strip_rtf(F.col("text")).alias("text"))
-    xml = {d.name: containers.read_ooxml_parts(packed(d.name), d.name) for d in (ooxml.DOCX, ooxml.PPTX)}
-    book = containers.read_workbook_cells(packed("workbook"))
-    paged = text["html"].withColumnRenamed("text", "html")
-    segs = {
-        "plain": plain.paragraph_segments(text["plain"].union(text["rtf"])),
-        "csv": delimited.csv_cell_segments(text["csv"]),
-        "html": html.html_segments(paged),
-        "docx": ooxml.ooxml_segments(xml["docx"], ooxml.DOCX),
-        "pptx": ooxml.ooxml_segments(xml["pptx"], ooxml.PPTX),
-        "workbook": cells.cell_segments(book),
-    }
+    present = {r.family for r in docs.select("family").distinct().collect()}
+    outputs, states = [docs.where(F.lit(False)).select("doc_id", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))], []
+    if rows := _rows(docs, present):
+        every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+        told = save(translation.translate_rows(every, translator, config), "translated")
+        outputs += _documents(docs, told, present)
+        states.append(translation.row_status(told))
+
+    segs, paged = [], docs.where("family = 'layout'").select("doc_id")
+    if "workbook" in present:
+        book = containers.read_workbook_cells(_packed(docs, "workbook"))
+        in_book = cells.cell_segments(book)
+        segs.append(in_book.select(*SEGMENT))
     paras = pages = None
-    if glyphs is not None:
-        lines = layout.assemble_lines(layout.cluster_lines(glyphs.join(of("layout").select("doc_id"), "doc_id", "left_semi")))
+    if glyphs is not None and "layout" in present:
+        lines = layout.assemble_lines(layout.cluster_lines(glyphs.join(paged, "doc_id", "left_semi")))
         paras, pages = layout.stitch_pages(layout.paragraph_style(layout.paragraph_groups(lines), page_sizes), lines, page_sizes)
         paras = save(paras, "paragraphs")
-        segs["layout"] = paras.select("doc_id", F.lit("").alias("part"), F.col("para_idx").alias("seg_idx"), F.lit("paragraph").alias("kind"), "text")
-    every = save(reduce(DataFrame.unionByName, [s.select(*SEGMENT) for s in segs.values()]), "segments")
-    done, answers = translation.translate_segments(every, translator, config)
-    done, answers = save(done.select(*SEGMENT), "translated"), save(answers, "answers")
-    new = lambda f, *more: segs[f].drop("text").join(done, ["doc_id", "part", "seg_idx"])
-    good = lambda df: df.select("doc_id", "content", F.lit(None).cast("string").alias("error"))
-    utf8 = lambda df: good(df.select("doc_id", F.col("text").cast("binary").alias("content")))
-    texts = plain.assemble_text(new("plain"))
-    slots = new("html")
-    plain_html = plain.assemble_text(slots.where("kind = 'paragraph'"))
-    outputs = [
-        utf8(texts.join(text["plain"].select("doc_id"), "doc_id", "left_semi")),
-        good(_docx_of_text(texts.join(text["rtf"].select("doc_id"), "doc_id", "left_semi"))),
-        utf8(delimited.assemble_csv(text["csv"], new("csv"))),
-        utf8(html.assemble_html(paged, slots.where("kind = 'slot'")).join(plain_html.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("html", "text")),
-        utf8(plain_html),
-        containers.repack_ooxml(packed("docx"), ooxml.rewrite_parts(xml["docx"], new("docx"), ooxml.DOCX)),
-        containers.repack_ooxml(packed("pptx"), ooxml.rewrite_parts(xml["pptx"], new("pptx"), ooxml.PPTX)),
-        containers.repack_workbook(packed("workbook"), cells.assemble_cells(book, new("workbook"))),
-    ]
-    status = translation.document_status(answers).select("doc_id", "ok", "error")
-    if paras is not None:
-        retold = paras.drop("text").join(done.select("doc_id", F.col("seg_idx").alias("para_idx"), "text"), ["doc_id", "para_idx"])
-        outputs.append(good(containers.build_docx(layout.document_xml(retold, pages))))
-    empty = of("layout").select("doc_id").join(paras.where("text <> ''").select("doc_id"), "doc_id", "left_anti") if paras is not None else of("layout").select("doc_id")
-    outputs = save(reduce(DataFrame.unionByName, outputs), "made")
-    broken = outputs.where("error is not null").select("doc_id", F.lit(False).alias("ok"), "error")
-    status = status.join(broken, "doc_id", "left_anti").unionByName(broken)
-    status = status.unionByName(empty.join(status, "doc_id", "left_anti").select("doc_id", F.lit(False).alias("ok"), F.lit(layout.NO_TEXT).alias("error")))
-    bad = status.where("not ok").select("doc_id")
-    return outputs.drop("error").join(bad, "doc_id", "left_anti"), status
+        segs.append(paras.select("doc_id", F.lit("").alias("part"), F.col("para_idx").alias("seg_idx"), "text"))
+    if segs:
+        done, answers = translation.translate_segments(save(reduce(DataFrame.unionByName, segs), "segments"), translator, config)
+        done, answers = save(done.select(*SEGMENT), "translated_segments"), save(answers, "answers")
+        states.append(translation.document_status(answers))
+        if "workbook" in present:
+            new = in_book.drop("text").join(done, ["doc_id", "part", "seg_idx"])
+            outputs.append(containers.repack_workbook(_packed(docs, "workbook"), cells.assemble_cells(book, new)))
+        if paras is not None:
+            retold = paras.drop("text").join(done.select("doc_id", F.col("seg_idx").alias("para_idx"), "text"), ["doc_id", "para_idx"])
+            outputs.append(containers.build_docx(layout.document_xml(retold, pages)).withColumn("error", F.lit(None).cast("string")))
+
+    made = save(reduce(DataFrame.unionByName, outputs), "made")
+    broken = made.where("error is not null").select("doc_id", F.lit(False).alias("ok"), "error")
+    empty = paged.join(paras.where("text <> ''").select("doc_id"), "doc_id", "left_anti") if paras is not None else paged
+    empty = empty.select("doc_id", F.lit(False).alias("ok"), F.lit(layout.NO_TEXT).alias("error"))
+    status = reduce(DataFrame.unionByName, [s.select("doc_id", "ok", "error") for s in states], broken.where(F.lit(False))).join(broken, "doc_id", "left_anti").unionByName(broken)
+    status = save(status.join(empty, "doc_id", "left_anti").unionByName(empty), "status")
+    return made.drop("error").join(status.where("not ok").select("doc_id"), "doc_id", "left_anti"), status
 
 
 def run_job(spark: SparkSession, config: JobConfig, translator, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -86,7 +120,7 @@ def run_job(spark: SparkSession, config: JobConfig, translator, save: Callable[[
     existing = files.list_outputs(spark, config.out_dir)
     manifest = save(files.build_manifest(found, existing, config.out_dir), "manifest")
     todo, skipped = files.skip_existing(manifest, existing, config.skip_existing)
-    docs = found.select(F.col("path").alias("doc_id"), "path", "content").join(todo.select(F.col("path").alias("doc_id"), "family"), "doc_id")
+    docs = todo.select(F.col("path").alias("doc_id"), "path", "family")
     outputs, status = translate_table(docs, translator, config, save)
     outputs = save(outputs, "outputs")
     named = todo.select(F.col("path").alias("doc_id"), "name", "dest").join(status, "doc_id", "left").withColumn("ok", F.coalesce("ok", F.lit(True)))

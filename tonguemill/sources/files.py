@@ -66,7 +66,7 @@ def list_files(spark: SparkSession, in_dir: str, leave_out: str = "") -> DataFra
 
 
 @F.pandas_udf(BinaryType())
-def _content(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def contents(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Contents, some files at a time, however many paths come at once."""
     for series in paths:
         held, size = [], 0
@@ -104,7 +104,7 @@ def keep_documents(files: DataFrame, in_dir: str, out_dir: str | None = None) ->
 def scan_documents(spark: SparkSession, in_dir: str, out_dir: str | None = None) -> DataFrame:
     """(path, length, content, name, ext) of every document below the folder; bytes are read only where content is used."""
     out = f"|\\A{re.escape(_qualified(spark, out_dir))}\\z" if out_dir else ""
-    files = list_files(spark, in_dir, rf"(?i)/{OUTPUT_FOLDER}\z{out}").select("*", _content("path").alias("content"))
+    files = list_files(spark, in_dir, rf"(?i)/{OUTPUT_FOLDER}\z{out}").select("*", contents("path").alias("content"))
     return keep_documents(files, in_dir, out_dir)
 
 
