@@ -419,3 +419,46 @@ def test_components(spark):
     got = {r.node: r.component for r in common.components(spark, spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "t")).collect()}
     want = roots(400, edges)
     assert all(got.get(i, i) == want[i] for i in range(400))
+
+
+def test_warc_of_other_makers(spark, tmp_path):
+    def member(head, block, version="WARC/1.0"):
+        return gzip.compress("\r\n".join([version, *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body = b"<p>hei</p>"
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    hexed = hashlib.sha1(body).hexdigest()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 3\r\n\r\n4;x=1\r\n<p>h\r\n6\r\nei</p>\r\n0\r\n\r\n"
+    good = [
+        member(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        member(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:2>"], b"GET / HTTP/1.1\r\n\r\n"),
+        member(["WARC-Type:response", "WARC-Record-ID: <urn:uuid:3>", "WARC-Target-URI: http://a/", "X-Folded: a", "  b", "\tc"], http),
+        member(["WARC-Type: Response", "WARC-Payload-Digest: sha1:" + hexed, "warc-block-digest: blake9:zz"], http),
+        member(["WARC-Type: response", "WARC-Payload-Digest: sha1:" + warc.sha1_base32(body).lower()], chunked),
+        member(["WARC-Type: response", "WARC-Truncated: length"], b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\n" + body),
+        member(["WARC-Type: response", "WARC-Payload-Digest: md5:" + hashlib.md5(b"dns").hexdigest()], b"dns"),
+        member(["WARC-Type: resource"], b"raw"),
+        member(["WARC-Type: revisit"], b""),
+        member(["WARC-Type: metadata"], b"no colon here"),
+    ]
+    got = list(warc.read_archive(io.BytesIO(b"".join(good))))
+    assert [(r["warc-type"], r["payload"], r["http-length"]) for r in got] == [
+        ("warcinfo", None, None), ("request", None, None), ("response", body, 10), ("response", body, 10), ("response", chunked.partition(b"\r\n\r\n")[2], 3),
+        ("response", body, 99), ("response", b"dns", 3), ("resource", b"raw", 3), ("revisit", None, None), ("metadata", None, None),
+    ]
+    assert got[2]["x-folded"] == "a b c"
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(good))
+    rows = warc.read_archives(spark.createDataFrame([("x.warc.gz",)], "name string"), str(tmp_path)).collect()
+    assert [(r.page_id, r.record_type, r.payload_digest) for r in rows][:2] == [(None, "response", warc.sha1_base32(body))] * 2 and len(rows) == 7 and rows[-1].payload_digest is None
+    bad = [
+        (member(["WARC-Type: response", "no colon"], http), "no header field"),
+        (gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"), "no Content-Length"),
+        (gzip.compress(b"WARC/1.0\r\nContent-Length: x\r\n\r\n"), "no Content-Length"),
+        (member(["WARC-Type: response"], b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\n" + body), "10 bytes, not 99"),
+        (member(["WARC-Type: response"], b"HTTP/1.1 200 OK\r\nnonsense\r\n\r\n"), "no header field"),
+        (member(["WARC-Type: resource", "WARC-Payload-Digest: sha256:" + "0" * 64], b"raw"), "payload digest"),
+        (member(["WARC-Type: warcinfo", "WARC-Block-Digest: sha1:" + "A" * 32], b"x"), "block digest"),
+    ]
+    for raw, said in bad:
+        with pytest.raises(warc.WarcError, match=said):
+            list(warc.read_archive(io.BytesIO(raw)))

@@ -111,25 +111,84 @@ class _Members:
             yield part
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name. Lines that begin with a blank go on with the one before; of a repeated field the first counts."""
+    out: dict[str, str] = {}
+    own, name = "", ""
+    for line in [*lines, "end:"]:
+        if line[:1] in (" ", "\t") and name:
+            own += " " + line.strip()
+            continue
+        if name:
+            out.setdefault(name, own)
+        name, colon, own = line.partition(":")
+        name, own = name.strip().lower(), own.strip()
+        if not colon or not name:
+            raise WarcError(f"no header field: {line[:40]!r}")
+    return out
+
+
+def _agrees(told: str | None, *data: bytes) -> bool:
+    """Whether a digest field fits one of these; a missing one, or one of an unknown kind, tells nothing. Values are in base32 or hex."""
+    kind, _, value = (told or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    sums = [hashlib.new(kind, d).digest() for d in data]
+    return any(value.strip().upper().rstrip("=") in (base64.b32encode(x).decode().rstrip("="), x.hex().upper()) for x in sums)
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of a body in chunks; None if it isn't in chunks."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]*\r\n").match(body, at):
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n + 2
+    return None
+
+
 def read_archive(stream) -> Iterator[dict]:
-    """Records of an archive in order: headers by lower-case name, and payload (bytes; None for a revisit). Digests are verified."""
+    """Records of an archive in order, of any type: headers by lower-case name, `payload` and `http-length`.
+
+    A response's payload is what follows its HTTP head, a resource's or conversion's its block; others, and revisits, have none. http-length
+    is what the HTTP head tells, else the payload's length, else None. Digests of block and payload are verified where there are any; a
+    payload sent in chunks may be digested either way. A record that was cut short (WARC-Truncated) isn't held against its length. Whatever
+    is wrong is a WarcError.
+    """
     m = _Members(stream)
     while m.begin():
-        version, *lines = m.until(b"\r\n\r\n").decode().split("\r\n")
+        version, *lines = m.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise WarcError(f"no record here: {version[:40]!r}")
-        head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}
-        block = b"".join(m.exactly(int(head["content-length"])))
+        head = _fields(lines)
+        name, kind, size = head.get("warc-record-id", "a record without id"), head.get("warc-type", "").lower(), head.get("content-length", "")
+        if not re.fullmatch("[0-9]+", size):
+            raise WarcError(f"no Content-Length of {name}")
+        block = b"".join(m.exactly(int(size)))
         tail = b"".join(m.exactly(4))
         while m.more():
             pass
-        if tail != b"\r\n\r\n" or head["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
-            raise WarcError(f"block digest of {head['warc-record-id']}")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        length = int(re.search(rb"(?i)\r\nContent-Length: (\d+)", http)[1])
-        if head["warc-type"] == "response" and (len(payload) != length or head["warc-payload-digest"] != f"sha1:{sha1_base32(payload)}"):
-            raise WarcError(f"payload digest of {head['warc-record-id']}")
-        yield head | {"http-length": length, "payload": payload if head["warc-type"] == "response" else None}
+        if tail != b"\r\n\r\n" or not _agrees(head.get("warc-block-digest"), block):
+            raise WarcError(f"block digest of {name}")
+        payload, length = (block if kind in ("resource", "conversion") else None), None
+        if kind in ("response", "revisit") and block[:5] == b"HTTP/":
+            top, _, body = block.partition(b"\r\n\r\n")
+            http = _fields(top.decode("latin-1").split("\r\n")[1:])
+            told = http.get("content-length", "")
+            length = int(told) if re.fullmatch("[0-9]+", told) else None
+            if kind == "response":
+                payload = body
+                in_chunks = "chunked" in http.get("transfer-encoding", "").lower()
+                if length is not None and length != len(body) and not in_chunks and "warc-truncated" not in head:
+                    raise WarcError(f"payload digest of {name}: {len(body)} bytes, not {length}")
+        elif kind == "response":  # not of HTTP: the block is what was received
+            payload = block
+        if payload is not None and not _agrees(head.get("warc-payload-digest"), payload, *([x] if (x := _unchunked(payload)) is not None else [])):
+            raise WarcError(f"payload digest of {name}")
+        yield head | {"warc-type": kind, "http-length": len(payload) if length is None and payload is not None else length, "payload": payload}
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -175,12 +234,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return linked.select(as_text("page_id"), "url", "html", as_text("first"), "revisit").mapInArrow(run, "name string, records long, bytes long")
 
 
+#: Types of records that stand for a page.
+PAGES = ("response", "resource", "conversion", "revisit")
 RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Records of the archives named by (name), each read from begin to end by one task; ids are texts. Revisits carry no payload of
-    their own. A damaged archive, or a record that doesn't match its digests, is a WarcError."""
+    """Records of the archives named by (name), each read from begin to end by one task; ids are texts, null for those of other makers.
+
+    Responses, resources, conversions and revisits are given; warcinfo, requests and metadata hold no page and are passed over. Revisits
+    carry no payload of their own. payload_digest is the record's, or computed where it has none or one that isn't SHA-1. A damaged
+    archive, or a record that doesn't match its digests, is a WarcError."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(folder)
@@ -195,7 +259,11 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
                 rows: list[tuple] = []
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for r in read_archive(stream):
-                        rows.append((_id_of(r["warc-record-id"]), r.get("warc-target-uri"), r["http-length"], r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"], _id_of(r.get("warc-refers-to")), r["payload"] if payloads else None))
+                        if r["warc-type"] not in PAGES:
+                            continue
+                        digest = re.fullmatch("(?i)sha1:([A-Z2-7]{32})", r.get("warc-payload-digest", ""))
+                        digest = digest[1].upper() if digest else None if r["payload"] is None else sha1_base32(r["payload"])
+                        rows.append((_id_of(r.get("warc-record-id")), r.get("warc-target-uri"), r["http-length"], digest, r["warc-type"], _id_of(r.get("warc-refers-to")), r["payload"] if payloads else None))
                         if len(rows) == 500:
                             yield give(rows)
                             rows = []
