@@ -33,6 +33,13 @@ def test_scan_and_manifest(spark, tmp_path):
 def test_order_and_uploads(spark):
     df = spark.createDataFrame([(x,) for x in ["zoo", "ære", "Alt", "b", "øre", "åre"]], "path string")
     assert [r.path for r in files.order_manifest(df).collect()] == ["Alt", "b", "zoo", "ære", "øre", "åre"]
+    # a folder over many ranges, beside small ones; equal paths
+    names = [f"/in/a/{x}{i * 7 % 400}" for i in range(400) for x in ("ø", "b")] + ["/in/b/x", "/in/b/y", "rot", "/in/b/x", None]
+    many = files.order_manifest(spark.createDataFrame([(x, 1) for x in names], "path string, n int").repartition(7))
+    got = [(r.path, r.rank) for r in many.collect()]
+    assert [r for p, r in got if p and "/a/" in p] == list(range(1, 801)) and [r for p, r in got if p and "/b/" in p] == [1, 2, 3]
+    assert len(got) == len(names) and [p for p, _ in got if p and "/a/" in p][400] == "/in/a/ø0" and ("rot", 1) in got
+    assert many.columns == ["path", "n", "rank"]
     up = spark.createDataFrame([("a.b.PDF", b"x"), ("y.zip", b"")], "name string, content binary")
     assert [(r.out_name, r.status) for r in files.translate_files(up).orderBy("name").collect()] == [("a.b.docx", "ok"), (None, "error")]
 

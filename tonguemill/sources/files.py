@@ -165,10 +165,21 @@ def resolve_dest_collisions(results: DataFrame, skip: bool = True) -> DataFrame:
 
 
 def order_manifest(manifest: DataFrame) -> DataFrame:
-    """In Norwegian order of path, with rank: a file's place in its folder."""
-    by = (F.collate("path", "nb"), F.col("path"))
-    rank = F.row_number().over(Window.partitionBy(F.regexp_extract("path", r"\A(.*/)", 1)).orderBy(*by))
-    return manifest.withColumn("rank", rank).orderBy(*by)
+    """In Norwegian order of path, with rank: a file's place in its folder.
+
+    Paths are dealt by ranges of that order and written down, so that the ranges stay as they are; places are counted within a range, and what
+    the folder has in earlier ranges is added. A folder of any number of files is spread over tasks.
+    """
+    spark, by = manifest.sparkSession, (F.collate("path", "nb"), F.col("path"))
+    at = own_folder(spark, "order")
+    dealt = manifest.withColumn("__folder", F.coalesce(F.regexp_extract("path", r"\A(.*/)", 1), F.lit("\0"))).repartitionByRange("__folder", *by).withColumn("__range", F.spark_partition_id())
+    dealt.write.mode("overwrite").parquet(at)
+    rows = spark.read.schema(dealt.schema).parquet(at)
+    earlier = Window.partitionBy("__folder").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__folder", "__range").agg(F.count("*").alias("n")).select("__folder", "__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__folder", "__range").orderBy(*by))
+    ranked = rows.withColumn("rank", place).join(before, ["__folder", "__range"]).withColumn("rank", (F.col("rank") + F.col("__before")).cast("int"))
+    return ranked.drop("__folder", "__range", "__before").orderBy(*by)
 
 
 def decode_text(files: DataFrame, csv: bool = False) -> DataFrame:
