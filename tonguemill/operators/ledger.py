@@ -59,7 +59,8 @@ class RequestLedger:
         """Asks what the ledger doesn't hold of requests (key, prompt), once for each key.
 
         At most tasks * in_flight calls are under way at a time. Requests are dealt by key and asked in its order, so a task that runs again
-        finds the groups that its lost attempt has written.
+        finds the groups that its lost attempt has written. A speculative copy of a running task would ask what is under way once more; jobs
+        with paid calls run without spark.speculation.
         """
         folder, run, size = self.path, self.run, self.group
         once = requests.groupBy("key").agg(F.any_value("prompt").alias("prompt"))

@@ -24,7 +24,7 @@ class Progress:
         spark.sparkContext.addJobTag(self.tag)
 
     def saver(self, save: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame, str], DataFrame]:
-        """`save`, observed."""
+        """`save`, observed; it must write the table, not only plan it."""
 
         def keep(df: DataFrame, label: str) -> DataFrame:
             seen, began = Observation(), time.monotonic()
