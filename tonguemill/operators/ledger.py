@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemill.core.config import JobConfig, open_folder
-from tonguemill.core.shared import hadoop_path, put
+from tonguemill.core.shared import hadoop_path, own_folder, put
 from tonguemill.operators.translation import KEY, RETRY, build_prompt, guard_prompt, read_responses, response_error, retry_union
 
 #: Requests that are written down together, and may be asked again if their task is lost.
@@ -98,8 +98,13 @@ def asked_once(ledger: RequestLedger, call: Callable[[str], tuple[int, str]], mo
     """A translator that asks a model through a ledger, twice at most for each batch. `call` takes a prompt and gives (status, body)."""
 
     def run(batches: DataFrame, config: JobConfig) -> DataFrame:
-        asked = guard_prompt(build_prompt(batches, config.target), config.max_prompt).select(*KEY, "batch_id", F.size("items").alias("expected"), "prompt", "status", "error")
-        good = asked.where("status = 'ok'").drop("status", "error").withColumn("key", request_key(model, F.col("prompt")))
+        prompts = guard_prompt(build_prompt(batches, config.target), config.max_prompt).select(*KEY, "batch_id", F.size("items").alias("expected"), "prompt", "status", "error")
+        prompts = prompts.withColumn("key", request_key(model, F.col("prompt")))
+        # written once, as they are read by each step below
+        at = own_folder(ledger.spark, "prompts")
+        prompts.write.mode("overwrite").parquet(at)
+        asked = ledger.spark.read.schema(prompts.schema).parquet(at)
+        good = asked.where("status = 'ok'").drop("status", "error")
 
         def told(rows: DataFrame, answers: DataFrame) -> DataFrame:
             return read_responses(rows.drop("prompt").join(answers, "key")).select(*KEY, "batch_id", "translations", "error")
