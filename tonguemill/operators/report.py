@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tonguemill.core.shared import own_folder
 from tonguemill.functions.scalars import js_round
 
 #: Ranges of names that overall_progress numbers apart.
@@ -30,9 +31,12 @@ def job_summary(results: DataFrame) -> DataFrame:
 def overall_progress(files: DataFrame) -> DataFrame:
     """files (name, done, total) with percent of the job after each, in order of name.
 
-    Rows are numbered within ranges of names and the ranges' running counts added; the driver gets a row for each range. The bounds are
-    literals, so a row's range is the same on every recomputation.
+    The files are written down once. Rows are numbered within ranges of names and the ranges' running counts added; the driver gets a row for
+    each range. The bounds are literals, so a row's range is the same on every recomputation.
     """
+    at = own_folder(files.sparkSession, "progress")
+    files.write.mode("overwrite").parquet(at)
+    files = files.sparkSession.read.schema(files.schema).parquet(at)
     few = files.where("name is not null").select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(RANGES - 1)
     bounds = F.array(*[F.lit(r.name) for r in few.collect()]).cast("array<string>")
     dealt = files.withColumn("__range", F.size(F.filter(bounds, lambda x: x <= F.col("name"))))
