@@ -28,6 +28,5 @@ SQL = {
     "op8_substring_dedup": substrings.SQL,
     "op9_embedding_near_dedup": vectors.SQL,
     "op10_warc": warc.SQL,
-    "op11_personal_data": personal.query,
     "op12_source_divergence": divergence.SQL,
 }
