@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from tonguemill.llm.common import Scratch, components, mix, row_key, spread, table, utf8, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Growth of the size bands, and what a key of one shingle or none costs against a longer one (such keys are met by chance).
-BAND, WEAK = 2.0, 12.0
+#: Growth of the size bands, what a key of one shingle or none costs beside that of any key (such keys are met by chance), and the share
+#: of the least cost within which fewer and longer segments are taken instead. README has the keys and candidates measured by band.
+BAND, WEAK, NEAR = 2.0, 1.0, 0.05
 #: Partitions of the universe, one after the other, that a set tries which has too few parts with a shingle in those before.
 LEVELS = 8
 #: Rounds in which sets meet those nearest to them in other components; what these leave apart is compared in full.
@@ -104,7 +105,8 @@ def _share(n: float, m: int, k: int) -> float:
 def allocation(band: int, percent: int = PERCENT) -> tuple[int, int]:
     """(m, q): segments, and how many of them have one-deletion neighbourhoods; (0, 0) where linked sets are equal.
 
-    The least cost, in keys and weak keys that a set publishes, of those with enough parts that hold a shingle, as a rule.
+    The least cost, in keys and weak keys that a set publishes, of those with enough parts that hold a shingle, as a rule; of costs that
+    are NEAR the least, that of the longest segments, which fewest sets share by chance.
     """
     low, high = bands()[band], bands()[band + 1] - 1
     if not most_apart(high, percent):
@@ -130,7 +132,8 @@ def allocation(band: int, percent: int = PERCENT) -> tuple[int, int]:
             q = m * tenths // 10
             if all(units(n, m, q) - 2 * math.sqrt(m * _share(n, m, 0)) >= most_apart(n, percent) + 1 for n in (low, high) if most_apart(n, percent)):
                 options.append((cost(m, q), m, q))
-    return min(options)[1:]
+    few = min(options)[0] * (1 + NEAR)
+    return min((m, q) for c, m, q in options if c <= few)
 
 
 @lru_cache(maxsize=1 << 17)
@@ -389,10 +392,9 @@ def _dealt(rows: DataFrame, main: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "at.right", "component", "set", "n")
 
 
-def _told(counts: DataFrame, name: str, least: int) -> np.ndarray:
-    """The most frequent values of a sample, at most TOLD; the driver gets no more."""
-    got = counts.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n")).limit(TOLD).select(name).toPandas()
-    return np.sort(got[name].to_numpy("int64"))
+def _told(counts: DataFrame, name: str, least: int) -> dict[int, int]:
+    """The most frequent values of a sample, at most TOLD, and how often each stands there; the driver gets no more."""
+    return {r[0]: r[1] for r in counts.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n")).limit(TOLD).collect()}
 
 
 def _across(apart: DataFrame, arrays: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -415,6 +417,7 @@ def _across(apart: DataFrame, arrays: DataFrame, scratch: Scratch, percent: int)
         heavy = apart.join(many, "key", "left_semi").select("set", "component").distinct()
         heavy = scratch.save(heavy.join(arrays.select("set", "s"), "set").select("set", "component", "s"), "heavy")
         hot = _told(heavy.where(F.pmod(F.xxhash64("set"), F.lit(16)) == 0).select(F.explode("s").alias("shingle")), "shingle", WIDE // 64)
+        hot = np.array(sorted(hot), "int64")
         rows = scratch.save(heavy.mapInArrow(lambda it: _prefixes(it, percent, hot), "key long, component long, set long, n long"), "prefixes")
         apart = scratch.save(apart.join(many, "key", "left_anti").union(_spanning(rows).select("key", "component", "set", "n")), "across_rare")
         main = scratch.save(widths(apart), "widths_rare")
@@ -466,15 +469,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = members.where(F.pmod(F.xxhash64("h1", "h2"), F.lit(SAMPLED)) == 0).select("h1", "h2", F.explode("keys").alias("key")).distinct()
     hot = _told(some, "key", max(2, WIDE // SAMPLED))
     by_key = ["key"]
-    if len(hot):  # at most TOLD keys; a hot key's rows are dealt by salt, and its parts are summed up after
-        known = F.broadcast(spark.createDataFrame([(int(k), True) for k in hot], "key long, hot boolean"))
-        keyed = keyed.join(known, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("set"), F.lit(64)))).drop("hot")
+    if hot:  # at most TOLD keys; a hot key's rows are dealt by salt, about WIDE to each, and its parts are summed up after
+        known = F.broadcast(spark.createDataFrame([(k, math.ceil(n * SAMPLED / WIDE)) for k, n in hot.items()], "key long, salts long"))
+        keyed = keyed.join(known, "key", "left").withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts"))).drop("salts")
         by_key.append("salt")
     parts = Window.partitionBy(*by_key)
     several = F.min("set").over(parts) != F.max("set").over(parts)
-    shared = keyed.select("*", F.count("*").over(parts).alias("g"), several.alias("several")).where(F.col("several") | F.col("salt").isNotNull() if len(hot) else F.col("several"))
+    shared = keyed.select("*", F.count("*").over(parts).alias("g"), several.alias("several")).where(F.col("several") | F.col("salt").isNotNull() if hot else F.col("several"))
     shared = scratch.save(shared.drop("several"), "shared")
-    if len(hot):
+    if hot:
         whole = shared.where("salt is not null").groupBy("key").agg(F.count("*").alias("all"), (F.min("set") != F.max("set")).alias("several"))
         shared = shared.join(whole, "key", "left").where("salt is null or several").withColumn("g", F.coalesce("all", "g"))
     # of each set's shared keys in a band as many of the most frequent as it has to spare need not be met: both keep the cheapest
@@ -525,8 +528,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = nodes.join(linked.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("h1", "h2", F.lit(True).alias("words"), "component", "component_id")
-    out = members.select("id", "rid", "n", "h1", "h2", (F.col("n") > 0).alias("words")).join(named, ["h1", "h2", "words"], "left")
+    named = named.join(least, "component").select("h1", "h2", "component", "component_id")
+    rows = members.select("id", "rid", "n", "h1", "h2")
+    out = rows.where("n > 0").join(named, ["h1", "h2"], "left").unionByName(rows.where("n = 0"), allowMissingColumns=True)  # equal hashes of no words meet nothing
     row = [F.col("rid").alias(row_col), "component"] if row_col else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *row)
 
