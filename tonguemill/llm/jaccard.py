@@ -35,7 +35,8 @@ ROUNDS, PROBES, BLOCK = 3, 4, 1024
 SKETCH, FOLDED = 4096, 8
 #: Rows of a key beyond which it is dealt over several tasks, and the share of sets (one in so many) and the number of keys or shingles
 #: from which such keys are told before they are met. What is told decides only where rows go, never which pairs are compared.
-WIDE, SAMPLED, TOLD = 2048, 64, 20_000
+#: SALTS is the least number of tasks that it is dealt over.
+WIDE, SAMPLED, TOLD, SALTS = 2048, 64, 20_000, 64
 #: Texts that are hashed at once, and pairs that a task remembers so as not to give them again.
 ROWS, GIVEN = 500, 500_000
 _U = np.uint64
@@ -469,8 +470,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = members.where(F.pmod(F.xxhash64("h1", "h2"), F.lit(SAMPLED)) == 0).select("h1", "h2", F.explode("keys").alias("key")).distinct()
     hot = _told(some, "key", max(2, WIDE // SAMPLED))
     by_key = ["key"]
-    if hot:  # at most TOLD keys; a hot key's rows are dealt by salt, about WIDE to each, and its parts are summed up after
-        known = F.broadcast(spark.createDataFrame([(k, math.ceil(n * SAMPLED / WIDE)) for k, n in hot.items()], "key long, salts long"))
+    if hot:  # at most TOLD keys; a hot key's rows are dealt by salt, at most about WIDE to each, and its parts are summed up after
+        known = F.broadcast(spark.createDataFrame([(k, max(SALTS, math.ceil(n * SAMPLED / WIDE))) for k, n in hot.items()], "key long, salts long"))
         keyed = keyed.join(known, "key", "left").withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts"))).drop("salts")
         by_key.append("salt")
     parts = Window.partitionBy(*by_key)
