@@ -163,6 +163,19 @@ def test_jaccard_hot_passage(spark, monkeypatch, wide):
         assert max(r["count"] for r in seen[0].groupBy("cell").count().collect()) < 40 < len(texts)
 
 
+@pytest.mark.parametrize("salts", [1, 7])
+def test_jaccard_salts_follow_a_keys_rows(spark, monkeypatch, salts):
+    """However many tasks a hot key is dealt over, near copies that share it are one component; rows without words stay alone."""
+    for name, value in (("WIDE", 4), ("SAMPLED", 1), ("SALTS", salts)):
+        monkeypatch.setattr(jaccard, name, value)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(30)] + [(i, None if i % 2 else " \n") for i in range(30, 40)] + [(50, "quite another text of seven words")]
+    got = jaccard.link_documents(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()
+    assert len(got) == 2 * len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 0 if i < 30 else i) for i, _ in rows}
+    assert {r.n_shingles for r in got if 30 <= r.doc_id < 40} == {0}
+
+
 def test_jaccard_prefixes_meet():
     rng = np.random.default_rng(3)
     for _ in range(500):
