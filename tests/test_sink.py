@@ -56,6 +56,15 @@ def test_only_accepted_attempts_count_and_publication_resumes(spark, tmp_path):
     assert names(at) == ["a", "b"] and [Path(at, n).read_bytes() for n in "ab"] == [b"1", b"2"]
 
 
+def test_query_broadcasts_no_texts(spark, data):
+    """What is read in tasks is measured by its paths, so an unhinted join would broadcast every text."""
+    from tonguemill.plans import durable
+
+    df = durable.document_sink(spark, data)
+    assert df.count() == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 RETRIED = """
 import sys
 from pathlib import Path

@@ -51,7 +51,8 @@ def document_sink(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").selectExpr(f"concat('{out}/', {_NAME}) AS dest", f"cast({_TEXT} AS binary) AS content")
     written = sink.write_documents(docs, out)
     found = files.decode_text(files.scan_documents(spark, out)).select(F.concat(F.lit(out + "/"), "name").alias("dest"), "name", "text")
-    return found.join(written, "dest").select("name", "bytes", "text")
+    # the texts are read in tasks, so Spark measures only their paths; unhinted it would send all texts through the driver
+    return found.join(written.hint("merge"), "dest").select("name", "bytes", "text")
 
 
 @query(f"SELECT {_NAME} AS name, CAST(doc_id % 3 + 1 AS INTEGER) AS entry, {_TEXT.replace(TURN.format('text'), TURN.format(TURN.format('text')))} AS text FROM documents")
