@@ -1,10 +1,16 @@
 """Page layout: glyphs to lines, lines to styled paragraphs, pages to one document, paragraphs to word-processing markup.
 
-A page is the unit of grouping, so what is collected is a page's glyphs; documents of any length only have more pages.
+A page is the unit of grouping, so what is collected is a page's glyphs; documents of any length only have more pages. Glyphs become lines in
+one pass over Arrow batches; from there on rows are lines and paragraphs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -24,48 +30,116 @@ def normalize_glyphs(items: DataFrame) -> DataFrame:
     return items.where(F.coalesce("str", F.lit("")) != "").select(*PAGE, "item_idx", "str", F.coalesce(t(4), F.lit(0.0)).alias("x"), F.coalesce(t(5), F.lit(0.0)).alias("y"), F.coalesce("width", F.lit(0.0)).alias("width"), size.alias("font_size"), F.coalesce("font_name", F.lit("")).alias("font_name"))
 
 
-def cluster_lines(glyphs: DataFrame) -> DataFrame:
-    """(doc_id, page, line_idx, y, items): from the top, left to right; a glyph joins the line whose first glyph is near enough in y."""
-    g = F.struct((-F.col("y")).alias("down"), "x", "item_idx", "str", "width", "font_size", "font_name")
-    page = glyphs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(g)).alias("g"))
-    zero = F.struct(F.lit(0).alias("i"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.coalesce(F.abs(acc["anchor"] - x["down"]) <= F.greatest(F.lit(1.6), x["font_size"] * 0.32), F.lit(False))
-        return F.struct((acc["i"] + 1).alias("i"), F.when(near, acc["anchor"]).otherwise(x["down"]).alias("anchor"), F.when(near, acc["starts"]).otherwise(F.array_append(acc["starts"], acc["i"])).alias("starts"))
+LINES = "doc_id {id}, page int, line_idx int, y double, n_items int, text string, font_size double, font_name string, names string, x double, x_end double"
 
-    page = page.withColumn("starts", F.aggregate("g", zero, step, lambda acc: acc["starts"]))
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size("g")))
 
-    def line(c: Column) -> Column:
-        own = F.slice("g", c["a"] + 1, c["b"] - c["a"])
-        # by x; glyphs at the same x keep the order in which they came
-        by_x = F.sort_array(F.transform(own, lambda s, i: F.struct(s["x"].alias("x"), i.alias("k"), s["str"].alias("str"), s["width"].alias("width"), s["font_size"].alias("font_size"), s["font_name"].alias("font_name"))))
-        return F.struct((-F.get(F.col("g"), c["a"])["down"]).alias("y"), by_x.alias("items"))
+def cluster_lines(glyphs: DataFrame, gathered: bool = False) -> DataFrame:
+    """(doc_id, page, line_idx, y, n_items, text, font_size, font_name, names, x, x_end): from the top, left to right; a glyph joins the
+    line whose first glyph is near enough in y.
 
-    cuts = F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), line)
-    return page.select(*PAGE, F.posexplode(cuts).alias("line_idx", "l")).select(*PAGE, "line_idx", "l.y", "l.items")
+    A blank stands where the gap to the glyph before is over 0.22 of the size. The size is the upper median, the font that of the
+    longest glyph (the first of equals); names are the line's fonts. With `gathered` a page's glyphs already stand together in one partition,
+    as they do where its row was exploded; else they are shuffled to stand so. A task holds a page at a time, and Arrow's batches.
+    """
+    if not gathered:
+        glyphs = glyphs.repartition(*PAGE).sortWithinPartitions(*PAGE)
+    kind = glyphs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            begins = _page_begins(batch, held[-1] if held else None)
+            if not len(begins):
+                held.append(batch)
+                continue
+            yield from _lines_of([*held, batch.slice(0, begins[-1])])
+            held = [batch.slice(begins[-1])]
+        yield from _lines_of(held)
+
+    return glyphs.select(*PAGE, F.col("item_idx").cast("long"), "str", "x", "y", "width", "font_size", "font_name").mapInArrow(run, LINES.format(id=kind.simpleString()))
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """A number for each distinct value, null included."""
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def _page_begins(batch: pa.RecordBatch, before: pa.RecordBatch | None) -> np.ndarray:
+    """Rows of a batch that begin a page, the first one if it isn't of the page of the rows before."""
+    if not batch.num_rows:
+        return np.empty(0, int)
+    doc, page = _codes(batch.column(0)), _codes(batch.column(1))
+    first = before is not None and before.num_rows and any(before.column(k)[before.num_rows - 1].as_py() != batch.column(k)[0].as_py() for k in (0, 1))
+    inside = np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1
+    return np.append(0, inside) if first else inside
+
+
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a > b as Spark has it: NaN is over all else."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
+def _utf16(texts: pa.Array) -> np.ndarray:
+    """Lengths in UTF-16 units: a character of four bytes is two."""
+    n = pc.utf8_length(texts).to_numpy().copy()
+    for i in np.flatnonzero(pc.binary_length(texts).to_numpy() - n > 2):
+        n[i] = len(texts[i].as_py().encode("utf-16-le", "surrogatepass")) // 2
+    return n
+
+
+def _lines_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of whole pages."""
+    t = pa.Table.from_batches(batches).combine_chunks() if batches else None
+    if t is None or not t.num_rows:
+        return
+    doc, page, idx, texts, x, y, width, size, font = (c.chunk(0) for c in t.columns)
+    number = np.append(0, np.cumsum((np.diff(_codes(doc)) != 0) | (np.diff(_codes(page)) != 0)))
+    idx = pc.fill_null(idx, -(1 << 62)).to_numpy()
+    x, width, size, down = x.to_numpy(), width.to_numpy(), size.to_numpy(), -y.to_numpy()
+    order = np.lexsort((idx, x, down, number))
+    same = np.append(False, np.all([c[order][1:] == c[order][:-1] for c in (idx, x, down, number)], axis=0))
+    for a in np.flatnonzero(~same & np.append(same[1:], False)):  # glyphs of one place and number, by what else they are
+        b = a + 1
+        while b < len(order) and same[b]:
+            b += 1
+        order[a:b] = sorted(order[a:b], key=lambda i: (texts[i].as_py().encode("utf-8", "surrogatepass"), width[i], size[i], font[i].as_py().encode()))
+    number, x, width, size, down = (c[order] for c in (number, x, width, size, down))
+    starts, cur, anchor = [], -1, 0.0
+    for i, (own, at, near) in enumerate(zip(number.tolist(), down.tolist(), np.maximum(1.6, size * 0.32).tolist(), strict=True)):
+        if own != cur or not abs(anchor - at) <= near:
+            starts.append(i)
+            cur, anchor = own, at
+    a = np.array(starts)
+    count = np.diff(np.append(a, len(order)))
+    line = np.repeat(np.arange(len(a)), count)
+    # by x; glyphs at the same x keep the order in which they came
+    by_x = np.lexsort((x, line))
+    order, x, end, size, last = order[by_x], x[by_x], (x + width)[by_x], size[by_x], a + count - 1
+    blank = np.append(False, _over(x[1:] - end[:-1], size[1:] * 0.22))
+    blank[a] = False
+    taken = pa.array(order)
+    strs, fonts = texts.take(taken), font.take(taken).dictionary_encode()
+    words = [" " + s if gap else s for s, gap in zip(strs.to_pylist(), blank.tolist(), strict=True)]
+    codes, names = fonts.indices.to_numpy(), fonts.dictionary.to_pylist()
+    main = codes[np.lexsort((-_utf16(strs), line))][a]
+    mixed = np.minimum.reduceat(codes, a) != np.maximum.reduceat(codes, a)
+    spans = list(zip(a.tolist(), (last + 1).tolist(), strict=True))
+    first = np.searchsorted(number[a], number[a])  # a page's first line
+    where = pa.array(order[a])
+    columns = [
+        doc.take(where), page.take(where), pa.array(np.arange(len(a)) - first, pa.int32()), pa.array(-down[a]), pa.array(count, pa.int32()),
+        pa.array(["".join(words[i:j]).rstrip(" \t") for i, j in spans], pa.string()), pa.array(size[np.lexsort((size, line))][a + count // 2]), pa.array([names[c] for c in main], pa.string()),
+        pa.array([" ".join(sorted(names[c] for c in np.unique(codes[i:j]))) if many else names[c] for (i, j), many, c in zip(spans, mixed.tolist(), main.tolist(), strict=True)], pa.string()),
+        pa.array(x[a]), pa.array(end[last]),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "page", "line_idx", "y", "n_items", "text", "font_size", "font_name", "names", "x", "x_end"])
 
 
 def assemble_lines(lines: DataFrame) -> DataFrame:
-    """lines with text, font_size, font_name, bold, italic, x, x_end; empty ones go.
-
-    A blank stands where the gap to the glyph before is over 0.22 of the size. The size is the upper median, the font that of the
-    longest glyph (the first of equals), bold and italic hold if any font of the line says so.
-    """
-    items = F.col("items")
-    gap = lambda s, i: s["x"] - (F.get(items, i - 1)["x"] + F.get(items, i - 1)["width"])
-    text = F.array_join(F.transform(items, lambda s, i: F.concat(F.when((i > 0) & (gap(s, i) > s["font_size"] * 0.22), " ").otherwise(""), s["str"])), "")
-    main = F.array_max(F.transform(items, lambda s, i: F.struct(js_length(s["str"]).alias("n"), (-i).alias("i"), s["font_name"].alias("font"))))
-    names = F.array_join(F.transform(items, lambda s: s["font_name"]), " ")
-    last = F.element_at(items, -1)
-    out = lines.select(
-        *PAGE, "line_idx", F.regexp_replace(text, r"[ \t]+\z", "").alias("text"),
-        F.get(F.sort_array(F.transform(items, lambda s: s["font_size"])), F.floor(F.size(items) / 2).cast("int")).alias("font_size"),
-        main["font"].alias("font_name"), names.rlike(HEAVY).alias("bold"), names.rlike(SLANTED).alias("italic"),
-        F.get(items, F.lit(0))["x"].alias("x"), "y", (last["x"] + last["width"]).alias("x_end"),
-    )
-    return out.where("text <> ''")
+    """lines (doc_id, page, line_idx, text, font_size, font_name, bold, italic, x, y, x_end); empty ones go. Bold and italic hold if any font
+    of the line says so."""
+    names = F.col("names")
+    return lines.where("text <> ''").select(*PAGE, "line_idx", "text", "font_size", "font_name", names.rlike(HEAVY).alias("bold"), names.rlike(SLANTED).alias("italic"), "x", "y", "x_end")
 
 
 def paragraph_groups(lines: DataFrame) -> DataFrame:
@@ -82,7 +156,7 @@ def paragraph_groups(lines: DataFrame) -> DataFrame:
 
 
 def paragraph_style(grouped: DataFrame, page_sizes: DataFrame) -> DataFrame:
-    """(doc_id, page, para_idx, text, font_size, font_name, bold, italic, align, space_before, space_after, line_twips).
+    """(doc_id, page, para_idx, text, font_size, font_name, bold, italic, left, align, space_before, space_after, line_twips).
 
     Style is that of the longest line (the first of equals). Alignment is told from the margins; a gap of over 2.2 of the size before
     gives the paragraph above it room after.
@@ -98,23 +172,24 @@ def paragraph_style(grouped: DataFrame, page_sizes: DataFrame) -> DataFrame:
     middle = (F.col("left") + F.col("right")) / 2
     align = F.when((F.abs(middle - width / 2) < width * 0.1) & (F.col("left") > width * 0.16), "center").when(F.col("left") > width * 0.48, "right").otherwise("left")
     after = F.coalesce(F.lead("extra").over(Window.partitionBy(*PAGE).orderBy("para_idx")), F.lit(0)).cast("int")
-    return sized.select(*PAGE, "para_idx", "text", "m.*", align.alias("align"), F.lit(0).alias("space_before"), after.alias("space_after"), js_round(F.col("avg") * 20 * 1.15).cast("int").alias("line_twips"))
+    return sized.select(*PAGE, "para_idx", "text", "m.*", "left", align.alias("align"), F.lit(0).alias("space_before"), after.alias("space_after"), js_round(F.col("avg") * 20 * 1.15).cast("int").alias("line_twips"))
 
 
-def stitch_pages(styled: DataFrame, lines: DataFrame, page_sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs of the document in order, (doc_id, width, height, margin)).
+def stitch_pages(styled: DataFrame, page_sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs of the document in order, each with its margin; (doc_id, width, height, margin)).
 
-    Before every page but the first stands an empty paragraph with 240 before it. The margin is the least x of the lines within 36 and
-    90, 56 without lines; the page is the first one's.
+    Before every page but the first stands an empty paragraph with 240 before it. The margin is the least x of the paragraphs within 36
+    and 90, 56 without any; the page is the first one's.
     """
+    clamp = lambda c: F.coalesce(F.least(F.greatest(js_round(c), F.lit(36)), F.lit(90)), F.lit(56)).cast("int")
     rows = styled.withColumn("k", F.col("para_idx") + 1)
-    first = page_sizes.groupBy("doc_id").agg(F.min("page").alias("first"), F.min_by(F.struct("width", "height"), "page").alias("s"))
-    seps = page_sizes.join(first, "doc_id").where(F.col("page") > F.col("first")).select("doc_id", "page", F.lit(0).alias("k"), F.lit("").alias("text"), F.lit(240).alias("space_before"))
-    order = Window.partitionBy("doc_id").orderBy("page", "k")
-    paras = rows.drop("para_idx").unionByName(seps, allowMissingColumns=True).withColumn("para_idx", F.row_number().over(order) - 1).drop("k")
-    least = lines.groupBy("doc_id").agg(F.min("x").alias("x"))
-    margin = F.coalesce(F.least(F.greatest(js_round(F.col("x")), F.lit(36)), F.lit(90)), F.lit(56)).cast("int")
-    return paras, first.join(least, "doc_id", "left").select("doc_id", "s.width", "s.height", margin.alias("margin"))
+    own = Window.partitionBy("doc_id")
+    seps = page_sizes.withColumn("first", F.min("page").over(own)).where(F.col("page") > F.col("first")).select("doc_id", "page", F.lit(0).alias("k"), F.lit("").alias("text"), F.lit(240).alias("space_before"))
+    both = rows.drop("para_idx").unionByName(seps, allowMissingColumns=True)
+    paras = both.withColumn("para_idx", F.row_number().over(own.orderBy("page", "k")) - 1).withColumn("margin", clamp(F.min("left").over(own))).drop("k", "left")
+    first = page_sizes.groupBy("doc_id").agg(F.min_by(F.struct("width", "height"), "page").alias("s"))
+    least = styled.groupBy("doc_id").agg(F.min("left").alias("x"))
+    return paras, first.join(least, "doc_id", "left").select("doc_id", "s.width", "s.height", clamp(F.col("x")).alias("margin"))
 
 
 def reject_empty_layout(paragraphs: DataFrame) -> DataFrame:

@@ -208,35 +208,37 @@ def tagged_text(spark, sf_dir):
     return pages.select("page_id", scalars.extract_tagged_text(F.col("html"), "a").alias("texts"), scalars.replace_tagged_text(F.col("html"), "h1", F.array(F.lit("A & B"))).alias("html"))
 
 
+def _clustered(spark, sf_dir):
+    return layout.cluster_lines(layout.normalize_glyphs(fx.glyph_items(spark, sf_dir)), gathered=True)
+
+
 def _lines(spark, sf_dir):
-    glyphs = layout.normalize_glyphs(fx.glyph_items(spark, sf_dir))
-    return glyphs, layout.assemble_lines(layout.cluster_lines(glyphs))
+    return layout.assemble_lines(_clustered(spark, sf_dir))
 
 
 @query(f"WITH {fx.GLYPHS} SELECT doc_id, page, line_idx, round(any_value(lines1.y), 6) AS y, CAST(count(*) AS INTEGER) AS n_items FROM lines1 JOIN glyphs USING (doc_id, page, l) GROUP BY doc_id, page, line_idx")
 def cluster_lines(spark, sf_dir):
-    return layout.cluster_lines(layout.normalize_glyphs(fx.glyph_items(spark, sf_dir))).select("doc_id", "page", "line_idx", F.round("y", 6).alias("y"), F.size("items").alias("n_items"))
+    return _clustered(spark, sf_dir).select("doc_id", "page", "line_idx", F.round("y", 6).alias("y"), "n_items")
 
 
 @query(f"WITH {fx.GLYPHS} SELECT doc_id, page, line_idx, text, font_size, font_name, bold, italic, x, x_end FROM lines1")
 def line_style(spark, sf_dir):
-    return _lines(spark, sf_dir)[1].drop("y")
+    return _lines(spark, sf_dir).drop("y")
 
 
 @query(f"WITH {fx.GLYPHS} SELECT doc_id, page, line_idx, para_idx, starts, round(gap, 6) AS gap FROM grouped")
 def paragraph_groups(spark, sf_dir):
-    return layout.paragraph_groups(_lines(spark, sf_dir)[1]).select("doc_id", "page", "line_idx", "para_idx", "starts", F.round("gap", 6).alias("gap"))
+    return layout.paragraph_groups(_lines(spark, sf_dir)).select("doc_id", "page", "line_idx", "para_idx", "starts", F.round("gap", 6).alias("gap"))
 
 
 def _styled(spark, sf_dir):
-    glyphs, lines = _lines(spark, sf_dir)
-    sizes = fx.page_sizes(glyphs)
-    return layout.paragraph_style(layout.paragraph_groups(lines), sizes), lines, sizes
+    sizes = fx.page_sizes(spark, sf_dir)
+    return layout.paragraph_style(layout.paragraph_groups(_lines(spark, sf_dir)), sizes), sizes
 
 
 @query(f"WITH {fx.GLYPHS} SELECT doc_id, page, para_idx, text, font_size, font_name, bold, italic, align, space_before, space_after, line_twips FROM styled")
 def paragraph_style(spark, sf_dir):
-    return _styled(spark, sf_dir)[0]
+    return _styled(spark, sf_dir)[0].drop("left")
 
 
 _STITCH = """, pages0 AS (SELECT DISTINCT doc_id, page FROM glyphs), firsts AS (SELECT doc_id, min(page) AS f FROM pages0 GROUP BY doc_id),
@@ -247,8 +249,8 @@ stitched AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page
 
 @query(f"WITH {fx.GLYPHS}{_STITCH} SELECT doc_id, p AS para_idx, text, space_before, margin FROM stitched JOIN (SELECT doc_id, CAST(least(greatest(floor(min(x) + 0.5), 36), 90) AS INTEGER) AS margin FROM lines1 GROUP BY doc_id) USING (doc_id)")
 def stitch_pages(spark, sf_dir):
-    paras, pages = layout.stitch_pages(*_styled(spark, sf_dir))
-    return paras.join(pages, "doc_id").select("doc_id", "para_idx", "text", "space_before", "margin")
+    paras, _ = layout.stitch_pages(*_styled(spark, sf_dir))
+    return paras.select("doc_id", "para_idx", "text", "space_before", "margin")
 
 
 _FONT = "CASE WHEN font_name LIKE '%Times%' THEN 'Times New Roman' WHEN font_name IS NULL THEN 'Calibri' ELSE 'Arial' END"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemill.core.config import FORMATS
-from tonguemill.functions.scalars import escape_xml
+from tonguemill.functions.scalars import escape_xml, let
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,20 +166,30 @@ def workbook_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.part", "p.xml")
 
 
+def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, ls): documents by pages of fifty lines."""
+    pages = let(F.split("text", "\n", -1), lambda ls: F.transform(F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / 50).cast("int")), lambda p: F.slice(ls, p * 50 + 1, F.lit(50))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages).alias("page", "ls"))
+
+
 def glyph_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw glyphs of documents: a line for each line, a glyph for each word, fifty lines on a page."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("l", "line"))
-    words = lines.select("doc_id", "l", F.posexplode(F.split("line", " ", -1)).alias("w", "str"))
-    n, size = F.col("l") % 50, F.when(F.col("l") % 10 == 0, 16.0).otherwise(11.0)
+    """Raw glyphs of documents: a line for each line, a glyph for each word, fifty lines on a page. What is shuffled are the pages' texts, also
+    where rows share a doc_id; a page's glyphs then stand together."""
+    pages = layout_pages(spark, sf_dir).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page")
+    lines = pages.select("doc_id", "page", F.posexplode("ls").alias("n", "line"))
+    words = lines.select("doc_id", "page", "n", F.posexplode(F.split("line", " ", -1)).alias("w", "str"))
+    n, size = F.col("n"), F.when(F.col("n") % 10 == 0, 16.0).otherwise(11.0)
     y = 800.0 - n * 15.0 - F.floor(n / 7) * 20.0 + ((F.col("doc_id") * 7 + F.col("w")) % 3) * 0.25
-    x = F.when(F.col("l") % 10 == 0, 200.0).otherwise(50.0) + F.col("w") * 60.0
-    font = F.when(F.col("l") % 10 == 0, "ABCDEF+Times-Bold").when(F.col("l") % 10 == 5, "Arial-Italic").otherwise("Helvetica")
+    x = F.when(n % 10 == 0, 200.0).otherwise(50.0) + F.col("w") * 60.0
+    font = F.when(n % 10 == 0, "ABCDEF+Times-Bold").when(n % 10 == 5, "Arial-Italic").otherwise("Helvetica")
     zero = F.lit(0.0)
-    return words.select("doc_id", F.floor(F.col("l") / 50).cast("int").alias("page"), (n * 1_000_000 + F.col("w")).cast("int").alias("item_idx"), "str", F.array(size, zero, zero, size, x, y).alias("transform"), (F.length("str") * 5.0).alias("width"), font.alias("font_name"))
+    return words.select("doc_id", "page", (n * 1_000_000 + F.col("w")).cast("int").alias("item_idx"), "str", F.array(size, zero, zero, size, x, y).alias("transform"), (F.length("str") * 5.0).alias("width"), font.alias("font_name"))
 
 
-def page_sizes(glyphs: DataFrame) -> DataFrame:
-    return glyphs.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a glyph."""
+    some = layout_pages(spark, sf_dir).where(F.exists("ls", lambda x: x.rlike("[^ ]")))
+    return some.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
 
 
 GLYPHS = """gl AS (SELECT doc_id, i AS l, ls[i + 1] AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),

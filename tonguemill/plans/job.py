@@ -91,7 +91,7 @@ def translate_table(docs: DataFrame, translator, config: JobConfig, save: Callab
     paras = pages = None
     if glyphs is not None and "layout" in present:
         lines = layout.assemble_lines(layout.cluster_lines(glyphs.join(paged, "doc_id", "left_semi")))
-        paras, pages = layout.stitch_pages(layout.paragraph_style(layout.paragraph_groups(lines), page_sizes), lines, page_sizes)
+        paras, pages = layout.stitch_pages(layout.paragraph_style(layout.paragraph_groups(lines), page_sizes), page_sizes)
         paras = save(paras, "paragraphs")
         segs.append(paras.select("doc_id", F.lit("").alias("part"), F.col("para_idx").alias("seg_idx"), "text"))
     if segs:
