@@ -6,17 +6,19 @@ Python touches only container bytes; what happens to the parts is DataFrame work
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tonguemill.functions.scalars import TEXT_PARTS, decode_xml_entities, escape_xml
 from tonguemill.operators.ooxml import _all
-from tonguemill.sources.parts import BROKEN, open_container, pieces, read_parts, read_pieces, source_column
+from tonguemill.sources.parts import BROKEN, blocks, open_container, pieces, read_parts, read_pieces, rows_of, source_column
 
 
 UNREADABLE = "Filen kan ikke leses: {}"
@@ -32,24 +34,43 @@ def repack_ooxml(files: DataFrame, new_parts: DataFrame) -> DataFrame:
 
     A container that can't be read has no content but an error, and leaves the others alone.
     """
-    kind = files.schema["doc_id"].dataType.simpleString()
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        new = dict(zip(right.part, right.xml, strict=True))
-        out = []
-        for doc, source in zip(left.doc_id, left[left.columns[1]], strict=True):
+    def rewrite(z: zipfile.ZipFile, w: zipfile.ZipFile, changes: list[tuple]) -> None:
+        new = dict(changes)
+        for info in z.infolist():
+            w.writestr(info, new[info.filename].encode() if info.filename in new else z.read(info), zipfile.ZIP_DEFLATED)
+
+    return _repacked(files, new_parts.select("doc_id", "part", "xml"), rewrite)
+
+
+def _repacked(files: DataFrame, changes: DataFrame, rewrite: Callable[[zipfile.ZipFile, zipfile.ZipFile, list[tuple]], None]) -> DataFrame:
+    """(doc_id, content, error): every container rewritten with its changes (doc_id, ...). One shuffle; a container's changes come right
+    before it, and the task that rewrites it holds them."""
+    kind, source = files.schema["doc_id"].dataType, source_column(files)
+    fields = [f for f in changes.schema if f.name != "doc_id"]
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("content", pa.binary()), ("error", pa.string())])
+    none = lambda f: F.lit(None).cast(f.dataType).alias(f.name)
+    first = changes.select("doc_id", F.lit(0).alias("__k"), *[f.name for f in fields], none(files.schema[source]).alias("__source"))
+    both = first.union(files.select("doc_id", F.lit(1).alias("__k"), *[none(f) for f in fields], source))
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        own, held = None, []
+        for doc, k, *change, container in rows_of(batches):
+            if doc != own:
+                own, held = doc, []
+            if k == 0:
+                held.append(tuple(change))
+                continue
             to = io.BytesIO()
             try:
-                with open_container(source) as z, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as w:
-                    for info in z.infolist():
-                        w.writestr(info, new[info.filename].encode() if info.filename in new else z.read(info), zipfile.ZIP_DEFLATED)
-                out.append((doc, to.getvalue(), None))
+                with open_container(container) as z, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as w:
+                    rewrite(z, w, held)
+                yield doc, to.getvalue(), None
             except BROKEN as e:
-                out.append((doc, None, UNREADABLE.format(e)))
-        return pd.DataFrame(out, columns=["doc_id", "content", "error"])
+                yield doc, None, UNREADABLE.format(e)
 
-    parts = new_parts.select("doc_id", "part", "xml")
-    return files.select("doc_id", source_column(files)).groupBy("doc_id").cogroup(parts.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, content binary, error string")
+    dealt = both.repartition("doc_id").sortWithinPartitions("doc_id", "__k")
+    return dealt.mapInArrow(lambda batches: blocks(done(batches), schema), f"doc_id {kind.simpleString()}, content binary, error string")
 
 
 CELL, CELL_OPENS = re.compile(r"(?s)<c\b[^>]*?(?:/>|>.*?</c>)"), re.compile(r"<c\b|<\Z")
@@ -91,35 +112,25 @@ def repack_workbook(files: DataFrame, cells: DataFrame) -> DataFrame:
 
     A workbook meets its changed cells alone; sheets are rewritten cell by cell, from the old container into the new one.
     """
-    kind = files.schema["doc_id"].dataType.simpleString()
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def rewrite(z: zipfile.ZipFile, w: zipfile.ZipFile, changes: list[tuple]) -> None:
         new: dict[str, dict[int, str]] = {}
-        for part, at, value in zip(right.part, right.cell_idx, right.value, strict=True):
+        for part, at, value in changes:
             new.setdefault(part, {})[at] = value
-        out = []
-        for doc, source in zip(left.doc_id, left[left.columns[1]], strict=True):
-            to = io.BytesIO()
-            try:
-                with open_container(source) as z, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as w:
-                    for info in z.infolist():
-                        if info.filename not in new:
-                            w.writestr(info, z.read(info), zipfile.ZIP_DEFLATED)
-                            continue
-                        own, k = new[info.filename], 0
-                        entry = zipfile.ZipInfo(info.filename, info.date_time)
-                        entry.compress_type = zipfile.ZIP_DEFLATED
-                        with w.open(entry, "w", force_zip64=True) as sheet:
-                            for before, cell in pieces(z, info.filename, CELL, CELL_OPENS):
-                                sheet.write((before + (_told(cell, own[k]) if cell and k in own else cell)).encode())
-                                k += bool(cell)
-                out.append((doc, to.getvalue(), None))
-            except BROKEN as e:
-                out.append((doc, None, UNREADABLE.format(e)))
-        return pd.DataFrame(out, columns=["doc_id", "content", "error"])
+        for info in z.infolist():
+            if info.filename not in new:
+                w.writestr(info, z.read(info), zipfile.ZIP_DEFLATED)
+                continue
+            own, k = new[info.filename], 0
+            entry = zipfile.ZipInfo(info.filename, info.date_time)
+            entry.compress_type = zipfile.ZIP_DEFLATED
+            with w.open(entry, "w", force_zip64=True) as sheet:
+                for before, cell in pieces(z, info.filename, CELL, CELL_OPENS):
+                    sheet.write((before + (_told(cell, own[k]) if cell and k in own else cell)).encode())
+                    k += bool(cell)
 
     changed = cells.where("changed").select("doc_id", F.col("sheet").alias("part"), "cell_idx", escape_xml(F.col("value")).alias("value"))
-    return files.select("doc_id", source_column(files)).groupBy("doc_id").cogroup(changed.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, content binary, error string")
+    return _repacked(files, changed, rewrite)
 
 
 # The other parts of a minimal word-processing document.
@@ -137,32 +148,34 @@ NEW_DOCX = {"[Content_Types].xml": CONTENT_TYPES, "_rels/.rels": RELATIONSHIPS,
 def pack_parts(parts: DataFrame) -> DataFrame:
     """(doc_id, content): a container for each document, with its parts (doc_id, part, xml)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        to = io.BytesIO()
-        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, xml in sorted(zip(rows.part, rows.xml, strict=True)):
-                z.writestr(zipfile.ZipInfo(name), xml.encode(), zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"doc_id": rows.doc_id[:1], "content": [to.getvalue()]})
+    kind = parts.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("content", pa.binary())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for doc, own in itertools.groupby(rows_of(batches), key=lambda r: r[0]):
+            yield doc, _zipped((name, xml) for _, name, xml in own)
 
-    return parts.select("doc_id", "part", "xml").groupBy("doc_id").applyInPandas(run, f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, content binary")
+    rows = parts.select("doc_id", "part", "xml").repartition("doc_id").sortWithinPartitions("doc_id", "part", "xml")
+    return rows.mapInArrow(lambda batches: blocks(packed(batches), schema), f"doc_id {kind.simpleString()}, content binary")
+
+
+def _zipped(entries: Iterable[tuple[str, str]]) -> bytes:
+    to = io.BytesIO()
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in entries:
+            z.writestr(zipfile.ZipInfo(name), text.encode(), zipfile.ZIP_DEFLATED)
+    return to.getvalue()
 
 
 def build_docx(documents: DataFrame) -> DataFrame:
     """(doc_id, content) from body parts (doc_id, xml)."""
-    fixed = dict(NEW_DOCX)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for doc, xml in zip(rows.doc_id, rows.xml, strict=True):
-                to = io.BytesIO()
-                with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-                    for name, text in {**fixed, "word/document.xml": xml}.items():
-                        z.writestr(zipfile.ZipInfo(name), text.encode(), zipfile.ZIP_DEFLATED)
-                out.append((doc, to.getvalue()))
-            yield pd.DataFrame(out, columns=["doc_id", "content"])
-
-    return documents.select("doc_id", "xml").mapInPandas(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, content binary")
+    fixed, kind = dict(NEW_DOCX), documents.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("content", pa.binary())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        return ((doc, _zipped({**fixed, "word/document.xml": xml}.items())) for doc, xml in rows_of(batches))
+
+    return documents.select("doc_id", "xml").mapInArrow(lambda batches: blocks(made(batches), schema), f"doc_id {kind.simpleString()}, content binary")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:

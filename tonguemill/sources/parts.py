@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 from tonguemill.core.config import open_folder
@@ -26,6 +27,8 @@ from tonguemill.core.config import open_folder
 BROKEN = (zipfile.BadZipFile, zlib.error, struct.error, TypeError, ValueError, KeyError, NotImplementedError, RuntimeError, EOFError, OSError)
 #: Bytes of files that a task of the data source reads, bytes that are inflated at once, and pieces of a block of rows.
 BYTES_A_TASK, PIECE, BLOCK = 128 << 20, 1 << 20, 10_000
+#: Bytes of a block, about, and rows that are taken out of a batch at once.
+HELD, ROWS = 4 << 20, 64
 
 
 def open_container(source: bytes | str | None) -> zipfile.ZipFile:
@@ -67,6 +70,27 @@ def pieces(z: zipfile.ZipFile, name: str, pattern: re.Pattern, opening: re.Patte
             held = held[keep:]
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as tuples, a few at a time, so a batch of long values isn't held twice."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(a, ROWS).columns), strict=True)
+
+
+def blocks(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Tuples as batches of at most BLOCK rows and about HELD bytes."""
+    held, size = [], 0
+    give = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+        if len(held) >= BLOCK or size > HELD:
+            yield give()
+            held, size = [], 0
+    if held:
+        yield give()
+
+
 def source_column(files: DataFrame) -> str:
     return "path" if "path" in files.columns else "content"
 
@@ -76,22 +100,19 @@ def read_parts(files: DataFrame, pattern: str = r"\.(?:xml|rels)$") -> DataFrame
 
     Only those parts are inflated.
     """
-    wanted, kind = re.compile(pattern), files.schema["doc_id"].dataType.simpleString()
+    wanted, kind = re.compile(pattern), files.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("part", pa.string()), ("part_idx", pa.int32()), ("xml", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = batch.column(0)
-            for k, source in enumerate(batch.column(1).to_pylist()):
-                try:
-                    with open_container(source) as z:
-                        got = [(n, i, inflate(z, n).decode("utf-8", "replace")) for i, n in enumerate(z.namelist()) if wanted.search(n)]
-                except BROKEN:  # repack_ooxml says why
-                    continue
-                if got:
-                    names, places, texts = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([docs.take(pa.array([k] * len(got))), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "part", "part_idx", "xml"])
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for doc, source in rows_of(batches):
+            try:
+                with open_container(source) as z:
+                    got = [(doc, n, i, inflate(z, n).decode("utf-8", "replace")) for i, n in enumerate(z.namelist()) if wanted.search(n)]
+            except BROKEN:  # repack_ooxml says why
+                continue
+            yield from got
 
-    return files.select("doc_id", source_column(files)).mapInArrow(run, f"doc_id {kind}, part string, part_idx int, xml string")
+    return files.select("doc_id", source_column(files)).mapInArrow(lambda batches: blocks(found(batches), schema), f"doc_id {kind.simpleString()}, part string, part_idx int, xml string")
 
 
 def read_pieces(files: DataFrame, parts: str, pattern: re.Pattern, opening: re.Pattern) -> DataFrame:
@@ -100,33 +121,19 @@ def read_pieces(files: DataFrame, parts: str, pattern: re.Pattern, opening: re.P
     Parts are inflated and searched piece by piece, so a sheet of millions of cells is never one string. A part that turns out to be damaged
     gives what stands before the damage; repack_workbook reports it.
     """
-    wanted, kind = re.compile(parts), files.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = batch.column(0)
-            for k, source in enumerate(batch.column(1).to_pylist()):
-
-                def block(name: str, first: int, texts: list[str], k: int = k, docs: pa.Array = docs) -> pa.RecordBatch:
-                    n = len(texts)
-                    return pa.RecordBatch.from_arrays([docs.take(pa.array([k] * n)), pa.array([name] * n, pa.string()), pa.array(range(first, first + n), pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "part", "idx", "text"])
-
-                try:
-                    with open_container(source) as z:
-                        for name in filter(wanted.search, z.namelist()):
-                            first, texts = 0, []
-                            for _, text in pieces(z, name, pattern, opening):
-                                if text:
-                                    texts.append(text)
-                                if len(texts) == BLOCK:
-                                    yield block(name, first, texts)
-                                    first, texts = first + BLOCK, []
-                            if texts:
-                                yield block(name, first, texts)
-                except BROKEN:
-                    continue
-
-    return files.select("doc_id", source_column(files)).mapInArrow(run, f"doc_id {kind}, part string, idx int, text string")
+    wanted, kind = re.compile(parts), files.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("part", pa.string()), ("idx", pa.int32()), ("text", pa.string())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for doc, source in rows_of(batches):
+            try:
+                with open_container(source) as z:
+                    for name in filter(wanted.search, z.namelist()):
+                        yield from ((doc, name, i, text) for i, text in enumerate(text for _, text in pieces(z, name, pattern, opening) if text))
+            except BROKEN:
+                continue
+
+    return files.select("doc_id", source_column(files)).mapInArrow(lambda batches: blocks(found(batches), schema), f"doc_id {kind.simpleString()}, part string, idx int, text string")
 
 
 class Files(InputPartition):
