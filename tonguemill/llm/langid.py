@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemill.llm.common import table
+from tonguemill.llm.common import table, worker_cache
 
 #: Labelled rows for each language that the classifier is fitted on, about; drawn by a hash of doc_id. The README documents it.
 SAMPLE_PER_LANG = 4000
@@ -49,6 +49,7 @@ def _parts(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.nd
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, n) sums of a partition of (lang, text)."""
     total: dict[str, np.ndarray] = {}
+    worker_cache("langid", lambda: None)
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for a, b, data, ends in _parts(batch.column(1)):
@@ -133,6 +134,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        worker_cache("langid", lambda: None)  # what other operators have left in this worker goes
         for batch in batches:
             text, letter = batch.column(len(keep)), np.array(batch.column(len(keep) + 1).to_pylist(), bool)
             margins = np.zeros((batch.num_rows, m.weights.shape[1]))
