@@ -19,9 +19,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tonguemill.core.config import open_folder
 from tonguemill.core.shared import hadoop_path, put
 from tonguemill.sources.files import FILES, keep_documents
+from tonguemill.sources.parts import blocks
 
 #: Files and bytes that one task reads, about.
 FILES_A_TASK, BYTES_A_TASK = 500, 64 << 20
+#: Rows of a row group of an entry.
+GROUP = 2000
 _ENTRY = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64())])
 _FILE = pa.schema([*_ENTRY, ("content", pa.binary()), ("entry", pa.int32())])
 
@@ -39,16 +42,29 @@ class ListingReader(DataSourceStreamReader):
     def __init__(self, folder: str, log: str):
         self.folder, self.log, self.known, self.last = folder, log, set(), 0
 
-    def _entry(self, n: int) -> pa.Table:
+    def _entry(self, n: int, column: str) -> list:
         fs, path = open_folder(f"{self.log}/{n:09}.parquet")
         with fs.open_input_file(path) as f:
-            return pyarrow.parquet.read_table(f)
+            return pyarrow.parquet.read_table(f, columns=[column])[column].to_pylist()
+
+    def _slice(self, n: int, first: int, end: int) -> pa.Table:
+        """Rows [first, end) of an entry, from the row groups that hold them, so a task's reading doesn't grow with the entry."""
+        fs, path = open_folder(f"{self.log}/{n:09}.parquet")
+        with fs.open_input_file(path) as f:
+            file, at, groups, before = pyarrow.parquet.ParquetFile(f), 0, [], 0
+            for k in range(file.num_row_groups):
+                rows = file.metadata.row_group(k).num_rows
+                if at + rows > first and at < end:
+                    before = at if not groups else before
+                    groups.append(k)
+                at += rows
+            return file.read_row_groups(groups).slice(first - before, end - first)
 
     def _catch_up(self) -> None:
         fs, path = open_folder(self.log)
         numbers = [int(i.base_name[:9]) for i in fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)) if not i.base_name.startswith(".")]
         for n in range(self.last + 1, max(numbers, default=0) + 1):
-            self.known.update(self._entry(n)["path"].to_pylist())
+            self.known.update(self._entry(n, "path"))
             self.last = n
 
     def initialOffset(self) -> dict:
@@ -64,14 +80,14 @@ class ListingReader(DataSourceStreamReader):
         rows = sorted(r for r in rows if r[0] not in self.known)
         if rows:
             table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENTRY.types, strict=True)], schema=_ENTRY)
-            put(f"{self.log}/{self.last + 1:09}.parquet", lambda out: pyarrow.parquet.write_table(table, out))
+            put(f"{self.log}/{self.last + 1:09}.parquet", lambda out: pyarrow.parquet.write_table(table, out, row_group_size=GROUP))
             self._catch_up()
         return {"entry": self.last}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         out = []
         for n in range(start["entry"] + 1, end["entry"] + 1):
-            first, size, sizes = 0, 0, self._entry(n)["length"].to_pylist()
+            first, size, sizes = 0, 0, self._entry(n, "length")
             for i, length in enumerate(sizes):
                 if i > first and (i - first >= FILES_A_TASK or size + length > BYTES_A_TASK):
                     out.append(Slice(n, first, i))
@@ -81,7 +97,10 @@ class ListingReader(DataSourceStreamReader):
         return out
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        rows = self._entry(partition.entry).slice(partition.first, partition.end - partition.first)
+        rows = self._slice(partition.entry, partition.first, partition.end)
+        yield from blocks(self._contents(rows, partition.entry), _FILE)
+
+    def _contents(self, rows: pa.Table, entry: int) -> Iterator[tuple]:
         for path, mtime, length in zip(*(c.to_pylist() for c in rows.columns), strict=True):
             fs, at = open_folder(path)
             try:
@@ -89,7 +108,7 @@ class ListingReader(DataSourceStreamReader):
                     content = f.read()
             except FileNotFoundError:  # gone since it was listed
                 continue
-            yield pa.RecordBatch.from_pylist([{"path": path, "modificationTime": mtime, "length": length, "content": content, "entry": partition.entry}], schema=_FILE)
+            yield path, mtime, length, content, entry
 
 
 class DocumentStream(DataSource):
