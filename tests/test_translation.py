@@ -56,6 +56,22 @@ def test_many_batches_of_one_list(spark):
     assert got == [[*range(1500), 1500, 1528, 1556], []]
 
 
+def test_saved_batches_meet_texts_in_a_merge(spark, tmp_path):
+    """Saved ids are small as files and large in memory; they must not be broadcast for their files' size."""
+
+    def save(df, label):
+        df.write.parquet(f"{tmp_path}/{label}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{label}")
+
+    docs = {1: ["a"] * 30, 2: ["c"], 9: ["d", "e"]}
+    work = save(segments(spark, docs), "segments")
+    batches = translation.gather_batches(work, save(translation.assign_batches(work), "assigned"))
+    got = {(r.doc_id, r.batch_id): [(i.seg_idx, i.text) for i in r["items"]] for r in batches.collect()}
+    assert got == {(1, 0): [(i, "a") for i in range(28)], (1, 1): [(28, "a"), (29, "a")], (2, 0): [(0, "c")], (9, 0): [(0, "d"), (1, "e")]}
+    plan = batches._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_round_trip_plain(spark):
     texts = ["a\n\nb", "\n\na\n\n\n\nb\n", "", "\n", "a", "x\n\n   \n\ny\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
